@@ -94,15 +94,20 @@ def scan_files(
     )
 
 
-def latest_selection(files: DataFrame, key: str = "input_id", ts: str = "batch_ts") -> DataFrame:
-    """Each input's files from its last selection only.
-
-    The newest time per input is found with a map-side aggregate.  The join
-    back is on both columns, and its large side can be split where one input
-    holds most of the files, which a window over the input could not.
+def latest_selection(
+    rows: DataFrame, selections: DataFrame | None = None, key: str = "input_id", ts: str = "batch_ts"
+) -> DataFrame:
+    """The rows that belong to each input's last selection.
+
+    ``selections`` lists every selection made; give it when ``rows`` has lost
+    some, as scanned files have (a newer selection without findings still
+    replaces an older one).  Finding the newest time reads two columns and
+    aggregates map-side.  The semi join is on both columns, so AQE can split
+    the side on which one input holds most of the rows, which a window over
+    the input could not.
     """
-    newest = files.groupBy(key).agg(F.max(ts).alias(ts))
-    return files.join(newest, [key, ts], "left_semi")
+    newest = (rows if selections is None else selections).groupBy(key).agg(F.max(ts).alias(ts))
+    return rows.join(newest, [key, ts], "left_semi")
 
 
 def batch_totals(scanned_files: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:

@@ -1 +1,22 @@
 """The registered queries, their inputs and their SQL counterparts."""
+
+from __future__ import annotations
+
+from leakscan.plans import detection, registry
+
+
+def queries() -> dict:
+    return {name: _in_utc(fn) for name, fn in registry.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
+
+
+def _in_utc(fn):
+    """The test tables hold times without a zone; they are read as UTC."""
+    def run(spark, folder):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, folder)
+
+    return run
