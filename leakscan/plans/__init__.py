@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leakscan.plans import detection, registry
+from leakscan.plans import detection, logs, policies, registry, streams  # noqa: F401
 
 
 def queries() -> dict:

@@ -43,9 +43,20 @@ def scan_documents(spark, sf):
     return rows(detect.scan(for_spark(spark, sf, "documents"), host_col="hostname"), "doc_id")
 
 
-@query("scan_conversations", resolved_sql("conversations", "conv_id, turn, role"))
+@query(
+    "scan_conversations",
+    f"""WITH {o.resolved(for_duckdb('conversations'), 'conv_id, turn, role')}
+        SELECT src.conv_id, src.turn, src.role, count(f.rule_id) AS total
+        FROM src LEFT JOIN f USING (conv_id, turn, role) GROUP BY ALL""",
+)
 def scan_conversations(spark, sf):
-    return rows(detect.scan(for_spark(spark, sf, "conversations")), "conv_id", "turn", "role")
+    scanned = detect.scan(for_spark(spark, sf, "conversations"))
+    return st.bigints(scanned.select("conv_id", "turn", "role", F.size("findings").alias("total")))
+
+
+@query("scan_seeded_conversations", resolved_sql("seeded_turns", "conv_id, turn, role"))
+def scan_seeded_conversations(spark, sf):
+    return rows(detect.scan(for_spark(spark, sf, "seeded_turns")), "conv_id", "turn", "role")
 
 
 @query("scan_pages", resolved_sql("pages", "page_id, url"))
@@ -260,9 +271,13 @@ def finding_ids(spark, sf):
 
 # --- allow rules -------------------------------------------------------------
 
-ALLOWED_SQL = f"""allowed AS (
-  SELECT hostname, rule_id, match_fingerprint FROM ({for_duckdb('seeded_allow')}) a
+
+def allowed_sql(source: str) -> str:
+    return f"""allowed AS (
+  SELECT hostname, rule_id, match_fingerprint FROM ({for_duckdb(source)}) a
   WHERE expires_at IS NULL OR CAST(expires_at AS TIMESTAMP) > TIMESTAMP '{AS_OF}' ORDER BY pos, id LIMIT 200)"""
+
+
 _NOT_EXACT = """NOT EXISTS (SELECT 1 FROM allowed a WHERE a.hostname = src.hostname
   AND a.rule_id = scored.rule_id AND a.match_fingerprint = scored.fingerprint)"""
 _NOT_WORKSPACE = " AND ".join(
@@ -270,17 +285,17 @@ _NOT_WORKSPACE = " AND ".join(
 )
 
 
-def allow_policy(spark, sf) -> Policy:
-    return Policy(exact_allow=st.seeded_allow(spark, sf), workspace_allow=st.workspace(spark))
+def allow_policy(spark, sf, source: str) -> Policy:
+    return Policy(exact_allow=st.allow_rules(spark, sf, source), workspace_allow=st.workspace(spark))
 
 
 @query(
     "allow_exact_suppressed",
-    f"""WITH {ALLOWED_SQL}, {o.resolved(for_duckdb('seeded'), 'doc_id', joins='JOIN src USING (doc_id)',
+    f"""WITH {allowed_sql('seeded_allow')}, {o.resolved(for_duckdb('seeded'), 'doc_id', joins='JOIN src USING (doc_id)',
         keep='conf >= 58 AND ' + _NOT_EXACT)} SELECT {o.finding_columns('doc_id')} FROM f""",
 )
 def allow_exact_suppressed(spark, sf):
-    policy = Policy(exact_allow=st.seeded_allow(spark, sf))
+    policy = Policy(exact_allow=st.allow_rules(spark, sf, "seeded_allow"))
     return rows(detect.scan(for_spark(spark, sf, "seeded"), policy, host_col="hostname", as_of=st.NOW), "doc_id")
 
 
@@ -292,22 +307,22 @@ def allow_workspace_suppressed(spark, sf):
 
 @query(
     "allow_both_suppressed",
-    f"""WITH {ALLOWED_SQL}, {o.resolved(for_duckdb('overlaps'), 'doc_id', joins='JOIN src USING (doc_id)',
+    f"""WITH {allowed_sql('overlap_allow')}, {o.resolved(for_duckdb('overlaps'), 'doc_id', joins='JOIN src USING (doc_id)',
         keep='conf >= 58 AND ' + _NOT_WORKSPACE + ' AND ' + _NOT_EXACT)}
         SELECT {o.finding_columns('doc_id')} FROM f""",
 )
 def allow_both_suppressed(spark, sf):
     """Allowing the stronger of two overlapping findings brings out the weaker one."""
     texts = for_spark(spark, sf, "overlaps")
-    return rows(detect.scan(texts, allow_policy(spark, sf), host_col="hostname", as_of=st.NOW), "doc_id")
+    policy = allow_policy(spark, sf, "overlap_allow")
+    return rows(detect.scan(texts, policy, host_col="hostname", as_of=st.NOW), "doc_id")
 
 
 @query("scan_ignore_allow", resolved_sql("seeded"))
 def scan_ignore_allow(spark, sf):
-    scanned = detect.scan(
-        for_spark(spark, sf, "seeded"), allow_policy(spark, sf), host_col="hostname", as_of=st.NOW, ignore_allow=True
-    )
-    return rows(scanned, "doc_id")
+    policy = allow_policy(spark, sf, "seeded_allow")
+    texts = for_spark(spark, sf, "seeded")
+    return rows(detect.scan(texts, policy, host_col="hostname", as_of=st.NOW, ignore_allow=True), "doc_id")
 
 
 # --- strictness, overlaps, summary -------------------------------------------
@@ -441,7 +456,7 @@ def report_preview(spark, sf):
 )
 def dry_run(spark, sf):
     """Trimmed text, allow rules off, the host's strictness, a marked preview."""
-    policy = allow_policy(spark, sf)
+    policy = allow_policy(spark, sf, "overlap_allow")
     policy.profiles = st.profiles(spark)
     texts = for_spark(spark, sf, "overlaps").withColumn("text", tx.ws_trim(F.col("text")))
     scanned = detect.scan(texts, policy, host_col="hostname", origin="test-lab", ignore_allow=True)

@@ -85,6 +85,19 @@ def _with_snippet(snippets: tuple[str, ...]) -> str:
     )
 
 
+def _allow_rules(every: int, rules: dict[int, tuple[str, str]]) -> str:
+    ids = " ".join(f"WHEN {n} THEN '{rule}'" for n, (rule, _) in rules.items())
+    prints = " ".join(f"WHEN {n} THEN '{rule}:' || {value}" for n, (rule, value) in rules.items())
+    return (
+        "SELECT doc_id AS pos, 's' || CAST(doc_id AS STRING) AS id, 'Known value' AS label, "
+        f"{_host('doc_id')} AS hostname, CASE doc_id % {every} {ids} ELSE 'phone' END AS rule_id, "
+        f"CASE doc_id % {every} {prints} ELSE 'phone:' || h END AS match_fingerprint, "
+        "'2024-01-01 00:00:00' AS created_at, "
+        "CASE doc_id % 3 WHEN 1 THEN '2024-01-02 00:00:00' WHEN 2 THEN '2024-03-01 00:00:00' ELSE NULL END "
+        "AS expires_at FROM (SELECT doc_id, md5(CAST(doc_id AS STRING)) AS h FROM {documents}) d"
+    )
+
+
 INPUTS: dict[str, str] = {
     "documents": f"SELECT doc_id, {_host('doc_id')} AS hostname, text FROM {{documents}}",
     # Every fifth document is on a host the policy does not know.
@@ -97,7 +110,19 @@ INPUTS: dict[str, str] = {
     "overlaps": _with_snippet(OVERLAPS),
     "starters": _with_snippet(STARTERS),
     "conversations": "SELECT conv_id, turn, role, text FROM {conversations}",
+    # A snippet at the end of every turn.
+    "seeded_turns": (
+        "SELECT conv_id, turn, role, text || chr(10) || CASE doc_id % 26 "
+        + " ".join(f"WHEN {n} THEN {s}" for n, s in enumerate(SNIPPETS))
+        + " END AS text FROM (SELECT *, conv_id * 7 + turn AS doc_id, "
+        "md5(CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING)) AS h FROM {conversations}) c"
+    ),
     "pages": "SELECT page_id, url, html AS text FROM {pages}",
+    # Text as a rich-text editor gives it: some spaces do not break, some texts are blank.
+    "typed": (
+        "SELECT doc_id, CASE WHEN doc_id % 20 = 7 THEN chr(160) || '  ' || chr(10) "
+        "ELSE replace(text, ' de ', chr(160) || 'de ') END AS text FROM {documents}"
+    ),
     # A third of the files come from one input.
     "files": (
         "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'input-0' "
@@ -197,17 +222,51 @@ INPUTS: dict[str, str] = {
         "SELECT event_id, event_type AS user_key, CASE WHEN event_id % 10 = 0 THEN 'remove' ELSE 'toggle' END "
         "AS action, 'p' || CAST(user_id * 5 AS STRING) AS id FROM {events}"
     ),
-    # Allow rules for some of the seeded secrets; every third one has expired.
-    "seeded_allow": (
-        "SELECT doc_id AS pos, 's' || CAST(doc_id AS STRING) AS id, 'Known value' AS label, "
-        f"{_host('doc_id')} AS hostname, "
-        "CASE doc_id % 4 WHEN 0 THEN 'openai-key' WHEN 1 THEN 'github-token' WHEN 2 THEN 'kv-secret-value' "
-        "ELSE 'email' END AS rule_id, "
-        "CASE doc_id % 4 WHEN 0 THEN 'openai-key:sk-' || h WHEN 1 THEN 'github-token:ghp_' || h "
-        "WHEN 2 THEN 'kv-secret-value:' || h ELSE 'email:' || substr(h, 1, 8) || '@example.com' END "
-        "AS match_fingerprint, '2024-01-01 00:00:00' AS created_at, "
-        "CASE doc_id % 3 WHEN 1 THEN '2024-01-02 00:00:00' WHEN 2 THEN '2024-03-01 00:00:00' ELSE NULL END "
-        "AS expires_at FROM (SELECT doc_id, md5(CAST(doc_id AS STRING)) AS h FROM {documents}) d"
+    # Allow rules for the values seeded above; every third one has expired.
+    "seeded_allow": _allow_rules(
+        26,
+        {
+            0: ("openai-key", "'sk-' || h"),
+            2: ("github-token", "'ghp_' || h"),
+            3: ("gitlab-token", "'glpat-' || h"),
+            8: ("slack-token", "'xoxb-' || h"),
+            11: ("firebase-api-key", "'AIza' || h || substr(h, 1, 3)"),
+            13: ("gcp-service-account-client-email", "substr(h, 1, 8) || '@p.iam.gserviceaccount.com'"),
+            16: ("bearer-token", "h"),
+            18: ("env-assignment", "h"),
+            23: ("kv-secret-value", "h"),
+            24: ("email", "substr(h, 1, 8) || '@example.com'"),
+        },
+    ),
+    # The same for the overlapping matches: the stronger one is allowed.
+    "overlap_allow": _allow_rules(
+        7,
+        {
+            0: ("github-token", "'ghp_' || h"),
+            1: ("bearer-token", "h"),
+            2: ("jwt", "'eyJ' || h || '.' || h || '.' || h"),
+            3: ("google-api-key", "'AIza' || h || substr(h, 1, 3)"),
+            4: ("google-api-key", "'AIza' || h || substr(h, 1, 3)"),
+            5: ("kv-secret-value", "'abc'"),
+        },
+    ),
+    # Texts sent, pasted or attached on known and unknown hosts, each with its time.
+    "arriving": (
+        f"SELECT doc_id, {_host_or_other('doc_id')} AS hostname, "
+        "CASE doc_id % 3 WHEN 0 THEN 'composer' WHEN 1 THEN 'paste' ELSE 'attachment' END AS origin, text, "
+        "CAST('2024-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || ' 00:00:00' AS TIMESTAMP) AS ts "
+        f"FROM ({_with_snippet(SNIPPETS)}) s"
+    ),
+    # Texts sent and files attached, by the event they belong to.
+    "sent": f"SELECT doc_id * 10 AS event_id, text FROM ({_with_snippet(SNIPPETS)}) s",
+    "event_files": (
+        "SELECT page_id * 10 AS event_id, 'page-' || CAST(page_id AS STRING) || '.txt' AS file_name, "
+        "CAST(NULL AS STRING) AS file_type, CAST(length(html) AS BIGINT) AS size, "
+        "CAST('2023-12-31 00:00:00' AS TIMESTAMP) AS mtime, html AS text FROM {pages}"
+    ),
+    "long_files": (
+        "SELECT doc_id, 'f' || CAST(doc_id AS STRING) || '.log' AS file_name, CAST(NULL AS STRING) AS file_type, "
+        "repeat(text || chr(10), 8) AS text FROM {documents}"
     ),
     # One JSON pack per part, of which some do not parse or lack fields.
     "pack_json": (

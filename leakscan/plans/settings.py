@@ -78,8 +78,8 @@ def workspace(spark: SparkSession) -> DataFrame:
     return pol.normalize_workspace(rows)
 
 
-def seeded_allow(spark: SparkSession, folder: str) -> DataFrame:
-    return pol.normalize_exact_allow(for_spark(spark, folder, "seeded_allow"), NOW)
+def allow_rules(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    return pol.normalize_exact_allow(for_spark(spark, folder, source), NOW)
 
 
 def starter_sql_rules() -> list[dict]:

@@ -1,0 +1,92 @@
+"""Registered queries: the live path, run over what has arrived so far."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leakscan.operators import detect
+from leakscan.operators import incidents as inc
+from leakscan.operators.policy import Policy
+from leakscan.plans import oracle as o
+from leakscan.plans import settings as st
+from leakscan.plans.detection import FIELDS, _NOT_EXACT, allowed_sql
+from leakscan.plans.inputs import INPUTS, for_duckdb
+from leakscan.plans.policies import GATE_SQL, HOSTS_SQL
+from leakscan.plans.registry import query
+from leakscan.sources.tables import table
+from leakscan.streaming import live
+
+
+def arriving(spark: SparkSession, sf: str) -> DataFrame:
+    schema = table(spark, sf, "documents").schema
+    documents = live.read_stream(spark, sf, "documents.parquet", schema)
+    return spark.sql(INPUTS["arriving"], documents=documents)
+
+
+_SRC = f"SELECT t.* FROM ({for_duckdb('arriving')}) t JOIN profiles p ON p.hostname = t.hostname WHERE {GATE_SQL}"
+
+
+def _stream_sql(more: str = "") -> str:
+    keep = "conf >= " + o.STRICTNESS_SQL.format(c="profiles.strictness") + more
+    joins = "JOIN src USING (doc_id) LEFT JOIN profiles ON profiles.hostname = src.hostname"
+    return f"{st.profile_values()}, {o.resolved(_SRC, 'doc_id', keep=keep, joins=joins)}"
+
+
+@query("stream_scan", f"WITH {_stream_sql()} SELECT {o.finding_columns('doc_id')} FROM f")
+def stream_scan(spark, sf):
+    scanned = live.scan_stream(arriving(spark, sf), Policy(profiles=st.profiles(spark)))
+    rows = scanned.select("doc_id", F.inline("findings")).select("doc_id", *FIELDS)
+    return live.run_to_table(spark, st.bigints(rows), "stream-scan")
+
+
+@query(
+    "stream_allow",
+    f"WITH {allowed_sql('seeded_allow')}, {_stream_sql(' AND ' + _NOT_EXACT)} SELECT {o.finding_columns('doc_id')} FROM f",
+)
+def stream_allow(spark, sf):
+    policy = Policy(profiles=st.profiles(spark), exact_allow=st.allow_rules(spark, sf, "seeded_allow"))
+    scanned = live.scan_stream(arriving(spark, sf), policy, as_of=st.NOW)
+    rows = scanned.select("doc_id", F.inline("findings")).select("doc_id", *FIELDS)
+    return live.run_to_table(spark, st.bigints(rows), "stream-allow")
+
+
+_ACTION_SQL = "CASE origin WHEN 'paste' THEN 'pasted_flagged' WHEN 'attachment' THEN 'attachment_flagged' ELSE 'ignored_once' END"
+_TRIGGER_SQL = "CASE origin WHEN 'composer' THEN 'send' ELSE origin END"
+
+
+@query(
+    "stream_log",
+    f"""WITH {_stream_sql()}, {HOSTS_SQL},
+        counts AS (
+          SELECT doc_id, count(*) AS total_findings, count(*) FILTER (category = 'secret') AS secrets,
+            count(*) FILTER (category = 'pii') AS pii FROM f GROUP BY doc_id),
+        labels AS (
+          SELECT doc_id, string_agg(label, '|' ORDER BY first_s) AS rule_labels
+          FROM (SELECT doc_id, label, min(s) AS first_s FROM f GROUP BY ALL) GROUP BY doc_id)
+        SELECT sha256(concat_ws(':', doc_id, epoch_us(ts), hostname, {_ACTION_SQL})) AS id, epoch_us(ts) AS ts, hostname,
+          site AS site_label, {_ACTION_SQL} AS action, total_findings, secrets, pii, rule_labels,
+          {_TRIGGER_SQL} AS trigger_name, 'none' AS mode,
+          CASE origin WHEN 'paste' THEN 'The scanner flagged pasted text before send.'
+            WHEN 'attachment' THEN 'The scanner found potential issues in an attached file.'
+            ELSE 'The user chose to ignore the warning once and send original content.' END AS note
+        FROM src JOIN counts USING (doc_id) JOIN labels USING (doc_id) JOIN hosts USING (hostname)""",
+)
+def stream_log(spark, sf):
+    """Flagged texts appended to the log as they arrive."""
+    scanned = live.scan_stream(arriving(spark, sf), Policy(profiles=st.profiles(spark)))
+    summed = scanned.select("*", detect.summarize(F.col("findings")).alias("s")).filter(F.col("s.total") > 0)
+    origin = F.col("origin")
+    counted = summed.select(
+        "doc_id", "hostname", "ts",
+        F.col("s.total").alias("total_findings"), "s.secrets", "s.pii", "s.rule_labels",
+        F.when(origin == "paste", "pasted_flagged").when(origin == "attachment", "attachment_flagged")
+        .otherwise("ignored_once").alias("action"),
+        F.when(origin == "composer", "send").otherwise(origin).alias("trigger"),
+        F.lit("none").alias("mode"),
+        F.lit(0).alias("attachment_findings"),
+    )
+    log = live.run_to_table(spark, inc.log_entries(counted, "doc_id"), "stream-log")
+    return log.withColumns(
+        {"ts": F.unix_micros("ts"), "rule_labels": F.array_join("rule_labels", "|")}
+    ).withColumnRenamed("trigger", "trigger_name")

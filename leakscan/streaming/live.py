@@ -51,16 +51,6 @@ def run_to_table(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/table")
 
 
-def drop_allowed(findings: DataFrame, allow: DataFrame) -> DataFrame:
-    """Stream of finding rows without those an exact allow rule covers.
-
-    A stream-static anti join on the full key, so the allow table may be large.
-    """
-    key = ["hostname", "rule_id", "allow_fingerprint"]
-    static = allow.select("hostname", "rule_id", F.col("match_fingerprint").alias("allow_fingerprint")).distinct()
-    return findings.join(static, key, "left_anti")
-
-
 def scan_with_reload(
     texts: DataFrame,
     policy_source: Callable[[SparkSession], Policy],
@@ -92,13 +82,14 @@ def write_numbered(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def merge_selections(pending_path: Callable[[int], str], number: int, batch: DataFrame) -> None:
-    """Fold newly selected files into the pending table: the last selection wins.
+    """Fold the files of a new micro-batch into the pending table.
 
-    Version ``number`` is built from the version before it, so a batch that is
-    run again writes the same version.
+    ``batch`` holds one row per selected file, with its findings and without
+    its text; an input's last selection replaces what it had.  Version
+    ``number`` is built from the version before it, so a batch that is run
+    again writes the same version.
     """
-    spark = batch.sparkSession
     merged = batch
     if number > 0:
-        merged = spark.read.parquet(pending_path(number - 1)).unionByName(batch)
+        merged = batch.sparkSession.read.parquet(pending_path(number - 1)).unionByName(batch)
     latest_selection(merged).write.mode("overwrite").parquet(pending_path(number))
