@@ -101,6 +101,11 @@ def _escape(pattern: str, i: int, flags: str, in_class: bool) -> tuple[str, int]
     return "\\" + ch, 2
 
 
+def quote(literal: str) -> str:
+    """A pattern that matches the literal text."""
+    return re.sub(r"([^A-Za-z0-9_])", r"\\\1", literal)
+
+
 def split_capture(pattern: str) -> tuple[str, str, str]:
     """Cut a pattern with one capturing group into before, group and after."""
     depth, start, in_class, i = 0, -1, False, 0

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions.text import allow_fingerprint, let, ws_collapse, ws_trim
 from leakscan.operators.policy import Policy
-from leakscan.operators.rules import BUILTIN_RULES, CLOSE, OPEN, Rule
+from leakscan.operators.rules import BUILTIN_RULES, CLOSE, OPEN, Rule, screens
 
 # Fixed values.
 THRESHOLDS = {"relaxed": 75, "balanced": 58, "strict": 38}
@@ -89,15 +89,18 @@ def with_raw_findings(
             {"__threshold": F.lit(None).cast("int"), "__allow": F.lit(None).cast("array<string>")}
         )
 
-    # Every gate reads the lowered text, so it is a column of its own.
-    df = df.withColumn("__low", F.lower(text))
-    df = df.withColumn("__cut", _cut(text, F.col("__low"), rules))
+    # Screens and the lowered text are read by many gates, so they are columns.
+    tests = screens(text, rules)
+    names = {screen: f"__screen{n}" for n, screen in enumerate(tests)}
+    df = df.withColumns({names[screen]: test for screen, test in tests.items()})
+    df = df.withColumn("__low", F.when(_lowered_needed(rules, names), F.lower(text)))
+    df = df.withColumn("__cut", _cut(text, F.col("__low"), rules, names))
     raw = _score(text, _hits(F.col("__cut"), rules), rules)
     if exact_allow:
         raw = F.filter(raw, lambda f: ~_exactly_allowed(f, F.col("__allow"), rules))
     if not ignore_allow:
         raw = _drop_workspace_allowed(raw, text, policy.workspace_columns(spark))
-    drop = ["__low", "__cut", "__allow", "__host"]
+    drop = ["__low", "__cut", "__allow", "__host", *names.values()]
     if "threshold" not in carry:
         drop.append("__threshold")
     return _bind(df, raw, "__raw").drop(*drop)
@@ -115,15 +118,29 @@ def _bind(df: DataFrame, value: Column, name: str) -> DataFrame:
 # --- matches -----------------------------------------------------------------
 
 
-def _cut(text: Column, lowered: Column, rules: list[Rule]) -> Column:
+def _cut(text: Column, lowered: Column, rules: list[Rule], names: dict[str, str]) -> Column:
     """For each distinct pattern, the text cut at its matches (null if gated)."""
     safe = F.when(
         F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)),
         F.translate(text, OPEN + CLOSE, "\ufffd\ufffd"),
     ).otherwise(text)
     shapes = {rule.shape: rule for rule in rules}
-    cuts = [rule.pieces(text, lowered, safe) for rule in shapes.values()]
-    return F.array(*cuts) if cuts else F.array().cast("array<array<string>>")
+
+    def screened(rule: Rule) -> Column:
+        return F.col(names[rule.gate.screen]) if rule.gate.screen else F.lit(True)
+
+    return F.array(*(rule.pieces(text, lowered, safe, screened(rule)) for rule in shapes.values()))
+
+
+def _lowered_needed(rules: list[Rule], names: dict[str, str]) -> Column:
+    """Whether a gate that ignores case is still open."""
+    gates = [rule.gate for rule in rules if rule.gate.low]
+    if any(gate.screen is None for gate in gates):
+        return F.lit(True)
+    needed = F.lit(False)
+    for name in dict.fromkeys(names[gate.screen] for gate in gates):
+        needed = needed | F.col(name)
+    return needed
 
 
 def _hits(cut: Column, rules: list[Rule]) -> Column:

@@ -8,7 +8,7 @@ the rows that pass, which for most rules is next to none of them.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
@@ -20,13 +20,36 @@ from leakscan.functions.text import JS_SPACE_CLASS, is_blank
 OPEN, CLOSE = "\ue000", "\ue001"  # mark the two ends of a match inside a text
 
 
+# Punctuation rare enough in prose to be worth looking for first, rarest first.
+ANCHORS = "_=@:-"
+
+
 @dataclass(frozen=True)
 class Gate:
-    """Every group needs one of its needles; ``low`` groups ignore case."""
+    """What a text must contain for a rule to have a chance.
+
+    Every group needs one of its needles; ``low`` groups ignore case;
+    ``pattern`` is a looser regex than the rule's.  ``lead`` gives the first
+    character of a match and, as a regex, what follows it.
+    """
 
     exact: tuple[tuple[str, ...], ...] = ()
     low: tuple[tuple[str, ...], ...] = ()
     pattern: str | None = None
+    lead: tuple[str, str] | None = None
+
+    @property
+    def anchor(self) -> str | None:
+        """A character of ``ANCHORS`` the gate cannot hold without."""
+        for char in ANCHORS:
+            if any(all(char in needle for needle in group) for group in self.exact + self.low):
+                return char
+        return None
+
+    @property
+    def screen(self) -> str | None:
+        """The name of the screen in front of this gate, if there is one."""
+        return self.anchor or ("lead" if self.lead else None)
 
     def column(self, text: Column, lowered: Column) -> Column:
         tests = [_any_of(text, group) for group in self.exact]
@@ -40,6 +63,30 @@ class Gate:
         return test
 
 
+NO_GATE = Gate()
+
+
+def screens(text: Column, rules: Iterable[Rule]) -> dict[str, Column]:
+    """Cheap tests that each stand in front of several gates.
+
+    The needles of all gates together are dozens, and looking for one reads the
+    text once.  Most texts lack the single characters most needles contain, and
+    a single regex rules out the needles without any.
+    """
+    gates = dict.fromkeys(rule.gate for rule in rules)
+    tests = {g.anchor: F.contains(text, F.lit(g.anchor)) for g in gates if g.anchor}
+    leads: dict[str, list[str]] = {}
+    for gate in gates:
+        if gate.screen == "lead":
+            leads.setdefault(gate.lead[0], []).append(gate.lead[1])
+    if leads:
+        # The class settles most positions with one table lookup.
+        first = "".join(leads)
+        branches = "|".join(f"[{char}](?={'|'.join(rest)})" for char, rest in leads.items())
+        tests["lead"] = text.rlike(f"[{first}](?<={branches})")
+    return tests
+
+
 def _any_of(text: Column, needles: tuple[str, ...]) -> Column:
     test = F.contains(text, F.lit(needles[0]))
     for needle in needles[1:]:
@@ -59,7 +106,7 @@ class Rule:
     placeholder: str
     keywords: tuple[str, ...] = ()
     captures: bool = False
-    gate: Gate = field(default=Gate())
+    gate: Gate = NO_GATE
     source: str = "builtin"
 
     @property
@@ -75,13 +122,13 @@ class Rule:
         java = regex.to_java(self.pattern, self.flags)
         return F.regexp_replace(text, java, f"{OPEN}$0{CLOSE}")
 
-    def pieces(self, text: Column, lowered: Column, safe: Column) -> Column:
-        """Gaps and matches in turn, or null where the gate rules them out.
+    def pieces(self, text: Column, lowered: Column, safe: Column, screen: Column) -> Column:
+        """Gaps and matches in turn, or null where screen or gate rule them out.
 
         ``safe`` is ``text`` free of the two mark characters.
         """
         cut = F.split(self.marked(safe), f"[{OPEN}{CLOSE}]", -1)
-        return F.when(self.gate.column(text, lowered), cut)
+        return F.when(screen & self.gate.column(text, lowered), cut)
 
 
 # --- Fixed values: the built-in rules, in tie-break order -------------------
@@ -103,7 +150,10 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "This looks like an AWS access key identifier.",
         "<AWS_ACCESS_KEY_ID>",
         ("aws", "access_key", "credentials", "iam", "secret", "token"),
-        gate=Gate(exact=(("AKIA", "ASIA", "AIDA", "AGPA", "AROA", "AIPA", "ANPA", "ANVA"),)),
+        gate=Gate(
+            exact=(("AKIA", "ASIA", "AIDA", "AGPA", "AROA", "AIPA", "ANPA", "ANVA"),),
+            lead=("A", "KIA|SIA|IDA|GPA|ROA|IPA|NPA|NVA"),
+        ),
     ),
     Rule(
         "github-token", "GitHub token", "secret", 88,
@@ -127,7 +177,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "SendGrid API keys often use the SG.<prefix>.<secret> token format.",
         "<SENDGRID_API_KEY>",
         ("sendgrid", "sg.", "api key", "token"),
-        gate=Gate(exact=(("SG.",),)),
+        gate=Gate(exact=(("SG.",),), lead=("S", r"G\.")),
     ),
     Rule(
         "twilio-account-sid", "Twilio Account SID", "secret", 64,
@@ -135,7 +185,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "Twilio Account SIDs are 34-character identifiers starting with AC.",
         "<TWILIO_ACCOUNT_SID>",
         ("twilio", "account sid", "twilio account"),
-        gate=Gate(exact=(("AC",),)),
+        gate=Gate(exact=(("AC",),), lead=("A", "C[A-Za-z0-9]{32}")),
     ),
     Rule(
         "twilio-api-key-sid", "Twilio API Key SID", "secret", 64,
@@ -143,7 +193,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "Twilio API Key SIDs are 34-character identifiers starting with SK.",
         "<TWILIO_API_KEY_SID>",
         ("twilio", "api key", "key sid", "twilio key"),
-        gate=Gate(exact=(("SK",),)),
+        gate=Gate(exact=(("SK",),), lead=("S", "K[A-Za-z0-9]{32}")),
     ),
     Rule(
         "twilio-auth-token", "Twilio auth token", "secret", 90,
@@ -175,7 +225,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "Google API keys typically begin with AIza followed by a fixed-length token body.",
         "<GOOGLE_API_KEY>",
         ("google", "gcp", "maps", "api"),
-        gate=Gate(exact=(("AIza",),)),
+        gate=Gate(exact=(("AIza",),), lead=("A", "Iza")),
     ),
     Rule(
         "firebase-api-key", "Firebase API key", "secret", 82,
@@ -183,7 +233,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "Firebase client-side configs often include a Google-style API key; treat it as sensitive in prompts.",
         "<FIREBASE_API_KEY>",
         ("firebase", "apikey", "api key", "config", "google"),
-        gate=Gate(exact=(("AIza",),)),
+        gate=Gate(exact=(("AIza",),), lead=("A", "Iza")),
     ),
     Rule(
         "gcp-service-account-private-key-id", "GCP service account private_key_id", "secret", 86,
@@ -199,7 +249,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "This looks like the client_email field from a Google Cloud service account JSON key.",
         "<GCP_SERVICE_ACCOUNT_EMAIL>",
         ("service_account", "client_email", "gcp", "google", "credential", "firebase"),
-        captures=True, gate=Gate(low=((".gserviceaccount.com",),)),
+        captures=True, gate=Gate(exact=(("@",),), low=((".gserviceaccount.com",),)),
     ),
     Rule(
         "jwt", "JWT token", "secret", 82,
@@ -224,7 +274,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "A bearer authorization header usually contains a live credential value after the scheme.",
         "<BEARER_TOKEN>",
         ("bearer", "authorization", "header", "auth"),
-        captures=True, gate=Gate(low=(("bearer",),)),
+        captures=True, gate=Gate(low=(("bearer",),), lead=("bB", "(?i:earer)")),
     ),
     Rule(
         "auth-header", "Authorization header credential", "secret", 89,
@@ -232,7 +282,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "This captures the credential portion of an HTTP Authorization header.",
         "<AUTH_CREDENTIAL>",
         ("authorization", "header", "basic", "bearer", "auth"),
-        captures=True, gate=Gate(low=(("authorization",),)),
+        captures=True, gate=Gate(exact=((":",),), low=(("authorization",),)),
     ),
     Rule(
         "env-assignment", "Secret environment variable value", "secret", 92,
@@ -264,7 +314,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "Azure Storage connection strings embed an AccountKey credential value.",
         "<AZURE_STORAGE_ACCOUNT_KEY>",
         ("azure", "storage", "accountkey", "connection string", "blob"),
-        captures=True, gate=Gate(low=(("accountkey=",),)),
+        captures=True, gate=Gate(exact=(("=",),), low=(("accountkey=",),)),
     ),
     Rule(
         "azure-servicebus-connection-string-key", "Azure Service Bus connection string key", "secret", 92,
@@ -272,7 +322,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "Azure Service Bus connection strings embed a SharedAccessKey credential value.",
         "<AZURE_SERVICEBUS_SHARED_ACCESS_KEY>",
         ("azure", "service bus", "sharedaccesskey", "connection string", "sb://"),
-        captures=True, gate=Gate(low=(("sharedaccesskey=",),)),
+        captures=True, gate=Gate(exact=(("=",),), low=(("sharedaccesskey=",),)),
     ),
     Rule(
         "azure-sas-token-sig", "Azure SAS token signature", "secret", 86,
@@ -280,7 +330,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "Azure SAS URLs include a sig= parameter that functions like a credential.",
         "<AZURE_SAS_SIGNATURE>",
         ("azure", "sas", "sig=", "storage", "blob"),
-        captures=True, gate=Gate(low=(("sig=",), ("sv=",))),
+        captures=True, gate=Gate(exact=(("=",),), low=(("sig=",), ("sv=",))),
     ),
     Rule(
         "kv-secret-value", "Structured secret value", "secret", 70,
@@ -386,8 +436,9 @@ def custom_rules(spark: SparkSession, patterns: Iterable[Mapping]) -> list[Rule]
 def prefix_gate(pattern: str, flags: str) -> Gate:
     """A gate from the literal text the pattern starts with, if it has any."""
     literal = regex.literal_prefix(pattern)
-    if len(literal) < 3:
-        return Gate()
+    unicode_case = "i" in flags and ("u" in flags or not pattern.isascii())
+    if len(literal) < 3 or unicode_case:
+        return NO_GATE
     if "i" in flags:
         return Gate(low=((literal.lower(),),))
     return Gate(exact=((literal,),))
