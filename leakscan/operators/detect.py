@@ -2,9 +2,9 @@
 
 The whole scan is a narrow projection.  A row's matches stay in one array from
 the regex to overlap resolution, so nothing shuffles and no text is copied per
-rule.  While they are in flight, findings carry the offsets of their line
-rather than the line itself: a page on a single line with thousands of matches
-must not hold thousands of copies of itself.
+rule.  While they are in flight, findings carry the number of their line rather
+than the line itself: a page on a single line with thousands of matches must
+not hold thousands of copies of itself.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leakscan.functions.arrays import fold_emit
 from leakscan.functions.text import allow_fingerprint, let, ws_collapse, ws_trim
 from leakscan.operators.policy import Policy
 from leakscan.operators.rules import BUILTIN_RULES, CLOSE, OPEN, Rule, screens
@@ -25,7 +26,12 @@ CREDENTIAL_WORDS = "(?i)(?:key|token|secret|authorization|password|bearer)"
 WHY_LONG = "The match length is long enough to look like a real credential rather than a short placeholder."
 WHY_CONFIDENT = "Confidence is high enough that the scanner treats this as likely production-sensitive."
 
-_HIT = "struct<start:int,ending:int,line_start:int,text:string>"
+_LINE = "struct<first:int,last:int,bonus:int,keyword:string,allowed:boolean>"
+_FINDING = (
+    "struct<start:int,ending:int,ord:int,match:string,first_line:int,last_line:int,"
+    "confidence:int,keyword:string,secret:boolean>"
+)
+_ORDERED = f"struct<start:int,minus_score:int,ord:int,finding:{_FINDING}>"
 
 
 def scan(
@@ -95,12 +101,15 @@ def with_raw_findings(
     df = df.withColumns({names[screen]: test for screen, test in tests.items()})
     df = df.withColumn("__low", F.when(_lowered_needed(rules, names), F.lower(text)))
     df = df.withColumn("__cut", _cut(text, F.col("__low"), rules, names))
-    raw = _score(text, _hits(F.col("__cut"), rules), rules)
+    some = F.exists("__cut", lambda pieces: F.size(pieces) > 1)
+    df = df.withColumn("__lines", F.when(some, F.split(text, "\n", -1)))
+    allowed_lines = [] if ignore_allow else policy.workspace_columns(spark)
+    raw = F.when(F.col("__lines").isNull(), F.array().cast(f"array<{_FINDING}>")).otherwise(
+        _score(F.col("__cut"), F.col("__lines"), rules, allowed_lines)
+    )
     if exact_allow:
         raw = F.filter(raw, lambda f: ~_exactly_allowed(f, F.col("__allow"), rules))
-    if not ignore_allow:
-        raw = _drop_workspace_allowed(raw, text, policy.workspace_columns(spark))
-    drop = ["__low", "__cut", "__allow", "__host", *names.values()]
+    drop = ["__low", "__cut", "__lines", "__allow", "__host", *names.values()]
     if "threshold" not in carry:
         drop.append("__threshold")
     return _bind(df, raw, "__raw").drop(*drop)
@@ -119,17 +128,15 @@ def _bind(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def _cut(text: Column, lowered: Column, rules: list[Rule], names: dict[str, str]) -> Column:
-    """For each distinct pattern, the text cut at its matches (null if gated)."""
+    """For each rule, the text cut at its matches (null if gated)."""
     safe = F.when(
         F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)),
         F.translate(text, OPEN + CLOSE, "\ufffd\ufffd"),
     ).otherwise(text)
-    shapes = {rule.shape: rule for rule in rules}
-
     def screened(rule: Rule) -> Column:
         return F.col(names[rule.gate.screen]) if rule.gate.screen else F.lit(True)
 
-    return F.array(*(rule.pieces(text, lowered, safe, screened(rule)) for rule in shapes.values()))
+    return F.array(*(rule.pieces(text, lowered, safe, screened(rule)) for rule in rules))
 
 
 def _lowered_needed(rules: list[Rule], names: dict[str, str]) -> Column:
@@ -143,75 +150,6 @@ def _lowered_needed(rules: list[Rule], names: dict[str, str]) -> Column:
     return needed
 
 
-def _hits(cut: Column, rules: list[Rule]) -> Column:
-    """All matches as ``struct(ord, start, ending, line_start, text)``."""
-    shapes = list({rule.shape: None for rule in rules})
-    ords = F.array(
-        *(
-            F.array(*(F.lit(n) for n, rule in enumerate(rules) if rule.shape == shape))
-            for shape in shapes
-        )
-    )
-    numbered = F.filter(
-        F.transform(cut, lambda p, i: F.struct(i.alias("shape"), p.alias("pieces"))),
-        lambda g: F.size(g.pieces) > 1,
-    )
-
-    def of_shape(g: Column) -> Column:
-        return let(
-            _spans(g.pieces),
-            lambda spans: F.flatten(
-                F.transform(
-                    F.get(ords, g.shape),
-                    lambda o: F.transform(
-                        spans,
-                        lambda s: F.struct(
-                            o.alias("ord"), s.start.alias("start"), s.ending.alias("ending"),
-                            s.line_start.alias("line_start"), s.text.alias("text"),
-                        ),
-                    ),
-                )
-            ),
-        )
-
-    hits = F.flatten(F.transform(numbered, of_shape))
-    phone = [n for n, rule in enumerate(rules) if rule.id == "phone"]
-    if phone:
-        hits = F.filter(hits, lambda h: (h.ord != phone[0]) | looks_like_phone(h.text))
-    return hits
-
-
-def _spans(pieces: Column) -> Column:
-    """Turn alternating gaps and matches into spans, in one pass."""
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(0).alias("line"),
-        F.lit(False).alias("inside"),
-        F.array().cast(f"array<{_HIT}>").alias("found"),
-    )
-
-    def step(acc: Column, piece: Column) -> Column:
-        after = acc.at + F.length(piece)
-        # A match that opens the text with a line feed counts from the next line.
-        line = F.when((acc.at == 0) & F.startswith(piece, F.lit("\n")), F.lit(1)).otherwise(acc.line)
-        hit = F.struct(
-            acc.at.alias("start"), after.alias("ending"), line.alias("line_start"), piece.alias("text")
-        )
-        return F.struct(
-            after.alias("at"),
-            F.when(
-                F.contains(piece, F.lit("\n")),
-                after - F.length(F.substring_index(piece, "\n", -1)),
-            ).otherwise(acc.line).alias("line"),
-            (~acc.inside).alias("inside"),
-            F.when(
-                acc.inside & (F.length(piece) > 0), F.concat(acc.found, F.array(hit))
-            ).otherwise(acc.found).alias("found"),
-        )
-
-    return F.aggregate(pieces, start, step, lambda acc: acc.found)
-
-
 def looks_like_phone(match: Column) -> Column:
     """Ten to fifteen digits, and not an IPv4 address."""
     digits = F.length(F.regexp_replace(match, r"\D", ""))
@@ -228,13 +166,19 @@ def looks_like_ipv4(match: Column) -> Column:
 # --- scoring -----------------------------------------------------------------
 
 
-def line_of(text: Column, line_start: Column, line_end: Column) -> Column:
+def lines_at(lines: Column, first: Column, last: Column) -> Column:
     """The full line or lines around a match, trimmed."""
-    return ws_trim(F.substring(text, line_start + 1, line_end - line_start))
+    return ws_trim(F.array_join(F.slice(lines, first + 1, last - first + 1), "\n"))
 
 
-def _score(text: Column, hits: Column, rules: list[Rule]) -> Column:
-    """Attach line, confidence and the first context keyword to each match."""
+def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[str]) -> Column:
+    """All matches as scored findings, without those on an allowed line.
+
+    One pass per rule over its gaps and matches keeps the offset and the line
+    number.  What a rule makes of a line is worked out when a match is on a
+    different line than the one before: on a page that is one long line that is
+    once, not once per match.
+    """
     facts = F.array(
         *(
             F.struct(
@@ -242,39 +186,89 @@ def _score(text: Column, hits: Column, rules: list[Rule]) -> Column:
                 F.lit(rule.category == "secret").alias("secret"),
                 F.lit(4 if rule.captures else 0).alias("capture_bonus"),
                 F.array(*map(F.lit, rule.keywords)).cast("array<string>").alias("keywords"),
+                F.lit(rule.id == "phone").alias("phone"),
             )
             for rule in rules
         )
-    ) if rules else F.array().cast(
-        "array<struct<base:int,secret:boolean,capture_bonus:int,keywords:array<string>>>"
+    )
+    start = F.struct(
+        F.lit(0).alias("at"),
+        F.lit(0).alias("line"),
+        F.lit(False).alias("inside"),
+        F.lit(None).cast(_LINE).alias("seen"),
     )
 
-    def scored(h: Column) -> Column:
+    def of_rule(pieces: Column, n: Column) -> Column:
         return let(
-            F.coalesce(F.nullif(F.position(F.lit("\n"), text, h.ending + 1), F.lit(0)) - 1, F.length(text)),
-            lambda line_end: let(
-                line_of(text, h.line_start, line_end),
-                lambda line: let(
-                    F.struct(
-                        line.alias("line"),
-                        _keywords_in(F.get(facts, h.ord).keywords, line).alias("hit"),
-                    ),
-                    lambda c: F.struct(
-                        h.start.alias("start"),
-                        h.ending.alias("ending"),
-                        h.ord.alias("ord"),
-                        h.text.alias("match"),
-                        h.line_start.alias("line_start"),
-                        line_end.alias("line_end"),
-                        confidence(F.get(facts, h.ord), h.text, c.line, F.size(c.hit)).alias("confidence"),
-                        F.get(c.hit, F.lit(0)).alias("keyword"),
-                        F.get(facts, h.ord).secret.alias("secret"),
-                    ),
+            F.get(facts, n),
+            lambda rule: fold_emit(pieces, start, lambda st, piece: step(st, piece, rule, n), _FINDING).out,
+        )
+
+    def step(st: Column, piece: Column, rule: Column, n: Column) -> Column:
+        breaks = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+        # A match that opens the text with a line feed counts from the next line.
+        first = F.when((st.at == 0) & F.startswith(piece, F.lit("\n")), F.lit(1)).otherwise(st.line)
+        hit = st.inside & (F.length(piece) > 0) & (~rule.phone | looks_like_phone(piece))
+
+        def moved(to: Column) -> Column:
+            seen = (
+                F.when(~to.hit, st.seen)
+                .when((to.first == st.seen.first) & (to.line == st.seen.last), st.seen)
+                .otherwise(_line_facts(lines, to.first, to.line, rule, allowed_lines))
+            )
+            return let(seen, lambda at_line: result(to, at_line))
+
+        def result(to: Column, at_line: Column) -> Column:
+            return F.struct(
+                F.struct(
+                    to.at.alias("at"), to.line.alias("line"), (~st.inside).alias("inside"), at_line.alias("seen")
+                ).alias("state"),
+                F.when(to.hit & ~at_line.allowed & ~_matches_any(piece, allowed_lines), finding(to, at_line)).alias(
+                    "emit"
                 ),
-            ),
+            )
+
+        def finding(to: Column, at_line: Column) -> Column:
+            return F.struct(
+                st.at.alias("start"),
+                to.at.alias("ending"),
+                n.alias("ord"),
+                piece.alias("match"),
+                to.first.alias("first_line"),
+                to.line.alias("last_line"),
+                confidence(rule, piece, at_line).alias("confidence"),
+                at_line.keyword.alias("keyword"),
+                rule.secret.alias("secret"),
+            )
+
+        to = F.struct(
+            (st.at + F.length(piece)).alias("at"), (st.line + breaks).alias("line"),
+            first.alias("first"), hit.alias("hit"),
+        )
+        return let(to, moved)
+
+    cut_rules = F.transform(
+        cut, lambda pieces, n: F.when(F.size(pieces) > 1, of_rule(pieces, n))
+    )
+    return F.flatten(F.filter(cut_rules, lambda found: found.isNotNull()))
+
+
+def _line_facts(lines: Column, first: Column, last: Column, rule: Column, allowed_lines: list[str]) -> Column:
+    """What a rule needs to know about the line of a match."""
+    def facts(line: Column, hits: Column) -> Column:
+        assigned = (F.contains(line, F.lit("=")) | F.contains(line, F.lit(":"))) & line.rlike(CREDENTIAL_WORDS)
+        return F.struct(
+            first.alias("first"),
+            last.alias("last"),
+            (F.size(hits) * 6 + F.when(assigned, F.lit(8)).otherwise(F.lit(0))).alias("bonus"),
+            F.get(hits, F.lit(0)).alias("keyword"),
+            _matches_any(line, allowed_lines).alias("allowed"),
         )
 
-    return F.transform(hits, scored)
+    return let(
+        lines_at(lines, first, last),
+        lambda line: let(_keywords_in(rule.keywords, line), lambda hits: facts(line, hits)),
+    )
 
 
 def _keywords_in(keywords: Column, line: Column) -> Column:
@@ -282,15 +276,16 @@ def _keywords_in(keywords: Column, line: Column) -> Column:
     return let(F.lower(line), lambda low: F.filter(keywords, lambda k: F.contains(low, k)))
 
 
-def confidence(rule: Column, match: Column, line: Column, keyword_hits: Column) -> Column:
-    assigned = (F.contains(line, F.lit("=")) | F.contains(line, F.lit(":"))) & line.rlike(CREDENTIAL_WORDS)
-    total = (
-        rule.base
-        + keyword_hits * 6
-        + F.when(assigned, F.lit(8)).otherwise(F.lit(0))
-        + F.when(rule.secret & (F.length(match) >= 24), F.lit(4)).otherwise(F.lit(0))
-        + rule.capture_bonus
-    )
+def _matches_any(value: Column, patterns: list[str]) -> Column:
+    test = F.lit(False)
+    for pattern in patterns:
+        test = test | value.rlike(pattern)
+    return test
+
+
+def confidence(rule: Column, match: Column, at_line: Column) -> Column:
+    long_secret = F.when(rule.secret & (F.length(match) >= 24), F.lit(4)).otherwise(F.lit(0))
+    total = rule.base + at_line.bonus + long_secret + rule.capture_bonus
     return F.greatest(F.lit(1), F.least(F.lit(99), total))
 
 
@@ -321,23 +316,6 @@ def _exactly_allowed(f: Column, allowed: Column, rules: list[Rule]) -> Column:
     return F.coalesce(F.array_contains(allowed, key), F.lit(False))
 
 
-def _drop_workspace_allowed(raw: Column, text: Column, patterns: list[str]) -> Column:
-    """Drop findings whose match or line matches one of the patterns."""
-    if not patterns:
-        return raw
-
-    def kept(f: Column) -> Column:
-        def clear(line: Column) -> Column:
-            test = F.lit(True)
-            for pattern in patterns:
-                test = test & ~f.match.rlike(pattern) & ~line.rlike(pattern)
-            return test
-
-        return let(line_of(text, f.line_start, f.line_end), clear)
-
-    return F.filter(raw, kept)
-
-
 # --- overlaps ----------------------------------------------------------------
 
 
@@ -367,24 +345,20 @@ def resolve_overlaps(raw: Column) -> Column:
         )
     )
 
-    def step(kept: Column, f: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return (
-            F.when(F.size(kept) == 0, F.array(f))
-            .when(f.start >= last.finding.ending, F.concat(kept, F.array(f)))
-            .when(
-                f.minus_score < last.minus_score,
-                F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(f)),
-            )
-            .otherwise(kept)
+    def step(last: Column, f: Column) -> Column:
+        # The last finding is held back until one that does not touch it comes.
+        apart = F.coalesce(f.start >= last.finding.ending, F.lit(True))
+        replaces = apart | (f.minus_score < last.minus_score)
+        return F.struct(
+            F.when(replaces, f).otherwise(last).alias("state"), F.when(apart, last.finding).alias("emit")
         )
 
-    def fold(findings: Column) -> Column:
-        # A filter that matches nothing gives the empty start value its type.
-        nothing = F.filter(findings, lambda f: F.lit(False))
-        return F.aggregate(findings, nothing, step)
-
-    return F.transform(let(ordered, fold), lambda f: f.finding)
+    return F.when(F.size(raw) < 2, raw).otherwise(
+        let(
+            fold_emit(ordered, F.lit(None).cast(_ORDERED), step, _FINDING),
+            lambda r: F.concat(r.out, F.array(r.state.finding)),
+        )
+    )
 
 
 # --- presentation ------------------------------------------------------------
@@ -429,8 +403,8 @@ def describe(raw: Column, rules: list[Rule], origin: str) -> Column:
                 why(rule.explanation, f.keyword, f.match, f.confidence).alias("why"),
                 allow_fingerprint(rule.id, f.match).alias("allow_fingerprint"),
                 F.lit(origin).alias("origin"),
-                f.line_start.alias("line_start"),
-                f.line_end.alias("line_end"),
+                f.first_line.alias("first_line"),
+                f.last_line.alias("last_line"),
             ),
         )
 
@@ -455,16 +429,18 @@ def why(explanation: Column, keyword: Column, match: Column, confidence: Column)
 
 def explode_findings(scanned: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
     """One row per finding, with a stable id and the line it was found on."""
-    rows = scanned.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.inline("findings"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.when(F.size("findings") > 0, F.split(text, "\n", -1))
+    rows = scanned.withColumn("__lines", lines).select(*keys, "__lines", F.inline("findings"))
     parts = [F.col(k).cast("string") for k in keys] + [
         F.col("rule_id"), F.col("start_pos").cast("string"), F.col("end_pos").cast("string")
     ]
     return rows.withColumns(
         {
             "finding_id": F.sha2(F.concat_ws(":", *parts), 256),
-            "context": line_of(F.col("__text"), F.col("line_start"), F.col("line_end")),
+            "context": lines_at(F.col("__lines"), F.col("first_line"), F.col("last_line")),
         }
-    ).drop("__text")
+    ).drop("__lines")
 
 
 def summarize(findings: Column) -> Column:

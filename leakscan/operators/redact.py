@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.functions.text import FULL_REDACTION, escape_html, partial_mask
+from leakscan.functions.arrays import between, cut_blocks
+from leakscan.functions.text import FULL_REDACTION, escape_html, let, partial_mask
 
 
 def replacement(finding: Column, mode: Column) -> Column:
@@ -22,16 +23,19 @@ def _rewrite(text: Column, findings: Column, inside, outside=lambda gap: gap) ->
     Builds the pieces and joins them once; splicing the text per finding would
     copy it as often as it has findings.
     """
-    n = F.size(findings)
+    def joined(blocks: Column, fs: Column) -> Column:
+        def piece(f: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(fs, i - 1).end_pos)
+            return F.concat(outside(between(blocks, before, f.start_pos)), inside(f))
 
-    def piece(f: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.get(findings, i - 1).end_pos)
-        return F.concat(outside(F.substring(text, before + 1, f.start_pos - before)), inside(f))
+        tail = between(blocks, F.element_at(fs, -1).end_pos, F.length(text))
+        return F.concat(F.array_join(F.transform(fs, piece), ""), outside(tail))
 
-    tail_from = F.when(n == 0, F.lit(0)).otherwise(F.element_at(findings, -1).end_pos)
-    tail = outside(F.substring(text, tail_from + 1, F.length(text)))
-    return F.when(n == 0, outside(text)).otherwise(
-        F.concat(F.array_join(F.transform(findings, piece), ""), tail)
+    return let(
+        findings,
+        lambda fs: F.when(F.size(fs) == 0, outside(text)).otherwise(
+            let(cut_blocks(text), lambda blocks: joined(blocks, fs))
+        ),
     )
 
 

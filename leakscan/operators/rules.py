@@ -109,10 +109,6 @@ class Rule:
     gate: Gate = NO_GATE
     source: str = "builtin"
 
-    @property
-    def shape(self) -> tuple[str, str, bool]:
-        return self.pattern, self.flags, self.captures
-
     def marked(self, text: Column) -> Column:
         """``text`` with every match put between the two marks."""
         if self.captures:
