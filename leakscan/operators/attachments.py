@@ -111,35 +111,40 @@ def latest_selection(
 
 
 def batch_totals(scanned_files: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
-    """Findings per selection, with the labels in the order first met.
-
-    Counts are summed per row before the shuffle; labels are reduced to one row
-    per distinct label, so a selection of very many files stays small.
-    """
-    counts = scanned_files.groupBy(*scope).agg(
-        F.sum(F.size("findings")).alias("total_findings"),
-        F.sum(F.size(F.filter("findings", lambda f: f.category == "secret"))).alias("secrets"),
-        F.sum(F.size(F.filter("findings", lambda f: f.category == "pii"))).alias("pii"),
-    )
-    labels = ordered_labels(
-        scanned_files.select(
-            *scope,
-            F.struct("file_key").alias("source_order"),
-            F.transform("findings", lambda f: f.label).alias("labels"),
-        ),
-        scope,
+    """Findings per selection, with the labels in the order first met."""
+    def count(category: str) -> Column:
+        return F.size(F.filter("findings", lambda f: f.category == category))
+
+    rows = scanned_files.select(
+        *scope,
+        F.struct("file_key").alias("source_order"),
+        F.transform("findings", lambda f: f.label).alias("labels"),
+        F.size("findings").alias("total_findings"),
+        count("secret").alias("secrets"),
+        count("pii").alias("pii"),
     )
-    return counts.join(labels, list(scope), "left")
+    return totals(rows, scope, ("total_findings", "secrets", "pii"))
 
 
-def ordered_labels(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Distinct ``labels`` per key, ordered by ``source_order`` then position."""
-    exploded = rows.select(*key, "source_order", F.posexplode("labels").alias("pos", "label"))
-    first_seen = exploded.groupBy(*key, "label").agg(F.min(F.struct("source_order", "pos")).alias("first"))
-    return first_seen.groupBy(*key).agg(
+def totals(rows: DataFrame, key: tuple[str, ...], counters: tuple[str, ...]) -> DataFrame:
+    """Sum ``counters`` per key and list its distinct ``labels`` in ``rule_labels``.
+
+    Labels are ordered by ``source_order``, then position.  One pass over the
+    rows: they are reduced to one per key and label before the shuffle, each
+    row's counters riding on its first label.  A key that holds most of the
+    rows leaves each task as a few rows, and what is collected per key is
+    bounded by the number of rules.
+    """
+    exploded = rows.select(*key, "source_order", *counters, F.posexplode("labels").alias("pos", "label"))
+    per_label = exploded.groupBy(*key, "label").agg(
+        F.min(F.struct("source_order", "pos")).alias("first"),
+        *(F.sum(F.when(F.col("pos") == 0, F.col(c)).otherwise(0)).alias(c) for c in counters),
+    )
+    return per_label.groupBy(*key).agg(
+        *(F.sum(c).alias(c) for c in counters),
         F.transform(
             F.array_sort(F.collect_list(F.struct("first", "label"))), lambda x: x.label
-        ).alias("rule_labels")
+        ).alias("rule_labels"),
     )
 
 

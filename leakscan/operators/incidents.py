@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.operators.attachments import ordered_labels
+from leakscan.operators.attachments import totals
 from leakscan.operators.detect import summarize
 from leakscan.operators.policy import moment, site_label
 
@@ -48,22 +48,20 @@ def event_counts(composer: DataFrame, attachments: DataFrame, key: str) -> DataF
     counts and labels before they shuffle; the texts do not travel.
     """
     def side(df: DataFrame, rank: int, order: Column) -> DataFrame:
-        s = df.select(key, F.lit(rank).alias("__side"), order.alias("__order"), summarize(F.col("findings")).alias("s"))
+        s = df.select(key, order.alias("within"), summarize(F.col("findings")).alias("s")).filter("s.total > 0")
         return s.select(
-            key, "__side", "__order", "s.total", "s.secrets", "s.pii", F.col("s.rule_labels").alias("labels")
+            key,
+            F.struct(F.lit(rank).alias("side"), "within").alias("source_order"),
+            F.col("s.rule_labels").alias("labels"),
+            F.col("s.total").alias("total_findings"),
+            "s.secrets",
+            "s.pii",
+            F.lit(0 if rank == 0 else 1).alias("files"),
         )
 
-    both = side(composer, 0, F.lit("")).unionByName(
-        side(attachments.withColumn("findings", F.transform("findings", _as_summary_input)), 1, F.col("file_key"))
-    ).filter(F.col("total") > 0)
-    counts = both.groupBy(key).agg(
-        F.sum("total").alias("total_findings"),
-        F.sum("secrets").alias("secrets"),
-        F.sum("pii").alias("pii"),
-        F.sum(F.when(F.col("__side") == 1, F.col("total")).otherwise(0)).alias("attachment_findings"),
-    )
-    labels = ordered_labels(both.select(key, F.struct("__side", "__order").alias("source_order"), "labels"), (key,))
-    return counts.join(labels, key, "left")
+    files = attachments.withColumn("findings", F.transform("findings", _as_summary_input))
+    both = side(composer, 0, F.lit("")).unionByName(side(files, 1, F.col("file_key")))
+    return totals(both, (key,), ("total_findings", "secrets", "pii", "files"))
 
 
 def _as_summary_input(f: Column) -> Column:
@@ -73,9 +71,9 @@ def _as_summary_input(f: Column) -> Column:
     )
 
 
-def note_for(action: Column, attachment_findings: Column) -> Column:
+def note_for(action: Column, flagged_files: Column) -> Column:
     notes = F.create_map(*(F.lit(x) for pair in NOTES.items() for x in pair))
-    rewritten = F.when(attachment_findings > 0, F.lit(REWRITE_NOTE_FILES)).otherwise(F.lit(REWRITE_NOTE))
+    rewritten = F.when(flagged_files > 0, F.lit(REWRITE_NOTE_FILES)).otherwise(F.lit(REWRITE_NOTE))
     return F.coalesce(notes[action], rewritten)
 
 
@@ -94,7 +92,7 @@ def log_entries(counts: DataFrame, *id_from: str) -> DataFrame:
         F.array_distinct(F.coalesce("rule_labels", F.array().cast("array<string>"))).alias("rule_labels"),
         "trigger",
         F.coalesce("mode", F.lit("none")).alias("mode"),
-        note_for(F.col("action"), F.coalesce("attachment_findings", F.lit(0))).alias("note"),
+        note_for(F.col("action"), F.coalesce("files", F.lit(0))).alias("note"),
     )
 
 

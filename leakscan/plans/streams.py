@@ -84,7 +84,7 @@ def stream_log(spark, sf):
         .otherwise("ignored_once").alias("action"),
         F.when(origin == "composer", "send").otherwise(origin).alias("trigger"),
         F.lit("none").alias("mode"),
-        F.lit(0).alias("attachment_findings"),
+        F.lit(0).alias("files"),
     )
     log = live.run_to_table(spark, inc.log_entries(counted, "doc_id"), "stream-log")
     return log.withColumns(
