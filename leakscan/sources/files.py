@@ -25,6 +25,6 @@ def read_files(spark: SparkSession, path: str, *, input_id: str = "path") -> Dat
         F.lit(None).cast("string").alias("file_type"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
-        # Bytes that are not UTF-8 become replacement characters.
-        F.decode("content", F.lit("UTF-8")).alias("text"),
+        # Bytes that are not UTF-8 become replacement characters; a leading mark is dropped.
+        F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\A\ufeff", "").alias("text"),
     )
