@@ -177,7 +177,7 @@ INPUTS: dict[str, str] = {
         "WHEN 2 THEN 'chatgpt.com,gemini.google.com' ELSE 'intranet.example.com' END AS hosts FROM {customer}"
     ),
     "given_patterns": (
-        "SELECT p_partkey AS pos, p_type AS user_key, "
+        "SELECT p_partkey AS pos, p_type AS user_key, p_partkey - p_partkey % 50 AS owner, "
         "CASE WHEN p_partkey % 5 = 0 THEN 'p' || CAST(p_partkey AS STRING) ELSE '' END AS id, "
         "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE '  ' || p_name || ' ' END AS label, "
         "CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE lower(p_brand) || '_[a-z]+' END AS pattern, "

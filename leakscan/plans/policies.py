@@ -253,12 +253,15 @@ def rulepack_export_lines(spark, sf):
 
 @query(
     "rulepack_export",
-    f"""WITH {_CUSTOM_SQL} SELECT user_key, '{{"name":"Rule export","description":"Exported custom rules.","patterns":['
-        || string_agg({_EXPORTED}, ',' ORDER BY id, label, pattern, flags, category,
-          explanation NULLS FIRST, placeholder NULLS FIRST) || ']}}' AS pack_json FROM custom GROUP BY user_key""",
+    f"""WITH {_CUSTOM_SQL.replace('SELECT user_key, ', 'SELECT owner, ').replace("sha256(user_key ||", "sha256(owner ||")}
+        SELECT owner, '{{"name":"Rule export","description":"Exported custom rules.","patterns":['
+          || string_agg({_EXPORTED}, ',' ORDER BY id, label, pattern, flags, category,
+          explanation NULLS FIRST, placeholder NULLS FIRST) || ']}}' AS pack_json FROM custom GROUP BY owner""",
 )
 def rulepack_export(spark, sf):
-    return packs.export_packs(normalized_custom(spark, sf), ("user_key",))
+    """One pack per owner; an owner has a fixed number of patterns at any scale."""
+    custom = pol.normalize_custom(for_spark(spark, sf, "given_patterns"), ("owner",))
+    return packs.export_packs(custom, ("owner",))
 
 
 # --- changing allow rules ----------------------------------------------------
