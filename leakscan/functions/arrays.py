@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from leakscan.functions.text import let
 BLOCK = 256
 
 
+def rows_literal(rows: list[dict], row_type: str) -> Column:
+    """A small table as one array literal (the optimizer folds the parsing away)."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{row_type}>>")
+
+
 def fold_emit(items: Column, state: Column, step, emitted_type: str) -> Column:
     """Fold over an array, emitting at most one element per item.
 

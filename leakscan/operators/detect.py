@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.functions.arrays import fold_emit
+from leakscan.functions.arrays import fold_emit, rows_literal
 from leakscan.functions.text import allow_fingerprint, let, ws_collapse, ws_trim
 from leakscan.operators.policy import Policy
 from leakscan.operators.rules import BUILTIN_RULES, CLOSE, OPEN, Rule, screens
@@ -179,17 +179,18 @@ def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[st
     different line than the one before: on a page that is one long line that is
     once, not once per match.
     """
-    facts = F.array(
-        *(
-            F.struct(
-                F.lit(rule.base).alias("base"),
-                F.lit(rule.category == "secret").alias("secret"),
-                F.lit(4 if rule.captures else 0).alias("capture_bonus"),
-                F.array(*map(F.lit, rule.keywords)).cast("array<string>").alias("keywords"),
-                F.lit(rule.id == "phone").alias("phone"),
-            )
+    facts = rows_literal(
+        [
+            {
+                "base": rule.base,
+                "secret": rule.category == "secret",
+                "capture_bonus": 4 if rule.captures else 0,
+                "keywords": rule.keywords,
+                "phone": rule.id == "phone",
+            }
             for rule in rules
-        )
+        ],
+        "base:int,secret:boolean,capture_bonus:int,keywords:array<string>,phone:boolean",
     )
     start = F.struct(
         F.lit(0).alias("at"),
@@ -311,7 +312,7 @@ def allow_key(rule_id: Column, fingerprint: Column) -> Column:
 
 
 def _exactly_allowed(f: Column, allowed: Column, rules: list[Rule]) -> Column:
-    rule_id = F.get(F.array(*(F.lit(rule.id) for rule in rules)), f.ord)
+    rule_id = F.get(rows_literal([{"id": rule.id} for rule in rules], "id:string"), f.ord).id
     key = allow_key(rule_id, allow_fingerprint(rule_id, f.match))
     return F.coalesce(F.array_contains(allowed, key), F.lit(False))
 
@@ -366,20 +367,10 @@ def resolve_overlaps(raw: Column) -> Column:
 
 def describe(raw: Column, rules: list[Rule], origin: str) -> Column:
     """Spell out the fields of each finding."""
-    if not rules:
-        raise ValueError("no rule is switched on")
-    facts = F.array(
-        *(
-            F.struct(
-                F.lit(rule.id).alias("id"),
-                F.lit(rule.label).alias("label"),
-                F.lit(rule.category).alias("category"),
-                F.lit(rule.source).alias("source"),
-                F.lit(rule.placeholder).alias("placeholder"),
-                F.lit(rule.explanation).alias("explanation"),
-            )
-            for rule in rules
-        )
+    fields = ("id", "label", "category", "source", "placeholder", "explanation")
+    facts = rows_literal(
+        [{name: getattr(rule, name) for name in fields} for rule in rules],
+        ",".join(f"{name}:string" for name in fields),
     )
 
     def spelled_out(f: Column) -> Column:

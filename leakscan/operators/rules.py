@@ -88,10 +88,9 @@ def screens(text: Column, rules: Iterable[Rule]) -> dict[str, Column]:
 
 
 def _any_of(text: Column, needles: tuple[str, ...]) -> Column:
-    test = F.contains(text, F.lit(needles[0]))
-    for needle in needles[1:]:
-        test = test | F.contains(text, F.lit(needle))
-    return test
+    if len(needles) == 1:
+        return F.contains(text, F.lit(needles[0]))
+    return text.rlike("|".join(regex.quote(needle) for needle in needles))
 
 
 @dataclass(frozen=True)
