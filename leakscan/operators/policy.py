@@ -31,6 +31,7 @@ DEFAULT_MODE = "placeholder"
 MAX_EXACT_ALLOW = 200
 MAX_WORKSPACE_ALLOW = 100
 MAX_PACKS = 24
+MAX_SHOWN_ALLOW = 120
 MAX_TEMPORARY_MINUTES = 43_200
 EXTENSIONS = {"extend-15m": 15, "extend-1h": 60, "extend-1d": 1440}
 
@@ -325,6 +326,28 @@ def normalize_packs(given: DataFrame, as_of: datetime | None = None, by: tuple[s
 # --- changing allow rules ----------------------------------------------------
 
 
+def allow_requests(found: DataFrame, *, seq: str, ts: str = "ts") -> DataFrame:
+    """Requests to allow findings on their site, from exploded findings.
+
+    ``seq`` orders the requests.  ``found`` has ``hostname`` and a time.
+    """
+    return found.select(
+        F.col(seq).alias("seq"),
+        F.sha2(F.concat_ws(":", F.col(seq).cast("string"), "hostname", "allow_fingerprint"), 256).alias("id"),
+        F.concat(F.col("label"), F.lit(" allowlisted on site")).alias("label"),
+        "hostname",
+        "rule_id",
+        F.col("allow_fingerprint").alias("match_fingerprint"),
+        F.col(ts).alias("created_at"),
+        F.lit(None).cast("timestamp").alias("expires_at"),
+    )
+
+
+def shown_allow(allow: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The allow rules a user is shown."""
+    return keep_first(allow, MAX_SHOWN_ALLOW, [F.col("pos"), F.col("id")], by)
+
+
 def temporary_allow(requests: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Bound the requested minutes and turn them into an expiry and a label."""
     # Clamped before the cast: a huge request must not overflow it.

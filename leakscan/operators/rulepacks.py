@@ -11,10 +11,10 @@ from leakscan.functions.text import sanitize_flags, ws_trim
 from leakscan.operators.policy import MAX_CUSTOM_PATTERNS, keep_first, moment
 from leakscan.operators.rules import STARTER_PACK
 
-PACK_SCHEMA = (
-    "name string, description string, patterns array<struct<label: string, pattern: string, "
-    "flags: string, category: string, explanation: string, placeholder: string>>"
-)
+PATTERN = "label: string, pattern: string, flags: string, category: string, explanation: string, placeholder: string"
+PACK_SCHEMA = f"name string, description string, patterns array<struct<{PATTERN}>>"
+# As stored, a pack may list things that are not patterns: they stay text at first.
+_STORED = "name string, description string, patterns array<string>"
 
 # Fixed values.
 DEFAULT_PACK_NAME = "Imported pack"
@@ -25,15 +25,20 @@ EXPORT_DESCRIPTION = "Exported custom rules."
 
 def read_packs(spark: SparkSession, path: str) -> DataFrame:
     """Rule packs from JSON files, one object per file."""
-    return spark.read.schema(PACK_SCHEMA).json(path, multiLine=True)
+    return spark.read.schema(_STORED).json(path, multiLine=True).withColumn("patterns", _typed("patterns"))
 
 
 def parse_packs(df: DataFrame, json_col: str) -> DataFrame:
     """Rule packs held as JSON text in a column; text that does not parse is skipped."""
     others = [c for c in df.columns if c != json_col]
-    return df.select(*others, F.from_json(json_col, PACK_SCHEMA).alias("p")).filter(
+    parsed = df.select(*others, F.from_json(json_col, _STORED).alias("p")).filter(
         F.col("p.name").isNotNull() | F.col("p.description").isNotNull() | F.col("p.patterns").isNotNull()
-    ).select(*others, "p.*")
+    )
+    return parsed.select(*others, "p.*").withColumn("patterns", _typed("patterns"))
+
+
+def _typed(patterns: str) -> Column:
+    return F.transform(patterns, lambda p: F.from_json(p, f"struct<{PATTERN}>"))
 
 
 def starter_pack(spark: SparkSession) -> DataFrame:

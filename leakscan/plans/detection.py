@@ -18,6 +18,8 @@ from leakscan.plans import settings as st
 from leakscan.plans.inputs import AS_OF, for_duckdb, for_spark
 from leakscan.plans.registry import query
 
+DRY_RUN_FINDINGS = 6
+
 FIELDS = (
     "rule_id", "label", "category", "severity", "start_pos", "end_pos", "match", "confidence", "confidence_label",
 )
@@ -462,3 +464,18 @@ def dry_run(spark, sf):
     scanned = detect.scan(texts, policy, host_col="hostname", origin="test-lab", ignore_allow=True)
     markup = red.replacement_preview(F.col("text"), F.col("findings"), F.lit("partial-mask"))
     return st.bigints(scanned.select("doc_id", markup.alias("preview"), F.size("findings").alias("total")))
+
+
+@query(
+    "dry_run_findings",
+    f"""WITH {o.resolved(for_duckdb('overlaps'), 'doc_id')} SELECT doc_id, label, category, CAST(conf AS BIGINT) AS confidence,
+        explanation, replace(why, '|', ' ') AS why FROM f
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s) <= 6""",
+)
+def dry_run_findings(spark, sf):
+    """The findings a dry run lists: the first six of each text."""
+    scanned = detect.scan(for_spark(spark, sf, "overlaps"), origin="test-lab", ignore_allow=True)
+    shown = scanned.select("doc_id", F.inline(F.slice("findings", 1, DRY_RUN_FINDINGS)))
+    return st.bigints(
+        shown.select("doc_id", "label", "category", "confidence", "explanation", F.array_join("why", " ").alias("why"))
+    )

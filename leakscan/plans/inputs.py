@@ -268,6 +268,20 @@ INPUTS: dict[str, str] = {
         "SELECT doc_id, 'f' || CAST(doc_id AS STRING) || '.log' AS file_name, CAST(NULL AS STRING) AS file_type, "
         "repeat(text || chr(10), 8) AS text FROM {documents}"
     ),
+    # One settings object per customer; some fields are missing or of the wrong type.
+    "settings_json": (
+        "SELECT c_custkey AS user_key, "
+        "'{{\"enabled\":' || CASE c_custkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'true' ELSE '\"no\"' END "
+        "|| CASE WHEN c_custkey % 4 = 0 THEN ',\"detectPII\":false' ELSE '' END "
+        "|| ',\"defaultRedactionMode\":\"' || CASE c_custkey % 5 WHEN 0 THEN 'partial-mask' WHEN 1 THEN 'full-redact' "
+        "ELSE 'other' END || '\",\"siteProfiles\":{{\"' || " + _host_or_other("c_custkey") + " || "
+        "'\":{{\"strictness\":\"relaxed\",\"enabled\":' || CASE WHEN c_custkey % 2 = 0 THEN 'false' ELSE 'true' END "
+        "|| '}}}},\"exactAllowRules\":[{{\"id\":\"a' || CAST(c_custkey AS STRING) || '\",\"hostname\":\"claude.ai\","
+        "\"ruleId\":\"email\",\"matchFingerprint\":\"email:' || lower(c_name) || '\"}}],"
+        "\"workspaceAllowlist\":[{{\"label\":\" w \",\"pattern\":\"' || c_mktsegment || '\"}}],"
+        "\"customPatterns\":[{{\"id\":\"c\",\"label\":\" ' || c_mktsegment || '\",\"pattern\":\"x+\",\"category\":\"pii\"}},"
+        "{{\"label\":\"bad\",\"pattern\":\"y\",\"category\":\"none\"}}]}}' AS settings FROM {customer}"
+    ),
     # One JSON pack per part, of which some do not parse or lack fields.
     "pack_json": (
         "SELECT p_partkey AS pack_key, CASE WHEN p_partkey % 19 = 0 THEN 'not json' ELSE "

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leakscan.operators import detect
 from leakscan.operators import policy as pol
 from leakscan.operators import rulepacks as packs
 from leakscan.operators.policy import Policy
+from leakscan.plans import oracle as o
 from leakscan.plans import settings as st
 from leakscan.plans.detection import _FLAGS_SQL
 from leakscan.plans.inputs import AS_OF, for_duckdb, for_spark
 from leakscan.plans.registry import query
+from leakscan.sources import settings
 
 NOW_SQL = f"TIMESTAMP '{AS_OF}'"
 HOSTS_SQL = (
@@ -264,6 +267,63 @@ def rulepack_export(spark, sf):
     return packs.export_packs(custom, ("owner",))
 
 
+# --- stored settings ---------------------------------------------------------
+
+
+def stored(spark, sf):
+    raw = settings.parse_settings(for_spark(spark, sf, "settings_json"), "settings")
+    return settings.settings_tables(raw, ("user_key",), st.NOW)
+
+
+_STORED_SQL = f"s AS (SELECT user_key, CAST(settings AS JSON) AS j FROM ({for_duckdb('settings_json')}))"
+
+
+@query(
+    "settings_toggles",
+    f"""WITH {_STORED_SQL} SELECT user_key, coalesce(j ->> '$.enabled' <> 'false', true) AS enabled,
+          true AS detect_secrets, coalesce(j ->> '$.detectPII' <> 'false', true) AS detect_pii,
+          true AS show_inline_warnings, true AS scan_on_paste, true AS scan_attachments,
+          CASE WHEN j ->> '$.defaultRedactionMode' IN ('placeholder', 'partial-mask', 'full-redact')
+            THEN j ->> '$.defaultRedactionMode' ELSE 'placeholder' END AS default_mode FROM s""",
+)
+def settings_toggles(spark, sf):
+    return stored(spark, sf).toggles
+
+
+@query(
+    "settings_profiles",
+    f"""WITH {_STORED_SQL}, {HOSTS_SQL}, p AS (
+          SELECT user_key, hostname, site, json_extract(j, '$.siteProfiles."' || hostname || '"') AS p
+          FROM s CROSS JOIN hosts)
+        SELECT user_key, hostname, site AS label, coalesce(p ->> '$.enabled' <> 'false', true) AS enabled,
+          coalesce(p ->> '$.strictness', 'balanced') AS strictness, true AS scan_on_paste, true AS scan_attachments,
+          'placeholder' AS redaction_mode FROM p""",
+)
+def settings_profiles(spark, sf):
+    return stored(spark, sf).profiles
+
+
+@query(
+    "settings_rules",
+    f"""WITH {_STORED_SQL}
+        SELECT user_key, 'custom' AS kind, j ->> '$.customPatterns[0].id' AS id,
+          trim(j ->> '$.customPatterns[0].label') AS label, j ->> '$.customPatterns[0].pattern' AS value FROM s
+        UNION ALL SELECT user_key, 'exact', j ->> '$.exactAllowRules[0].id', 'Allowlisted finding',
+          j ->> '$.exactAllowRules[0].matchFingerprint' FROM s
+        UNION ALL SELECT user_key, 'workspace', sha256(concat_ws(chr(10), user_key, ' w ', j ->> '$.workspaceAllowlist[0].pattern')),
+          'w', j ->> '$.workspaceAllowlist[0].pattern' FROM s""",
+)
+def settings_rules(spark, sf):
+    tables = stored(spark, sf)
+    parts = (("custom", tables.custom_patterns, "pattern"), ("exact", tables.exact_allow, "match_fingerprint"),
+             ("workspace", tables.workspace_allow, "pattern"))
+    custom, exact, workspace = (
+        df.select("user_key", F.lit(kind).alias("kind"), "id", "label", F.col(value).alias("value"))
+        for kind, df, value in parts
+    )
+    return custom.unionByName(exact).unionByName(workspace)
+
+
 # --- changing allow rules ----------------------------------------------------
 
 _TEMPORARY_SQL = f"""requests AS (
@@ -313,6 +373,35 @@ def allow_upsert(spark, sf):
     return allow_columns(merged)
 
 
+@query(
+    "allow_shown",
+    f"""WITH {HOSTS_SQL}, {_ALLOW_SQL} SELECT user_key, pos, id FROM purged
+        QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY pos, id) <= 120""",
+)
+def allow_shown(spark, sf):
+    return pol.shown_allow(purged_allow(spark, sf), ("user_key",)).select("user_key", "pos", "id")
+
+
+@query(
+    "allow_from_review",
+    f"""WITH {o.resolved(for_duckdb('arriving'), 'doc_id')}, asked AS (
+          SELECT hostname, rule_id, fingerprint, max(doc_id) AS seq, min(doc_id) AS first_seq, arg_min(ts, doc_id) AS ts,
+            any_value(label) AS label
+          FROM f JOIN src USING (doc_id) WHERE f.category = 'pii' GROUP BY hostname, rule_id, fingerprint)
+        SELECT hostname, rule_id, fingerprint AS match_fingerprint, label || ' allowlisted on site' AS label,
+          sha256(concat_ws(':', first_seq, hostname, fingerprint)) AS id, epoch_us(ts) AS created_at
+        FROM asked ORDER BY seq DESC, id LIMIT 200""",
+)
+def allow_from_review(spark, sf):
+    """Personal data allowed in review becomes allow rules, the newest 200 kept."""
+    scanned = detect.scan(for_spark(spark, sf, "arriving"))
+    found = detect.explode_findings(scanned, "doc_id", "hostname", "ts").filter("category = 'pii'")
+    requests = pol.allow_requests(found, seq="doc_id")
+    nothing = pol.normalize_exact_allow(for_spark(spark, sf, "seeded_allow").limit(0), st.NOW)
+    merged = pol.upsert_allow(nothing, requests, st.NOW)
+    return merged.select("hostname", "rule_id", "match_fingerprint", "label", "id", micros("created_at"))
+
+
 @query(
     "allow_extend",
     f"""WITH {HOSTS_SQL}, {_ALLOW_SQL}, labelled AS (

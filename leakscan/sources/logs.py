@@ -17,9 +17,25 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return valid_entries(spark.read.schema(LOG_SCHEMA + ", day date").parquet(path))
 
 
+# The field names of a stored entry.
+STORED_NAMES = {
+    "id": "id", "timestamp": "ts", "hostname": "hostname", "siteLabel": "site_label", "action": "action",
+    "totalFindings": "total_findings", "secrets": "secrets", "pii": "pii", "ruleLabels": "rule_labels",
+    "trigger": "trigger", "mode": "mode", "note": "note",
+}
+
+
 def read_log_json(spark: SparkSession, path: str) -> DataFrame:
     """Entries from JSON lines; fields of the wrong type read as missing."""
-    return valid_entries(spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE").json(path))
+    schema = spark.createDataFrame([], LOG_SCHEMA).schema
+    stored = ", ".join(f"{name} {schema[column].dataType.simpleString()}" for name, column in STORED_NAMES.items())
+    read = spark.read.schema(stored).option("mode", "PERMISSIVE").json(path)
+    return valid_entries(read.withColumnsRenamed(STORED_NAMES))
+
+
+def write_log_json(log: DataFrame, path: str) -> None:
+    """Entries as JSON lines under their stored names."""
+    log.withColumnsRenamed({column: name for name, column in STORED_NAMES.items()}).write.json(path)
 
 
 def clear_log(spark: SparkSession, path: str) -> None:

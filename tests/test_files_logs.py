@@ -14,7 +14,7 @@ from leakscan.operators import policy as pol
 from leakscan.operators import rulepacks as packs
 from leakscan.operators.policy import Policy
 from leakscan.sources import files as files_source
-from leakscan.sources import logs, shared, tables
+from leakscan.sources import logs, settings, shared, tables
 
 NOW = datetime(2024, 1, 15, tzinfo=timezone.utc)
 FILES = (
@@ -75,6 +75,8 @@ PACK = {
         {"label": "B", "pattern": "b", "flags": "ggi", "category": "other"},
         {"label": "C", "category": "pii"},
         {"pattern": "d", "category": "pii"},
+        "text",
+        7,
     ],
 }
 
@@ -251,12 +253,15 @@ def test_log_on_disk(spark, tmp_path):
 
 def test_log_from_json_drops_ill_typed_entries(spark, tmp_path):
     good = dict(
-        id="1", ts="2024-01-01T00:00:00Z", hostname="h", site_label="s", action="masked", total_findings=1, secrets=1,
-        pii=0, rule_labels=["A"], trigger="send",
+        id="1", timestamp="2024-01-01T00:00:00Z", hostname="h", siteLabel="s", action="masked", totalFindings=1, secrets=1,
+        pii=0, ruleLabels=["A"], trigger="send",
     )
-    lines = [good, {**good, "secrets": "many"}, {**good, "rule_labels": "A"}, {k: v for k, v in good.items() if k != "action"}]
+    lines = [good, {**good, "secrets": "many"}, {**good, "ruleLabels": "A"}, {k: v for k, v in good.items() if k != "action"}]
     (tmp_path / "l.json").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
-    assert logs.read_log_json(spark, str(tmp_path / "l.json")).count() == 1
+    read = logs.read_log_json(spark, str(tmp_path / "l.json"))
+    assert [(r.site_label, r.rule_labels, r.ts) for r in read.collect()] == [("s", ["A"], datetime(2024, 1, 1))]
+    logs.write_log_json(read, str(tmp_path / "again"))
+    assert logs.read_log_json(spark, str(tmp_path / "again")).collect() == read.collect()
 
 
 def test_last_scan(spark):
@@ -264,3 +269,47 @@ def test_last_scan(spark):
     df = spark.createDataFrame(rows, "hostname string, scan_type string, total int, ts timestamp, scan_id int")
     got = {r.hostname: (r.scan_type, r.total) for r in inc.last_scan(df).collect()}
     assert got == {"a": ("paste", 2), "b": ("send", 5)}
+
+
+# --- settings ----------------------------------------------------------------
+
+
+def test_load_policy(spark, scan_all, tmp_path):
+    stored = {
+        "enabled": "no", "detectPII": False, "defaultRedactionMode": "shred", "scanOnPaste": False,
+        "customPatterns": [
+            {"id": "c", "label": "C", "pattern": "zz+", "category": "pii"}, {"label": "D", "pattern": "q", "category": "x"},
+            "not an object",
+        ],
+        "siteProfiles": {"claude.ai": {"strictness": "relaxed", "enabled": False}, "x.example": {"enabled": True}},
+        "exactAllowRules": [
+            {"hostname": "claude.ai", "ruleId": "c", "matchFingerprint": "c:zzz", "expiresAt": "2024-01-01T00:00:00Z"},
+            {"hostname": "chatgpt.com", "ruleId": "c", "matchFingerprint": "c:zzz", "expiresAt": "whenever"},
+            {"hostname": "x.example", "ruleId": "c", "matchFingerprint": "c:zzz"},
+        ],
+        "workspaceAllowlist": [{"label": "W", "pattern": "password=demo"}, {"label": "no pattern"}],
+    }
+    (tmp_path / "s.json").write_text(json.dumps(stored))
+    policy = settings.load_policy(spark, str(tmp_path / "s.json"), NOW)
+    assert (policy.enabled, policy.detect_pii, policy.scan_on_paste, policy.default_mode) == (True, False, False, "placeholder")
+    texts = [("zzz", "claude.ai"), ("zzz", "chatgpt.com"), ("pwd=abc", "claude.ai"), ("password=demo1", "chatgpt.com"), ("a@b.co", "claude.ai")]
+    found = scan_all(texts, policy, as_of=NOW)
+    # 72 is below the relaxed threshold of the first host.
+    assert [[f.rule_id for f in fs] for fs in found] == [[], [], [], [], []]
+    found = scan_all(texts, policy, as_of=NOW, strictness="balanced")
+    assert [[f.rule_id for f in fs] for fs in found] == [["c"], [], ["kv-secret-value"], [], []]
+
+
+def test_settings_defaults(spark):
+    raw = settings.parse_settings(spark.createDataFrame([("{}",)], "j string"), "j")
+    tables = settings.settings_tables(raw)
+    assert all(v is True for k, v in tables.toggles.first().asDict().items() if k != "default_mode")
+    assert sorted(map(tuple, tables.profiles.collect())) == sorted(map(tuple, pol.default_profiles(spark).collect()))
+    assert tables.exact_allow.count() == tables.packs.count() == 0
+
+
+def test_allow_requests_from_findings(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "claude.ai", NOW)], "doc_id int, text string, hostname string, ts timestamp")
+    found = detect.explode_findings(detect.scan(df), "doc_id", "hostname", "ts")
+    r = pol.allow_requests(found, seq="doc_id").first()
+    assert (r.label, r.rule_id, r.match_fingerprint) == ("Email address allowlisted on site", "email", "email:a@b.co")
