@@ -101,8 +101,7 @@ def with_raw_findings(
     df = df.withColumns({names[screen]: test for screen, test in tests.items()})
     df = df.withColumn("__low", F.when(_lowered_needed(rules, names), F.lower(text)))
     df = df.withColumn("__cut", _cut(text, F.col("__low"), rules, names))
-    some = F.exists("__cut", lambda pieces: F.size(pieces) > 1)
-    df = df.withColumn("__lines", F.when(some, F.split(text, "\n", -1)))
+    df = df.withColumn("__lines", F.when(F.size("__cut") > 0, F.split(text, "\n", -1)))
     allowed_lines = [] if ignore_allow else policy.workspace_columns(spark)
     raw = F.when(F.col("__lines").isNull(), F.array().cast(f"array<{_FINDING}>")).otherwise(
         _score(F.col("__cut"), F.col("__lines"), rules, allowed_lines)
@@ -128,7 +127,7 @@ def _bind(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def _cut(text: Column, lowered: Column, rules: list[Rule], names: dict[str, str]) -> Column:
-    """For each rule, the text cut at its matches (null if gated)."""
+    """For each rule with a match, the text cut at its matches."""
     safe = F.when(
         F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)),
         F.translate(text, OPEN + CLOSE, "\ufffd\ufffd"),
@@ -136,7 +135,11 @@ def _cut(text: Column, lowered: Column, rules: list[Rule], names: dict[str, str]
     def screened(rule: Rule) -> Column:
         return F.col(names[rule.gate.screen]) if rule.gate.screen else F.lit(True)
 
-    return F.array(*(rule.pieces(text, lowered, safe, screened(rule)) for rule in rules))
+    # An array function keeps these many branches out of the generated row loop,
+    # which would grow too large for the JIT to compile.
+    pieces = F.array(*(rule.pieces(text, lowered, safe, screened(rule)) for rule in rules))
+    numbered = F.transform(pieces, lambda p, n: F.struct(n.alias("ord"), p.alias("pieces")))
+    return F.filter(numbered, lambda cut: F.size(cut.pieces) > 1)
 
 
 def _lowered_needed(rules: list[Rule], names: dict[str, str]) -> Column:
@@ -248,10 +251,7 @@ def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[st
         )
         return let(to, moved)
 
-    cut_rules = F.transform(
-        cut, lambda pieces, n: F.when(F.size(pieces) > 1, of_rule(pieces, n))
-    )
-    return F.flatten(F.filter(cut_rules, lambda found: found.isNotNull()))
+    return F.flatten(F.transform(cut, lambda c: of_rule(c.pieces, c.ord)))
 
 
 def _line_facts(lines: Column, first: Column, last: Column, rule: Column, allowed_lines: list[str]) -> Column:

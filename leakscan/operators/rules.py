@@ -349,7 +349,8 @@ BUILTIN_RULES: tuple[Rule, ...] = (
         "This number looks like a phone number and may expose personal contact details.",
         "<PHONE_NUMBER>",
         ("phone", "mobile", "sms", "contact", "call"),
-        gate=Gate(pattern=rf"(?:\d[{JS_SPACE_CLASS}().-]*){{9}}\d"),
+        # Ten digits, spelled out: quicker than a counted group.
+        gate=Gate(pattern=rf"\d[{JS_SPACE_CLASS}().-]*" * 9 + r"\d"),
     ),
 )
 
