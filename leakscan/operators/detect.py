@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from leakscan.functions.arrays import fold_emit, rows_literal
 from leakscan.functions.text import allow_fingerprint, let, ws_collapse, ws_trim
-from leakscan.operators.policy import Policy
+from leakscan.operators.policy import THRESHOLDS, Policy, allow_key
 from leakscan.operators.rules import BUILTIN_RULES, CLOSE, OPEN, Rule, screens
 
 # Fixed values.
-THRESHOLDS = {"relaxed": 75, "balanced": 58, "strict": 38}
 SEVERITY_WEIGHT = {"critical": 2000, "high": 1000, "medium": 100}
 CREDENTIAL_WORDS = "(?i)(?:key|token|secret|authorization|password|bearer)"
 WHY_LONG = "The match length is long enough to look like a real credential rather than a short placeholder."
@@ -49,7 +48,7 @@ def scan(
     policy = policy or Policy()
     scanned = with_raw_findings(
         df, policy, text_col=text_col, host_col=host_col,
-        ignore_allow=ignore_allow, as_of=as_of, carry=("threshold",),
+        ignore_allow=ignore_allow, as_of=as_of,
     )
     if strictness:
         threshold = F.lit(THRESHOLDS[strictness])
@@ -68,15 +67,14 @@ def raw_findings(
     policy = policy or Policy()
     rules = policy.rules(df.sparkSession) if rules is None else rules
     scanned = with_raw_findings(df, policy, text_col=text_col, rules=rules)
-    return _bind(scanned, describe(F.col("__raw"), rules, origin), "findings").drop("__raw")
+    return _bind(scanned, describe(F.col("__raw"), rules, origin), "findings").drop("__raw", "__threshold")
 
 
 def with_raw_findings(
     df: DataFrame, policy: Policy, *, text_col: str = "text", host_col: str | None = None,
-    ignore_allow: bool = False, as_of: datetime | None = None,
-    carry: tuple[str, ...] = (), rules: list[Rule] | None = None,
+    ignore_allow: bool = False, as_of: datetime | None = None, rules: list[Rule] | None = None,
 ) -> DataFrame:
-    """Add ``__raw``, the scored matches that no allow rule covers."""
+    """Add ``__raw``, the scored matches no allow rule covers, and the host's ``__threshold``."""
     spark = df.sparkSession
     rules = policy.rules(spark) if rules is None else rules
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -109,8 +107,6 @@ def with_raw_findings(
     if exact_allow:
         raw = F.filter(raw, lambda f: ~_exactly_allowed(f, F.col("__allow"), rules))
     drop = ["__low", "__cut", "__lines", "__allow", "__host", *names.values()]
-    if "threshold" not in carry:
-        drop.append("__threshold")
     return _bind(df, raw, "__raw").drop(*drop)
 
 
@@ -307,10 +303,6 @@ def confidence_label(confidence: Column) -> Column:
 # --- suppression -------------------------------------------------------------
 
 
-def allow_key(rule_id: Column, fingerprint: Column) -> Column:
-    return F.concat(rule_id, F.lit("\n"), fingerprint)
-
-
 def _exactly_allowed(f: Column, allowed: Column, rules: list[Rule]) -> Column:
     rule_id = F.get(rows_literal([{"id": rule.id} for rule in rules], "id:string"), f.ord).id
     key = allow_key(rule_id, allow_fingerprint(rule_id, f.match))

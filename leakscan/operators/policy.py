@@ -22,7 +22,7 @@ SITES = {
     "claude.ai": "Claude",
     "gemini.google.com": "Gemini",
 }
-STRICTNESS = ("relaxed", "balanced", "strict")
+THRESHOLDS = {"relaxed": 75, "balanced": 58, "strict": 38}
 MODES = ("placeholder", "partial-mask", "full-redact")
 MODE_LABELS = {"placeholder": "Safe rewrite", "partial-mask": "Mask", "full-redact": "Full redact"}
 MODE_ACTIONS = {"placeholder": "safe_rewrite", "partial-mask": "masked", "full-redact": "redacted"}
@@ -90,8 +90,6 @@ class Policy:
         Bounded by the supported hosts plus at most ``MAX_EXACT_ALLOW`` rules,
         so it is safe to broadcast.
         """
-        from leakscan.operators.detect import THRESHOLDS, allow_key
-
         thresholds = F.create_map(*(F.lit(x) for pair in THRESHOLDS.items() for x in pair))
         hosts = (
             self.profile_table(spark)
@@ -136,6 +134,11 @@ def moment(as_of: datetime | None) -> Column:
     return F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
 
 
+def allow_key(rule_id: Column, fingerprint: Column) -> Column:
+    """What an exact allow rule and a finding have to agree on."""
+    return F.concat(rule_id, F.lit("\n"), fingerprint)
+
+
 # --- hosts and profiles ------------------------------------------------------
 
 
@@ -197,7 +200,7 @@ def normalize_profiles(
         "hostname",
         F.coalesce("label", "default_label").alias("label"),
         enabled,
-        F.when(F.col("strictness").isin(*STRICTNESS), F.col("strictness"))
+        F.when(F.col("strictness").isin(*THRESHOLDS), F.col("strictness"))
         .otherwise("balanced").alias("strictness"),
         yes_unless_false("scan_on_paste"),
         yes_unless_false("scan_attachments"),

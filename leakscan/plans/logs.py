@@ -14,6 +14,7 @@ from leakscan.plans import settings as st
 from leakscan.plans.inputs import for_duckdb, for_spark
 from leakscan.plans.policies import ACTION_SQL, HOSTS_SQL, NOW_SQL
 from leakscan.plans.registry import query
+from leakscan.sources.shared import stored
 from leakscan.sources.tables import composer_texts
 
 # --- sources -----------------------------------------------------------------
@@ -125,7 +126,7 @@ def attachment_latest(spark, sf):
         FROM rows WHERE rule_id NOT IN ('email', 'kv-secret-value') GROUP BY ALL""",
 )
 def attachment_pending(spark, sf):
-    files = scanned_files(spark, sf)
+    files = stored(scanned_files(spark, sf), "flagged-files")
     allowed = files.select(F.inline("findings")).filter(F.col("rule_id").isin("email", "kv-secret-value"))
     return att.pending_after(files, allowed)
 

@@ -9,7 +9,9 @@ from leakscan.operators.incidents import LOG_SCHEMA, valid_entries
 
 
 def append_log(entries: DataFrame, path: str) -> None:
-    entries.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+    """Add entries.  They are rebalanced by day: few files, and a busy day is split."""
+    dated = entries.withColumn("day", F.to_date("ts")).hint("rebalance", F.col("day"))
+    dated.write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

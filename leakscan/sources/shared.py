@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -22,3 +22,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError(f"set {SETTING} to a folder all executors share")
         root = tempfile.mkdtemp(prefix="leakscan-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that is read more than once, and read it back.
+
+    For small results of costly scans; unlike a cached one, it outlives the
+    executors that made it.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
