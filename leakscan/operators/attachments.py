@@ -32,13 +32,10 @@ def is_text_like(file_name: Column, file_type: Column) -> Column:
     return test
 
 
-def scannable(files: DataFrame) -> DataFrame:
-    """Text-like files that are not blank, cut at the size limit."""
-    return (
-        files.filter(is_text_like(F.col("file_name"), F.col("file_type")))
-        .filter(~is_blank(F.col("text")))
-        .withColumn("text", F.substring("text", 1, MAX_FILE_CHARS))
-    )
+def scannable(files: DataFrame, max_chars: int | None = MAX_FILE_CHARS) -> DataFrame:
+    """Text-like files that are not blank, cut at the size limit (None for no limit)."""
+    kept = files.filter(is_text_like(F.col("file_name"), F.col("file_type"))).filter(~is_blank(F.col("text")))
+    return kept if max_chars is None else kept.withColumn("text", F.substring("text", 1, max_chars))
 
 
 def file_key(*scope: str) -> Column:
@@ -54,14 +51,14 @@ def file_key(*scope: str) -> Column:
 
 def scan_files(
     files: DataFrame, policy: Policy | None = None, *, host_col: str | None = None,
-    as_of: datetime | None = None, scope: tuple[str, ...] = SCOPE,
+    as_of: datetime | None = None, scope: tuple[str, ...] = SCOPE, max_chars: int | None = MAX_FILE_CHARS,
 ) -> DataFrame:
     """Scan each file; files without findings are left out.
 
     The findings of a file carry a masked preview, never the match itself nor
     its position.
     """
-    scanned = scan(scannable(files), policy, host_col=host_col, origin="attachment", as_of=as_of)
+    scanned = scan(scannable(files, max_chars), policy, host_col=host_col, origin="attachment", as_of=as_of)
     kind = F.coalesce(F.nullif("file_type", F.lit("")), F.lit(DEFAULT_TYPE))
 
     def reported(f: Column) -> Column:
