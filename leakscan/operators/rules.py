@@ -110,12 +110,15 @@ class Rule:
 
     def marked(self, text: Column) -> Column:
         """``text`` with every match put between the two marks."""
-        if self.captures:
+        if self.source == "builtin" and self.id in ONE_PASS:
+            java = "({})({})({})".format(*ONE_PASS[self.id])
+        elif self.captures:
             before, group, after = regex.split_capture(self.pattern)
             java = regex.to_java(f"({before})({group})({after})", self.flags)
-            return F.regexp_replace(text, java, f"$1{OPEN}$2{CLOSE}$3")
-        java = regex.to_java(self.pattern, self.flags)
-        return F.regexp_replace(text, java, f"{OPEN}$0{CLOSE}")
+        else:
+            java = regex.to_java(self.pattern, self.flags)
+            return F.regexp_replace(text, java, f"{OPEN}$0{CLOSE}")
+        return F.regexp_replace(text, java, f"$1{OPEN}$2{CLOSE}$3")
 
     def pieces(self, text: Column, lowered: Column, safe: Column, screen: Column) -> Column:
         """Gaps and matches in turn, or null where screen or gate rule them out.
@@ -126,6 +129,15 @@ class Rule:
         return F.when(screen & self.gate.column(text, lowered), cut)
 
 
+# The environment variables whose value is a secret.
+ENV_NAMES = (
+    r"OPENAI_API_KEY|AWS_SECRET_ACCESS_KEY|GITHUB_TOKEN|GITLAB_TOKEN|GITLAB_PAT|GITLAB_PRIVATE_TOKEN"
+    r"|SLACK_BOT_TOKEN|STRIPE_SECRET_KEY|SENDGRID_API_KEY|TWILIO_AUTH_TOKEN|TWILIO_API_SECRET|TWILIO_API_KEY"
+    r"|TWILIO_ACCOUNT_SID|FIREBASE_API_KEY|AZURE_CLIENT_SECRET|AZURE_STORAGE_ACCOUNT_KEY"
+    r"|AZURE_STORAGE_CONNECTION_STRING|AZURE_SERVICEBUS_CONNECTION_STRING|API_KEY|SECRET_KEY|ACCESS_TOKEN"
+    r"|AUTH_TOKEN|CLIENT_SECRET"
+)
+
 # --- Fixed values: the built-in rules, in tie-break order -------------------
 # Fields: id, label, category, base confidence, pattern, flags, explanation,
 # placeholder, context keywords, whether group 1 is reported, gate.
@@ -281,12 +293,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
     ),
     Rule(
         "env-assignment", "Secret environment variable value", "secret", 92,
-        r"(?:^|[\r\n])\s*(?:OPENAI_API_KEY|AWS_SECRET_ACCESS_KEY|GITHUB_TOKEN|GITLAB_TOKEN|GITLAB_PAT"
-        r"|GITLAB_PRIVATE_TOKEN|SLACK_BOT_TOKEN|STRIPE_SECRET_KEY|SENDGRID_API_KEY|TWILIO_AUTH_TOKEN"
-        r"|TWILIO_API_SECRET|TWILIO_API_KEY|TWILIO_ACCOUNT_SID|FIREBASE_API_KEY|AZURE_CLIENT_SECRET"
-        r"|AZURE_STORAGE_ACCOUNT_KEY|AZURE_STORAGE_CONNECTION_STRING|AZURE_SERVICEBUS_CONNECTION_STRING"
-        r"|API_KEY|SECRET_KEY|ACCESS_TOKEN|AUTH_TOKEN|CLIENT_SECRET)"
-        r"""\s*=\s*["']?([^"'\r\n\s]+)["']?""", "gim",
+        r"(?:^|[\r\n])\s*(?:" + ENV_NAMES + r""")\s*=\s*["']?([^"'\r\n\s]+)["']?""", "gim",
         "This looks like a real secret value assigned inside an .env-style configuration line.",
         "<ENV_SECRET>",
         ("api_key", "secret_key", "token", "client_secret", "env"),
@@ -354,6 +361,30 @@ BUILTIN_RULES: tuple[Rule, ...] = (
     ),
 )
 
+_SPACE = f"[{JS_SPACE_CLASS}]"
+_BLANK = r"[\t\x0B\f \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff]"
+
+# Two patterns, tried at every position as they stand, search a run of text again
+# from each of its positions: a page with much blank space or a long encoded
+# string would take time quadratic in it.  These find the same matches (before,
+# reported, after) in one pass, in Java syntax:
+# - of the line starts a run of white space has before a variable, the last one
+#   does, and only blanks can follow it;
+# - an address starts at the first word character of its run, or, right behind
+#   another address, at once; no later start in the run can do better.
+ONE_PASS = {
+    "env-assignment": (
+        rf"(?im)(?:\A|(?<=[\n\r\u2028\u2029])){_BLANK}*+(?:{ENV_NAMES}){_SPACE}*+={_SPACE}*+[\"']?",
+        rf"[^\"'{JS_SPACE_CLASS}]+",
+        r"[\"']?",
+    ),
+    "email": (
+        r"(?:\G(?<=\w)(?=[.%+-])|(?<![\w.%+-])[.%+-]*+(?=\w))",
+        r"[\w.%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))",
+        "",
+    ),
+}
+
 # Confidence before context, for rules a user supplies.
 CUSTOM_BASE = {"secret": 82, "pii": 72}
 

@@ -1,6 +1,7 @@
 """Rules, scoring, suppression, thresholds and overlap resolution."""
 
 import random
+import time
 from dataclasses import replace
 from datetime import datetime, timezone
 from hashlib import md5
@@ -383,3 +384,36 @@ def test_summary(spark):
     )
     assert (s[1].s.total, s[1].s.rule_labels, s[1].s.top_category) == (0, [], None)
     assert s[2].s.top_category == "secret"
+
+
+@pytest.mark.parametrize(
+    "rule_id, pieces",
+    [
+        ("email", ["a", "b1", ".", "@", "-", "%", "+", "_", " ", "\n", ".co", ".c", "é", "@x.org", ".", "@"]),
+        (
+            "env-assignment",
+            ["API_KEY", "github_token", "=", "=", "\n", "\r", "\r\n", " ", "\t", " ", " ", "\u0085", "'", '"', "v1", "\n"],
+        ),
+    ],
+)
+def test_one_pass_patterns_find_the_same(spark, rule_id, pieces):
+    rng = random.Random(rule_id)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 30))) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rule = next(r for r in BUILTIN_RULES if r.id == rule_id)
+
+    def hits(r):
+        rows = detect.raw_findings(df, rules=[r]).select("doc_id", F.inline("findings"))
+        return sorted(map(tuple, rows.select("doc_id", "start_pos", "end_pos").collect()))
+
+    as_written = hits(replace(rule, source="custom"))
+    assert len(as_written) > 500
+    assert hits(rule) == as_written
+
+
+def test_long_runs_take_linear_time(spark):
+    texts = ["x_key=\n" + "\n" * 200_000, "@ " + "a." * 100_000, "token = a\n" + " " * 200_000, "1 2 3 " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    start = time.monotonic()
+    detect.scan(df).select(F.size("findings")).collect()
+    assert time.monotonic() - start < 60
