@@ -49,6 +49,8 @@ def scan(
     scanned = with_raw_findings(
         df, policy, text_col=text_col, host_col=host_col,
         ignore_allow=ignore_allow, as_of=as_of,
+        # Default profiles all have the default strictness.
+        by_host=strictness is None and policy.profiles is not None,
     )
     if strictness:
         threshold = F.lit(THRESHOLDS[strictness])
@@ -73,16 +75,16 @@ def raw_findings(
 def with_raw_findings(
     df: DataFrame, policy: Policy, *, text_col: str = "text", host_col: str | None = None,
     ignore_allow: bool = False, as_of: datetime | None = None, rules: list[Rule] | None = None,
+    by_host: bool = False,
 ) -> DataFrame:
     """Add ``__raw``, the scored matches no allow rule covers, and the host's ``__threshold``."""
     spark = df.sparkSession
     rules = policy.rules(spark) if rules is None else rules
     text = F.coalesce(F.col(text_col), F.lit(""))
     exact_allow = bool(host_col) and policy.exact_allow is not None and not ignore_allow
-    hosts = policy.host_table(spark, as_of, exact_allow) if host_col else None
-    if hosts is not None:
+    if host_col and (exact_allow or by_host):
         # One row per supported host: a handful, whatever the corpus size.
-        hosts = hosts.select(
+        hosts = policy.host_table(spark, as_of, exact_allow).select(
             F.col("hostname").alias("__host"),
             F.col("threshold").alias("__threshold"),
             F.col("allow_keys").alias("__allow"),
