@@ -25,7 +25,7 @@ FULL_REDACTION = "[REDACTED]"
 
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.transform(F.array(value), body).getItem(0)
 
 
 def ws_trim(value: Column) -> Column:

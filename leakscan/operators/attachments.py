@@ -25,10 +25,10 @@ SCOPE = ("input_id", "batch_ts")
 
 def is_text_like(file_name: Column, file_type: Column) -> Column:
     """A text MIME type, or one of the known extensions."""
-    test = F.coalesce(F.startswith(file_type, F.lit("text/")), F.lit(False))
+    test = F.coalesce(file_type.startswith("text/"), F.lit(False))
     lowered = F.lower(file_name)
     for extension in TEXT_EXTENSIONS:
-        test = test | F.endswith(lowered, F.lit(extension))
+        test = test | lowered.endswith(extension)
     return test
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from leakscan.functions.arrays import fold_emit, rows_literal
 from leakscan.functions.text import allow_fingerprint, let, ws_collapse, ws_trim
 from leakscan.operators.policy import THRESHOLDS, Policy, allow_key
-from leakscan.operators.rules import BUILTIN_RULES, CLOSE, OPEN, Rule, screens
+from leakscan.operators.rules import CLOSE, OPEN, Rule, screens
 
 # Fixed values.
 SEVERITY_WEIGHT = {"critical": 2000, "high": 1000, "medium": 100}
@@ -127,7 +127,7 @@ def _bind(df: DataFrame, value: Column, name: str) -> DataFrame:
 def _cut(text: Column, lowered: Column, rules: list[Rule], names: dict[str, str]) -> Column:
     """For each rule with a match, the text cut at its matches."""
     safe = F.when(
-        F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)),
+        text.contains(OPEN) | text.contains(CLOSE),
         F.translate(text, OPEN + CLOSE, "\ufffd\ufffd"),
     ).otherwise(text)
     def screened(rule: Rule) -> Column:
@@ -209,7 +209,7 @@ def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[st
     def step(st: Column, piece: Column, rule: Column, n: Column) -> Column:
         breaks = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
         # A match that opens the text with a line feed counts from the next line.
-        first = F.when((st.at == 0) & F.startswith(piece, F.lit("\n")), F.lit(1)).otherwise(st.line)
+        first = F.when((st.at == 0) & piece.startswith("\n"), F.lit(1)).otherwise(st.line)
         hit = st.inside & (F.length(piece) > 0) & (~rule.phone | looks_like_phone(piece))
 
         def moved(to: Column) -> Column:
@@ -255,7 +255,7 @@ def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[st
 def _line_facts(lines: Column, first: Column, last: Column, rule: Column, allowed_lines: list[str]) -> Column:
     """What a rule needs to know about the line of a match."""
     def facts(line: Column, hits: Column) -> Column:
-        assigned = (F.contains(line, F.lit("=")) | F.contains(line, F.lit(":"))) & line.rlike(CREDENTIAL_WORDS)
+        assigned = (line.contains("=") | line.contains(":")) & line.rlike(CREDENTIAL_WORDS)
         return F.struct(
             first.alias("first"),
             last.alias("last"),
@@ -272,7 +272,7 @@ def _line_facts(lines: Column, first: Column, last: Column, rule: Column, allowe
 
 def _keywords_in(keywords: Column, line: Column) -> Column:
     """The rule's keywords the line contains, in rule order."""
-    return let(F.lower(line), lambda low: F.filter(keywords, lambda k: F.contains(low, k)))
+    return let(F.lower(line), lambda low: F.filter(keywords, lambda k: low.contains(k)))
 
 
 def _matches_any(value: Column, patterns: list[str]) -> Column:
@@ -447,8 +447,3 @@ def summarize(findings: Column) -> Column:
         .otherwise(F.lit("pii"))
         .alias("top_category"),
     )
-
-
-__all__ = [
-    "BUILTIN_RULES", "THRESHOLDS", "explode_findings", "raw_findings", "scan", "summarize",
-]

@@ -74,7 +74,7 @@ def screens(text: Column, rules: Iterable[Rule]) -> dict[str, Column]:
     a single regex rules out the needles without any.
     """
     gates = dict.fromkeys(rule.gate for rule in rules)
-    tests = {g.anchor: F.contains(text, F.lit(g.anchor)) for g in gates if g.anchor}
+    tests = {g.anchor: text.contains(g.anchor) for g in gates if g.anchor}
     leads: dict[str, list[str]] = {}
     for gate in gates:
         if gate.screen == "lead":
@@ -89,7 +89,7 @@ def screens(text: Column, rules: Iterable[Rule]) -> dict[str, Column]:
 
 def _any_of(text: Column, needles: tuple[str, ...]) -> Column:
     if len(needles) == 1:
-        return F.contains(text, F.lit(needles[0]))
+        return text.contains(needles[0])
     return text.rlike("|".join(regex.quote(needle) for needle in needles))
 
 

@@ -16,7 +16,7 @@ def read_files(spark: SparkSession, path: str, *, input_id: str = "path") -> Dat
     """
     gate = F.lit(False)
     for extension in TEXT_EXTENSIONS:
-        gate = gate | F.endswith(F.lower("path"), F.lit(extension))
+        gate = gate | F.lower("path").endswith(extension)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(gate)
     return found.select(
         F.lit(input_id).alias("input_id"),

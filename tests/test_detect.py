@@ -389,10 +389,10 @@ def test_summary(spark):
 @pytest.mark.parametrize(
     "rule_id, pieces",
     [
-        ("email", ["a", "b1", ".", "@", "-", "%", "+", "_", " ", "\n", ".co", ".c", "é", "@x.org", ".", "@"]),
+        ("email", ["a", "b1", ".", "@", "-", "%", "+", "_", " ", "\n", ".co", ".c", "\u00e9", "@x.org", ".", "@"]),
         (
             "env-assignment",
-            ["API_KEY", "github_token", "=", "=", "\n", "\r", "\r\n", " ", "\t", " ", " ", "\u0085", "'", '"', "v1", "\n"],
+            ["API_KEY", "github_token", "=", "=", "\n", "\r", "\r\n", " ", "\t", "\u2028", "\u00a0", "\u0085", "'", '"', "v1", "\n"],
         ),
     ],
 )

@@ -34,7 +34,7 @@ def file(input_id="i", batch=0, name="a.txt", kind=None, text="x", size=1):
 
 
 def test_composer_texts(spark):
-    df = spark.createDataFrame([(1, "a b"), (2, "  \n"), (3, "")], "doc_id int, text string")
+    df = spark.createDataFrame([(1, "a\u00a0b"), (2, " \u00a0\n"), (3, "")], "doc_id int, text string")
     assert [tuple(r) for r in tables.composer_texts(df).collect()] == [(1, "a b")]
 
 

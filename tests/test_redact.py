@@ -69,7 +69,7 @@ def test_long_texts_against_python(spark):
     rng = random.Random(5)
     texts = []
     for n in (3, 200, 4000):
-        words = [rng.choice(["user%d@example.com" % i, "filler" * rng.randint(1, 9), "été"]) for i in range(n)]
+        words = [rng.choice(["user%d@example.com" % i, "filler" * rng.randint(1, 9), "\u00e9t\u00e9"]) for i in range(n)]
         texts.append(" ".join(words))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     for r in red.redact(detect.scan(df), "placeholder").collect():
