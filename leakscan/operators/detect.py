@@ -39,12 +39,15 @@ def scan(
     *,
     text_col: str = "text",
     host_col: str | None = None,
-    origin: str = "composer",
+    origin: str | Column = "composer",
     strictness: str | None = None,
     ignore_allow: bool = False,
     as_of: datetime | None = None,
 ) -> DataFrame:
-    """Add ``findings``, the resolved findings of each row, in text order."""
+    """Add ``findings``, the resolved findings of each row, in text order.
+
+    ``origin`` says where the texts come from, for all rows or as a column.
+    """
     policy = policy or Policy()
     scanned = with_raw_findings(
         df, policy, text_col=text_col, host_col=host_col,
@@ -359,8 +362,9 @@ def resolve_overlaps(raw: Column) -> Column:
 # --- presentation ------------------------------------------------------------
 
 
-def describe(raw: Column, rules: list[Rule], origin: str) -> Column:
+def describe(raw: Column, rules: list[Rule], origin: str | Column) -> Column:
     """Spell out the fields of each finding."""
+    origin = F.lit(origin) if isinstance(origin, str) else origin
     fields = ("id", "label", "category", "source", "placeholder", "explanation")
     facts = rows_literal(
         [{name: getattr(rule, name) for name in fields} for rule in rules],
@@ -387,7 +391,7 @@ def describe(raw: Column, rules: list[Rule], origin: str) -> Column:
                 confidence_label(f.confidence).alias("confidence_label"),
                 why(rule.explanation, f.keyword, f.match, f.confidence).alias("why"),
                 allow_fingerprint(rule.id, f.match).alias("allow_fingerprint"),
-                F.lit(origin).alias("origin"),
+                origin.alias("origin"),
                 f.first_line.alias("first_line"),
                 f.last_line.alias("last_line"),
             ),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leakscan.operators.attachments import latest_selection
@@ -27,9 +28,14 @@ def read_stream(spark: SparkSession, folder: str, file_glob: str, schema, max_fi
 
 
 def scan_stream(texts: DataFrame, policy: Policy, **scan_options) -> DataFrame:
-    """Scan arriving texts on guarded hosts, each by the switches of its origin."""
+    """Scan arriving texts on guarded hosts, each by the switches of its origin.
+
+    A pasted text counts as composer text in its findings; the content of a file
+    stays marked as such, so that nothing rewrites it.
+    """
     on = guarded(texts, policy, origin_col="origin")
-    return scan(on, policy, host_col="hostname", **scan_options)
+    origin = F.when(F.col("origin") == "attachment", F.lit("attachment")).otherwise(F.lit("composer"))
+    return scan(on, policy, host_col="hostname", origin=origin, **scan_options)
 
 
 def write_available(

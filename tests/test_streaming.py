@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from leakscan.operators import attachments as att
 from leakscan.operators import detect
 from leakscan.operators import policy as pol
+from leakscan.operators import redact as red
 from leakscan.operators.policy import Policy
 from leakscan.plans import settings as st
 from leakscan.streaming import live
@@ -39,6 +40,16 @@ def test_stream_equals_batch(spark, folder):
     assert streamed.count() > 0
 
 
+def test_origin_of_streamed_findings(spark):
+    scanned = live.scan_stream(spark.createDataFrame(ROWS, SCHEMA), Policy())
+    out = red.redact(scanned, "full-redact").collect()
+    assert {(r.origin, f.origin) for r in out for f in r.findings} == {
+        ("composer", "composer"), ("paste", "composer"), ("attachment", "attachment"),
+    }
+    for r in out:
+        assert (r.redacted == r.text) == (r.origin == "attachment")
+
+
 def test_only_new_files_are_scanned_after_a_restart(spark, folder, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "ck")
 
