@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm import bpe, language, simhash, substring
+from leakscan.llm import bpe, language, simhash, substring, tiling
 from leakscan.llm.store import stored
 
 ORACLE_SQL = None  # language models and token ids are beyond SQL; tests compare with a brute-force version
@@ -32,8 +32,25 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def trimmed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: repeated passages stay in the first document only; emptied documents go."""
-    return substring.dedup(docs).filter(r"text is null or text rlike '[^\\x20\\x09-\\x0D]'")
+    """Substring dedup: repeated passages stay in the first document only; emptied documents go.
+
+    Where a text gets shorter, so does n_chars.
+    """
+    cut = substring.dedup(docs, removed_col="n_removed")
+    left = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(size))
+    return left.select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold an item of the benchmark go.
+
+    A row with a null id is kept only if no such row holds an item.
+    """
+    found = tiling.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found.withColumnRenamed("doc_id", "found"), F.col("doc_id").eqNullSafe(F.col("found")), "left_anti")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +63,7 @@ STAGES = [
     ("language ID", identified),
     ("SimHash near-dedup", distinct),
     ("substring dedup", trimmed),
+    ("benchmark decontamination", decontaminated),
     ("byte-level BPE", encoded),
 ]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm import attribution, bpe, language, sharding, simhash, substring
+from leakscan.llm import attribution, bpe, embeddings, language, lm, quality, sharding, simhash, substring, tiling
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -24,10 +24,19 @@ def tokenizer(spark: SparkSession) -> bpe.Tokenizer:
     return bpe.Tokenizer(spark, RANKS, public_tokenizers.PATTERN)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The contaminated documents, with the items found in them."""
+    return tiling.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return attribution.token_counts(_table(spark, folder, "documents"), tokenizer(spark))
 
@@ -50,6 +59,23 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_table(spark, folder, "documents"), tokenizer(spark))
 
 
+def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Learned from four folds of five."""
+    docs = _table(spark, folder, "documents")
+    here = fold(F.col("doc_id"), 5)
+    found = lm.scores(docs, (here >= 0) & (here != 1))
+    columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return found.select("doc_id", (here == 1).alias("held_out"), *columns)
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Learned from the labels of three folds of four."""
+    here = fold(F.col("doc_id"), 4)
+    labels = _table(spark, folder, "labels").filter((here >= 0) & (here != 2))
+    found = quality.classify(_table(spark, folder, "documents"), labels)
+    return found.select("doc_id", (here == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digests(_table(spark, folder, "documents"))
 
@@ -57,11 +83,15 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_embedding_near_dedup,
         op2_simhash_near_dedup,
+        op3_decontamination,
         op4_token_counts,
         op5_language_id,
         op6_sharding,
         op7_byte_bpe,
+        op8_lm_scores,
+        op9_quality,
         op10_substring_dedup,
     )
 }

@@ -60,7 +60,7 @@ class Filter:
         self.bytes = np.zeros(0, np.uint8)
 
     def one(self, keys: np.ndarray) -> bytes:
-        """The bytes of one segment that holds these keys."""
+        """The bytes of one segment that holds these keys (or names made from keys of that segment)."""
         bits = np.zeros(self.size * 8, bool)
         for probe in range(PROBES):
             bits[_places(keys, len(bits), probe)] = True
@@ -72,9 +72,16 @@ class Filter:
             self.bytes[k * self.size : (k + 1) * self.size] = np.frombuffer(blob, np.uint8)
         return self
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        """True for every key put in, and for few others while the filter is not full."""
-        base = segment(keys, self.count) * (self.size * 8)
+    def fill(self) -> float:
+        """The share of bits that are set."""
+        return float(np.bitwise_count(self.bytes).sum()) / max(1, 8 * len(self.bytes))
+
+    def holds(self, keys: np.ndarray, home: np.ndarray | None = None) -> np.ndarray:
+        """True for every key put in, and for few others while the filter is not full.
+
+        ``home`` has the keys that the segments go by, where names were put in.
+        """
+        base = segment(keys if home is None else home, self.count) * (self.size * 8)
         found = np.ones(len(keys), bool)
         alive = np.arange(len(keys))
         for probe in range(PROBES):

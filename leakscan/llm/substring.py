@@ -267,7 +267,13 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return applied(rows, found, schema, emit, window).fillna(0, ["longest_repeat"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    removed_col: str | None = None,
+) -> DataFrame:
     """``docs`` with every word cut that lies in a repeated window of ``window`` words.
 
     A window is repeated when its word sequence also starts in a document with
@@ -285,10 +291,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     rows = plain.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), rest)
     found = removals(rows.select("doc_id", "text").filter("doc_id is not null"), window)
 
-    def emit(batch, words_, kept):
-        return pa.RecordBatch.from_arrays([batch.column("rest"), _texts(batch, words_, kept)], ["rest", "text"])
+    def emit(batch, found_words, kept):
+        columns = [batch.column("rest"), _texts(batch, found_words, kept), pa.array(_sums(found_words, kept)[1])]
+        return pa.RecordBatch.from_arrays(columns, ["rest", "text", "removed"])
 
-    schema = f"rest {rows.schema['rest'].dataType.simpleString()}, text string"
+    schema = f"rest {rows.schema['rest'].dataType.simpleString()}, text string, removed long"
     out = applied(rows, found, schema, emit, window)
     columns = [F.col("text") if c == text else F.col("rest")[c] for c in plain.columns]
-    return out.select(*[c.alias(n) for c, n in zip(columns, names)])
+    added = [F.col("removed").alias(removed_col)] if removed_col else []
+    return out.select(*[c.alias(n) for c, n in zip(columns, names)], *added)
