@@ -18,7 +18,7 @@ from leakscan.operators.policy import Policy
 # Fixed values.
 TEXT_EXTENSIONS = (".txt", ".md", ".json", ".env", ".csv", ".yaml", ".yml", ".log")
 DEFAULT_TYPE = "text/plain"
-MAX_FILE_CHARS = 250_000  # what follows in a file is not scanned
+MAX_FILE_CHARS = 250_000  # a limit that a caller may ask for
 
 SCOPE = ("input_id", "batch_ts")
 
@@ -32,8 +32,8 @@ def is_text_like(file_name: Column, file_type: Column) -> Column:
     return test
 
 
-def scannable(files: DataFrame, max_chars: int | None = MAX_FILE_CHARS) -> DataFrame:
-    """Text-like files that are not blank, cut at the size limit (None for no limit)."""
+def scannable(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Text-like files that are not blank, whole unless ``max_chars`` cuts them."""
     kept = files.filter(is_text_like(F.col("file_name"), F.col("file_type"))).filter(~is_blank(F.col("text")))
     return kept if max_chars is None else kept.withColumn("text", F.substring("text", 1, max_chars))
 
@@ -51,7 +51,7 @@ def file_key(*scope: str) -> Column:
 
 def scan_files(
     files: DataFrame, policy: Policy | None = None, *, host_col: str | None = None,
-    as_of: datetime | None = None, scope: tuple[str, ...] = SCOPE, max_chars: int | None = MAX_FILE_CHARS,
+    as_of: datetime | None = None, scope: tuple[str, ...] = SCOPE, max_chars: int | None = None,
 ) -> DataFrame:
     """Scan each file; files without findings are left out.
 

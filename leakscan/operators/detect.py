@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from leakscan.functions.arrays import fold_emit, rows_literal
 from leakscan.functions.text import allow_fingerprint, let, ws_collapse, ws_trim
-from leakscan.operators.policy import THRESHOLDS, Policy, allow_key
+from leakscan.operators.policy import THRESHOLDS, Policy, allow_key, purge_expired
 from leakscan.operators.rules import CLOSE, OPEN, Rule, screens
+from leakscan.sources.shared import stored
 
 # Fixed values.
 SEVERITY_WEIGHT = {"critical": 2000, "high": 1000, "medium": 100}
@@ -85,18 +86,14 @@ def with_raw_findings(
     rules = policy.rules(spark) if rules is None else rules
     text = F.coalesce(F.col(text_col), F.lit(""))
     exact_allow = bool(host_col) and policy.exact_allow is not None and not ignore_allow
-    if host_col and (exact_allow or by_host):
+    if host_col and by_host:
         # One row per supported host: a handful, whatever the corpus size.
-        hosts = policy.host_table(spark, as_of, exact_allow).select(
-            F.col("hostname").alias("__host"),
-            F.col("threshold").alias("__threshold"),
-            F.col("allow_keys").alias("__allow"),
+        hosts = policy.host_table(spark).select(
+            F.col("hostname").alias("__host"), F.col("threshold").alias("__threshold")
         )
-        df = df.join(F.broadcast(hosts), F.col(host_col) == F.col("__host"), "left")
+        df = df.join(F.broadcast(hosts), F.col(host_col) == F.col("__host"), "left").drop("__host")
     else:
-        df = df.withColumns(
-            {"__threshold": F.lit(None).cast("int"), "__allow": F.lit(None).cast("array<string>")}
-        )
+        df = df.withColumn("__threshold", F.lit(None).cast("int"))
 
     # Screens and the lowered text are read by many gates, so they are columns.
     tests = screens(text, rules)
@@ -109,10 +106,10 @@ def with_raw_findings(
     raw = F.when(F.col("__lines").isNull(), F.array().cast(f"array<{_FINDING}>")).otherwise(
         _score(F.col("__cut"), F.col("__lines"), rules, allowed_lines)
     )
-    if exact_allow:
-        raw = F.filter(raw, lambda f: ~_exactly_allowed(f, F.col("__allow"), rules))
-    drop = ["__low", "__cut", "__lines", "__allow", "__host", *names.values()]
-    return _bind(df, raw, "__raw").drop(*drop)
+    scored = _bind(df, raw, "__raw").drop("__low", "__cut", "__lines", *names.values())
+    if not exact_allow:
+        return scored
+    return _without_allowed(scored, purge_expired(policy.exact_allow, as_of), rules, text, F.col(host_col))
 
 
 def _bind(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -308,10 +305,34 @@ def confidence_label(confidence: Column) -> Column:
 # --- suppression -------------------------------------------------------------
 
 
-def _exactly_allowed(f: Column, allowed: Column, rules: list[Rule]) -> Column:
-    rule_id = F.get(rows_literal([{"id": rule.id} for rule in rules], "id:string"), f.ord).id
-    key = allow_key(rule_id, allow_fingerprint(rule_id, f.match))
-    return F.coalesce(F.array_contains(allowed, key), F.lit(False))
+def _without_allowed(df: DataFrame, live: DataFrame, rules: list[Rule], text: Column, host: Column) -> DataFrame:
+    """Take out the raw findings that an exact allow rule of the host covers.
+
+    Allow rules may be as many as findings.  The keys of the findings, without
+    their texts, meet the rules in a join; what is allowed in a text comes back
+    to it by a 128-bit hash of host and text, since equal texts on a host have
+    equal findings.  That table is stored, so that Spark knows its size: it is
+    broadcast only if it is small.
+    """
+    ids = rows_literal([{"id": rule.id} for rule in rules], "id:string")
+
+    def key(f: Column) -> Column:
+        return let(F.get(ids, f.ord).id, lambda rule_id: allow_key(rule_id, allow_fingerprint(rule_id, f.match)))
+
+    named = df.withColumns({"__a": F.xxhash64(host, text), "__b": F.xxhash64(F.lit(1), host, text)})
+    found = named.filter(F.size("__raw") > 0).select(
+        "__a", "__b", host.alias("__host"), F.explode(F.array_distinct(F.transform("__raw", key))).alias("__key")
+    )
+    wanted = live.select(
+        F.col("hostname").alias("__host"), allow_key(F.col("rule_id"), F.col("match_fingerprint")).alias("__key")
+    )
+    met = found.distinct().join(wanted.distinct(), ["__host", "__key"])
+    allowed = stored(met.groupBy("__a", "__b").agg(F.collect_list("__key").alias("__allow")), "allowed")
+    kept = F.when(F.col("__allow").isNull(), F.col("__raw")).otherwise(
+        F.filter("__raw", lambda f: ~F.array_contains(F.col("__allow"), key(f)))
+    )
+    rows = named.join(allowed, ["__a", "__b"], "left").withColumn("__raw", kept)
+    return rows.drop("__a", "__b", "__allow")
 
 
 # --- overlaps ----------------------------------------------------------------

@@ -35,9 +35,6 @@ MAX_SHOWN_ALLOW = 120
 MAX_TEMPORARY_MINUTES = 43_200
 EXTENSIONS = {"extend-15m": 15, "extend-1h": 60, "extend-1d": 1440}
 
-# Patterns become expressions in the plan, so their number is checked.
-MAX_CUSTOM_PATTERNS = 1000
-
 PROFILE_SCHEMA = (
     "hostname string, label string, enabled boolean, strictness string, "
     "scan_on_paste boolean, scan_attachments boolean, redaction_mode string"
@@ -64,8 +61,8 @@ class Policy:
         if "rules" not in self._memo:
             chosen = catalogue.select_rules(self.detect_secrets, self.detect_pii)
             if self.custom_patterns is not None:
-                rows = few_rows(self.custom_patterns, MAX_CUSTOM_PATTERNS, "custom patterns")
-                chosen += catalogue.custom_rules(spark, rows)
+                # The patterns of one policy are configuration: they become expressions of the plan.
+                chosen += catalogue.custom_rules(spark, self.custom_patterns.collect())
             self._memo["rules"] = chosen or [catalogue.NO_RULE]
         return self._memo["rules"]
 
@@ -74,48 +71,37 @@ class Policy:
         if self.workspace_allow is None:
             return []
         if "workspace" not in self._memo:
-            rows = few_rows(self.workspace_allow, MAX_WORKSPACE_ALLOW, "workspace allow patterns")
-            java = [
-                regex.to_java(r["pattern"], regex.sanitize_flags(r["flags"] or "")) for r in rows if r["enabled"]
-            ]
+            rows = self.workspace_allow.filter("enabled").collect()
+            java = [regex.to_java(r["pattern"], regex.sanitize_flags(r["flags"] or "")) for r in rows]
             self._memo["workspace"] = [p for p in java if catalogue.compiles(spark, p)]
         return self._memo["workspace"]
 
     def profile_table(self, spark: SparkSession) -> DataFrame:
         return default_profiles(spark) if self.profiles is None else self.profiles
 
-    def host_table(self, spark: SparkSession, as_of: datetime | None, with_allow: bool) -> DataFrame:
-        """Per host: threshold, mode and live allow keys.
-
-        Bounded by the supported hosts plus at most ``MAX_EXACT_ALLOW`` rules,
-        so it is safe to broadcast.
-        """
+    def host_table(self, spark: SparkSession) -> DataFrame:
+        """Per supported host: threshold, switches and mode; one row of each host, the first by its fields."""
         thresholds = F.create_map(*(F.lit(x) for pair in THRESHOLDS.items() for x in pair))
-        hosts = (
+        fields = [c for c in self.profile_table(spark).columns if c != "hostname"]
+        one = (
             self.profile_table(spark)
             .filter(F.col("hostname").isin(list(SITES)))
-            .dropDuplicates(["hostname"])
-            .select(
-                "hostname", "enabled", "scan_on_paste", "scan_attachments", "redaction_mode",
-                thresholds[F.col("strictness")].alias("threshold"),
-            )
-        )
-        if not with_allow:
-            return hosts.withColumn("allow_keys", F.lit(None).cast("array<string>"))
-        keys = (
-            purge_expired(self.exact_allow, as_of)
             .groupBy("hostname")
-            .agg(F.collect_set(allow_key(F.col("rule_id"), F.col("match_fingerprint"))).alias("allow_keys"))
+            .agg(F.min(F.struct(*fields)).alias("p"))
+            .select("hostname", "p.*")
+        )
+        return one.select(
+            "hostname", "enabled", "scan_on_paste", "scan_attachments", "redaction_mode",
+            thresholds[F.col("strictness")].alias("threshold"),
         )
-        return hosts.join(keys, "hostname", "full")
 
 
-def few_rows(df: DataFrame, limit: int, what: str) -> list:
-    """Collect a table of configuration, refusing one that is too large for it."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} {what}; they are compiled into the plan")
-    return rows
+def only_row(df: DataFrame, what: str):
+    """The one row of a table of configuration."""
+    rows = df.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected one {what}")
+    return rows[0]
 
 
 def keep_first(df: DataFrame, n: int, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
@@ -220,7 +206,7 @@ def guarded(
     spark = df.sparkSession
     if not policy.enabled:
         return df.filter(F.lit(False))
-    hosts = policy.host_table(spark, None, False).filter("enabled")
+    hosts = policy.host_table(spark).filter("enabled")
     hosts = hosts.select(F.col("hostname").alias("__host"), "scan_on_paste", "scan_attachments")
     condition = F.col(host_col) == F.col("__host")
     if origin_col:
@@ -235,7 +221,7 @@ def guarded(
 
 def with_mode(df: DataFrame, policy: Policy, *, host_col: str = "hostname") -> DataFrame:
     """Add ``mode``: the host's redaction mode, or the default."""
-    hosts = policy.host_table(df.sparkSession, None, False).select(
+    hosts = policy.host_table(df.sparkSession).select(
         F.col("hostname").alias("__host"), F.col("redaction_mode").alias("__mode")
     )
     joined = df.join(F.broadcast(hosts), F.col(host_col) == F.col("__host"), "left")
@@ -288,17 +274,19 @@ def normalize_exact_allow(given: DataFrame, as_of: datetime | None = None, by: t
     )
 
 
-def purge_expired(allow: DataFrame, as_of: datetime | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Live rules only, at most ``MAX_EXACT_ALLOW`` of them in stored order."""
+def purge_expired(
+    allow: DataFrame, as_of: datetime | None = None, by: tuple[str, ...] = (), keep: int | None = None
+) -> DataFrame:
+    """Live rules only, the first ``keep`` of a user in stored order, or all."""
     live = allow.filter(is_live(F.col("expires_at"), as_of))
-    return keep_first(live, MAX_EXACT_ALLOW, [F.col("pos"), F.col("id")], by)
+    return live if keep is None else keep_first(live, keep, [F.col("pos"), F.col("id")], by)
 
 
 def is_live(expires_at: Column, as_of: datetime | None) -> Column:
     return expires_at.isNull() | (expires_at > moment(as_of))
 
 
-def normalize_workspace(given: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def normalize_workspace(given: DataFrame, by: tuple[str, ...] = (), keep: int | None = None) -> DataFrame:
     kept = given.filter(F.col("label").isNotNull() & F.col("pattern").isNotNull()).select(
         *by,
         _id_or(given, *by, "label", "pattern"),
@@ -308,10 +296,12 @@ def normalize_workspace(given: DataFrame, by: tuple[str, ...] = ()) -> DataFrame
         F.coalesce("enabled", F.lit(True)).alias("enabled"),
         "pos",
     )
-    return keep_first(kept, MAX_WORKSPACE_ALLOW, [F.col("pos"), F.col("id")], by)
+    return kept if keep is None else keep_first(kept, keep, [F.col("pos"), F.col("id")], by)
 
 
-def normalize_packs(given: DataFrame, as_of: datetime | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def normalize_packs(
+    given: DataFrame, as_of: datetime | None = None, by: tuple[str, ...] = (), keep: int | None = None
+) -> DataFrame:
     kept = given.filter(
         F.col("name").isNotNull() & F.col("description").isNotNull() & F.col("pattern_count").isNotNull()
     ).select(
@@ -323,7 +313,7 @@ def normalize_packs(given: DataFrame, as_of: datetime | None = None, by: tuple[s
         "pattern_count",
         "pos",
     )
-    return keep_first(kept, MAX_PACKS, [F.col("pos"), F.col("id")], by)
+    return kept if keep is None else keep_first(kept, keep, [F.col("pos"), F.col("id")], by)
 
 
 # --- changing allow rules ----------------------------------------------------
@@ -346,16 +336,20 @@ def allow_requests(found: DataFrame, *, seq: str, ts: str = "ts") -> DataFrame:
     )
 
 
-def shown_allow(allow: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The allow rules a user is shown."""
-    return keep_first(allow, MAX_SHOWN_ALLOW, [F.col("pos"), F.col("id")], by)
+def shown_allow(allow: DataFrame, keep: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``keep`` allow rules of a user, as a report shows them."""
+    return keep_first(allow, keep, [F.col("pos"), F.col("id")], by)
 
 
 def temporary_allow(requests: DataFrame, as_of: datetime | None = None) -> DataFrame:
-    """Bound the requested minutes and turn them into an expiry and a label."""
+    """Bound the requested minutes and turn them into an expiry and a label.
+
+    Minutes that are missing or not a number count as one.
+    """
     # Clamped before the cast: a huge request must not overflow it.
+    asked, one = F.col("minutes").cast("double"), F.lit(1.0)
     minutes = F.floor(
-        F.greatest(F.lit(1.0), F.least(F.lit(float(MAX_TEMPORARY_MINUTES)), F.col("minutes").cast("double")))
+        F.greatest(F.lit(1.0), F.least(F.lit(float(MAX_TEMPORARY_MINUTES)), F.coalesce(F.nanvl(asked, one), one)))
     ).cast("int")
     return requests.withColumn("minutes", minutes).withColumns(
         {
@@ -376,41 +370,35 @@ def upsert_allow(
     and takes the new label and expiry; either way the rule moves to the front.
     Repeated requests for a key collapse to the last one first, which leaves
     one row per key to join on however often a key is asked for.
+
+    ``pos`` orders the rules: those asked for take ``-1 - seq``, the others keep
+    theirs, so nothing is numbered anew.  Later requests need a higher ``seq``;
+    requests of one key and ``seq`` are expected to be equal.
     """
     key = [*by, "hostname", "rule_id", "match_fingerprint"]
-    asked = requests.groupBy(*key).agg(
-        F.max("seq").alias("seq"),
-        F.max_by(F.struct("label", "expires_at"), "seq").alias("latest"),
-        F.min_by("id", "seq").alias("new_id"),
-        F.min_by("created_at", "seq").alias("new_created"),
+    first = F.col("seq") == F.col("first_seq")
+    last = F.col("seq") == F.col("last_seq")
+    ends = requests.groupBy(*key).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    asked = requests.join(ends, key)
+    latest = asked.filter(last).select(*key, "last_seq", "label", "expires_at").distinct()
+    earliest = asked.filter(first).select(*key, F.col("id").alias("new_id"), F.col("created_at").alias("new_created")).distinct()
+    live = existing.filter(is_live(F.col("expires_at"), as_of))
+    places = live.groupBy(*key).agg(F.min("pos").alias("pos"))
+    stored = live.join(places, [*key, "pos"]).select(
+        *key, F.col("id").alias("stored_id"), F.col("created_at").alias("stored_created"), F.col("pos").alias("replaced")
     )
-    stored = (
-        existing.filter(is_live(F.col("expires_at"), as_of))
-        .groupBy(*key)
-        .agg(F.min_by(F.struct("id", "created_at", "pos"), "pos").alias("stored"))
-    )
-    front = asked.join(stored, key, "left").select(
+    front = latest.join(earliest, key).join(stored, key, "left").select(
         *key,
-        F.coalesce("stored.id", "new_id").alias("id"),
-        "latest.label",
-        F.coalesce("stored.created_at", "new_created").alias("created_at"),
-        "latest.expires_at",
-        F.lit(0).alias("__block"),
-        (-F.col("seq")).alias("__order"),
-        F.col("stored.pos").alias("__replaced"),
-    )
-    replaced = front.filter(F.col("__replaced").isNotNull()).select(*by, F.col("__replaced").alias("pos"))
-    rest = existing.join(replaced, [*by, "pos"], "left_anti").select(
-        *key, "id", "label", "created_at", "expires_at",
-        F.lit(1).alias("__block"), F.col("pos").cast("long").alias("__order"),
+        F.coalesce("stored_id", "new_id").alias("id"),
+        "label",
+        F.coalesce("stored_created", "new_created").alias("created_at"),
+        "expires_at",
+        (-1 - F.col("last_seq")).cast("long").alias("pos"),
     )
-    merged = front.drop("__replaced").withColumn("__order", F.col("__order").cast("long")).unionByName(rest)
-    merged = merged.filter(is_live(F.col("expires_at"), as_of))
-    order = [F.col("__block"), F.col("__order"), F.col("id")]
-    first = keep_first(merged, MAX_EXACT_ALLOW, order, by)
-    window = Window.partitionBy(*by).orderBy(*order) if by else Window.partitionBy(F.lit(0)).orderBy(*order)
-    # At most MAX_EXACT_ALLOW rows per user are left to number.
-    return first.withColumn("pos", F.row_number().over(window) - 1).drop("__block", "__order")
+    replaced = stored.join(ends, key, "left_semi").select(*by, F.col("replaced").alias("pos"))
+    rest = existing.join(replaced, [*by, "pos"], "left_anti").withColumn("pos", F.col("pos").cast("long"))
+    merged = front.unionByName(rest.select(*front.columns))
+    return merged.filter(is_live(F.col("expires_at"), as_of))
 
 
 def extend_allow(allow: DataFrame, action: Column, as_of: datetime | None = None) -> DataFrame:

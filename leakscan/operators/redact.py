@@ -58,7 +58,7 @@ def highlighted(text: Column, findings: Column) -> Column:
         text,
         findings,
         lambda f: F.concat(
-            F.lit('<mark class="pp-mark pp-mark--'), f.category, F.lit('">'),
+            F.lit('<mark class="found found--'), f.category, F.lit('">'),
             escape_html(f.match), F.lit("</mark>"),
         ),
         escape_html,
@@ -71,7 +71,7 @@ def replacement_preview(text: Column, findings: Column, mode: Column) -> Column:
         text,
         findings,
         lambda f: F.concat(
-            F.lit('<mark class="pp-mark pp-mark--replacement">'),
+            F.lit('<mark class="found found--replacement">'),
             escape_html(replacement(f, mode)), F.lit("</mark>"),
         ),
         escape_html,

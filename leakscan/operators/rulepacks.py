@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.functions.text import sanitize_flags, ws_trim
-from leakscan.operators.policy import MAX_CUSTOM_PATTERNS, keep_first, moment
+from leakscan.operators.policy import moment
 from leakscan.operators.rules import STARTER_PACK
 
 PATTERN = "label: string, pattern: string, flags: string, category: string, explanation: string, placeholder: string"
@@ -98,22 +98,18 @@ def export_patterns(custom: DataFrame) -> DataFrame:
 def export_packs(custom: DataFrame, by: tuple[str, ...] = (), order: str = "id") -> DataFrame:
     """A whole pack as one JSON text, per user when ``by`` is given.
 
-    A pack is one document, so its size is checked: at most
-    ``MAX_CUSTOM_PATTERNS`` patterns, cut before the shuffle, or an error.
+    A pack is one document: all patterns of a user meet in one row.  Patterns
+    of any number are written as lines by ``export_patterns``.
     """
-    first = keep_first(custom, MAX_CUSTOM_PATTERNS + 1, [F.col(order)], by)
     pack = F.struct(
         F.lit(EXPORT_NAME).alias("name"),
         F.lit(EXPORT_DESCRIPTION).alias("description"),
         F.transform("rows", lambda x: x.p).alias("patterns"),
     )
-    too_many = F.raise_error(F.lit(f"a pack holds at most {MAX_CUSTOM_PATTERNS} patterns; use export_patterns"))
     return (
-        first.groupBy(*by)
+        custom.groupBy(*by)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), _exported().alias("p")))).alias("rows"))
-        .select(
-            *by, F.when(F.size("rows") <= MAX_CUSTOM_PATTERNS, F.to_json(pack)).otherwise(too_many).alias("pack_json")
-        )
+        .select(*by, F.to_json(pack).alias("pack_json"))
     )
 
 

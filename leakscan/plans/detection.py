@@ -183,7 +183,7 @@ def custom_flags(spark, sf):
         FROM ({for_duckdb('mixed_hosts')}) t LEFT JOIN profiles USING (hostname)""",
 )
 def strictness_threshold(spark, sf):
-    hosts = Policy(profiles=st.profiles(spark)).host_table(spark, None, False).select("hostname", "threshold")
+    hosts = Policy(profiles=st.profiles(spark)).host_table(spark).select("hostname", "threshold")
     joined = for_spark(spark, sf, "mixed_hosts").join(F.broadcast(hosts), "hostname", "left")
     return joined.select(
         "doc_id", F.coalesce("threshold", F.lit(detect.THRESHOLDS["balanced"])).cast("bigint").alias("threshold")
@@ -277,7 +277,7 @@ def finding_ids(spark, sf):
 def allowed_sql(source: str) -> str:
     return f"""allowed AS (
   SELECT hostname, rule_id, match_fingerprint FROM ({for_duckdb(source)}) a
-  WHERE expires_at IS NULL OR CAST(expires_at AS TIMESTAMP) > TIMESTAMP '{AS_OF}' ORDER BY pos, id LIMIT 200)"""
+  WHERE expires_at IS NULL OR CAST(expires_at AS TIMESTAMP) > TIMESTAMP '{AS_OF}')"""
 
 
 _NOT_EXACT = """NOT EXISTS (SELECT 1 FROM allowed a WHERE a.hostname = src.hostname
@@ -422,7 +422,7 @@ def redact_by_profile(spark, sf):
     "report_highlight",
     _redacted_sql(
         "overlaps",
-        f"'<mark class=\"pp-mark pp-mark--' || category || '\">' || {o.escape_html('m')} || '</mark>'",
+        f"'<mark class=\"found found--' || category || '\">' || {o.escape_html('m')} || '</mark>'",
         "markup", True,
     ),
 )
@@ -435,7 +435,7 @@ def report_highlight(spark, sf):
     "report_preview",
     _redacted_sql(
         "overlaps",
-        f"'<mark class=\"pp-mark pp-mark--replacement\">' || {o.escape_html('placeholder')} || '</mark>'",
+        f"'<mark class=\"found found--replacement\">' || {o.escape_html('placeholder')} || '</mark>'",
         "markup", True,
     ),
 )
@@ -451,7 +451,7 @@ def report_preview(spark, sf):
         f"SELECT doc_id, hostname, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM ({for_duckdb('overlaps')})",
         'doc_id', keep=_BY_HOST,
         joins='JOIN src USING (doc_id) LEFT JOIN profiles ON profiles.hostname = src.hostname')},
-        {o.rewritten('doc_id', "'<mark class=\"pp-mark pp-mark--replacement\">' || "
+        {o.rewritten('doc_id', "'<mark class=\"found found--replacement\">' || "
                      + o.escape_html(o.partial_mask('m')) + " || '</mark>'", True)}
         SELECT doc_id, new_text AS preview, coalesce(n, 0) AS total FROM rewritten
         LEFT JOIN (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id) USING (doc_id)""",

@@ -51,7 +51,7 @@ def attachment_gate(spark, sf):
         FROM ({for_duckdb('long_files')}) WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0""",
 )
 def attachment_truncate(spark, sf):
-    cut = att.scannable(for_spark(spark, sf, "long_files"))
+    cut = att.scannable(for_spark(spark, sf, "long_files"), att.MAX_FILE_CHARS)
     return st.bigints(cut.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5")))
 
 
@@ -59,7 +59,7 @@ def attachment_truncate(spark, sf):
 
 _FILES_SQL = f"""files AS ({for_duckdb('files')}),
 found AS (
-  WITH {o.resolved(f"SELECT doc_id, left(text, 250000) AS text FROM ({for_duckdb('files')}) WHERE {_TEXT_LIKE}",
+  WITH {o.resolved(f"SELECT doc_id, text FROM ({for_duckdb('files')}) WHERE {_TEXT_LIKE}",
                    'doc_id')}
   SELECT f.*, {o.mask_snippet('m')} AS preview FROM f),
 rows AS (

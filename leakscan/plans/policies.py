@@ -141,9 +141,8 @@ _ALLOW_SQL = f"""allow AS (
     coalesce(TRY_CAST(created_at AS TIMESTAMP), {NOW_SQL}) AS created_at,
     TRY_CAST(expires_at AS TIMESTAMP) AS expires_at, pos
   FROM ({for_duckdb('given_allow')}) WHERE hostname IN (SELECT hostname FROM hosts) AND rule_id IS NOT NULL),
-purged AS (
-  SELECT * FROM allow WHERE expires_at IS NULL OR expires_at > {NOW_SQL}
-  QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY pos, id) <= 200)"""
+live AS (SELECT * FROM allow WHERE expires_at IS NULL OR expires_at > {NOW_SQL}),
+purged AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY pos, id) <= 200)"""
 _ALLOW_COLUMNS = (
     "user_key, pos, id, label, hostname, rule_id, match_fingerprint, epoch_us(created_at) AS created_at, "
     "epoch_us(expires_at) AS expires_at"
@@ -154,8 +153,8 @@ def normalized_allow(spark, sf):
     return pol.normalize_exact_allow(for_spark(spark, sf, "given_allow"), st.NOW, ("user_key",))
 
 
-def purged_allow(spark, sf):
-    return pol.purge_expired(normalized_allow(spark, sf), st.NOW, ("user_key",))
+def live_allow(spark, sf, keep=None):
+    return pol.purge_expired(normalized_allow(spark, sf), st.NOW, ("user_key",), keep)
 
 
 def allow_columns(df):
@@ -172,23 +171,28 @@ def allow_normalized(spark, sf):
 
 @query("allow_purged", f"WITH {HOSTS_SQL}, {_ALLOW_SQL} SELECT {_ALLOW_COLUMNS} FROM purged")
 def allow_purged(spark, sf):
-    return allow_columns(purged_allow(spark, sf))
+    """The rules a user keeps: the newest so many."""
+    return allow_columns(live_allow(spark, sf, pol.MAX_EXACT_ALLOW))
 
 
 _WORKSPACE_SQL = f"""workspace AS (
   SELECT user_key, {_id('user_key', 'label', 'pattern')} AS id, {_trim('label')} AS label, pattern,
     {_FLAGS_SQL} AS flags, coalesce(enabled, true) AS enabled, pos
-  FROM ({for_duckdb('given_patterns')}) WHERE label IS NOT NULL AND pattern IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY pos) <= 100)"""
+  FROM ({for_duckdb('given_patterns')}) WHERE label IS NOT NULL AND pattern IS NOT NULL)"""
 
 
-def normalized_workspace(spark, sf):
-    return pol.normalize_workspace(for_spark(spark, sf, "given_patterns"), ("user_key",))
+def normalized_workspace(spark, sf, keep=None):
+    return pol.normalize_workspace(for_spark(spark, sf, "given_patterns"), ("user_key",), keep)
 
 
-@query("workspace_normalized", f"WITH {_WORKSPACE_SQL} SELECT * FROM workspace")
+@query(
+    "workspace_normalized",
+    f"""WITH {_WORKSPACE_SQL} SELECT * FROM workspace
+        QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY pos) <= 100""",
+)
 def workspace_normalized(spark, sf):
-    return normalized_workspace(spark, sf)
+    """The patterns a user keeps: the first so many."""
+    return normalized_workspace(spark, sf, pol.MAX_WORKSPACE_ALLOW)
 
 
 @query(
@@ -201,7 +205,7 @@ def workspace_normalized(spark, sf):
         QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY pos) <= 24""",
 )
 def packs_normalized(spark, sf):
-    kept = pol.normalize_packs(for_spark(spark, sf, "given_packs"), st.NOW, ("user_key",))
+    kept = pol.normalize_packs(for_spark(spark, sf, "given_packs"), st.NOW, ("user_key",), pol.MAX_PACKS)
     return kept.withColumn("imported_at", F.unix_micros("imported_at"))
 
 
@@ -353,33 +357,30 @@ asked AS (
   SELECT {_KEY}, max(seq) AS seq, arg_max(label, seq) AS label, max_by(expires_at, seq) AS expires_at,
     arg_min(id, seq) AS new_id, arg_min(created_at, seq) AS new_created FROM temporary GROUP BY {_KEY}),
 stored AS (
-  SELECT * FROM purged QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY pos) = 1),
+  SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY pos) = 1),
 front AS (
   SELECT a.user_key, a.hostname, a.rule_id, a.match_fingerprint, coalesce(s.id, new_id) AS id, a.label,
-    coalesce(s.created_at, new_created) AS created_at, a.expires_at, 0 AS block, -seq AS ord, s.pos AS replaced
+    coalesce(s.created_at, new_created) AS created_at, a.expires_at, -1 - seq AS pos, s.pos AS replaced
   FROM asked a LEFT JOIN stored s USING ({_KEY})),
 merged AS (
   SELECT * EXCLUDE (replaced) FROM front UNION ALL
-  SELECT {_KEY}, id, label, created_at, expires_at, 1, pos FROM purged p
-  WHERE NOT EXISTS (SELECT 1 FROM front f WHERE f.user_key = p.user_key AND f.replaced = p.pos)),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY block, ord, id) - 1 AS pos FROM merged
-  WHERE expires_at IS NULL OR expires_at > {NOW_SQL})
-SELECT {_ALLOW_COLUMNS} FROM placed WHERE pos < 200""",
+  SELECT {_KEY}, id, label, created_at, expires_at, pos FROM live p
+  WHERE NOT EXISTS (SELECT 1 FROM front f WHERE f.user_key = p.user_key AND f.replaced = p.pos))
+SELECT {_ALLOW_COLUMNS} FROM merged WHERE expires_at IS NULL OR expires_at > {NOW_SQL}""",
 )
 def allow_upsert(spark, sf):
     requests = pol.temporary_allow(for_spark(spark, sf, "allow_requests"), st.NOW)
-    merged = pol.upsert_allow(purged_allow(spark, sf), requests, st.NOW, ("user_key",))
+    merged = pol.upsert_allow(live_allow(spark, sf), requests, st.NOW, ("user_key",))
     return allow_columns(merged)
 
 
 @query(
     "allow_shown",
-    f"""WITH {HOSTS_SQL}, {_ALLOW_SQL} SELECT user_key, pos, id FROM purged
+    f"""WITH {HOSTS_SQL}, {_ALLOW_SQL} SELECT user_key, pos, id FROM live
         QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY pos, id) <= 120""",
 )
 def allow_shown(spark, sf):
-    return pol.shown_allow(purged_allow(spark, sf), ("user_key",)).select("user_key", "pos", "id")
+    return pol.shown_allow(live_allow(spark, sf), pol.MAX_SHOWN_ALLOW, ("user_key",)).select("user_key", "pos", "id")
 
 
 @query(
@@ -390,10 +391,10 @@ def allow_shown(spark, sf):
           FROM f JOIN src USING (doc_id) WHERE f.category = 'pii' GROUP BY hostname, rule_id, fingerprint)
         SELECT hostname, rule_id, fingerprint AS match_fingerprint, label || ' allowlisted on site' AS label,
           sha256(concat_ws(':', first_seq, hostname, fingerprint)) AS id, epoch_us(ts) AS created_at
-        FROM asked ORDER BY seq DESC, id LIMIT 200""",
+        FROM asked""",
 )
 def allow_from_review(spark, sf):
-    """Personal data allowed in review becomes allow rules, the newest 200 kept."""
+    """Personal data allowed in review becomes allow rules."""
     scanned = detect.scan(for_spark(spark, sf, "arriving"))
     found = detect.explode_findings(scanned, "doc_id", "hostname", "ts").filter("category = 'pii'")
     requests = pol.allow_requests(found, seq="doc_id")
@@ -479,11 +480,11 @@ def mode_label(spark, sf):
     f"""WITH {_PROFILES_SQL}, {_CUSTOM_SQL}, {_WORKSPACE_SQL}, {_ALLOW_SQL}
         SELECT (SELECT count(*) FROM profiles WHERE enabled) AS enabled_sites,
           (SELECT count(*) FROM custom) AS custom_rules,
-          (SELECT count(*) FROM workspace) + (SELECT count(*) FROM purged) AS allow_rules,
+          (SELECT count(*) FROM workspace) + (SELECT count(*) FROM live) AS allow_rules,
           (SELECT count(*) FROM ({for_duckdb('raw_log')})) AS log_size""",
 )
 def policy_counters(spark, sf):
     return pol.policy_counters(
         profiles_normalized(spark, sf), normalized_custom(spark, sf), normalized_workspace(spark, sf),
-        purged_allow(spark, sf), for_spark(spark, sf, "raw_log"),
+        live_allow(spark, sf), for_spark(spark, sf, "raw_log"),
     )

@@ -14,6 +14,7 @@ from leakscan.plans.detection import FIELDS, _NOT_EXACT, allowed_sql
 from leakscan.plans.inputs import INPUTS, for_duckdb
 from leakscan.plans.policies import GATE_SQL, HOSTS_SQL
 from leakscan.plans.registry import query
+from leakscan.sources.shared import shared_folder
 from leakscan.sources.tables import table
 from leakscan.streaming import live
 
@@ -46,9 +47,13 @@ def stream_scan(spark, sf):
 )
 def stream_allow(spark, sf):
     policy = Policy(profiles=st.profiles(spark), exact_allow=st.allow_rules(spark, sf, "seeded_allow"))
-    scanned = live.scan_stream(arriving(spark, sf), policy, as_of=st.NOW)
-    rows = scanned.select("doc_id", F.inline("findings")).select("doc_id", *FIELDS)
-    return live.run_to_table(spark, st.bigints(rows), "stream-allow")
+    folder = shared_folder(spark, "stream-allow")
+    write = live.write_numbered(f"{folder}/table")
+    texts = arriving(spark, sf)
+    run = live.scan_with_reload(texts, lambda _: policy, write, f"{folder}/checkpoint", as_of=st.NOW)
+    run.awaitTermination()
+    scanned = spark.read.parquet(f"{folder}/table")
+    return st.bigints(scanned.select("doc_id", F.inline("findings")).select("doc_id", *FIELDS))
 
 
 _ACTION_SQL = "CASE origin WHEN 'paste' THEN 'pasted_flagged' WHEN 'attachment' THEN 'attachment_flagged' ELSE 'ignored_once' END"

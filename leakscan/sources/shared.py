@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +12,14 @@ SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run, under the folder the cluster names.
 
-    Only a local session without that setting gets a temporary folder: on a
-    cluster the executors could not see it.
+    A session of one machine that names none keeps them in its warehouse.
     """
     root = spark.conf.get(SETTING, None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set {SETTING} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="leakscan-")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

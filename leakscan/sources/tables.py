@@ -12,23 +12,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-# An input of this many splits is no small one, however many cores there are.
-SMALL_SPLITS = 64
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input too small to fill them by itself.
-
-    A corpus of many files, or of files larger than a split, is returned as it
-    is: scanning it needs no shuffle.  Only a few small splits are dealt out,
-    by round robin.  ``df`` is a table as read; counting its splits runs no job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(cores, SMALL_SPLITS):
-        return df
-    return df.repartition(cores)
-
-
 def composer_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Texts as typed: non-breaking spaces read as spaces, blank ones skipped."""
     cleaned = df.withColumn(text_col, nbsp_to_space(F.col(text_col)))

@@ -61,14 +61,16 @@ def scan_with_reload(
     policy_source: Callable[[SparkSession], Policy],
     write: Callable[[DataFrame, int], None],
     checkpoint: str,
+    **scan_options,
 ) -> StreamingQuery:
     """Scan a stream with a policy that is read again for every micro-batch.
 
     ``write`` gets the scanned batch and its number; writing under that number
-    keeps a batch that is run again from being stored twice.
+    keeps a batch that is run again from being stored twice.  Each batch is an
+    ordinary table, so exact allow rules of any number can be joined with it.
     """
     def each(batch: DataFrame, number: int) -> None:
-        write(scan_stream(batch, policy_source(batch.sparkSession)), number)
+        write(scan_stream(batch, policy_source(batch.sparkSession), **scan_options), number)
 
     return (
         texts.writeStream.foreachBatch(each)

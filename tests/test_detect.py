@@ -257,11 +257,16 @@ def test_profile_strictness(spark, scan_all):
     assert [ids(f) for f in forced] == [["kv-secret-value"]] * 3
 
 
-def test_too_many_patterns_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(pol, "MAX_CUSTOM_PATTERNS", 2)
-    policy = Policy(custom_patterns=custom(spark, ("a", "g"), ("b", "g"), ("c", "g")))
-    with pytest.raises(ValueError, match="custom patterns"):
-        policy.rules(spark)
+def test_any_number_of_exact_rules_is_used(spark, scan_all):
+    rows = [(f"a{n}", "x", "claude.ai", "email", f"email:u{n}@b.co", None, None, n) for n in range(900)]
+    schema = (
+        "id string, label string, hostname string, rule_id string, match_fingerprint string, created_at timestamp, "
+        "expires_at timestamp, pos int"
+    )
+    policy = Policy(exact_allow=spark.createDataFrame(rows, schema))
+    texts = [("u899@b.co and u900@b.co", "claude.ai"), ("u899@b.co", "chatgpt.com"), ("u1@b.co", "claude.ai"), (None, None)]
+    found = scan_all(texts + texts[:1], policy)
+    assert [[f.match for f in row] for row in found] == [["u900@b.co"], ["u899@b.co"], [], [], ["u900@b.co"]]
 
 
 # --- overlaps ----------------------------------------------------------------

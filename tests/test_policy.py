@@ -82,10 +82,12 @@ def test_legacy_hosts_decide_alone(spark):
     assert got["claude.ai"] is False and got["chatgpt.com"] is True
 
 
-def test_purge_keeps_live_rules_up_to_the_cap(spark):
+def test_purge_keeps_live_rules_up_to_a_limit_if_asked(spark):
     rows = [(f"a{n}", "x", "claude.ai", "email", f"f{n}", at(), at(days=-1) if n % 2 else None, n) for n in range(500)]
     got = pol.purge_expired(allow(spark, *rows), NOW).collect()
-    assert sorted(r.pos for r in got) == list(range(0, 400, 2))
+    assert sorted(r.pos for r in got) == list(range(0, 500, 2))
+    few = pol.purge_expired(allow(spark, *rows), NOW, keep=200).collect()
+    assert sorted(r.pos for r in few) == list(range(0, 400, 2))
 
 
 def test_cap_applies_per_user_with_one_user_holding_most_rows(spark):
@@ -124,7 +126,7 @@ def test_upsert(spark):
     assert got[0].created_at == at(days=-9) and got[1].created_at == at()
 
 
-@pytest.mark.parametrize("asked, minutes", [(0.5, 1), (15.9, 15), (99999.0, 43200), (-3.0, 1), (1e300, 43200)])
+@pytest.mark.parametrize("asked, minutes", [(0.5, 1), (15.9, 15), (99999.0, 43200), (-3.0, 1), (1e300, 43200), (None, 1), (float("nan"), 1)])
 def test_temporary(spark, asked, minutes):
     df = spark.createDataFrame([("L", asked)], "label string, minutes double")
     r = pol.temporary_allow(df, NOW).first()
@@ -197,11 +199,12 @@ def test_normalize_custom_and_workspace_and_packs(spark):
     many = spark.range(300).selectExpr(
         "cast(id as string) id", "'l' label", "'p' pattern", "'g' flags", "true enabled", "id pos"
     )
-    assert pol.normalize_workspace(many).agg(F.max("pos")).first()[0] == 99
+    assert pol.normalize_workspace(many).agg(F.max("pos")).first()[0] == 299
+    assert pol.normalize_workspace(many, keep=100).agg(F.max("pos")).first()[0] == 99
     packs = spark.range(60).selectExpr(
         "cast(id as string) id", "' n ' name", "'d' description", "'2024-01-01' imported_at", "id pattern_count", "id pos"
     )
-    kept = pol.normalize_packs(packs, NOW).collect()
+    kept = pol.normalize_packs(packs, NOW, keep=24).collect()
     assert len(kept) == 24 and kept[0]["name"] == "n"
 
 

@@ -48,8 +48,8 @@ def test_reports(spark):
         red.replacement_preview(F.col("text"), F.col("findings"), F.lit("placeholder")).alias("p"),
     )
     one, two = scanned.orderBy("doc_id").collect()
-    assert one.h.startswith('mail &lt;<mark class="pp-mark pp-mark--pii">a@b.co</mark>&gt; &amp; &quot;x&quot;\n')
-    assert '<mark class="pp-mark pp-mark--replacement">&lt;EMAIL_ADDRESS&gt;</mark>' in one.p
+    assert one.h.startswith('mail &lt;<mark class="found found--pii">a@b.co</mark>&gt; &amp; &quot;x&quot;\n')
+    assert '<mark class="found found--replacement">&lt;EMAIL_ADDRESS&gt;</mark>' in one.p
     assert two.h == two.p == "a&lt;b"
 
 
