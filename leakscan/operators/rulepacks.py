@@ -7,15 +7,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakscan.functions import typed
 from leakscan.functions.text import sanitize_flags, ws_trim
 from leakscan.operators.policy import moment
 from leakscan.operators.rules import STARTER_PACK
 
 PATTERN = "label: string, pattern: string, flags: string, category: string, explanation: string, placeholder: string"
 PACK_SCHEMA = f"name string, description string, patterns array<struct<{PATTERN}>>"
-# As stored, a pack may list things that are not patterns: they stay text at first.
-_STORED = "name string, description string, patterns array<string>"
-
 # Fixed values.
 DEFAULT_PACK_NAME = "Imported pack"
 DEFAULT_PACK_DESCRIPTION = "Imported rule pack."
@@ -25,20 +23,28 @@ EXPORT_DESCRIPTION = "Exported custom rules."
 
 def read_packs(spark: SparkSession, path: str) -> DataFrame:
     """Rule packs from JSON files, one object per file."""
-    return spark.read.schema(_STORED).json(path, multiLine=True).withColumn("patterns", _typed("patterns"))
+    return parse_packs(spark.read.text(path, wholetext=True), "value")
 
 
 def parse_packs(df: DataFrame, json_col: str) -> DataFrame:
-    """Rule packs held as JSON text in a column; text that does not parse is skipped."""
+    """Rule packs held as JSON text in a column; what is not an object is skipped.
+
+    Fields of the wrong type read as missing.
+    """
     others = [c for c in df.columns if c != json_col]
-    parsed = df.select(*others, F.from_json(json_col, _STORED).alias("p")).filter(
-        F.col("p.name").isNotNull() | F.col("p.description").isNotNull() | F.col("p.patterns").isNotNull()
+    packs = df.select(*others, typed.parsed(F.col(json_col)).alias("pack")).filter(typed.is_object(F.col("pack")))
+    pack = F.col("pack")
+    return packs.select(
+        *others,
+        typed.text(pack, "name").alias("name"),
+        typed.text(pack, "description").alias("description"),
+        F.transform(typed.items(pack, "patterns"), _pattern).alias("patterns"),
     )
-    return parsed.select(*others, "p.*").withColumn("patterns", _typed("patterns"))
 
 
-def _typed(patterns: str) -> Column:
-    return F.transform(patterns, lambda p: F.from_json(p, f"struct<{PATTERN}>"))
+def _pattern(entry: Column) -> Column:
+    names = ("label", "pattern", "flags", "category", "explanation", "placeholder")
+    return F.struct(*(typed.text(entry, name).alias(name) for name in names))
 
 
 def starter_pack(spark: SparkSession) -> DataFrame:

@@ -158,6 +158,17 @@ INPUTS: dict[str, str] = {
         "CASE WHEN event_id % 29 = 0 THEN NULL ELSE 'Email address,' || event_type END AS labels, "
         "'send' AS trigger_name FROM {events}"
     ),
+    # Log entries as JSON lines; some fields are missing or of the wrong type.
+    "log_json": (
+        "SELECT event_id, CASE WHEN event_id % 43 = 0 THEN 'not json' ELSE '{{\"id\":' "
+        "|| CASE event_id % 11 WHEN 0 THEN '5' WHEN 1 THEN '{{}}' ELSE '\"e' || CAST(event_id AS STRING) || '\"' END "
+        "|| ',\"timestamp\":\"2024-01-0' || CAST(1 + event_id % 9 AS STRING) || 'T00:00:00Z\",\"hostname\":\"' || "
+        + _host("event_id") + " || '\",\"siteLabel\":\"s\",\"action\":' "
+        "|| CASE WHEN event_id % 13 = 0 THEN 'true' ELSE '\"masked\"' END || ',\"totalFindings\":' "
+        "|| CASE WHEN event_id % 17 = 0 THEN '\"2\"' ELSE '2' END || ',\"secrets\":' || CAST(user_id % 3 AS STRING) "
+        "|| ',\"pii\":1,\"ruleLabels\":' || CASE WHEN event_id % 19 = 0 THEN '\"A\"' ELSE '[\"A\",\"B\"]' END "
+        "|| CASE WHEN event_id % 23 = 0 THEN '' ELSE ',\"trigger\":\"send\"' END || '}}' END AS entry FROM {events}"
+    ),
     # The settings of many users: here, one profile per customer.
     "given_profiles": (
         f"SELECT c_custkey AS user_key, {_host_or_other('c_custkey')} AS hostname, "
@@ -276,9 +287,11 @@ INPUTS: dict[str, str] = {
         "ELSE 'other' END || '\",\"siteProfiles\":{{\"' || " + _host_or_other("c_custkey") + " || "
         "'\":{{\"strictness\":\"relaxed\",\"enabled\":' || CASE WHEN c_custkey % 2 = 0 THEN 'false' ELSE 'true' END "
         "|| '}}}},\"exactAllowRules\":[{{\"id\":\"a' || CAST(c_custkey AS STRING) || '\",\"hostname\":\"claude.ai\","
-        "\"ruleId\":\"email\",\"matchFingerprint\":\"email:' || lower(c_name) || '\"}}],"
-        "\"workspaceAllowlist\":[{{\"label\":\" w \",\"pattern\":\"' || c_mktsegment || '\"}}],"
-        "\"customPatterns\":[{{\"id\":\"c\",\"label\":\" ' || c_mktsegment || '\",\"pattern\":\"x+\",\"category\":\"pii\"}},"
+        "\"ruleId\":\"email\",\"matchFingerprint\":\"email:' || lower(c_name) || '\"}},{{\"hostname\":\"claude.ai\",\"ruleId\":7,"
+        "\"matchFingerprint\":\"x\"}}],"
+        "\"workspaceAllowlist\":[{{\"label\":\" w \",\"pattern\":\"' || c_mktsegment || '\"}},{{\"label\":\"w\",\"pattern\":true}}],"
+        "\"customPatterns\":[{{\"id\":\"c\",\"label\":' || CASE c_custkey % 7 WHEN 0 THEN '5' WHEN 1 THEN '{{\"a\":1}}' "
+        "ELSE '\" ' || c_mktsegment || '\"' END || ',\"pattern\":\"x+\",\"category\":\"pii\"}},{{\"label\":\"n\",\"pattern\":3,\"category\":\"pii\"}},"
         "{{\"label\":\"bad\",\"pattern\":\"y\",\"category\":\"none\"}}]}}' AS settings FROM {customer}"
     ),
     # One JSON pack per part, of which some do not parse or lack fields.
@@ -288,7 +301,8 @@ INPUTS: dict[str, str] = {
         "|| p_type || '\",' END || '\"patterns\":[{{\"label\":\" ' || p_brand || ' \",\"pattern\":\"' || "
         "lower(p_type) || '_[0-9]+\",\"flags\":\"gggi\",\"category\":\"secret\",\"explanation\":\" \"}},"
         "{{\"label\":\"second\",\"pattern\":\"b\",\"category\":\"other\",\"placeholder\":\" <B> \"}},"
-        "{{\"label\":\"third\",\"category\":\"pii\"}}]}}' END AS pack FROM {part}"
+        "{{\"label\":\"third\",\"category\":\"pii\"}},{{\"label\":4,\"pattern\":\"c\",\"category\":\"pii\"}},"
+        "{{\"label\":\"fifth\",\"pattern\":{{\"a\":1}},\"category\":\"pii\"}}]}}' END AS pack FROM {part}"
     ),
 }
 

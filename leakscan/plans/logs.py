@@ -14,6 +14,7 @@ from leakscan.plans import settings as st
 from leakscan.plans.inputs import for_duckdb, for_spark
 from leakscan.plans.policies import ACTION_SQL, HOSTS_SQL, NOW_SQL
 from leakscan.plans.registry import query
+from leakscan.sources import logs
 from leakscan.sources.shared import stored
 from leakscan.sources.tables import composer_texts
 
@@ -214,6 +215,20 @@ def log_validate(spark, sf):
     )
 
 
+@query(
+    "log_validate_json",
+    f"""SELECT entry ->> '$.id' AS id, epoch_us(CAST(entry ->> '$.timestamp' AS TIMESTAMP)) AS ts,
+          CAST(entry ->> '$.secrets' AS BIGINT) AS secrets, 'A,B' AS labels
+        FROM (SELECT CAST(entry AS JSON) AS entry FROM ({for_duckdb('log_json')}) WHERE json_valid(entry))
+        WHERE json_type(entry, '$.id') = 'VARCHAR' AND json_type(entry, '$.action') = 'VARCHAR'
+          AND json_type(entry, '$.totalFindings') <> 'VARCHAR' AND json_type(entry, '$.ruleLabels') = 'ARRAY'
+          AND json_type(entry, '$.trigger') = 'VARCHAR'""",
+)
+def log_validate_json(spark, sf):
+    valid = logs.parse_log(for_spark(spark, sf, "log_json"), "entry")
+    return valid.select("id", F.unix_micros("ts").alias("ts"), "secrets", F.array_join("rule_labels", ",").alias("labels"))
+
+
 @query("log_retention", f"WITH {_VALID_SQL} SELECT id, epoch_us(ts) AS ts FROM valid ORDER BY valid.ts DESC, id LIMIT 150")
 def log_retention(spark, sf):
     kept = inc.retain(inc.valid_entries(raw_log(spark, sf)))

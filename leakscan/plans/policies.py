@@ -214,7 +214,8 @@ def packs_normalized(spark, sf):
 _PACK_SQL = f"""packs AS (
   SELECT pack_key, CAST(pack AS JSON) AS pack FROM ({for_duckdb('pack_json')}) WHERE json_valid(pack)),
 patterns AS (
-  SELECT pack_key, p ->> '$.label' AS label, p ->> '$.pattern' AS pattern, p ->> '$.flags' AS flags,
+  SELECT pack_key, CASE WHEN json_type(p, '$.label') = 'VARCHAR' THEN p ->> '$.label' END AS label,
+    CASE WHEN json_type(p, '$.pattern') = 'VARCHAR' THEN p ->> '$.pattern' END AS pattern, p ->> '$.flags' AS flags,
     p ->> '$.category' AS category, p ->> '$.explanation' AS explanation, p ->> '$.placeholder' AS placeholder
   FROM (SELECT pack_key, unnest(CAST(pack -> '$.patterns' AS JSON[])) AS p FROM packs)),
 usable AS (SELECT * FROM patterns WHERE label IS NOT NULL AND pattern IS NOT NULL AND category IS NOT NULL)"""
@@ -312,6 +313,7 @@ def settings_profiles(spark, sf):
     f"""WITH {_STORED_SQL}
         SELECT user_key, 'custom' AS kind, j ->> '$.customPatterns[0].id' AS id,
           trim(j ->> '$.customPatterns[0].label') AS label, j ->> '$.customPatterns[0].pattern' AS value FROM s
+        WHERE json_type(j, '$.customPatterns[0].label') = 'VARCHAR'
         UNION ALL SELECT user_key, 'exact', j ->> '$.exactAllowRules[0].id', 'Allowlisted finding',
           j ->> '$.exactAllowRules[0].matchFingerprint' FROM s
         UNION ALL SELECT user_key, 'workspace', sha256(concat_ws(chr(10), user_key, ' w ', j ->> '$.workspaceAllowlist[0].pattern')),

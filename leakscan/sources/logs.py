@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakscan.functions import typed
 from leakscan.operators.incidents import LOG_SCHEMA, valid_entries
 
 
@@ -28,11 +29,21 @@ STORED_NAMES = {
 
 
 def read_log_json(spark: SparkSession, path: str) -> DataFrame:
-    """Entries from JSON lines; fields of the wrong type read as missing."""
-    schema = spark.createDataFrame([], LOG_SCHEMA).schema
-    stored = ", ".join(f"{name} {schema[column].dataType.simpleString()}" for name, column in STORED_NAMES.items())
-    read = spark.read.schema(stored).option("mode", "PERMISSIVE").json(path)
-    return valid_entries(read.withColumnsRenamed(STORED_NAMES))
+    """Entries from JSON lines; those that lack a field, or have it with the wrong type, are dropped."""
+    return parse_log(spark.read.text(path), "value")
+
+
+def parse_log(df: DataFrame, json_col: str) -> DataFrame:
+    """Entries held as JSON text in a column; see :func:`read_log_json`."""
+    entry = F.col("entry")
+    get = {"total_findings": typed.number, "secrets": typed.number, "pii": typed.number}
+    fields = {column: get.get(column, typed.text)(entry, name) for name, column in STORED_NAMES.items()}
+    # The labels have to be a list; what it lists is taken as text.
+    labels = typed.items(entry, "ruleLabels")
+    fields["rule_labels"] = F.transform(labels, lambda x: F.try_variant_get(x, "$", "string"))
+    fields["ts"] = fields["ts"].try_cast("timestamp")
+    read = df.select(typed.parsed(F.col(json_col)).alias("entry"))
+    return valid_entries(read.select(*(value.alias(column) for column, value in fields.items())))
 
 
 def write_log_json(log: DataFrame, path: str) -> None:

@@ -249,7 +249,7 @@ def test_log_from_json_drops_ill_typed_entries(spark, tmp_path):
         id="1", timestamp="2024-01-01T00:00:00Z", hostname="h", siteLabel="s", action="masked", totalFindings=1, secrets=1,
         pii=0, ruleLabels=["A"], trigger="send",
     )
-    lines = [good, {**good, "secrets": "many"}, {**good, "ruleLabels": "A"}, {k: v for k, v in good.items() if k != "action"}]
+    lines = [good, {**good, "secrets": "many"}, {**good, "id": 5}, {**good, "action": {"a": 1}}, {**good, "ruleLabels": "A"}, {k: v for k, v in good.items() if k != "action"}]
     (tmp_path / "l.json").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
     read = logs.read_log_json(spark, str(tmp_path / "l.json"))
     assert [(r.site_label, r.rule_labels, r.ts) for r in read.collect()] == [("s", ["A"], datetime(2024, 1, 1))]
@@ -272,13 +272,14 @@ def test_load_policy(spark, scan_all, tmp_path):
         "enabled": "no", "detectPII": False, "defaultRedactionMode": "shred", "scanOnPaste": False,
         "customPatterns": [
             {"id": "c", "label": "C", "pattern": "zz+", "category": "pii"}, {"label": "D", "pattern": "q", "category": "x"},
-            "not an object",
+            "not an object", {"label": 5, "pattern": "zz", "category": "pii"}, {"label": "E", "pattern": True, "category": "pii"},
         ],
         "siteProfiles": {"claude.ai": {"strictness": "relaxed", "enabled": False}, "x.example": {"enabled": True}},
         "exactAllowRules": [
             {"hostname": "claude.ai", "ruleId": "c", "matchFingerprint": "c:zzz", "expiresAt": "2024-01-01T00:00:00Z"},
             {"hostname": "chatgpt.com", "ruleId": "c", "matchFingerprint": "c:zzz", "expiresAt": "whenever"},
             {"hostname": "x.example", "ruleId": "c", "matchFingerprint": "c:zzz"},
+            {"hostname": "claude.ai", "ruleId": 7, "matchFingerprint": "c:zzz"},
         ],
         "workspaceAllowlist": [{"label": "W", "pattern": "password=demo"}, {"label": "no pattern"}],
     }
