@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +12,16 @@ SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names.
 
-    A session of one machine without the setting (tests) gets one of its own;
-    on a cluster a missing setting is an error, since executors could not see
-    a folder of the driver.
+    A session of one machine without the setting uses its warehouse; on a cluster a
+    missing setting is an error, since executors could not see a folder of the
+    driver.
     """
     root = spark.conf.get(SETTING, None)
     if not root:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set(SETTING, root)
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
 
