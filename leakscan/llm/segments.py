@@ -11,7 +11,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PROBES = 4
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
@@ -51,6 +53,11 @@ def _places(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
         return (((h * _ODD[(probe + 1) % 4]) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
 
 
+def filter_bytes(items: int | None, bits: float, most: int) -> int:
+    """Room for ``items`` at ``bits`` each, between 64 KB and ``most`` bytes."""
+    return min(most, max(1 << 16, int((items or 0) * bits / 8)))
+
+
 class Filter:
     """A Bloom filter of ``count`` segments, each with its own run of whole bytes."""
 
@@ -90,3 +97,48 @@ class Filter:
             found[alive[~hit]] = False
             alive = alive[hit]
         return found
+
+
+BLOB = pa.schema([("segment", pa.int32()), ("keys", pa.binary())])
+PACKED = "segment int, keys binary"
+
+
+def packed(keys: np.ndarray, count: int) -> pa.RecordBatch:
+    """Rows (segment, keys) of sorted keys."""
+    return pa.RecordBatch.from_pylist([{"segment": k, "keys": keys[a:b].tobytes()} for k, a, b in cut(keys, count)], BLOB)
+
+
+def broadcast_filter(parts: DataFrame, count: int, total_bytes: int, chosen) -> Broadcast:
+    """A filter, broadcast, of the keys that ``chosen`` takes from all blobs of a segment.
+
+    ``parts`` has rows (segment, keys).  What reaches the driver has ``total_bytes``, whatever the input.
+    """
+    empty = Filter(count, total_bytes)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, blobs in gathered(batches).items():
+            keys = chosen(np.concatenate([np.frombuffer(b, np.uint64) for (b,) in blobs]))
+            yield pa.RecordBatch.from_pylist([{"segment": k, "keys": empty.one(keys)}], BLOB)
+
+    rows = parts.repartition(max(1, count // 4), "segment").mapInArrow(run, PACKED).toLocalIterator()
+    return parts.sparkSession.sparkContext.broadcast(Filter(count, total_bytes).filled((r.segment, r["keys"]) for r in rows))
+
+
+def id_filter(ids: DataFrame, count: int, most: int) -> Broadcast:
+    """A filter of the long ids in the first column of ``ids``, for :func:`maybe`.
+
+    It has two bytes for each id, and ``most`` bytes at most.
+    """
+    total_bytes = filter_bytes(ids.count(), 16, most)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield packed(np.sort(batch.column("key").to_numpy().view(np.uint64)), count)
+
+    keys = ids.select(F.xxhash64(ids.columns[0]).alias("key"))
+    return broadcast_filter(keys.mapInArrow(run, PACKED), count, total_bytes, lambda found: found)
+
+
+def maybe(known: Filter, column: pa.Array) -> np.ndarray:
+    """For each xxhash64 of an id, False only if the id is not in the filter."""
+    return known.holds(column.to_numpy(zero_copy_only=False).view(np.uint64))

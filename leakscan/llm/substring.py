@@ -10,27 +10,33 @@ the one with the smallest hash stands for it, so equal windows choose equal
 representatives, and a wanted window that repeats has one that repeats.  The
 representatives that repeat are put into a filter of fixed size; were it ever
 full, more windows would be compared, and the result would be the same.
+
+Of equal texts only the first takes part; the others are cut whole.  A filter of
+ids tells texts apart that must be met with their removals, in a shuffle, from
+the rest, which pass as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm import segments
 from leakscan.llm.code import sent
-from leakscan.llm.store import stored
+from leakscan.llm.store import dropped, stored
 from leakscan.llm.words import Words, mixed, sliced, utf8, whole_windows, windows, words
 
 WINDOW = 13
-FILTER_BYTES = 32 << 20
+FILTER_BYTES = 256 << 20  # at most; smaller ones for smaller inputs
+BITS_PER_CHARACTER = 0.2
 BLOB_KEYS = 1 << 21
-FOLLOWED = 16  # one window in so many, chosen by content, is followed to greater lengths
+FOLLOWED = 64  # one window in so many, chosen by content, is followed to greater lengths
 
 
 def _representatives(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -44,7 +50,13 @@ def _representatives(hashes: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _short_windows(window: int, count: int):
+def _first_texts(batches: Iterable[pa.RecordBatch], firsts) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches without most of the rows that repeat an earlier text."""
+    for batch in sliced(batches):
+        yield batch.filter(pa.array(segments.maybe(firsts.value, batch.column("key"))))
+
+
+def _short_windows(window: int, count: int, firsts):
     """Blobs, by segment, of representatives; the last bit tells that two rows of the task have it."""
 
     def blobs(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -53,12 +65,11 @@ def _short_windows(window: int, count: int):
         first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         many = np.diff(np.append(first, len(keys))) > 1
         keys = (keys[first] & ~np.uint64(1)) | (many | ((keys[np.append(first[1:], len(keys)) - 1] & np.uint64(1)) == 1))
-        rows = [(k, keys[a:b].tobytes()) for k, a, b in segments.cut(keys, count)]
-        return pa.RecordBatch.from_pylist([{"segment": k, "keys": v} for k, v in rows], BLOB)
+        return segments.packed(keys, count)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for batch in sliced(batches):
+        for batch in _first_texts(batches, firsts):
             found = words(*utf8(batch.column("text")))
             hashes = found.hashes()
             if len(hashes) < window:
@@ -81,20 +92,12 @@ def _short_windows(window: int, count: int):
     return run
 
 
-BLOB = pa.schema([("segment", pa.int32()), ("keys", pa.binary())])
-
-
-def _repeated(spans: segments.Filter):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, blobs in segments.gathered(batches).items():
-            keys = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for (b,) in blobs]))
-            same = (keys[1:] | np.uint64(1)) == (keys[:-1] | np.uint64(1))
-            twice = (keys & np.uint64(1)) == 1
-            twice[1:] |= same
-            names = keys[twice] & ~np.uint64(1)
-            yield pa.RecordBatch.from_pylist([{"segment": k, "keys": spans.one(names)}], BLOB)
-
-    return run
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """The representatives that two rows have."""
+    keys = np.sort(keys)
+    twice = (keys & np.uint64(1)) == 1
+    twice[1:] |= (keys[1:] | np.uint64(1)) == (keys[:-1] | np.uint64(1))
+    return keys[twice] & ~np.uint64(1)
 
 
 def _twice(level: np.ndarray, size: int) -> np.ndarray:
@@ -104,11 +107,11 @@ def _twice(level: np.ndarray, size: int) -> np.ndarray:
         return mixed(level[:n] * np.uint64(0x9E3779B97F4A7C15) + level[size : size + n] * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _candidates(window: int, known):
+def _candidates(window: int, known, firsts):
     """Rows (doc_id, pos, h, longer) of the windows whose representative may repeat."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in _first_texts(batches, firsts):
             found = words(*utf8(batch.column("text")))
             hashes = found.hashes()
             if len(hashes) < window:
@@ -146,23 +149,34 @@ def _candidates(window: int, known):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def first_texts(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, n) of rows (doc_id, text): of each text the smallest id that has it, and its characters."""
+    text = F.coalesce("text", F.lit(""))
+    keys = docs.select("doc_id", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.length(text).alias("n"))
+    firsts = keys.groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"))
+    return stored(firsts.groupBy("doc_id").agg(F.sum("n").alias("n")), "firsts")
+
+
+def repeated_windows(docs: DataFrame, firsts: DataFrame, window: int = WINDOW, most: int | None = None) -> DataFrame:
     """Windows that may repeat, of rows (doc_id, text) without null ids: (doc_id, pos, h, longer).
 
-    Every window whose word sequence is in two rows is there; ``longer`` holds,
-    for followed windows, the hashes of the windows twice, four times ... as
-    long that start at the same word.
+    Every window whose word sequence is in two documents of ``firsts`` is
+    there; ``longer`` holds, for followed windows, the hashes of the windows
+    twice, four times ... as long that start at the same word.
     """
     spark = sent(docs.sparkSession)
+    most = FILTER_BYTES if most is None else most
     count = segments.segments_of(spark)
-    empty = segments.Filter(count, filter_bytes)
-    short = docs.select("text").mapInArrow(_short_windows(window, count), "segment int, keys binary")
-    full = short.repartition(count // 4, "segment").mapInArrow(_repeated(empty), "segment int, keys binary")
-    known = spark.sparkContext.broadcast(empty.filled((r.segment, r["keys"]) for r in full.toLocalIterator()))
-    rows = docs.select("doc_id", "text").mapInArrow(
-        _candidates(window, known), "doc_id long, pos int, h long, longer array<long>"
-    )
-    return stored(rows, "windows")
+    size = segments.filter_bytes(firsts.agg(F.sum("n")).first()[0], BITS_PER_CHARACTER, most)
+    first = segments.id_filter(firsts, count, most)
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
+    short = rows.mapInArrow(_short_windows(window, count, first), segments.PACKED)
+    known = segments.broadcast_filter(short, count, size, _repeated)
+    schema = "doc_id long, pos int, h long, longer array<long>"
+    found = stored(rows.mapInArrow(_candidates(window, known, first), schema), "windows")
+    for used in (known, first):
+        used.destroy()
+    return found
 
 
 def _in_two(rows: DataFrame) -> DataFrame:
@@ -170,9 +184,10 @@ def _in_two(rows: DataFrame) -> DataFrame:
     return stored(ids.filter("least < most").select("h", "least"), "repeated")
 
 
-def longest_repeats(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, longest): the greatest length, by doubling, at which a followed window repeats in another doc."""
+def longest_repeats(found: DataFrame, firsts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (doc_id, longest): the greatest length, by doubling, at which a followed window is in two of ``firsts``."""
     level = found.filter((F.col("h") % FOLLOWED == 0)).select("doc_id", "h", "longer")
+    level = level.join(firsts, "doc_id", "left_semi")
     size, levels = window, []
     while True:
         kept = stored(level.join(_in_two(level), "h").select("doc_id", "longer"), "level")
@@ -193,31 +208,40 @@ def longest_repeats(found: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, starts, longest): where windows start that a smaller doc_id has too."""
-    found = repeated_windows(docs, window)
+    """Rows (doc_id, starts, copy, longest): where windows start that a smaller doc_id has too.
+
+    ``copy`` is true, and starts null, where the whole text is one of a smaller doc_id.
+    """
+    firsts = first_texts(docs)
+    found = repeated_windows(docs, firsts, window)
     first = _in_two(found)
     later = found.select("doc_id", "pos", "h").join(first, "h").filter("doc_id > least")
-    starts = later.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
-    longest = longest_repeats(found, window)
-    return starts.join(longest, "doc_id", "full").select("doc_id", "starts", "longest")
+    starts = stored(later.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "starts")
+    longest = longest_repeats(found, firsts, window)
+    # The filter lets a few copies through: they have starts as well, which say less.
+    copies = docs.select("doc_id").distinct().join(firsts, "doc_id", "left_anti")
+    out = starts.join(longest, "doc_id", "full").join(firsts, "doc_id", "left_semi").select(
+        "doc_id", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.lit(False).alias("copy"), "longest"
+    )
+    none = [F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"), F.lit(0).cast("long").alias("longest")]
+    kept = stored(out.unionByName(copies.select("doc_id", *none)), "removals")
+    dropped(found)
+    return kept
 
 
-def _kept(found: Words, starts: pa.ListArray, window: int) -> np.ndarray:
+def _kept(found: Words, batch: pa.RecordBatch, window: int) -> np.ndarray:
     """For each word of the slice, whether no removed window covers it."""
     change = np.zeros(len(found.start) + window + 1, np.int64)
+    starts = batch.column("starts")
     at = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.diff(starts.offsets.to_numpy()) if starts.null_count == 0 else None
-    if sizes is None:
-        sizes = np.array([0 if s is None else s for s in pa.compute.list_value_length(starts).to_pylist()])
+    sizes = pc.fill_null(pc.list_value_length(starts), 0).to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(sizes)), sizes)
     ok = at + window <= found.counts[row]  # rows that share an id may be shorter
     at = at[ok] + found.first[row[ok]]
     np.add.at(change, at, 1)
     np.add.at(change, at + window, -1)
-    return np.cumsum(change)[: len(found.start)] == 0
-
-
-Emit = Callable[[pa.RecordBatch, Words, np.ndarray], pa.RecordBatch]
+    copy = pc.fill_null(batch.column("copy"), False).to_numpy(zero_copy_only=False) & (found.counts >= window)
+    return (np.cumsum(change)[: len(found.start)] == 0) & ~copy[found.text_of()]
 
 
 def _texts(batch: pa.RecordBatch, found: Words, kept: np.ndarray) -> pa.Array:
@@ -236,14 +260,34 @@ def _texts(batch: pa.RecordBatch, found: Words, kept: np.ndarray) -> pa.Array:
 
 
 def applied(docs: DataFrame, found: DataFrame, schema: str, emit, window: int = WINDOW) -> DataFrame:
-    """Meet each text of ``docs`` with its removals and let ``emit`` make rows of a slice."""
+    """Meet each text of ``docs`` with its removals and let ``emit`` make rows of a slice.
+
+    ``docs`` has doc_id and text; only texts that may have removals are shuffled.
+    """
+    spark = docs.sparkSession
+    known = segments.id_filter(found.select("doc_id"), segments.segments_of(spark), FILTER_BYTES)
+    keyed = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.lit(0)))
+
+    def split(batch: pa.RecordBatch) -> np.ndarray:
+        return segments.maybe(known.value, batch.column("key"))
+
+    def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(split(batch)))
+
+    def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rest = batch.filter(pa.array(~split(batch)))
+            got = words(*utf8(rest.column("text")))
+            yield emit(rest, got, np.ones(len(got.start), bool), pa.nulls(rest.num_rows, pa.int64()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             got = words(*utf8(batch.column("text")))
-            yield emit(batch, got, _kept(got, batch.column("starts"), window))
+            yield emit(batch, got, _kept(got, batch, window), batch.column("longest"))
 
-    return docs.join(found, "doc_id", "left").mapInArrow(run, schema)
+    met = keyed.mapInArrow(some, keyed.schema).join(found, "doc_id", "left").mapInArrow(run, schema)
+    return met.unionByName(keyed.mapInArrow(others, schema))
 
 
 def _sums(found: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +298,11 @@ def _sums(found: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256, longest_repeat), one per row of ``docs``; see :func:`dedup`."""
 
-    def emit(batch, found, kept):
+    def emit(batch, found, kept, longest):
         n, gone = _sums(found, kept)
         texts = _texts(batch, found, kept).to_pylist()
         hashes = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in texts]
-        columns = [batch.column("doc_id"), pa.array(n), pa.array(gone), pa.array(hashes), batch.column("longest")]
+        columns = [batch.column("doc_id"), pa.array(n), pa.array(gone), pa.array(hashes, pa.string()), longest]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -291,7 +335,7 @@ def dedup(
     rows = plain.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), rest)
     found = removals(rows.select("doc_id", "text").filter("doc_id is not null"), window)
 
-    def emit(batch, found_words, kept):
+    def emit(batch, found_words, kept, _):
         columns = [batch.column("rest"), _texts(batch, found_words, kept), pa.array(_sums(found_words, kept)[1])]
         return pa.RecordBatch.from_arrays(columns, ["rest", "text", "removed"])
 
