@@ -19,6 +19,7 @@ import itertools
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,9 @@ from leakscan.llm.words import sliced
 
 CACHED_CHUNKS = 250_000  # of each of two generations
 KNOWN_PAIRS = 1_000_000
-CACHED_CHUNK_CHARS = 64
+SHORT_PIECE = 64  # bytes of a piece of many, and characters of a chunk that is cached
+PAIR_BITS = 20
+PAIR_SLOTS = 1 << PAIR_BITS
 # The characters of Unicode's White_Space, which a tokenizer's \s stands for.
 WHITE = "\t-\r \x85\xa0  -     　"
 CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -97,6 +100,99 @@ class Vocabulary:
                 return True
 
 
+class Table:
+    """Prefix rows of many short pieces at once, a byte column at a time.
+
+    Tokens are followed byte by byte through a trie; pairs already judged are
+    kept in a direct-mapped table of fixed size.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        children: list[dict[int, int]] = [{}]
+        token_of = [-1]
+        for token, rank in vocabulary.usable.items():
+            node = 0
+            for byte in token:
+                after = children[node].get(byte)
+                if after is None:
+                    after = children[node][byte] = len(children)
+                    children.append({})
+                    token_of.append(-1)
+                node = after
+            token_of[node] = rank
+        # Nodes with children have a row of the next nodes; row 0 is for those without.
+        row_of = np.zeros(len(children), np.int32)
+        inner = [k for k, c in enumerate(children) if c]
+        row_of[inner] = np.arange(1, len(inner) + 1)
+        self.after = np.full((len(inner) + 1, 256), -1, np.int32)
+        for k in inner:
+            self.after[row_of[k], list(children[k])] = list(children[k].values())
+        self.row_of, self.token_of = row_of, np.array(token_of, np.int64)
+        self.size_of = np.zeros(max(vocabulary.bytes_of) + 1, np.int64)
+        for rank, token in vocabulary.bytes_of.items():
+            self.size_of[rank] = len(token)
+        self.pairs = np.full(PAIR_SLOTS, -1, np.int64)
+        self.apart = np.zeros(PAIR_SLOTS, bool)
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << 32 | right
+        with np.errstate(over="ignore"):
+            slot = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.apart[slot]
+        new = np.flatnonzero(self.pairs[slot] != pair)
+        if len(new):
+            some, at, inverse = np.unique(pair[new], return_index=True, return_inverse=True)
+            found = np.array([self.vocabulary.fits(p >> 32, p & 0xFFFFFFFF) for p in some.tolist()], bool)
+            out[new] = found[inverse]
+            self.pairs[slot[new[at]]], self.apart[slot[new[at]]] = some, found
+        return out
+
+    def last(self, data: np.ndarray) -> np.ndarray:
+        """For pieces of one length, as rows of bytes, the last token of each prefix."""
+        count, size = data.shape
+        last = np.full((count, size + 1), -1, np.int64)
+        for begin in range(size):
+            row, node = np.arange(count), np.zeros(count, np.int64)
+            for end in range(begin + 1, size + 1):
+                node = self.after[self.row_of[node], data[row, end - 1]]
+                alive = node >= 0
+                if not alive.all():
+                    row, node = row[alive], node[alive]
+                    if not len(row):
+                        break
+                token = self.token_of[node]
+                open_ = np.flatnonzero((token >= 0) & (last[row, end] < 0))
+                if begin and len(open_):
+                    open_ = open_[self.fits(last[row[open_], begin], token[open_])]
+                last[row[open_], end] = token[open_]
+        return last[:, 1:]
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """The tokens of each piece; none is empty."""
+        out: list[list[int]] = [[]] * len(pieces)
+        by_size: dict[int, list[int]] = {}
+        for k, piece in enumerate(pieces):
+            by_size.setdefault(len(piece), []).append(k)
+        for size, places in by_size.items():
+            data = np.frombuffer(b"".join([pieces[k] for k in places]), np.uint8).reshape(-1, size)
+            last = self.last(data)
+            # All pieces are read back together, a token from the end at a time.
+            row, end, back = np.arange(len(places)), np.full(len(places), size), []
+            while len(row):
+                token = last[row, end - 1]
+                back.append((row, token))
+                end = end - self.size_of[token]
+                row, end = row[end > 0], end[end > 0]
+            found: list[list[int]] = [[] for _ in places]
+            for rows, tokens in reversed(back):
+                for k, token in zip(rows.tolist(), tokens.tolist()):
+                    found[k].append(token)
+            for k, tokens in zip(places, found):
+                out[k] = tokens
+        return out
+
+
 class Prefixes:
     """The last token of every prefix of a piece of bytes."""
 
@@ -157,38 +253,62 @@ class Prefixes:
         return out[::-1]
 
 
+Chunk = tuple[tuple[int, ...], str]  # ids, and the same in decimals
+
+
 class Encoder:
     """Encodes and decodes texts with a vocabulary and a pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
+        self.table = Table(self.vocabulary)
         self.pattern = regex.compile(pattern)
-        self._cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self._cache: dict[str, Chunk] = {}
         self._older = self._cache
 
-    def piece(self, data: bytes) -> list[int]:
-        whole = self.vocabulary.ranks.get(data)
-        return [whole] if whole is not None else Prefixes(self.vocabulary, data).tokens()
-
-    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        out = self._older.get(chunk)
-        if out is None:
-            ids = tuple([i for piece in self.pattern.findall(chunk) for i in self.piece(piece.encode())])
-            out = ids, " ".join(map(str, ids))
-        if len(chunk) <= CACHED_CHUNK_CHARS:
-            if len(self._cache) >= CACHED_CHUNKS:
-                # What is in use comes back from the older generation; the rest goes with it.
-                self._older, self._cache = self._cache, {}
-            self._cache[chunk] = out
+    def pieces(self, found: list[bytes]) -> list[list[int]]:
+        """The tokens of each piece; one that is a token itself is that token."""
+        whole = self.vocabulary.ranks
+        short = list({p for p in found if p not in whole and len(p) <= SHORT_PIECE})
+        known = dict(zip(short, self.table.encode(short)))
+        out = []
+        for piece in found:
+            rank = whole.get(piece)
+            ids = [rank] if rank is not None else known.get(piece)
+            out.append(Prefixes(self.vocabulary, piece).tokens() if ids is None else ids)
         return out
 
-    def chunks(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids, and the same in decimals, of each chunk."""
-        make = self._chunk
-        return [self._cache.get(c) or make(c) for c in CHUNKS.findall(text)]
+    def _learn(self, chunks: list[str]) -> dict[str, Chunk]:
+        """Encode chunks that are not in the cache; short ones go into it."""
+        split = [self.pattern.findall(chunk) for chunk in chunks]
+        ids = iter(self.pieces([piece.encode() for parts in split for piece in parts]))
+        out = {}
+        for chunk, parts in zip(chunks, split):
+            own = tuple(itertools.chain.from_iterable([next(ids) for _ in parts]))
+            out[chunk] = own, " ".join(map(str, own))
+        return out
+
+    def chunks(self, texts: list[str]) -> list[list[Chunk]]:
+        """Ids, and the same in decimals, of the chunks of each text."""
+        split = [CHUNKS.findall(text) for text in texts]
+        wanted = set(itertools.chain.from_iterable(split))
+        here = {}
+        new = []
+        for chunk in wanted:
+            found = self._cache.get(chunk) or self._older.get(chunk)
+            if found is None:
+                new.append(chunk)
+            else:
+                here[chunk] = found
+        here |= self._learn(new)
+        self._cache.update((c, here[c]) for c in wanted if len(c) <= SHORT_PIECE)
+        if len(self._cache) >= CACHED_CHUNKS:
+            # What is in use comes back from the older generation; the rest goes with it.
+            self._older, self._cache = self._cache, {}
+        return [[here[c] for c in found] for found in split]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.chunks(text) for i in ids]
+        return [i for ids, _ in self.chunks([text])[0] for i in ids]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -226,7 +346,8 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer.encoder()
         for batch in sliced(batches):
-            ids = pa.array([encoder.encode(t or "") for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            found = encoder.chunks([t or "" for t in batch.column("text").to_pylist()])
+            ids = pa.array([[i for c in chunks for i in c[0]] for chunks in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -259,8 +380,7 @@ def round_trip(
         encoder = tokenizer.encoder()
         for batch in sliced(batches):
             sizes, hashes, decoded, kept = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = encoder.chunks(text or "")
+            for found in encoder.chunks([t or "" for t in batch.column("text").to_pylist()]):
                 ids = list(itertools.chain.from_iterable([c[0] for c in found]))
                 sizes.append(len(ids))
                 hashes.append(hashlib.sha256(" ".join([c[1] for c in found]).encode()).hexdigest())

@@ -130,6 +130,8 @@ def _searched(threshold: float):
                 if not kinds[a]:
                     held.append((ids, sizes, vectors))
                     continue
+                if shard is None and not held:
+                    continue  # an empty shard
                 if shard is None:
                     shard, held = Shard(*(np.concatenate(x) for x in zip(*held))), []
                 for k in range(0, b - a, BLOCK):

@@ -3,7 +3,7 @@
 Counts of words and word pairs are quantised on a logarithmic scale, and an
 n-gram of level q is put into a filter under the names (n-gram, 1) to
 (n-gram, q).  Probing the names in turn until one is missing reads the level
-back.  The filters have a fixed size and are broadcast; a pair's probability is
+back.  The filters are sized by the training text, up to a bound, and broadcast; a pair's probability is
 mixed with its word's, and the fuller the filter of pairs, hence the likelier a
 false hit, the less the pairs weigh.
 
@@ -29,8 +29,9 @@ from leakscan.llm import segments
 from leakscan.llm.code import sent
 from leakscan.llm.words import lowered, mixed, sliced, utf8, words
 
-WORD_BYTES = 16 << 20
-PAIR_BYTES = 64 << 20
+# The filters have so many bits for each character of training text, and so many bytes at most.
+WORD_BITS, WORD_BYTES = 0.3, 64 << 20
+PAIR_BITS, PAIR_BYTES = 0.8, 256 << 20
 FREQUENT = 1024  # words of each segment whose counts are broadcast
 PAIR_WEIGHT = 0.4
 BLOB_KEYS = 1 << 21
@@ -240,11 +241,13 @@ def train(
     """The model of all rows of ``docs``, broadcast; a null text is an empty one."""
     spark = sent(docs.sparkSession)
     count = max(1, segments.segments_of(spark) // 4)
-    model = Model(count, word_bytes, pair_bytes)
     rows = docs.select(F.col(text_col).alias("text"))
+    texts, size = rows.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    sizes = ((WORD_BITS, word_bytes), (PAIR_BITS, pair_bytes))
+    model = Model(count, *(segments.filter_bytes(size, bits, most) for bits, most in sizes))
     blobs = rows.mapInArrow(_count(count), COUNTED).repartition(count, "segment")
     learned = blobs.mapInArrow(_learn(model.words, model.pairs), LEARNED)
-    return spark.sparkContext.broadcast(model.learned(learned.toLocalIterator(), rows.count()))
+    return spark.sparkContext.broadcast(model.learned(learned.toLocalIterator(), texts))
 
 
 ENTRIES = (
