@@ -14,7 +14,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.functions import regex
+from leakscan.functions import ecmascript, regex
 from leakscan.functions.text import JS_SPACE_CLASS, is_blank
 
 OPEN, CLOSE = "\ue000", "\ue001"  # mark the two ends of a match inside a text
@@ -107,6 +107,7 @@ class Rule:
     captures: bool = False
     gate: Gate = NO_GATE
     source: str = "builtin"
+    java: str | None = None  # of a user pattern, as checked
 
     def marked(self, text: Column) -> Column:
         """``text`` with every match put between the two marks."""
@@ -116,7 +117,7 @@ class Rule:
             before, group, after = regex.split_capture(self.pattern)
             java = regex.to_java(f"({before})({group})({after})", self.flags)
         else:
-            java = regex.to_java(self.pattern, self.flags)
+            java = self.java or regex.to_java(self.pattern, self.flags)
             return F.regexp_replace(text, java, f"{OPEN}$0{CLOSE}")
         return F.regexp_replace(text, java, f"$1{OPEN}$2{CLOSE}$3")
 
@@ -436,12 +437,22 @@ def compiles(spark: SparkSession, java_pattern: str) -> bool:
     return True
 
 
+def usable(spark: SparkSession, pattern: str, flags: str) -> str | None:
+    """The Java pattern of a user pattern, or None where it is refused."""
+    try:
+        java = ecmascript.translate(pattern, flags)
+    except ecmascript.Refused:
+        return None
+    return java if compiles(spark, java) else None
+
+
 def custom_rules(spark: SparkSession, patterns: Iterable[Mapping]) -> list[Rule]:
-    """Rules for the enabled user patterns; those that do not compile are left out."""
+    """Rules for the enabled user patterns; refused ones are left out (``policy.rejected`` says why)."""
     rules = []
     for p in patterns:
         flags = regex.sanitize_flags(p["flags"] or "g")
-        if not p["enabled"] or not compiles(spark, regex.to_java(p["pattern"], flags)):
+        java = usable(spark, p["pattern"], flags) if p["enabled"] else None
+        if java is None:
             continue
         rules.append(
             Rule(
@@ -455,6 +466,7 @@ def custom_rules(spark: SparkSession, patterns: Iterable[Mapping]) -> list[Rule]
                 placeholder=p["placeholder"] or default_placeholder(p["label"]),
                 gate=prefix_gate(p["pattern"], flags),
                 source="custom",
+                java=java,
             )
         )
     return rules

@@ -199,6 +199,14 @@ INPUTS: dict[str, str] = {
         "CASE WHEN p_partkey % 6 = 0 THEN '  ' ELSE '<' || upper(p_type) || '>' END AS placeholder "
         "FROM {part}"
     ),
+    # Patterns a browser or this engine would not run, among ones it would.
+    "odd_patterns": (
+        "SELECT p_partkey AS pos, CASE p_partkey % 10 WHEN 0 THEN 'a++' WHEN 1 THEN '(?i)abc' WHEN 2 THEN '(?>ab)c' "
+        "WHEN 3 THEN 'x{{2' WHEN 4 THEN '(?<my_name>' || lower(p_brand) || ')' WHEN 5 THEN '(?:(a)|b)' || chr(92) || '1' "
+        "WHEN 6 THEN '(?:[A-F]|' || chr(92) || 'd)+' WHEN 7 THEN '(?:que|aux){{2,}}' WHEN 8 THEN '(' || p_brand "
+        "ELSE lower(p_brand) || '_[a-z]+' END AS pattern, CASE WHEN p_partkey % 20 = 3 THEN 'u' ELSE 'g' END AS flags "
+        "FROM {part}"
+    ),
     "given_packs": (
         "SELECT o_orderkey AS pos, o_orderpriority AS user_key, "
         "CASE WHEN o_orderkey % 4 = 0 THEN 'k' || CAST(o_orderkey AS STRING) ELSE NULL END AS id, "

@@ -135,6 +135,19 @@ def custom_normalized(spark, sf):
     return normalized_custom(spark, sf)
 
 
+@query(
+    "custom_rejected",
+    f"""SELECT pos, pattern, CASE pos % 10 WHEN 0 THEN 'nothing to repeat' WHEN 1 THEN 'invalid group'
+          WHEN 2 THEN 'invalid group' WHEN 3 THEN 'incomplete quantifier'
+          WHEN 5 THEN 'refers to a group that may not have taken part'
+          WHEN 7 THEN 'repeats without bound a group that branches or varies in length'
+          ELSE 'unterminated group' END AS reason
+        FROM ({for_duckdb('odd_patterns')}) WHERE pos % 10 IN (0, 1, 2, 5, 7, 8) OR pos % 20 = 3""",
+)
+def custom_rejected(spark, sf):
+    return st.bigints(pol.rejected(for_spark(spark, sf, "odd_patterns")).select("pos", "pattern", "reason"))
+
+
 _ALLOW_SQL = f"""allow AS (
   SELECT user_key, {_id('user_key', 'hostname', 'rule_id', 'match_fingerprint', 'pos')} AS id,
     coalesce({_trim('label')}, 'Allowlisted finding') AS label, hostname, rule_id, match_fingerprint,

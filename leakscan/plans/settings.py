@@ -28,7 +28,7 @@ PATTERN_SCHEMA = (
 CUSTOM = [
     # Runs of hex digits, a repeated syllable, one switched off, one broken.
     ("hex-blob", "Hex blob", r"\b[0-9A-F]{32,}\b", "gi", "secret", True, None, None),
-    ("syllables", "Repeated syllables!", "(?:que|aux){2,}", "g", "pii", True, "Looks foreign.", "<SYLLABLES>"),
+    ("syllables", "Repeated syllables!", "(?:que|aux){2,40}", "g", "pii", True, "Looks foreign.", "<SYLLABLES>"),
     ("off", "Never", "e", "g", "secret", False, None, None),
     ("broken", "Broken", "(", "g", "secret", True, None, None),
 ]
@@ -38,7 +38,7 @@ CUSTOM_SQL = [
         "explanation": 'This matches the custom pattern "Hex blob".', "placeholder": "<HEX_BLOB>",
     },
     {
-        "id": "syllables", "label": "Repeated syllables!", "category": "pii", "re2": "(?:que|aux){2,}",
+        "id": "syllables", "label": "Repeated syllables!", "category": "pii", "re2": "(?:que|aux){2,40}",
         "explanation": "Looks foreign.", "placeholder": "<SYLLABLES>",
     },
 ]

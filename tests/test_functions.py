@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leakscan.functions import arrays, regex
+from leakscan.functions import arrays, ecmascript, regex
 from leakscan.functions import text as tx
 
 
@@ -60,6 +60,47 @@ def test_line_start_positions_in_crlf(spark):
     assert value(spark, marked) == "|a\r|\n|b\n|"
 
 
+REFUSED = {
+    "a++": "nothing to repeat", "(?i)abc": "invalid group", "(?>ab)c": "invalid group", "(": "unterminated group",
+    ")": "unmatched )", "[b-a]": "range out of order in a class", "[a": "unterminated class", "a{3,1}": "numbers out of order in a quantifier",
+    "^*": "nothing to repeat", "(?<=a)*": "nothing to repeat", "\\": "\\ at the end", "(?<a>x)(?<a>y)": "repeated group name",
+    r"^(?:(a)|b)\1$": "refers to a group that may not have taken part", r"(a)?\1": "refers to a group that may not have taken part",
+    "(?:que|aux){2,}": "repeats without bound a group that branches or varies in length",
+    r"(?:\w+\.)+x": "repeats without bound a group that branches or varies in length",
+}
+
+
+@pytest.mark.parametrize("pattern", REFUSED)
+def test_refused_patterns_say_why(pattern):
+    assert ecmascript.reason(pattern) == REFUSED[pattern]
+
+
+@pytest.mark.parametrize("pattern, flags", [("x{2", "u"), ("]", "u"), (r"\-", "u"), (r"\1", "u"), (r"[\d-z]", "u")])
+def test_some_patterns_are_refused_with_a_flag_only(pattern, flags):
+    assert ecmascript.reason(pattern) is None and ecmascript.reason(pattern, flags)
+
+
+@pytest.mark.parametrize(
+    "pattern, flags, text, expected",
+    [
+        (r"(?<my_name>x+)-\k<my_name>$", "", "xx-xx", True), (r"^(?<my_name>x+)-\k<my_name>$", "", "xx-x", False),
+        (r"(a)\1+$", "", "aaaa", True), (r"^\1(a)$", "", "a", True), (r"^(?:[A-F]|\d)+$", "", "A1B2", True),
+        (r"^(?:[^a]|b)*$", "", "bcd", True), (r"^(?:[^a]|b)*$", "", "bad", False), (r"^(?:.|\n)*$", "", "a\nb", True),
+        (r"^(?:-|\^|&)+$", "", "-^&", True), (r"^(?:-|\^|&)+$", "", "-a", False), (r"^\p{Letter}+$", "u", "é", True),
+        (r"^\x41\u0042\103$", "", "ABC", True), (r"^x{y$", "", "x{y", True), (r"^(?=a)*b$", "", "b", True),
+        (r"^(?:ab){2,}$", "", "ab" * 5000, True), (r"\bfoo\b", "i", "a FOO.", True),
+    ],
+)
+def test_checked_patterns_match_as_meant(spark, pattern, flags, text, expected):
+    assert value(spark, F.lit(text).rlike(ecmascript.translate(pattern, flags))) is expected
+
+
+def test_a_long_run_does_not_exhaust_the_stack(spark):
+    java = ecmascript.translate(r"(?:[A-F]|\d)+", "g")
+    marked = F.regexp_replace(F.repeat(F.lit("A1"), 100_000), java, "")
+    assert value(spark, F.length(marked)) == 0
+
+
 def test_split_capture():
     assert regex.split_capture(r"\b(?:a|b)\([)](x+(?:y)?)z") == (r"\b(?:a|b)\([)]", "x+(?:y)?", "z")
     with pytest.raises(ValueError):
