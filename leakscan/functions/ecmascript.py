@@ -279,7 +279,10 @@ class _Parser:
             return Node("(?:)")  # not yet closed: it stands for nothing
         if number not in known:
             raise Refused("refers to a group that may not have taken part")
-        return self.quantified(Node(f"(?:\\{number})", None, False), True)
+        node = Node(f"\\{number}", None, False)
+        repeated = self.quantified(node)
+        # Digits that follow must not be read as part of the number.
+        return Node(f"{node.java}(?:)", None, False) if repeated is node else repeated
 
     def open(self, number: int) -> bool:
         """Whether the group is one that this place lies in."""
