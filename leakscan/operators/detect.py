@@ -65,6 +65,41 @@ def scan(
     return _bind(scanned, findings, "findings").drop("__raw", "__threshold")
 
 
+def scan_by_user(
+    df: DataFrame, tables, by: tuple[str, ...], *, text_col: str = "text", host_col: str = "hostname",
+    origin: str | Column = "composer", as_of: datetime | None = None,
+) -> DataFrame:
+    """Scan every row under the settings of its user; rows that are switched off are left out.
+
+    ``tables`` are the normalised settings of all users, as
+    ``sources.settings.settings_tables(raw, by)`` gives them, and ``by`` names
+    the columns that identify a user in them and in ``df``.  Toggles, site
+    profiles, thresholds and exact allow rules apply; a user without settings
+    is unknown, and off, like a site without a profile.  Patterns of a user's
+    own become expressions of a plan and need a scan under that user's policy.
+    """
+    thresholds = F.create_map(*(F.lit(x) for pair in THRESHOLDS.items() for x in pair))
+    profiles = tables.profiles.filter("enabled").select(
+        *by, F.col("hostname").alias(host_col), thresholds[F.col("strictness")].alias("__threshold")
+    )
+    toggles = tables.toggles.filter("enabled").select(
+        *by, F.col("detect_secrets").alias("__secrets"), F.col("detect_pii").alias("__pii")
+    )
+    on = df.join(toggles.join(profiles, list(by)), [*by, host_col])
+    policy = Policy()
+    rules = policy.rules(df.sparkSession)
+    scored = with_raw_findings(on.withColumnRenamed("__threshold", "__least"), policy, text_col=text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = {name: F.col(name) for name in by} | {"hostname": F.col(host_col)}
+    raw = _without_allowed(scored, purge_expired(tables.exact_allow, as_of), rules, text, keys)
+    wanted = F.filter(
+        "__raw",
+        lambda f: (f.confidence >= F.col("__least")) & F.when(f.secret, F.col("__secrets")).otherwise(F.col("__pii")),
+    )
+    found = _bind(raw, describe(resolve_overlaps(wanted), rules, origin), "findings")
+    return found.drop("__raw", "__threshold", "__least", "__secrets", "__pii")
+
+
 def raw_findings(
     df: DataFrame, policy: Policy | None = None, *, text_col: str = "text",
     origin: str = "composer", rules: list[Rule] | None = None,
@@ -109,7 +144,7 @@ def with_raw_findings(
     scored = _bind(df, raw, "__raw").drop("__low", "__cut", "__lines", *names.values())
     if not exact_allow:
         return scored
-    return _without_allowed(scored, purge_expired(policy.exact_allow, as_of), rules, text, F.col(host_col))
+    return _without_allowed(scored, purge_expired(policy.exact_allow, as_of), rules, text, {"hostname": F.col(host_col)})
 
 
 def _bind(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -305,28 +340,37 @@ def confidence_label(confidence: Column) -> Column:
 # --- suppression -------------------------------------------------------------
 
 
-def _without_allowed(df: DataFrame, live: DataFrame, rules: list[Rule], text: Column, host: Column) -> DataFrame:
-    """Take out the raw findings that an exact allow rule of the host covers.
+def _without_allowed(
+    df: DataFrame, live: DataFrame, rules: list[Rule], text: Column, where: dict[str, Column]
+) -> DataFrame:
+    """Take out the raw findings that an exact allow rule covers.
+
+    ``where`` names the columns of ``live`` that say where a rule holds (its
+    host, and its user where there are many), with their values in ``df``.
 
     Allow rules may be as many as findings.  The keys of the findings, without
     their texts, meet the rules in a join; what is allowed in a text comes back
-    to it by a 128-bit hash of host and text, since equal texts on a host have
-    equal findings.  That table is stored, so that Spark knows its size: it is
-    broadcast only if it is small.
+    to it by a 128-bit hash of place and text, since equal texts in a place
+    have equal findings.  That table is stored, so that Spark knows its size:
+    it is broadcast only if it is small.
     """
     ids = rows_literal([{"id": rule.id} for rule in rules], "id:string")
 
     def key(f: Column) -> Column:
         return let(F.get(ids, f.ord).id, lambda rule_id: allow_key(rule_id, allow_fingerprint(rule_id, f.match)))
 
-    named = df.withColumns({"__a": F.xxhash64(host, text), "__b": F.xxhash64(F.lit(1), host, text)})
+    places = [value.alias(f"__{name}") for name, value in where.items()]
+    names = [f"__{name}" for name in where]
+    identity = [*where.values(), text]
+    named = df.withColumns({"__a": F.xxhash64(*identity), "__b": F.xxhash64(F.lit(1), *identity)})
     found = named.filter(F.size("__raw") > 0).select(
-        "__a", "__b", host.alias("__host"), F.explode(F.array_distinct(F.transform("__raw", key))).alias("__key")
+        "__a", "__b", *places, F.explode(F.array_distinct(F.transform("__raw", key))).alias("__key")
     )
     wanted = live.select(
-        F.col("hostname").alias("__host"), allow_key(F.col("rule_id"), F.col("match_fingerprint")).alias("__key")
+        *(F.col(name).alias(f"__{name}") for name in where),
+        allow_key(F.col("rule_id"), F.col("match_fingerprint")).alias("__key"),
     )
-    met = found.distinct().join(wanted.distinct(), ["__host", "__key"])
+    met = found.distinct().join(wanted.distinct(), [*names, "__key"])
     allowed = stored(met.groupBy("__a", "__b").agg(F.collect_list("__key").alias("__allow")), "allowed")
     kept = F.when(F.col("__allow").isNull(), F.col("__raw")).otherwise(
         F.filter("__raw", lambda f: ~F.array_contains(F.col("__allow"), key(f)))

@@ -107,22 +107,26 @@ def retain(log: DataFrame, n: int = MAX_LOG_ENTRIES) -> DataFrame:
 
 
 def count_last_days(log: DataFrame, days: int, as_of: datetime | None = None) -> DataFrame:
+    """Entries of the last days; of a log stored by day only those days are read."""
     cutoff = F.timestamp_add("HOUR", F.lit(-24 * days), moment(as_of))
+    if "day" in log.columns:
+        # A day of room, for a log that was written in another time zone.
+        log = log.filter(F.col("day") >= F.date_sub(F.to_date(cutoff), 1))
     return log.filter(F.col("ts") >= cutoff).agg(F.count(F.lit(1)).alias("incidents"))
 
 
 def top_rule(log: DataFrame) -> DataFrame:
-    """The label in most entries; on a tie, the one met first, newest entry first."""
-    first_seen = F.struct((-F.unix_micros("ts")).alias("age"), F.col("id"), F.col("pos"))
-    labels = log.select("ts", "id", F.posexplode("rule_labels").alias("pos", "label"))
-    counted = labels.groupBy("label").agg(
-        F.count(F.lit(1)).alias("entries"), F.min(first_seen).alias("first")
-    )
-    return counted.agg(
-        F.coalesce(F.min_by("label", F.struct((-F.col("entries")).alias("n"), "first")), F.lit(NONE_YET)).alias(
-            "top_rule"
-        )
-    )
+    """The label in most entries; on a tie, the one met first, newest entry first.
+
+    Counts and newest times are numbers, which aggregate by hash.  Ids and
+    places are compared only among the labels that still tie.
+    """
+    labels = log.select((-F.unix_micros("ts")).alias("age"), "id", F.posexplode("rule_labels").alias("pos", "label"))
+    counted = labels.groupBy("label").agg(F.count(F.lit(1)).alias("entries"), F.min("age").alias("age"))
+    best = counted.orderBy(F.desc("entries"), "age").limit(1).select("entries", "age")
+    tied = counted.join(best, ["entries", "age"]).select("label", "age")
+    first = labels.join(tied, ["label", "age"]).orderBy("id", "pos").limit(1)
+    return first.agg(F.coalesce(F.max("label"), F.lit(NONE_YET)).alias("top_rule"))
 
 
 def top_category(log: DataFrame) -> DataFrame:

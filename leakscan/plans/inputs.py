@@ -275,6 +275,12 @@ INPUTS: dict[str, str] = {
         "CAST('2024-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || ' 00:00:00' AS TIMESTAMP) AS ts "
         f"FROM ({_with_snippet(SNIPPETS)}) s"
     ),
+    # Texts of many users, each with the user's own address and with that of another.
+    "by_user": (
+        "SELECT doc_id, 1 + doc_id % 60 AS user_key, hostname, text || chr(10) || 'u' || CAST(1 + doc_id % 60 AS STRING) "
+        "|| '@example.com, u' || CAST(doc_id % 7 AS STRING) || '@example.com' AS text "
+        f"FROM ({_with_snippet(SNIPPETS)}) s"
+    ),
     # Texts sent and files attached, by the event they belong to.
     "sent": f"SELECT doc_id * 10 AS event_id, text FROM ({_with_snippet(SNIPPETS)}) s",
     "event_files": (
@@ -296,7 +302,8 @@ INPUTS: dict[str, str] = {
         "'\":{{\"strictness\":\"relaxed\",\"enabled\":' || CASE WHEN c_custkey % 2 = 0 THEN 'false' ELSE 'true' END "
         "|| '}}}},\"exactAllowRules\":[{{\"id\":\"a' || CAST(c_custkey AS STRING) || '\",\"hostname\":\"claude.ai\","
         "\"ruleId\":\"email\",\"matchFingerprint\":\"email:' || lower(c_name) || '\"}},{{\"hostname\":\"claude.ai\",\"ruleId\":7,"
-        "\"matchFingerprint\":\"x\"}}],"
+        "\"matchFingerprint\":\"x\"}},{{\"id\":\"m\",\"hostname\":\"claude.ai\",\"ruleId\":\"email\",\"matchFingerprint\":\"email:u' "
+        "|| CAST(c_custkey AS STRING) || '@example.com\"}}],"
         "\"workspaceAllowlist\":[{{\"label\":\" w \",\"pattern\":\"' || c_mktsegment || '\"}},{{\"label\":\"w\",\"pattern\":true}}],"
         "\"customPatterns\":[{{\"id\":\"c\",\"label\":' || CASE c_custkey % 7 WHEN 0 THEN '5' WHEN 1 THEN '{{\"a\":1}}' "
         "ELSE '\" ' || c_mktsegment || '\"' END || ',\"pattern\":\"x+\",\"category\":\"pii\"}},{{\"label\":\"n\",\"pattern\":3,\"category\":\"pii\"}},"

@@ -14,8 +14,9 @@ from leakscan.plans import settings as st
 from leakscan.plans.inputs import for_duckdb, for_spark
 from leakscan.plans.policies import ACTION_SQL, HOSTS_SQL, NOW_SQL
 from leakscan.plans.registry import query
+from leakscan.sources import files as files_source
 from leakscan.sources import logs
-from leakscan.sources.shared import stored
+from leakscan.sources.shared import shared_folder, stored
 from leakscan.sources.tables import composer_texts
 
 # --- sources -----------------------------------------------------------------
@@ -116,10 +117,28 @@ def attachment_batch_log(spark, sf):
         GROUP BY ALL""",
 )
 def attachment_latest(spark, sf):
-    latest = att.latest_selection(scanned_files(spark, sf), for_spark(spark, sf, "files"))
+    # Files of selections that were replaced are not scanned.
+    latest = att.scan_files(att.latest_selection(for_spark(spark, sf, "files")))
     return st.bigints(latest.select("input_id", "file_key", F.size("findings").alias("findings")))
 
 
+@query(
+    "scan_file_source",
+    f"""WITH {o.resolved(f"SELECT doc_id // 64 AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM ({for_duckdb('seeded')}) GROUP BY doc_id // 64", 'doc_id')}
+        SELECT doc_id AS folder, rule_id, {o.mask_snippet('m')} AS match_preview, CAST(conf AS BIGINT) AS confidence FROM f""",
+)
+def scan_file_source(spark, sf):
+    """Documents written as text files, 64 to a file, and scanned as one selection of files."""
+    folder = shared_folder(spark, "files")
+    texts = for_spark(spark, sf, "seeded").select(F.expr("doc_id div 64").alias("folder"), "doc_id", "text")
+    dealt = texts.repartition("folder").sortWithinPartitions("folder", "doc_id").drop("doc_id")
+    dealt.write.partitionBy("folder").text(folder)
+    files = files_source.read_files(spark, folder, input_id="upload", batch_ts=st.NOW)
+    name = F.regexp_extract("path", r"folder=(\d+)/", 1).cast("bigint").alias("folder")
+    found = att.scan_files(files).select(name, F.inline("findings"))
+    return st.bigints(found.select("folder", "rule_id", "match_preview", "confidence"))
+
+
 @query(
     "attachment_pending",
     f"""WITH {_FILES_SQL} SELECT file_key, file_name, count(*) AS pending,
@@ -172,17 +191,19 @@ log AS (
   FROM counts JOIN labels USING (event_id) JOIN acted USING (event_id) JOIN hosts USING (hostname))"""
 
 
-def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    composer = detect.scan(for_spark(spark, sf, "sent"))
-    attached = att.scan_files(for_spark(spark, sf, "event_files"), scope=("event_id",))
-    return composer, attached
+def sides(spark: SparkSession, sf: str, events: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scanned texts and files, of ``events`` only where they are given."""
+    texts, files = for_spark(spark, sf, "sent"), for_spark(spark, sf, "event_files")
+    if events is not None:
+        texts, files = (df.join(events.select("event_id"), "event_id", "left_semi") for df in (texts, files))
+    return detect.scan(texts), att.scan_files(files, scope=("event_id",))
 
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
     """One log entry per decided event with findings in its text or files."""
-    counts = inc.event_counts(*sides(spark, sf), "event_id")
     action = pol.decision_action(F.col("decision"), F.col("mode"))
     decided = for_spark(spark, sf, "decisions").withColumns({"action": action, "trigger": F.lit("send")})
+    counts = inc.event_counts(*sides(spark, sf, decided), "event_id")
     return inc.log_entries(counts.join(decided, "event_id"), "event_id")
 
 
@@ -197,6 +218,27 @@ def incident_log(spark, sf):
     ).withColumnRenamed("trigger", "trigger_name")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The incident log as stored by day.  Its reports read it; no text is scanned for them again."""
+    name = spark.sparkContext.applicationId, sf
+    if name not in _STORED:
+        path = shared_folder(spark, "incident-log")
+        logs.append_log(incidents(spark, sf), path)
+        _STORED[name] = path
+    return logs.read_log(spark, _STORED[name])
+
+
+@query("log_clear", "SELECT CAST(0 AS BIGINT) AS entries")
+def log_clear(spark, sf):
+    path = shared_folder(spark, "cleared-log")
+    logs.append_log(stored_log(spark, sf).drop("day"), path)
+    logs.clear_log(spark, path)
+    return logs.read_log(spark, path).agg(F.count(F.lit(1)).alias("entries"))
+
+
 def raw_log(spark: SparkSession, sf: str) -> DataFrame:
     raw = for_spark(spark, sf, "raw_log")
     return raw.withColumn("rule_labels", F.split("labels", ",")).withColumnRenamed("trigger_name", "trigger").drop("labels")
@@ -240,7 +282,7 @@ def log_retention(spark, sf):
     f"WITH {_LOG_SQL} SELECT count(*) AS incidents FROM log WHERE ts >= {NOW_SQL} - INTERVAL 7 DAY",
 )
 def log_last_7_days(spark, sf):
-    return inc.count_last_days(incidents(spark, sf), 7, st.NOW)
+    return inc.count_last_days(stored_log(spark, sf), 7, st.NOW)
 
 
 @query(
@@ -252,7 +294,7 @@ def log_last_7_days(spark, sf):
         SELECT coalesce((SELECT label FROM ranked ORDER BY n DESC, first LIMIT 1), 'None yet') AS top_rule""",
 )
 def log_top_rule(spark, sf):
-    return inc.top_rule(incidents(spark, sf))
+    return inc.top_rule(stored_log(spark, sf))
 
 
 @query(
@@ -261,7 +303,7 @@ def log_top_rule(spark, sf):
         WHEN sum(secrets) >= sum(pii) THEN 'Secrets' ELSE 'PII' END AS top_category FROM log""",
 )
 def log_top_category(spark, sf):
-    return inc.top_category(incidents(spark, sf))
+    return inc.top_category(stored_log(spark, sf))
 
 
 @query(
@@ -270,7 +312,7 @@ def log_top_category(spark, sf):
         ORDER BY log.ts DESC, id LIMIT 6""",
 )
 def log_recent(spark, sf):
-    newest = inc.recent(incidents(spark, sf))
+    newest = inc.recent(stored_log(spark, sf))
     return newest.select(
         "id", F.unix_micros("ts").alias("ts"), "hostname", "action", "total_findings",
         F.array_join("rule_labels", "|").alias("rule_labels"),

@@ -329,6 +329,8 @@ def settings_profiles(spark, sf):
         WHERE json_type(j, '$.customPatterns[0].label') = 'VARCHAR'
         UNION ALL SELECT user_key, 'exact', j ->> '$.exactAllowRules[0].id', 'Allowlisted finding',
           j ->> '$.exactAllowRules[0].matchFingerprint' FROM s
+        UNION ALL SELECT user_key, 'exact', j ->> '$.exactAllowRules[2].id', 'Allowlisted finding',
+          j ->> '$.exactAllowRules[2].matchFingerprint' FROM s
         UNION ALL SELECT user_key, 'workspace', sha256(concat_ws(chr(10), user_key, ' w ', j ->> '$.workspaceAllowlist[0].pattern')),
           'w', j ->> '$.workspaceAllowlist[0].pattern' FROM s""",
 )
@@ -343,6 +345,34 @@ def settings_rules(spark, sf):
     return custom.unionByName(exact).unionByName(workspace)
 
 
+_USER_PROFILE = f"""users AS (
+  SELECT user_key, hostname, coalesce(j ->> '$.detectPII' <> 'false', true) AS pii,
+    coalesce(j ->> '$.enabled' <> 'false', true)
+      AND coalesce(json_extract(j, '$.siteProfiles."' || hostname || '"') ->> '$.enabled' <> 'false', true) AS enabled,
+    coalesce(json_extract(j, '$.siteProfiles."' || hostname || '"') ->> '$.strictness', 'balanced') AS strictness,
+    j ->> '$.exactAllowRules[2].matchFingerprint' AS allowed FROM s CROSS JOIN hosts)"""
+_BY_USER = (
+    f"SELECT t.* FROM ({for_duckdb('by_user')}) t JOIN users USING (user_key, hostname) WHERE users.enabled"
+)
+_BY_USER_KEEP = (
+    "conf >= " + o.STRICTNESS_SQL.format(c="users.strictness") + " AND (users.pii OR category = 'secret') "
+    "AND NOT (src.hostname = 'claude.ai' AND scored.fingerprint = users.allowed AND scored.rule_id = 'email')"
+)
+
+
+@query(
+    "scan_by_user",
+    f"""WITH {_STORED_SQL}, {HOSTS_SQL}, {_USER_PROFILE}, {o.resolved(
+        _BY_USER, 'doc_id', keep=_BY_USER_KEEP,
+        joins='JOIN src USING (doc_id) JOIN users ON users.user_key = src.user_key AND users.hostname = src.hostname')}
+        SELECT doc_id, rule_id, m AS match, CAST(conf AS BIGINT) AS confidence FROM f""",
+)
+def scan_by_user(spark, sf):
+    scanned = detect.scan_by_user(for_spark(spark, sf, "by_user"), stored(spark, sf), ("user_key",), as_of=st.NOW)
+    found = scanned.select("doc_id", F.inline("findings"))
+    return st.bigints(found.select("doc_id", "rule_id", "match", "confidence"))
+
+
 # --- changing allow rules ----------------------------------------------------
 
 _TEMPORARY_SQL = f"""requests AS (

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.operators.attachments import TEXT_EXTENSIONS
 
 
-def read_files(spark: SparkSession, path: str, *, input_id: str = "path") -> DataFrame:
-    """Text-like files under a path, in the shape the attachment scan takes.
+def read_files(spark: SparkSession, path: str, *, input_id: str, batch_ts: datetime) -> DataFrame:
+    """Text-like files under a path, as one selection, in the shape the attachment scan takes.
 
-    The extension gate is a filter on the path, which the reader applies before
+    ``input_id`` and ``batch_ts`` say where and when the files were selected;
+    ``path`` is added.  A file is one text and is read whole.  The extension gate is a filter on the path, which the reader applies before
     it opens a file.
     """
     gate = F.lit(False)
@@ -20,7 +23,8 @@ def read_files(spark: SparkSession, path: str, *, input_id: str = "path") -> Dat
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(gate)
     return found.select(
         F.lit(input_id).alias("input_id"),
-        F.col("modificationTime").alias("batch_ts"),
+        F.lit(batch_ts).cast("timestamp").alias("batch_ts"),
+        "path",
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.lit(None).cast("string").alias("file_type"),
         F.col("length").alias("size"),

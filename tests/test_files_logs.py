@@ -43,7 +43,8 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "a.TXT").write_bytes(b"\xef\xbb\xbf\xff mail a@b.co")
     (tmp_path / "sub" / "b.env").write_text("x\nAPI_KEY=abc")
     (tmp_path / "c.png").write_bytes(b"a@b.co")
-    read = files_source.read_files(spark, str(tmp_path))
+    read = files_source.read_files(spark, str(tmp_path), input_id="one", batch_ts=NOW)
+    assert att.latest_selection(read).count() == 2
     assert {r.file_name: r.text for r in read.collect()} == {"a.TXT": "\ufffd mail a@b.co", "b.env": "x\nAPI_KEY=abc"}
     found = att.scan_files(read).select(F.inline("findings")).collect()
     assert {(r.file_name, r.rule_id, r.file_type) for r in found} == {
