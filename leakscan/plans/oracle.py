@@ -1,60 +1,27 @@
 """The detection semantics in DuckDB SQL, as an independent check.
 
-Rows per match rather than arrays, and patterns written separately in the RE2
-dialect (no lookaround), so that a slip in one engine's form is not repeated in
-the other's.
+Rows per match rather than arrays, and the patterns as they are given, run by
+RE2, where the scan runs its own rewritten forms.
 """
 
 from __future__ import annotations
 
-import re
-
+from leakscan.functions.regex import split_capture
 from leakscan.operators.rules import BUILTIN_RULES
 
-# The built-in patterns in RE2 syntax.  Three groups (before,
-# reported, after) where only part of the match is reported.
-RE2 = {
-    "openai-key": r"\bsk-(?:proj-|live-|test-)?[0-9A-Za-z_-]{20,}\b",
-    "aws-access-key": r"\bA(?:KIA|SIA|IDA|GPA|ROA|IPA|NPA|NVA)[0-9A-Z]{16}\b",
-    "github-token": r"\b(?:gh[oprsu]_[0-9A-Za-z]{20,}|github_pat_[0-9A-Za-z_]{20,})\b",
-    "gitlab-token": r"\bglpat-[0-9A-Za-z_-]{20,}\b",
-    "sendgrid-api-key": r"\bSG\.[\w-]{22}\.[\w-]{43}\b",
-    "twilio-account-sid": r"\bAC[[:alnum:]]{32}\b",
-    "twilio-api-key-sid": r"\bSK[[:alnum:]]{32}\b",
-    "twilio-auth-token": r"""(?i)(\bTWILIO_(?:AUTH_TOKEN|API_SECRET)\s*[:=]\s*["']?)([0-9a-f]{32})(["']?)""",
-    "slack-token": r"\bxox[aboprs]-[0-9A-Za-z-]{10,}\b",
-    "stripe-secret-key": r"\bsk_(?:live|test)_[[:alnum:]]{16,}\b",
-    "google-api-key": r"\bAIza[\w-]{35}\b",
-    "firebase-api-key": r"\bAIza[\w-]{35}\b",
-    "gcp-service-account-private-key-id": r'("private_key_id"\s*:\s*")([0-9A-Fa-f]{20,})(")',
-    "gcp-service-account-client-email":
-        r'(?i)("client_email"\s*:\s*")([^\s"]+@[^\s"]+\.gserviceaccount\.com)(")',
-    "jwt": r"\beyJ[\w-]+\.[\w-]+\.[\w-]+\b",
-    "pem-private-key":
-        r"-----BEGIN(?: (?:RSA|EC|DSA|OPENSSH))? PRIVATE KEY-----(?:.|\n)+?"
-        r"-----END(?: (?:RSA|EC|DSA|OPENSSH))? PRIVATE KEY-----",
-    "bearer-token": r"(?i)(\bbearer\s+)([\w.~+/=-]{16,})(\b)",
-    "auth-header": r"(?i)(\bauthorization\s*:\s*(?:basic|bearer)\s+)([\w.~+/=-]{16,})(\b)",
-    "env-assignment":
-        r"(?im)((?:^|[\r\n])\s*(?:OPENAI_API_KEY|AWS_SECRET_ACCESS_KEY|GITHUB_TOKEN|GITLAB_(?:TOKEN|PAT|PRIVATE_TOKEN)"
-        r"|SLACK_BOT_TOKEN|STRIPE_SECRET_KEY|SENDGRID_API_KEY"
-        r"|TWILIO_(?:AUTH_TOKEN|API_SECRET|API_KEY|ACCOUNT_SID)|FIREBASE_API_KEY"
-        r"|AZURE_(?:CLIENT_SECRET|STORAGE_ACCOUNT_KEY|STORAGE_CONNECTION_STRING|SERVICEBUS_CONNECTION_STRING)"
-        r"|API_KEY|SECRET_KEY|ACCESS_TOKEN|AUTH_TOKEN|CLIENT_SECRET)"
-        r"""\s*=\s*["']?)([^\s"']+)(["']?)""",
-    "connection-string-password":
-        r"(?i)(\b(?:postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|amqp)://[^\s:@/]+:)([^\s@]+)(@)",
-    "azure-storage-connection-string-key":
-        r"(?i)(\bDefaultEndpointsProtocol=https;AccountName=[^\s;]+;AccountKey=)([^\s;]+)"
-        r"(;EndpointSuffix=core\.windows\.net\b)",
-    "azure-servicebus-connection-string-key":
-        r"(?i)(\bEndpoint=sb://[^\s;]+;SharedAccessKeyName=[^\s;]+;SharedAccessKey=)([^\s;]+)()",
-    "azure-sas-token-sig": r"(?i)(\bsv=[0-9]{4}-[0-9]{2}-[0-9]{2}\S*?[?&]sig=)([^\s&]+)()",
-    "kv-secret-value": r"(?im)((?:^|[;\s])(?:client_secret|password|secret|token|pwd)\s*=\s*)([^\s;]+)()",
-    "email": r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b",
-    "phone": r"(?:\B\+\d{1,3}[\s().-]*|\b(?:\d{1,3}[\s().-]*)?)(?:\d[\s().-]*){9,14}\d\b",
-}
-CAPTURES = {name for name, pattern in RE2.items() if re.search(r"\)\((?!\?)", pattern)}
+
+def re2(pattern: str, flags: str, captures: bool = False) -> str:
+    """A pattern for RE2: flags in front, and three groups where only part of the match is reported."""
+    kept = "".join(f for f in "ims" if f in flags)
+    if captures:
+        pattern = "({})({})({})".format(*split_capture(pattern))
+    return (f"(?{kept})" if kept else "") + pattern
+
+
+RE2 = {rule.id: re2(rule.pattern, rule.flags, rule.captures) for rule in BUILTIN_RULES}
+# RE2 has no look-behind and no look-ahead.
+RE2["phone"] = r"(?:\B\+\d{1,3}[\s().-]*|\b(?:\d{1,3}[\s().-]*)?)(?:\d[\s().-]*){9,14}\d\b"
+CAPTURES = {rule.id for rule in BUILTIN_RULES if rule.captures}
 
 STRICTNESS_SQL = "CASE {c} WHEN 'relaxed' THEN 75 WHEN 'strict' THEN 38 ELSE 58 END"
 

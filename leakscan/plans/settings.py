@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leakscan.operators import policy as pol
 from leakscan.operators.rules import STARTER_PACK
 from leakscan.plans.inputs import AS_OF, for_spark
+from leakscan.plans.oracle import re2
 
 NOW = datetime.fromisoformat(AS_OF).replace(tzinfo=timezone.utc)
 
@@ -83,13 +84,10 @@ def allow_rules(spark: SparkSession, folder: str, source: str) -> DataFrame:
 
 
 def starter_sql_rules() -> list[dict]:
-    re2 = [
-        r"\bdemo_[[:alnum:]]{18,}\b", r"\bsbx_[\w-]{20,}\b", r"(?i)\b[a-z0-9._%+-]+@examplecorp\.internal\b",
-    ]
     out = []
     for n, p in enumerate(STARTER_PACK["patterns"]):
         identity = "\n".join([STARTER_PACK["name"], str(n), p["label"], p["pattern"]])
-        out.append({**p, "id": sha256(identity.encode()).hexdigest(), "re2": re2[n]})
+        out.append({**p, "id": sha256(identity.encode()).hexdigest(), "re2": re2(p["pattern"], p["flags"])})
     return out
 
 
