@@ -136,6 +136,14 @@ INPUTS: dict[str, str] = {
         "CAST('2023-12-31 00:00:00' AS TIMESTAMP) AS mtime, text "
         f"FROM ({_with_snippet(SNIPPETS)}) s"
     ),
+    # The same files, but some inputs are emptied by a later selection of no file.
+    "selected": (
+        "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'input-0' ELSE 'input-' || CAST(doc_id % 97 AS STRING) END AS input_id, "
+        "CASE WHEN doc_id % 50 = 49 THEN CAST('2024-01-06 00:00:00' AS TIMESTAMP) "
+        "ELSE CAST('2024-01-0' || CAST(1 + doc_id % 5 AS STRING) || ' 00:00:00' AS TIMESTAMP) END AS batch_ts, "
+        "CASE WHEN doc_id % 50 = 49 THEN NULL ELSE 'f' || CAST(doc_id AS STRING) || '.log' END AS file_name, "
+        f"text FROM ({_with_snippet(SNIPPETS)}) s"
+    ),
     "events": (
         "SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value FROM {events}"
     ),
@@ -272,6 +280,8 @@ INPUTS: dict[str, str] = {
     "arriving": (
         f"SELECT doc_id, {_host_or_other('doc_id')} AS hostname, "
         "CASE doc_id % 3 WHEN 0 THEN 'composer' WHEN 1 THEN 'paste' ELSE 'attachment' END AS origin, text, "
+        "CASE WHEN doc_id % 3 = 2 THEN 'f' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 5 = 0 THEN '.png' ELSE '.log' END "
+        "ELSE NULL END AS file_name, CAST(NULL AS STRING) AS file_type, "
         "CAST('2024-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || ' 00:00:00' AS TIMESTAMP) AS ts "
         f"FROM ({_with_snippet(SNIPPETS)}) s"
     ),

@@ -25,7 +25,17 @@ def arriving(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(INPUTS["arriving"], documents=documents)
 
 
-_SRC = f"SELECT t.* FROM ({for_duckdb('arriving')}) t JOIN profiles p ON p.hostname = t.hostname WHERE {GATE_SQL}"
+_SRC = (
+    f"SELECT t.* FROM ({for_duckdb('arriving')}) t JOIN profiles p ON p.hostname = t.hostname WHERE {GATE_SQL} "
+    "AND coalesce(file_name NOT LIKE '%.png', true)"
+)
+# Of an attached file only a masked preview is kept.
+_COLUMNS = (
+    "doc_id, rule_id, label, category, sev AS severity, CASE WHEN origin <> 'attachment' THEN s END AS start_pos, "
+    "CASE WHEN origin <> 'attachment' THEN e END AS end_pos, "
+    f"CASE WHEN origin = 'attachment' THEN {o.mask_snippet('m')} ELSE m END AS match, "
+    "CAST(conf AS BIGINT) AS confidence, conf_label AS confidence_label"
+)
 
 
 def _stream_sql(more: str = "") -> str:
@@ -34,7 +44,7 @@ def _stream_sql(more: str = "") -> str:
     return f"{st.profile_values()}, {o.resolved(_SRC, 'doc_id', keep=keep, joins=joins)}"
 
 
-@query("stream_scan", f"WITH {_stream_sql()} SELECT {o.finding_columns('doc_id')} FROM f")
+@query("stream_scan", f"WITH {_stream_sql()} SELECT {_COLUMNS} FROM f JOIN src USING (doc_id)")
 def stream_scan(spark, sf):
     scanned = live.scan_stream(arriving(spark, sf), Policy(profiles=st.profiles(spark)))
     rows = scanned.select("doc_id", F.inline("findings")).select("doc_id", *FIELDS)
@@ -43,7 +53,7 @@ def stream_scan(spark, sf):
 
 @query(
     "stream_allow",
-    f"WITH {allowed_sql('seeded_allow')}, {_stream_sql(' AND ' + _NOT_EXACT)} SELECT {o.finding_columns('doc_id')} FROM f",
+    f"WITH {allowed_sql('seeded_allow')}, {_stream_sql(' AND ' + _NOT_EXACT)} SELECT {_COLUMNS} FROM f JOIN src USING (doc_id)",
 )
 def stream_allow(spark, sf):
     policy = Policy(profiles=st.profiles(spark), exact_allow=st.allow_rules(spark, sf, "seeded_allow"))
@@ -56,6 +66,48 @@ def stream_allow(spark, sf):
     return st.bigints(scanned.select("doc_id", F.inline("findings")).select("doc_id", *FIELDS))
 
 
+@query("stream_reload", f"WITH {_stream_sql()} SELECT {_COLUMNS} FROM f JOIN src USING (doc_id)")
+def stream_reload(spark, sf):
+    """Profiles from a stored table, loaded again when it was written anew."""
+    folder = shared_folder(spark, "stream-reload")
+    st.profiles(spark).write.parquet(f"{folder}/profiles")
+
+    def stored(session):
+        return session.read.parquet(f"{folder}/profiles")
+
+    source = live.reload_when_changed(
+        lambda session: sorted(stored(session).inputFiles()), lambda session: Policy(profiles=stored(session))
+    )
+    write = live.write_numbered(f"{folder}/table")
+    live.scan_with_reload(arriving(spark, sf), source, write, f"{folder}/checkpoint").awaitTermination()
+    scanned = spark.read.parquet(f"{folder}/table")
+    return st.bigints(scanned.select("doc_id", F.inline("findings")).select("doc_id", *FIELDS))
+
+
+@query(
+    "stream_pending",
+    f"""WITH {o.resolved(f"SELECT * FROM ({for_duckdb('selected')}) WHERE file_name IS NOT NULL", 'doc_id')},
+        latest AS (SELECT input_id, max(batch_ts) AS batch_ts FROM ({for_duckdb('selected')}) GROUP BY input_id)
+        SELECT input_id, file_name, count(*) AS findings FROM f JOIN src USING (doc_id)
+        JOIN latest USING (input_id, batch_ts) GROUP BY ALL""",
+)
+def stream_pending(spark, sf):
+    """What the last selection of each input still holds; a selection of no file empties it."""
+    folder = shared_folder(spark, "stream-pending")
+    schema = table(spark, sf, "documents").schema
+    documents = live.read_stream(spark, sf, "documents.parquet", schema)
+    write = live.record_selections(f"{folder}/log")
+
+    def each(batch, number):
+        write(detect.scan(batch).drop("text"), number)
+
+    run = spark.sql(INPUTS["selected"], documents=documents).writeStream.foreachBatch(each)
+    run = run.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    run.start().awaitTermination()
+    left = live.pending_selections(spark, f"{folder}/log")
+    return st.bigints(left.select("input_id", "file_name", F.size("findings").alias("findings")))
+
+
 _ACTION_SQL = "CASE origin WHEN 'paste' THEN 'pasted_flagged' WHEN 'attachment' THEN 'attachment_flagged' ELSE 'ignored_once' END"
 _TRIGGER_SQL = "CASE origin WHEN 'composer' THEN 'send' ELSE origin END"
 

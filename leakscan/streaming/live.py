@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leakscan.operators.attachments import latest_selection
+from leakscan.functions.text import mask_snippet
+from leakscan.operators.attachments import is_text_like, latest_selection
 from leakscan.operators.detect import scan
 from leakscan.operators.policy import Policy, guarded
 from leakscan.sources.shared import shared_folder
@@ -30,12 +31,28 @@ def read_stream(spark: SparkSession, folder: str, file_glob: str, schema, max_fi
 def scan_stream(texts: DataFrame, policy: Policy, **scan_options) -> DataFrame:
     """Scan arriving texts on guarded hosts, each by the switches of its origin.
 
-    A pasted text counts as composer text in its findings; the content of a file
-    stays marked as such, so that nothing rewrites it.
+    A pasted text counts as composer text in its findings.  The content of a
+    file stays marked as such, so that nothing rewrites it, and its findings
+    keep a masked preview in place of the match, as those of ``scan_files`` do;
+    where texts have a ``file_name`` and a ``file_type``, only files that look
+    like text are scanned.
     """
     on = guarded(texts, policy, origin_col="origin")
-    origin = F.when(F.col("origin") == "attachment", F.lit("attachment")).otherwise(F.lit("composer"))
-    return scan(on, policy, host_col="hostname", origin=origin, **scan_options)
+    attached = F.col("origin") == "attachment"
+    if {"file_name", "file_type"} <= set(texts.columns):
+        on = on.filter(~attached | is_text_like(F.col("file_name"), F.col("file_type")))
+    origin = F.when(attached, F.lit("attachment")).otherwise(F.lit("composer"))
+    scanned = scan(on, policy, host_col="hostname", origin=origin, **scan_options)
+    return scanned.withColumn(
+        "findings", F.when(attached, F.transform("findings", _masked)).otherwise(F.col("findings"))
+    )
+
+
+def _masked(f: Column) -> Column:
+    none = F.lit(None).cast("int")
+    preview = mask_snippet(f.match)
+    out = f.withField("match", preview).withField("snippet", preview).withField("start_pos", none)
+    return out.withField("end_pos", none).withField("allow_fingerprint", F.lit(None).cast("string"))
 
 
 def write_available(
@@ -88,15 +105,39 @@ def write_numbered(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def merge_selections(pending_path: Callable[[int], str], number: int, batch: DataFrame) -> None:
-    """Fold the files of a new micro-batch into the pending table.
+def reload_when_changed(
+    version: Callable[[SparkSession], object], load: Callable[[SparkSession], Policy]
+) -> Callable[[SparkSession], Policy]:
+    """A policy source that loads, and compiles its rules, only when the version is a new one."""
+    held: dict = {}
+
+    def source(spark: SparkSession) -> Policy:
+        now = version(spark)
+        if "policy" not in held or held["version"] != now:
+            held.update(version=now, policy=load(spark))
+        return held["policy"]
+
+    return source
+
 
-    ``batch`` holds one row per selected file, with its findings and without
-    its text; an input's last selection replaces what it had.  Version
-    ``number`` is built from the version before it, so a batch that is run
-    again writes the same version.
+def record_selections(path: str) -> Callable[[DataFrame, int], None]:
+    """A writer that appends the file selections of a micro-batch to a change log.
+
+    A batch holds one row per selected file, with its findings and without its
+    text, or one with a null ``file_name`` for a selection of no file.  Nothing
+    that was written is read or written again; a batch that runs again replaces
+    its own part.
     """
-    merged = batch
-    if number > 0:
-        merged = batch.sparkSession.read.parquet(pending_path(number - 1)).unionByName(batch)
-    latest_selection(merged).write.mode("overwrite").parquet(pending_path(number))
+    def write(batch: DataFrame, number: int) -> None:
+        made = batch.select("input_id", "batch_ts").distinct()
+        made.write.mode("overwrite").parquet(f"{path}/selections/batch={number}")
+        files = batch.filter(F.col("file_name").isNotNull() & (F.size("findings") > 0))
+        files.write.mode("overwrite").parquet(f"{path}/files/batch={number}")
+
+    return write
+
+
+def pending_selections(spark: SparkSession, path: str) -> DataFrame:
+    """The flagged files of each input's last selection; a selection of no file leaves none."""
+    selections, files = (spark.read.parquet(f"{path}/{name}").drop("batch") for name in ("selections", "files"))
+    return latest_selection(files, selections)
