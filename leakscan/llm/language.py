@@ -114,11 +114,11 @@ class Model:
         self.code = codewords(len(languages))
         # Languages weigh the same, however many texts they have.
         share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
-        self.weights = np.zeros((BUCKETS, self.code.shape[1]), np.float32)
+        self.weights = np.zeros((self.code.shape[1], BUCKETS), np.float32)
         for bit in range(self.code.shape[1]):
             one = self.code[:, bit] > 0
             if one.any() and not one.all():
-                self.weights[:, bit] = np.log(share[one].mean(axis=0) / share[~one].mean(axis=0))
+                self.weights[bit] = np.log(share[one].mean(axis=0) / share[~one].mean(axis=0))
 
     def predict(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """The index of the language of each text, and its score."""
@@ -126,7 +126,8 @@ class Model:
         votes = np.zeros((len(at) - 1, self.code.shape[1]))
         if len(buckets):
             full = np.flatnonzero(np.diff(at))
-            votes[full] = np.add.reduceat(self.weights[buckets], at[full], axis=0, dtype=np.float64)
+            for bit, weights in enumerate(self.weights):
+                votes[full, bit] = np.add.reduceat(weights[buckets], at[full], dtype=np.float64)
         margins = np.clip(votes / TEMPERATURE, -20, 20)
         loss = np.stack([np.logaddexp(0, -margins * word).sum(axis=1) for word in self.code], axis=1)
         likely = np.exp(loss.min(axis=1, keepdims=True) - loss)
