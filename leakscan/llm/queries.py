@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leakscan.llm import attribution, bpe, embeddings, language, lm, quality, sharding, simhash, substring, tiling
 
+SHARDS = [f"shard-{k:03d}" for k in range(sharding.SHARDS)]
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -51,8 +52,7 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    names = [f"shard-{k:03d}" for k in range(sharding.SHARDS)]
-    return sharding.placed(_table(spark, folder, "documents").select("doc_id"), names)
+    return sharding.placed(_table(spark, folder, "documents").select("doc_id"), SHARDS)
 
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,4 +96,26 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+def _sharding_sql() -> str:
+    """The lookup table as one text, two hexadecimal digits for each slot."""
+    table = "".join(f"{k:02x}" for k in sharding.lookup_table(SHARDS).tolist())
+    return f"""WITH placed AS (
+          SELECT doc_id, CAST(CAST('0x' || left(md5(CAST(doc_id AS VARCHAR)), 8) AS BIGINT) % {sharding.SLOTS} AS INTEGER) AS slot
+          FROM documents)
+        SELECT doc_id, slot, 'shard-' || lpad(CAST(CAST('0x' || substr('{table}', 2 * slot + 1, 2) AS INTEGER) AS VARCHAR), 3, '0')
+          AS shard FROM placed"""
+
+
+SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v),
+        links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id
+          WHERE list_dot_product(a.e, b.e) >= 0.95 * a.size * b.size),
+        reach(vec_id, found) AS (
+          SELECT vec_id, vec_id FROM v UNION SELECT vec_id, b FROM reach JOIN links ON found = a)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(found) AS component_id,
+          min(found) = vec_id AS kept FROM reach GROUP BY vec_id""",
+    "op6_sharding": _sharding_sql(),
+}

@@ -43,8 +43,9 @@ def lookup_table(shards: list[str], slots: int = SLOTS) -> np.ndarray:
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The slot of a key; null has one like any other value."""
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("\0null"))), F.lit(slots)).cast("int")
+    """The slot of a key, from the first 32 bits of its MD5; null counts as the empty text."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
 def placed(docs: DataFrame, shards: list[str], key_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:

@@ -1,4 +1,6 @@
 import brute
+import duckdb
+import pytest
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
@@ -48,6 +50,16 @@ def test_stages_take_odd_and_empty_tables(spark, docs):
         assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(ids, key=str)
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_match_their_sql(spark, name):
+    duck = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {table} AS FROM '{SMALL}/{table}.parquet'")
+    got, expected = queries.QUERIES[name](spark, SMALL), duck.sql(queries.SQL[name])
+    assert got.columns == expected.columns
+    assert sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
+
+
 def test_names_of_queries():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(
         dict.fromkeys(sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])))
