@@ -14,6 +14,7 @@ looked up after that, in a cache of bounded size.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import itertools
 import re
@@ -281,31 +282,47 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> dict[str, Chunk]:
         """Encode chunks that are not in the cache; short ones go into it."""
         split = [self.pattern.findall(chunk) for chunk in chunks]
-        ids = iter(self.pieces([piece.encode() for parts in split for piece in parts]))
+        ids = self.pieces([piece.encode() for parts in split for piece in parts])
         out = {}
+        at = 0
         for chunk, parts in zip(chunks, split):
-            own = tuple(itertools.chain.from_iterable([next(ids) for _ in parts]))
-            out[chunk] = own, " ".join(map(str, own))
+            n = len(parts)
+            own = ids[at] if n == 1 else [i for piece in ids[at : at + n] for i in piece]
+            at += n
+            out[chunk] = tuple(own), " ".join(map(str, own))
         return out
 
     def chunks(self, texts: list[str]) -> list[list[Chunk]]:
         """Ids, and the same in decimals, of the chunks of each text."""
+        # Nothing made here refers back to itself, and walking the cache again and again costs more than the work.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._chunks(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _chunks(self, texts: list[str]) -> list[list[Chunk]]:
         split = [CHUNKS.findall(text) for text in texts]
-        wanted = set(itertools.chain.from_iterable(split))
-        here = {}
+        cache, older = self._cache, self._older
         new = []
-        for chunk in wanted:
-            found = self._cache.get(chunk) or self._older.get(chunk)
-            if found is None:
-                new.append(chunk)
-            else:
-                here[chunk] = found
-        here |= self._learn(new)
-        self._cache.update((c, here[c]) for c in wanted if len(c) <= SHORT_PIECE)
-        if len(self._cache) >= CACHED_CHUNKS:
+        for chunk in set(itertools.chain.from_iterable(split)):
+            if chunk not in cache:
+                found = older.get(chunk)
+                if found is None:
+                    new.append(chunk)
+                else:
+                    cache[chunk] = found
+        cache.update(self._learn(new))
+        out = [list(map(cache.__getitem__, found)) for found in split]
+        for chunk in new:
+            if len(chunk) > SHORT_PIECE:
+                del cache[chunk]
+        if len(cache) >= CACHED_CHUNKS:
             # What is in use comes back from the older generation; the rest goes with it.
-            self._older, self._cache = self._cache, {}
-        return [[here[c] for c in found] for found in split]
+            self._older, self._cache = cache, {}
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [i for ids, _ in self.chunks([text])[0] for i in ids]
