@@ -34,6 +34,20 @@ _FINDING = (
 _ORDERED = f"struct<start:int,minus_score:int,ord:int,finding:{_FINDING}>"
 
 
+_built: dict[tuple, Column] = {}
+MOST_BUILT = 256
+
+
+def _once(df: DataFrame, build, *key) -> Column:
+    """A large expression, built once an application for each key; it names columns, and so fits any plan."""
+    name = (df.sparkSession.sparkContext.applicationId, *key)
+    if name not in _built:
+        if len(_built) >= MOST_BUILT:
+            _built.clear()
+        _built[name] = build()
+    return _built[name]
+
+
 def scan(
     df: DataFrame,
     policy: Policy | None = None,
@@ -60,8 +74,15 @@ def scan(
         threshold = F.lit(THRESHOLDS[strictness])
     else:
         threshold = F.coalesce(F.col("__threshold"), F.lit(THRESHOLDS["balanced"]))
-    raw = F.filter("__raw", lambda f: f.confidence >= threshold)
-    findings = describe(resolve_overlaps(raw), policy.rules(df.sparkSession), origin)
+    rules = policy.rules(df.sparkSession)
+
+    def found() -> Column:
+        return describe(resolve_overlaps(F.filter("__raw", lambda f: f.confidence >= threshold)), rules, origin)
+
+    if isinstance(origin, str):
+        findings = _once(df, found, "findings", tuple(rules), strictness, origin)
+    else:
+        findings = found()
     return _bind(scanned, findings, "findings").drop("__raw", "__threshold")
 
 
@@ -135,12 +156,14 @@ def with_raw_findings(
     names = {screen: f"__screen{n}" for n, screen in enumerate(tests)}
     df = df.withColumns({names[screen]: test for screen, test in tests.items()})
     df = df.withColumn("__low", F.when(_lowered_needed(rules, names), F.lower(text)))
-    df = df.withColumn("__cut", _cut(text, F.col("__low"), rules, names))
+    cut = _once(df, lambda: _cut(text, F.col("__low"), rules, names), "cut", text_col, tuple(rules))
+    df = df.withColumn("__cut", cut)
     df = df.withColumn("__lines", F.when(F.size("__cut") > 0, F.split(text, "\n", -1)))
     allowed_lines = [] if ignore_allow else policy.workspace_columns(spark)
-    raw = F.when(F.col("__lines").isNull(), F.array().cast(f"array<{_FINDING}>")).otherwise(
-        _score(F.col("__cut"), F.col("__lines"), rules, allowed_lines)
+    scores = _once(
+        df, lambda: _score(F.col("__cut"), F.col("__lines"), rules, allowed_lines), "scores", tuple(rules), tuple(allowed_lines)
     )
+    raw = F.when(F.col("__lines").isNull(), F.array().cast(f"array<{_FINDING}>")).otherwise(scores)
     scored = _bind(df, raw, "__raw").drop("__low", "__cut", "__lines", *names.values())
     if not exact_allow:
         return scored
