@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm.code import sent
-from leakscan.llm.words import mixed, sliced, utf8
+from leakscan.llm.words import sliced, utf8
 
 GRAM = 3
-BUCKETS = 1 << 16
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
+SLICE = 2 << 20  # bytes of text at a time: n-grams take some forty times as much
 MOST_LANGUAGES = 1000  # bounds the codebook and the table of counts
 UNKNOWN = "und"
 TEMPERATURE = 8.0
@@ -70,12 +72,13 @@ def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     if len(data):
         keep[at[:-1][np.diff(at) > 0]] = True
     before = np.concatenate([[0], np.cumsum(keep)])
-    data, at = data[keep].astype(np.uint64), before[at]
+    data, at = data[keep].astype(np.uint32), before[at]
     n = max(0, len(data) - GRAM + 1)
-    code = np.zeros(n, np.uint64)
+    code = np.zeros(n, np.uint32)
     for k in range(GRAM):
-        code = (code << np.uint64(8)) | data[k : k + n]
-    buckets = (mixed(code) % np.uint64(BUCKETS)).astype(np.int64)
+        code = (code << np.uint32(8)) | data[k : k + n]
+    # Three bytes are spread over the buckets by the top bits of a product.
+    buckets = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
     # An n-gram that reaches into the next text is none.
     begins, ends = np.minimum(at[:-1], n), np.minimum(np.maximum(at[1:] - GRAM + 1, at[:-1]), n)
     sizes = ends - begins
@@ -85,7 +88,7 @@ def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in sliced(batches):
+    for batch in sliced(batches, most=SLICE):
         buckets, at = grams(batch)
         names = batch.column("lang").to_numpy(zero_copy_only=False)
         for name in set(names.tolist()):
@@ -171,7 +174,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*known.value.languages, UNKNOWN])
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SLICE):
             if len(names) == 1:
                 best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             else:
