@@ -104,14 +104,14 @@ def token_counts(
         for batch in sliced(batches):
             out: list[list[np.ndarray]] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows = zip(texts, batch.column("sections").to_pylist(), encoder.chunks(texts))
-            for row, (text, own, chunks) in enumerate(rows):
+            rows = zip(texts, batch.column("sections").to_pylist(), encoder.encode_all(texts))
+            for row, (text, own, found) in enumerate(rows):
                 if sections_col:
                     pairs = [(s["start"], s["end"]) for s in own or () if s and s["start"] < s["end"]]
                     start, stop = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
                 else:
                     start, stop = lines(text) if text else (np.zeros(0, np.int64),) * 2
-                ids = np.array([i for c in chunks for i in c[0]], np.int64)
+                ids = np.array(found, np.int64)
                 begin, end = spans(text, size_of[ids]) if len(ids) else (ids, ids)
                 section, crossing = attributed(begin, end, start, stop, rule)
                 counts = np.bincount(section + 1, minlength=len(start) + 1)
@@ -130,6 +130,7 @@ def token_counts(
                 pa.array(crossed),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
+        encoder.forget()
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), listed.alias("sections")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from leakscan.llm.code import sent
 from leakscan.llm.words import sliced
 
-CACHED_CHUNKS = 250_000  # of each of two generations
+CACHED_CHUNKS = 200_000  # of each of two generations
 KNOWN_PAIRS = 1_000_000
 SHORT_PIECE = 64  # bytes of a piece of many, and characters of a chunk that is cached
 PAIR_BITS = 20
@@ -254,9 +254,6 @@ class Prefixes:
         return out[::-1]
 
 
-Chunk = tuple[tuple[int, ...], str]  # ids, and the same in decimals
-
-
 class Encoder:
     """Encodes and decodes texts with a vocabulary and a pattern."""
 
@@ -264,8 +261,9 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         self.table = Table(self.vocabulary)
         self.pattern = regex.compile(pattern)
-        self._cache: dict[str, Chunk] = {}
+        self._cache: dict[str, tuple[int, ...]] = {}
         self._older = self._cache
+        self._decimals = {rank: str(rank) for rank in self.vocabulary.bytes_of}
 
     def pieces(self, found: list[bytes]) -> list[list[int]]:
         """The tokens of each piece; one that is a token itself is that token."""
@@ -279,7 +277,7 @@ class Encoder:
             out.append(Prefixes(self.vocabulary, piece).tokens() if ids is None else ids)
         return out
 
-    def _learn(self, chunks: list[str]) -> dict[str, Chunk]:
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[int, ...]]:
         """Encode chunks that are not in the cache; short ones go into it."""
         split = [self.pattern.findall(chunk) for chunk in chunks]
         ids = self.pieces([piece.encode() for parts in split for piece in parts])
@@ -289,11 +287,11 @@ class Encoder:
             n = len(parts)
             own = ids[at] if n == 1 else [i for piece in ids[at : at + n] for i in piece]
             at += n
-            out[chunk] = tuple(own), " ".join(map(str, own))
+            out[chunk] = tuple(own)
         return out
 
-    def chunks(self, texts: list[str]) -> list[list[Chunk]]:
-        """Ids, and the same in decimals, of the chunks of each text."""
+    def chunks(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
+        """The ids of the chunks of each text."""
         # Nothing made here refers back to itself, and walking the cache again and again costs more than the work.
         collects = gc.isenabled()
         gc.disable()
@@ -303,7 +301,7 @@ class Encoder:
             if collects:
                 gc.enable()
 
-    def _chunks(self, texts: list[str]) -> list[list[Chunk]]:
+    def _chunks(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
         split = [CHUNKS.findall(text) for text in texts]
         cache, older = self._cache, self._older
         new = []
@@ -324,8 +322,22 @@ class Encoder:
             self._older, self._cache = cache, {}
         return out
 
+    def forget(self) -> None:
+        """Empty the cache, so that a worker that has other work holds none."""
+        self._cache = {}
+        self._older = self._cache
+
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.chunks([text])[0] for i in ids]
+        return list(itertools.chain.from_iterable(self.chunks([text])[0]))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each text, null ones having none."""
+        for chunks in self.chunks([text or "" for text in texts]):
+            yield list(itertools.chain.from_iterable(chunks))
+
+    def decimals(self, ids: Iterable[int]) -> str:
+        """The ids in decimals, joined by one space."""
+        return " ".join(map(self._decimals.__getitem__, ids))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -363,9 +375,9 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer.encoder()
         for batch in sliced(batches):
-            found = encoder.chunks([t or "" for t in batch.column("text").to_pylist()])
-            ids = pa.array([[i for c in chunks for i in c[0]] for chunks in found], pa.list_(pa.int32()))
+            ids = pa.array(list(encoder.encode_all(batch.column("text").to_pylist())), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+        encoder.forget()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -397,16 +409,16 @@ def round_trip(
         encoder = tokenizer.encoder()
         for batch in sliced(batches):
             sizes, hashes, decoded, kept = [], [], [], []
-            for found in encoder.chunks([t or "" for t in batch.column("text").to_pylist()]):
-                ids = list(itertools.chain.from_iterable([c[0] for c in found]))
+            for ids in encoder.encode_all(batch.column("text").to_pylist()):
                 sizes.append(len(ids))
-                hashes.append(hashlib.sha256(" ".join([c[1] for c in found]).encode()).hexdigest())
+                hashes.append(hashlib.sha256(encoder.decimals(ids).encode()).hexdigest())
                 decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
                 if keep_ids:
-                    kept.append(ids)
+                    kept.append(np.array(ids, np.int32))
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(decoded)]
             columns += [pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []
             yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return _rows(docs, id_col, text_col).mapInArrow(run, schema)
