@@ -504,20 +504,23 @@ def why(explanation: Column, keyword: Column, match: Column, confidence: Column)
     return F.slice(F.array_compact(reasons), 1, 3)
 
 
-def explode_findings(scanned: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
-    """One row per finding, with a stable id and the line it was found on."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.when(F.size("findings") > 0, F.split(text, "\n", -1))
-    rows = scanned.withColumn("__lines", lines).select(*keys, "__lines", F.inline("findings"))
+def explode_findings(scanned: DataFrame, *keys: str, text_col: str = "text", context: bool = True) -> DataFrame:
+    """One row per finding, with a stable id and, unless ``context`` is off, the line it was found on."""
+    findings = F.col("findings")
+    if context:
+        # Each finding takes its line along, not the lines of the whole text.
+        lines = F.when(F.size(findings) > 0, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+        findings = let(
+            lines,
+            lambda all_lines: F.transform(
+                findings, lambda f: f.withField("context", lines_at(all_lines, f.first_line, f.last_line))
+            ),
+        )
     parts = [F.col(k).cast("string") for k in keys] + [
         F.col("rule_id"), F.col("start_pos").cast("string"), F.col("end_pos").cast("string")
     ]
-    return rows.withColumns(
-        {
-            "finding_id": F.sha2(F.concat_ws(":", *parts), 256),
-            "context": lines_at(F.col("__lines"), F.col("first_line"), F.col("last_line")),
-        }
-    ).drop("__lines")
+    rows = scanned.select(*keys, F.inline(findings))
+    return rows.withColumn("finding_id", F.sha2(F.concat_ws(":", *parts), 256))
 
 
 def summarize(findings: Column) -> Column:

@@ -441,7 +441,7 @@ def allow_shown(spark, sf):
 def allow_from_review(spark, sf):
     """Personal data allowed in review becomes allow rules."""
     scanned = detect.scan(for_spark(spark, sf, "arriving"))
-    found = detect.explode_findings(scanned, "doc_id", "hostname", "ts").filter("category = 'pii'")
+    found = detect.explode_findings(scanned, "doc_id", "hostname", "ts", context=False).filter("category = 'pii'")
     requests = pol.allow_requests(found, seq="doc_id")
     nothing = pol.normalize_exact_allow(for_spark(spark, sf, "seeded_allow").limit(0), st.NOW)
     merged = pol.upsert_allow(nothing, requests, st.NOW)
