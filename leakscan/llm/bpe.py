@@ -30,7 +30,7 @@ from leakscan.llm.code import sent
 from leakscan.llm.words import sliced
 
 CACHED_CHUNKS = 200_000  # of each of two generations
-KNOWN_PAIRS = 1_000_000
+KNOWN_PAIRS = 200_000
 SHORT_PIECE = 64  # bytes of a piece of many, and characters of a chunk that is cached
 PAIR_BITS = 20
 PAIR_SLOTS = 1 << PAIR_BITS
@@ -323,7 +323,8 @@ class Encoder:
         return out
 
     def forget(self) -> None:
-        """Empty the cache, so that a worker that has other work holds none."""
+        """Empty the caches, so that a worker that has other work holds none."""
+        self.vocabulary.known = {}
         self._cache = {}
         self._older = self._cache
 

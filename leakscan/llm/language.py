@@ -181,18 +181,21 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 best, score = known.value.predict(batch)
             none = ~batch.column("lettered").to_numpy(zero_copy_only=False)
             best[none], score[none] = len(names) - 1, 0.0
-            columns = [batch.column("row"), pa.array(names[best].tolist(), pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score"])
+            found = [pa.array(names[best].tolist(), pa.string()), pa.array(score)]
+            columns = [batch.column("row"), batch.column("text"), *found]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "text", "lang_pred", "score"])
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     place = {n: f"c{k}" for k, n in enumerate(docs.columns)}
     text = F.col(place[text_col])
-    rows = plain.select(F.struct(*[place[n] for n in names]).alias("row"), text.alias("text"), has_letter(text).alias("lettered"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
+    # The text goes to the worker and back once, beside the other columns.
+    others = [place[n] for n in names if n != text_col] or [F.lit(0).alias("none")]
+    rows = plain.select(F.struct(*others).alias("row"), text.alias("text"), has_letter(text).alias("lettered"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double"
     out = rows.mapInArrow(run, schema)
     return out.select(
-        *[F.col("row")[place[n]].alias(n) for n in names],
+        *[F.col("text" if n == text_col else f"row.{place[n]}").alias(n) for n in names],
         "lang_pred",
         "score",
         ((F.col("lang_pred") != UNKNOWN) & (F.col("score") < AMBIGUOUS)).alias("ambiguous"),

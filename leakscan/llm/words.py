@@ -59,6 +59,8 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    # Workers stay for other tasks: what this one no longer needs goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
