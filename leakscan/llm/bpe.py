@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from leakscan.llm.code import sent
 from leakscan.llm.words import sliced
 
-CACHED_CHUNKS = 200_000  # of each of two generations
+CACHED_CHUNKS = 100_000  # of each of two generations
 KNOWN_PAIRS = 200_000
 SHORT_PIECE = 64  # bytes of a piece of many, and characters of a chunk that is cached
 PAIR_BITS = 20
