@@ -19,9 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm.code import sent
-from leakscan.llm.graph import components
+from leakscan.llm.graph import components, forest
 from leakscan.llm.hnsw import Graph
-from leakscan.llm.simhash import _forest
 from leakscan.llm.store import stored
 
 THRESHOLD = 0.95
@@ -118,11 +117,11 @@ def _searched(threshold: float):
     def answer(shard: Shard, ids: np.ndarray, vectors: np.ndarray) -> list[pa.RecordBatch]:
         i, j = shard.links(ids, vectors, threshold)
         n = np.bincount(i, shard.sizes[j], len(ids)).astype(np.int64)
-        pairs = np.array(_forest(np.stack([ids[i], shard.ids[j]], axis=1)), np.int64).reshape(-1, 2)
+        pairs = np.array(forest(np.stack([ids[i], shard.ids[j]], axis=1)), np.int64).reshape(-1, 2)
         some = np.flatnonzero(n)
         counted = pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[some]), pa.array(n[some])], NAMES)
-        forest = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())]
-        return [counted, pa.RecordBatch.from_arrays(forest, NAMES)]
+        joined = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())]
+        return [counted, pa.RecordBatch.from_arrays(joined, NAMES)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, shard = None, [], None

@@ -9,12 +9,29 @@ with very many edges is never gathered into one group.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm.store import dropped, stored
 
 
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """As few of the links as connect what all of them connect."""
+    root: dict[int, int] = {}
+    out = []
+    for a, b in links.tolist():
+        x, y = a, b
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        while (up := root.get(y, y)) != y:
+            root[y] = y = root.get(up, up)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

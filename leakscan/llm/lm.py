@@ -5,7 +5,8 @@ n-gram of level q is put into a filter under the names (n-gram, 1) to
 (n-gram, q).  Probing the names in turn until one is missing reads the level
 back.  The filters are sized by the training text, up to a bound, and broadcast; a pair's probability is
 mixed with its word's, and the fuller the filter of pairs, hence the likelier a
-false hit, the less the pairs weigh.
+false hit, the less the pairs weigh; in the same way a full filter of words
+gives way to words that are equally likely.
 
 Besides, each text gets an exact score by word counts alone.  The most frequent
 words of each segment of the key range are broadcast with their counts, so many
@@ -30,7 +31,7 @@ from leakscan.llm.code import sent
 from leakscan.llm.words import lowered, mixed, sliced, utf8, words
 
 # The filters have so many bits for each character of training text, and so many bytes at most.
-WORD_BITS, WORD_BYTES = 0.3, 64 << 20
+WORD_BITS, WORD_BYTES = 0.3, 256 << 20
 PAIR_BITS, PAIR_BYTES = 0.8, 256 << 20
 FREQUENT = 1024  # words of each segment whose counts are broadcast
 PAIR_WEIGHT = 0.4
@@ -207,8 +208,8 @@ class Model:
         keys, counts = np.concatenate(frequent), np.concatenate(times)
         order = np.argsort(keys)
         self.frequent, self.times, self.texts = keys[order], counts[order], texts
-        # A false hit at the first name of a pair is as likely as finding all its probes set.
-        self.error = self.pairs.fill() ** segments.PROBES
+        # A false hit at the first name of an n-gram is as likely as finding all its probes set.
+        self.word_error, self.error = (f.fill() ** segments.PROBES for f in (self.words, self.pairs))
         return self
 
     @property
@@ -225,14 +226,15 @@ class Model:
     def log_probabilities(self, text: Text) -> np.ndarray:
         """log10 of each token's probability after the one before it."""
         names, inverse = np.unique(text.token, return_inverse=True)
-        counts = counts_read(self.words, names)[inverse]
+        counts = np.minimum(counts_read(self.words, names), self.total)[inverse]
         contexts = np.empty_like(counts)
         contexts[1:] = counts[:-1]
         contexts[text.first[:-1]] = self.texts
         both = np.minimum(counts_read(self.pairs, pairs(text.before(), text.token)), np.minimum(contexts, counts))
         weight = PAIR_WEIGHT * (1 - self.error) * (contexts > 0)
         after = np.divide(both, contexts, out=np.zeros_like(both), where=contexts > 0)
-        return np.log10(weight * after + (1 - weight) * (counts + 0.5) / self.mass)
+        alone = (1 - self.word_error) * (counts + 0.5) / self.mass + self.word_error / (self.distinct + 1)
+        return np.log10(weight * after + (1 - weight) * alone)
 
 
 def train(

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm.code import sent
-from leakscan.llm.graph import components
+from leakscan.llm.graph import components, forest
 from leakscan.llm.store import stored
 from leakscan.llm.words import lowered, sliced, utf8
 
@@ -89,22 +89,6 @@ def _moves(radius: int) -> list[int]:
     return [sum(step * base**k for k, step in enumerate(m)) for m in half]
 
 
-def _forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """As few of the links as connect what all of them connect."""
-    root: dict[int, int] = {}
-    out = []
-    for a, b in links.tolist():
-        x, y = a, b
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
-        while (up := root.get(y, y)) != y:
-            root[y] = y = root.get(up, up)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
 def near(x: np.ndarray, y: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Pairs (of x, of y) at ``radius`` bits or fewer, as rows."""
     i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
@@ -132,7 +116,7 @@ def _compare(radius: int):
             for k in np.flatnonzero(~small):
                 found.append(near(lv[lo[k] : lo[k + 1]], rv[ro[k] : ro[k + 1]], radius))
             links = np.concatenate(found).view(np.int64) if found else np.zeros((0, 2), np.int64)
-            pairs = np.array(_forest(links[links[:, 0] != links[:, 1]]), np.int64).reshape(-1, 2)
+            pairs = np.array(forest(links[links[:, 0] != links[:, 1]]), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run

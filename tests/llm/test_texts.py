@@ -196,6 +196,14 @@ def test_levels_are_read_back():
     assert (lm.counts_read(known, keys + np.uint64(5)) > 0).mean() < 0.01
 
 
+def test_full_filters_leave_words_that_are_equally_likely(docs):
+    from pyspark.sql import functions as F
+
+    rows = lm.scores(docs, F.lit(True), word_bytes=1, pair_bytes=1).collect()
+    distinct = len({w for r in docs.collect() for w in brute.WORD.findall(r.text.translate(brute.LOWER))}) + 1
+    assert {round(r.score / r.n_tokens, 2) for r in rows} == {round(-float(np.log10(distinct + 1)), 2)}
+
+
 def test_scores_of_odd_rows(odd, none):
     from pyspark.sql import functions as F
 
