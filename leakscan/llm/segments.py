@@ -53,16 +53,20 @@ def _places(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
         return (((h * _ODD[(probe + 1) % 4]) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
 
 
-def filter_bytes(items: int | None, bits: float, most: int) -> int:
-    """Room for ``items`` at ``bits`` each, between 64 KB and ``most`` bytes."""
-    return min(most, max(1 << 16, int((items or 0) * bits / 8)))
+def filter_bytes(items: int | None, bits: float, most: int | None) -> int:
+    """Room for ``items`` at ``bits`` each, at least 64 KB, and ``most`` bytes at most if given."""
+    room = max(1 << 16, int((items or 0) * bits / 8))
+    return room if most is None else min(most, room)
 
 
 class Filter:
-    """A Bloom filter of ``count`` segments, each with its own run of whole bytes."""
+    """A Bloom filter of ``count`` segments, each with its own run of whole bytes.
 
-    def __init__(self, count: int, total_bytes: int):
-        self.count = count
+    It may hold only the segments from ``first`` to ``stop`` (excluded).
+    """
+
+    def __init__(self, count: int, total_bytes: int, first: int = 0, stop: int | None = None):
+        self.count, self.first, self.stop = count, first, count if stop is None else stop
         self.size = max(8, total_bytes // count)
         self.bytes = np.zeros(0, np.uint8)
 
@@ -74,11 +78,19 @@ class Filter:
         return np.packbits(bits).tobytes()
 
     def filled(self, rows: Iterable[tuple[int, bytes]]) -> Filter:
-        self.bytes = np.zeros(self.count * self.size, np.uint8)
+        self.bytes = np.zeros((self.stop - self.first) * self.size, np.uint8)
         for k, blob in rows:
-            self.bytes[k * self.size : (k + 1) * self.size] = np.frombuffer(blob, np.uint8)
+            at = (k - self.first) * self.size
+            self.bytes[at : at + self.size] = np.frombuffer(blob, np.uint8)
         return self
 
+    def covers(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the segment of each key is held."""
+        if self.stop - self.first == self.count:
+            return np.ones(len(keys), bool)
+        found = segment(keys, self.count)
+        return (found >= self.first) & (found < self.stop)
+
     def fill(self) -> float:
         """The share of bits that are set."""
         return float(np.bitwise_count(self.bytes).sum()) / max(1, 8 * len(self.bytes))
@@ -88,7 +100,7 @@ class Filter:
 
         ``home`` has the keys that the segments go by, where names were put in.
         """
-        base = segment(keys if home is None else home, self.count) * (self.size * 8)
+        base = (segment(keys if home is None else home, self.count) - self.first) * (self.size * 8)
         found = np.ones(len(keys), bool)
         alive = np.arange(len(keys))
         for probe in range(PROBES):

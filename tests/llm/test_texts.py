@@ -204,6 +204,20 @@ def test_full_filters_leave_words_that_are_equally_likely(docs):
     assert {round(r.score / r.n_tokens, 2) for r in rows} == {round(-float(np.log10(distinct + 1)), 2)}
 
 
+def test_filters_in_blocks_score_as_whole_ones(docs, odd):
+    from pyspark.sql import functions as F
+
+    for rows in (docs, odd):
+        expected = sorted(lm.scores(rows, F.lit(True)).select("n_tokens", "n_known", "score").collect())
+        known, filters, blocks = lm.train(rows, block_bytes=1 << 15)
+        assert filters is not None and len(blocks) > 1
+        found = sorted(lm.scores(rows, F.lit(True), block_bytes=1 << 15).select("n_tokens", "n_known", "score").collect())
+        assert [r[:2] for r in found] == [r[:2] for r in expected]
+        assert np.allclose([r.score for r in found], [r.score for r in expected])
+    # The room for what is learned grows with the text.
+    assert lm.segments.filter_bytes(30 * 10**9, lm.PAIR_BITS, None) == 3 * 10**9
+
+
 def test_scores_of_odd_rows(odd, none):
     from pyspark.sql import functions as F
 
