@@ -2,8 +2,9 @@
 
 Windows are first looked for at half the wanted length.  Only where such a
 short window occurs in two rows are windows of the wanted length formed; only
-those that repeat are extended to twice that length, and so on until none is
-left.
+those that repeat are extended to twice that length, four times and so on.  A
+longer window repeats only if every window inside it does, so it is looked at
+only where windows that repeat start at one word after the other.
 
 The short windows are sampled by content: of those inside each wanted window
 the one with the smallest hash stands for it, so equal windows choose equal
@@ -24,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm import segments
@@ -36,7 +37,6 @@ WINDOW = 13
 FILTER_BYTES = 256 << 20  # at most; smaller ones for smaller inputs
 BITS_PER_CHARACTER = 0.2
 BLOB_KEYS = 1 << 21
-FOLLOWED = 64  # one window in so many, chosen by content, is followed to greater lengths
 
 
 def _representatives(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -100,15 +100,14 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return keys[twice] & ~np.uint64(1)
 
 
-def _twice(level: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of windows twice as long as those of ``level``."""
-    n = max(0, len(level) - size)
+def _twice(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of windows twice as long as those of ``left``, each of which ends where that of ``right`` starts."""
     with np.errstate(over="ignore"):
-        return mixed(level[:n] * np.uint64(0x9E3779B97F4A7C15) + level[size : size + n] * np.uint64(0xC2B2AE3D27D4EB4F))
+        return mixed(left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def _candidates(window: int, known, firsts):
-    """Rows (doc_id, pos, h, longer) of the windows whose representative may repeat."""
+    """Rows (doc_id, t, pos, h) of the windows whose representative may repeat."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _first_texts(batches, firsts):
@@ -121,58 +120,47 @@ def _candidates(window: int, known, firsts):
             at = whole[known.value.holds(names[whole])]
             level = windows(hashes, window)
             h = level[at]
-            text_of = found.text_of()
-            row, last = text_of[at], found.first[text_of[at] + 1]
-            followed = np.flatnonzero(h % np.uint64(FOLLOWED) == 0)
-            steps: list[np.ndarray] = []
-            size = window
-            while len(followed) and (last[followed] - at[followed] >= 2 * size).any():
-                level = _twice(level, size)
-                size *= 2
-                fits = last[followed] - at[followed] >= size
-                steps.append(np.where(fits, level[np.minimum(at[followed], len(level) - 1)], 0))
-            longer = np.stack(steps, axis=1) if steps else np.zeros((len(followed), 0), np.uint64)
-            sizes = (longer != 0).sum(axis=1)
-            offsets = np.zeros(len(at) + 1, np.int64)
-            offsets[1:][followed] = sizes
-            offsets = np.cumsum(offsets).astype(np.int32)
-            values = longer[longer != 0].view(np.int64)
-            ids = batch.column("doc_id").take(pa.array(row))
+            row = found.text_of()[at]
+            take = pa.array(row)
             columns = [
-                ids,
+                batch.column("doc_id").take(take),
+                batch.column("t").take(take),
                 pa.array((at - found.first[row]).astype(np.int32)),
                 pa.array(h.view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "h", "longer"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "pos", "h"])
 
     return run
 
 
+def _names(text_col: str) -> list[Column]:
+    """Two hashes and the characters of a text, by which equal texts meet."""
+    text = F.coalesce(text_col, F.lit(""))
+    return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.length(text).alias("n")]
+
+
 def first_texts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n) of rows (doc_id, text): of each text the smallest id that has it, and its characters."""
-    text = F.coalesce("text", F.lit(""))
-    keys = docs.select("doc_id", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), F.length(text).alias("n"))
+    keys = docs.select("doc_id", *_names("text"))
     firsts = keys.groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"))
     return stored(firsts.groupBy("doc_id").agg(F.sum("n").alias("n")), "firsts")
 
 
 def repeated_windows(docs: DataFrame, firsts: DataFrame, window: int = WINDOW, most: int | None = None) -> DataFrame:
-    """Windows that may repeat, of rows (doc_id, text) without null ids: (doc_id, pos, h, longer).
+    """Windows that may repeat, of rows (doc_id, text) without null ids: (doc_id, t, pos, h).
 
     Every window whose word sequence is in two documents of ``firsts`` is
-    there; ``longer`` holds, for followed windows, the hashes of the windows
-    twice, four times ... as long that start at the same word.
+    there; ``t`` tells the texts of a document apart.
     """
     spark = sent(docs.sparkSession)
     most = FILTER_BYTES if most is None else most
     count = segments.segments_of(spark)
     size = segments.filter_bytes(firsts.agg(F.sum("n")).first()[0], BITS_PER_CHARACTER, most)
     first = segments.id_filter(firsts, count, most)
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"), F.hash("text").alias("t"))
     short = rows.mapInArrow(_short_windows(window, count, first), segments.PACKED)
     known = segments.broadcast_filter(short, count, size, _repeated)
-    schema = "doc_id long, pos int, h long, longer array<long>"
+    schema = "doc_id long, t int, pos int, h long"
     found = stored(rows.mapInArrow(_candidates(window, known, first), schema), "windows")
     for used in (known, first):
         used.destroy()
@@ -184,49 +172,205 @@ def _in_two(rows: DataFrame) -> DataFrame:
     return stored(ids.filter("least < most").select("h", "least"), "repeated")
 
 
-def longest_repeats(found: DataFrame, firsts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, longest): the greatest length, by doubling, at which a followed window is in two of ``firsts``."""
-    level = found.filter((F.col("h") % FOLLOWED == 0)).select("doc_id", "h", "longer")
-    level = level.join(firsts, "doc_id", "left_semi")
-    size, levels = window, []
+SHARED = np.uint32(2**32 - 1)  # in place of its document, for a key that several of a blob have
+LONGER = pa.schema([("segment", pa.int32()), ("keys", pa.binary()), ("level", pa.binary()), ("of", pa.binary()), ("ids", pa.binary())])
+LONGER_SQL = "segment int, keys binary, level binary, of binary, ids binary"
+LONGEST = pa.schema([("doc_id", pa.int64()), ("longest", pa.int64())])
+LONGEST_SQL = "doc_id long, longest long"
+ANSWER = pa.schema([("segment", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary())])
+ANSWER_SQL = "segment int, ids binary, sizes binary"
+
+
+def _longest(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and for each the greatest of its sizes."""
+    order = np.lexsort((-sizes, ids))
+    ids, sizes = ids[order], sizes[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = ids[1:] != ids[:-1]
+    return ids[new], sizes[new]
+
+
+def _longer(batch: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(hashes, row of the batch, level) of the windows of 2, 4 ... times the length that may repeat."""
+    place = batch.column("places").flatten().to_numpy(zero_copy_only=False) >> 1
+    level = batch.column("hashes").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("places")).to_numpy(zero_copy_only=False))
+    order = np.lexsort((place, row))
+    place, level, row = place[order], level[order], row[order]
+    new = np.ones(len(row), bool)  # rows of a document with the same text say the same
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+    place, level, row = place[new], level[new], row[new]
+    breaks = np.flatnonzero((row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)) + 1
+    edges = np.concatenate([[0], breaks, [len(row)]])
+    left = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(row))  # windows from here to the end of the run
+    size, number = window, 0
     while True:
-        kept = stored(level.join(_in_two(level), "h").select("doc_id", "longer"), "level")
-        if kept.isEmpty():
-            break
-        levels.append(kept.select("doc_id", F.lit(size).cast("long").alias("longest")))
-        rest = F.when(F.size("longer") > 1, F.slice("longer", 2, F.greatest(F.size("longer") - 1, F.lit(1))))
-        level = kept.filter(F.size("longer") > 0).select(
-            "doc_id", F.col("longer")[0].alias("h"), F.coalesce(rest, F.array().cast("array<long>")).alias("longer")
-        )
-        size *= 2
-    if not levels:
-        return kept.select("doc_id", F.lit(0).cast("long").alias("longest"))
-    every = levels[0]
-    for more in levels[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("doc_id").agg(F.max("longest").alias("longest"))
-
-
-def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, starts, copy, longest): where windows start that a smaller doc_id has too.
-
-    ``copy`` is true, and starts null, where the whole text is one of a smaller doc_id.
+        at = np.flatnonzero(left >= 2 * size - window + 1)
+        if not len(at):
+            return
+        longer = np.zeros_like(level)
+        longer[at] = _twice(level[at], level[at + size])
+        level, size, number = longer, 2 * size, number + 1
+        yield level[at], row[at], number
+
+
+def _followed(window: int, count: int):
+    """Blobs, by segment, of the longer windows of documents with (doc_id, places, hashes).
+
+    A key leaves with its document, or once for all documents of a blob.
+    """
+
+    def blobs(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, ids, level = (np.concatenate([h[k] for h in held]) for k in range(3))
+        order = np.lexsort((ids, keys))
+        keys, ids, level = keys[order], ids[order], level[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        last = np.append(first[1:], len(keys)) - 1
+        shared = ids[first] != ids[last]
+        several = np.repeat(shared, last - first + 1)
+        # Documents of a shared key are sent on as a key of their own: one for each document and level.
+        own, own_level = ids[several], level[several]
+        keys, owner, level = keys[first], ids[first], level[first]
+        rows = []
+        for k, a, b in segments.cut(keys, count):
+            names, of = np.unique(owner[a:b], return_inverse=True)
+            of = np.where(shared[a:b], SHARED, of.astype(np.uint32))
+            rows.append({
+                "segment": k, "keys": keys[a:b].tobytes(), "level": level[a:b].tobytes(),
+                "of": of.tobytes(), "ids": names.tobytes(),
+            })
+        if len(own):
+            names, most = _longest(own, own_level.astype(np.int64))
+            place = int(segments.segment(mixed(names[:1].view(np.uint64)), count)[0])
+            rows.append({"segment": place, "level": most.astype(np.uint8).tobytes(), "ids": names.tobytes()})
+        return pa.RecordBatch.from_pylist(rows, LONGER)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for keys, row, number in _longer(batch, window):
+                held.append((keys, ids[row], np.full(len(keys), number, np.uint8)))
+                if sum(len(h[0]) for h in held) >= BLOB_KEYS:
+                    yield blobs(held)
+                    held = []
+        if held:
+            yield blobs(held)
+
+    return run
+
+
+def _met(window: int, count: int):
+    """Blobs, by segment of the id, of documents whose longer windows are in another one too, with the longest."""
+
+    def blobs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, sizes = _longest(*(np.concatenate(x) for x in zip(*held)))
+        keys = mixed(ids.view(np.uint64))
+        order = np.argsort(keys)
+        keys, ids, sizes = keys[order], ids[order], sizes[order]
+        rows = [{"segment": k, "ids": ids[a:b].tobytes(), "sizes": sizes[a:b].tobytes()} for k, a, b in segments.cut(keys, count)]
+        return pa.RecordBatch.from_pylist(rows, ANSWER)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, level = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["level"], np.uint8)
+                if r["keys"] is None:
+                    held.append((ids, np.int64(window) << level.astype(np.int64)))
+                    continue
+                of = np.frombuffer(r["of"], np.uint32)
+                shared = of == SHARED
+                owner = ids[np.where(shared, 0, of)]
+                found.setdefault(r["segment"], []).append((np.frombuffer(r["keys"], np.uint64), owner, level, shared))
+        for k in list(found):
+            keys, owner, level, shared = (np.concatenate(x) for x in zip(*found.pop(k)))
+            order = np.argsort(keys, kind="stable")
+            keys, owner, level, shared = keys[order], owner[order], level[order], shared[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            least, most = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+            many = (least < most) | np.logical_or.reduceat(shared, first)
+            hit = np.repeat(many, np.diff(np.append(first, len(keys)))) & ~shared
+            held.append(_longest(owner[hit], np.int64(window) << level[hit].astype(np.int64)))
+            if sum(len(ids) for ids, _ in held) >= BLOB_KEYS:
+                yield blobs(held)
+                held = []
+        if held:
+            yield blobs(held)
+
+    return run
+
+
+def _answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document of a segment once, with its longest."""
+    for blobs in segments.gathered(batches).values():
+        found = [(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)) for ids, sizes in blobs]
+        ids, sizes = _longest(*(np.concatenate(x) for x in zip(*found)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes)], schema=LONGEST)
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In place of each text the number of its words."""
+    for batch in sliced(batches):
+        counts = pa.array(words(*utf8(batch.column("text"))).counts.astype(np.int64))
+        rest = [batch.column(c) for c in ("doc_id", "a", "b", "n")]
+        yield pa.RecordBatch.from_arrays([*rest, counts], ["doc_id", "a", "b", "n", "words"])
+
+
+def whole_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (doc_id, longest): the words of the longest text of ``window`` or more that another document has as well."""
+    named = docs.select("doc_id", "text", *_names("text"))
+    keys = stored(named.mapInArrow(_counted, "doc_id long, a long, b long, n int, words long").filter(F.col("words") >= window), "keys")
+    firsts = keys.groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") < F.max("doc_id")).alias("many"))
+    # By document as well, so that a text with many copies does not meet in one task.
+    met = keys.join(firsts, ["doc_id", "a", "b", "n"], "left").filter("many is null or many")
+    return met.groupBy("doc_id").agg(F.max("words").alias("longest"))
+
+
+def longest_repeats(runs: DataFrame, whole: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (doc_id, longest): the longest window of ``window`` words, twice, four times ... that two documents have.
+
+    ``runs`` has (doc_id, places, hashes) of all windows of ``window`` words that
+    repeat, and ``whole`` the lengths of texts that repeat as a whole.
+    """
+    count = segments.segments_of(runs.sparkSession)
+    blobs = runs.mapInArrow(_followed(window, count), LONGER_SQL).repartition(max(1, count // 4), "segment")
+    every = runs.select("doc_id", F.lit(window).cast("long").alias("longest")).unionByName(whole)
+    answers = blobs.mapInArrow(_met(window, count), ANSWER_SQL).repartition(max(1, count // 4), "segment")
+    every = every.unionByName(answers.mapInArrow(_answered, LONGEST_SQL))
+    return stored(every.groupBy("doc_id").agg(F.max("longest").alias("longest")), "longest")
+
+
+def removals(docs: DataFrame, window: int = WINDOW, follow: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (doc_id, starts, copy): where windows start that a smaller doc_id has too.
+
+    ``copy`` is true, and starts null, where the whole text is one of a smaller
+    doc_id.  With ``follow`` rows (doc_id, longest) as well, see :func:`longest_repeats`.
     """
     firsts = first_texts(docs)
     found = repeated_windows(docs, firsts, window)
     first = _in_two(found)
-    later = found.select("doc_id", "pos", "h").join(first, "h").filter("doc_id > least")
-    starts = stored(later.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "starts")
-    longest = longest_repeats(found, firsts, window)
+    met = found.join(first, "h")
+    longest = None
+    if follow:
+        later = (F.col("doc_id") > F.col("least")).cast("long")
+        place = F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(later)
+        runs = met.groupBy("doc_id").agg(F.collect_list(place).alias("places"), F.collect_list("h").alias("hashes"))
+        runs = stored(runs, "runs")
+        own = F.filter("places", lambda p: p.bitwiseAND(F.lit(1)) == 1)
+        pos = F.transform(own, lambda p: F.shiftright(p.bitwiseAND(F.lit(2**32 - 1)), 1).cast("int"))
+        starts = runs.select("doc_id", pos.alias("starts")).filter(F.size("starts") > 0)
+        longest = longest_repeats(runs, whole_repeats(docs, window), window)
+    else:
+        starts = stored(met.filter("doc_id > least").groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "starts")
     # The filter lets a few copies through: they have starts as well, which say less.
     copies = docs.select("doc_id").distinct().join(firsts, "doc_id", "left_anti")
-    out = starts.join(longest, "doc_id", "full").join(firsts, "doc_id", "left_semi").select(
-        "doc_id", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.lit(False).alias("copy"), "longest"
-    )
-    none = [F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"), F.lit(0).cast("long").alias("longest")]
+    out = starts.join(firsts, "doc_id", "left_semi").select("doc_id", "starts", F.lit(False).alias("copy"))
+    none = [F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")]
     kept = stored(out.unionByName(copies.select("doc_id", *none)), "removals")
     dropped(found)
-    return kept
+    return kept, longest
 
 
 def _kept(found: Words, batch: pa.RecordBatch, window: int) -> np.ndarray:
@@ -279,12 +423,12 @@ def applied(docs: DataFrame, found: DataFrame, schema: str, emit, window: int =
         for batch in sliced(batches):
             rest = batch.filter(pa.array(~split(batch)))
             got = words(*utf8(rest.column("text")))
-            yield emit(rest, got, np.ones(len(got.start), bool), pa.nulls(rest.num_rows, pa.int64()))
+            yield emit(rest, got, np.ones(len(got.start), bool))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             got = words(*utf8(batch.column("text")))
-            yield emit(batch, got, _kept(got, batch, window), batch.column("longest"))
+            yield emit(batch, got, _kept(got, batch, window))
 
     met = keyed.mapInArrow(some, keyed.schema).join(found, "doc_id", "left").mapInArrow(run, schema)
     return met.unionByName(keyed.mapInArrow(others, schema))
@@ -296,19 +440,23 @@ def _sums(found: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, kept_sha256, longest_repeat), one per row of ``docs``; see :func:`dedup`."""
+    """Rows (doc_id, n_words, n_removed, kept_sha256, longest_repeat), one per row of ``docs``; see :func:`dedup`.
+
+    longest_repeat is the greatest of 13, 26, 52 ... words that the document has
+    in a row with another one, or the words of its text, if another has all of it.
+    """
 
-    def emit(batch, found, kept, longest):
+    def emit(batch, found, kept):
         n, gone = _sums(found, kept)
         texts = _texts(batch, found, kept).to_pylist()
         hashes = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in texts]
-        columns = [batch.column("doc_id"), pa.array(n), pa.array(gone), pa.array(hashes, pa.string()), longest]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
+        columns = [batch.column("doc_id"), pa.array(n), pa.array(gone), pa.array(hashes, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = removals(rows.filter("doc_id is not null"), window)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long"
-    return applied(rows, found, schema, emit, window).fillna(0, ["longest_repeat"])
+    found, longest = removals(rows.filter("doc_id is not null"), window, follow=True)
+    out = applied(rows, found, "doc_id long, n_words long, n_removed long, kept_sha256 string", emit, window)
+    return out.join(longest.withColumnRenamed("longest", "longest_repeat"), "doc_id", "left").fillna(0, ["longest_repeat"])
 
 
 def dedup(
@@ -333,9 +481,9 @@ def dedup(
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     rest = F.struct(*[c for c in plain.columns if c != text]).alias("rest")
     rows = plain.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), rest)
-    found = removals(rows.select("doc_id", "text").filter("doc_id is not null"), window)
+    found, _ = removals(rows.select("doc_id", "text").filter("doc_id is not null"), window)
 
-    def emit(batch, found_words, kept, _):
+    def emit(batch, found_words, kept):
         columns = [batch.column("rest"), _texts(batch, found_words, kept), pa.array(_sums(found_words, kept)[1])]
         return pa.RecordBatch.from_arrays(columns, ["rest", "text", "removed"])
 

@@ -104,3 +104,27 @@ def tiled(doc, item, least):
         free_doc[i : i + n] = [False] * n
         free_item[j : j + n] = [False] * n
         covered += n
+
+
+def longest_repeats(rows, window=13):
+    """Of each id the greatest of 13, 26, 52 ... words in a row, or of its whole texts, that another id has too."""
+    longest = {i: 0 for i, _ in rows}
+    size, some = window, True
+    while some:
+        at, some = {}, False
+        for i, text in rows:
+            found = WORD.findall(text or "")
+            for k in range(len(found) - size + 1):
+                at.setdefault(tuple(found[k : k + size]), set()).add(i)
+        for ids in at.values():
+            for i in ids if len(ids) > 1 else ():
+                longest[i], some = size, True
+        size *= 2
+    at = {}
+    for i, text in rows:
+        at.setdefault(text, set()).add(i)
+    for text, ids in at.items():
+        n = len(WORD.findall(text or ""))
+        for i in ids if len(ids) > 1 and n >= window else ():
+            longest[i] = max(longest[i], n)
+    return longest

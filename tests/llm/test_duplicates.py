@@ -91,6 +91,22 @@ def test_repeats_are_followed_to_twice_their_length(spark):
     assert found[1] == found[2] and found[1] in (104, 208) and found[3] == 0
 
 
+def test_every_repeat_has_its_length(spark, texts, odd):
+    draw = np.random.default_rng(4)
+    made = [[f"v{k}" for k in draw.integers(0, 1 << 40, 300)] for _ in range(40)]
+    rows = []
+    for k, passage in enumerate(made):
+        n = int(draw.integers(10, 130))
+        rows += [(3 * k, " ".join(passage)), (3 * k + 1, " ".join(["x", *passage[20 : 20 + n], *made[k - 1][150 : 150 + n], "y"]))]
+        rows += [(3 * k + 2, " ".join(passage))] if k % 4 == 0 else []
+    rows += [(1, " ".join(made[7])), (200, "short copy"), (201, "short copy")]
+    whole = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None]
+    for some in (rows, whole, list(texts.items())):
+        found = substring.digests(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.longest_repeat for r in found} == brute.longest_repeats(some)
+    assert substring.digests(odd.filter("doc_id is null")).first().longest_repeat == 0
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
