@@ -81,7 +81,7 @@ class Shard:
         return i[keep], j[keep]
 
     def _audited(self, queries: np.ndarray, threshold: float) -> int:
-        """The first beam, doubling, that finds nearly all links of the audit.
+        """The first beam, doubling, that finds nearly all links of an audited row, on average over the rows.
 
         Audited are the first queries, and rows of the shard turned away from
         themselves to just above the threshold, each of which has a link.
@@ -99,9 +99,9 @@ class Shard:
         while beam < len(self.ids) and beam <= WIDEST:
             node, near = self.graph.search(audit, beam)
             got = ((near >= threshold - 1e-6) & (node >= 0)).sum(axis=1)
-            # A full beam is searched again with a wider one: that is no miss.
-            missed = np.where(got < beam, np.maximum(wanted - got, 0), 0)
-            if missed.sum() <= (1 - RECALL) * wanted.sum():
+            # A full beam is searched again with a wider one: such a row says nothing about this beam.
+            judged = (got < beam) & (wanted > 0)
+            if judged.any() and np.minimum(got[judged] / wanted[judged], 1).mean() >= RECALL:
                 break
             beam *= 2
         return beam

@@ -131,6 +131,26 @@ def test_embeddings_match_brute_force(spark):
     assert {r.vec_id: r.component_id for r in found} == brute.groups(ids, lambda a, b: (a, b) in linked)
 
 
+def test_rows_of_a_hot_group_do_not_pass_a_beam_that_misses_cold_links():
+    random = np.random.default_rng(6)
+    hot = random.normal(size=32) + 0.01 * random.normal(size=(1500, 32))
+    cold = random.normal(size=(3000, 32))
+    x = np.concatenate([hot, cold])
+    shard = embeddings.Shard(np.arange(len(x)), np.ones(len(x), np.int64), x)
+
+    class Narrow:
+        """Finds nothing outside the hot group before the beam is 64 wide."""
+
+        def search(self, queries, beam):
+            near = queries @ shard.x.T
+            node = np.argsort(-near, axis=1)[:, :beam]
+            near = np.take_along_axis(near, node, axis=1)
+            return (node, near) if beam >= 64 else (np.where(node < len(hot), node, -1), np.where(node < len(hot), near, -2))
+
+    shard.graph = Narrow()
+    assert shard._audited(shard.x[:: len(x) // 256][:256], 0.95) == 64
+
+
 def test_embeddings_without_direction_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     lone = [None, [], [0.0, 0.0], [nan, 1.0], [inf, 1.0], [1.0, None]]
