@@ -6,8 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-TESTDATA = Path("/root/testdata")
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as repo
-from conftest import TESTDATA
+from given import TESTDATA
 from leakscan import plans
 from leakscan.operators import detect
 from leakscan.operators.policy import Policy
