@@ -3,7 +3,7 @@ import pytest
 
 import brute
 from leakscan.llm import embeddings, graph, hnsw, queries, simhash, substring
-from conftest import SMALL
+from llm_given import SMALL
 
 
 def test_components_of_chains_stars_and_repeats(spark):

@@ -4,7 +4,7 @@ import pytest
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
-from conftest import SMALL
+from llm_given import SMALL
 from leakscan.llm import queries, tiling
 from test_texts import ranks  # noqa: F401
 

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 
 import brute
-from conftest import SMALL
+from llm_given import SMALL
 from leakscan.llm import attribution, bpe, language, lm, quality, queries, sharding, tiling
 
 
