@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from leakscan.functions.arrays import fold_emit, rows_literal
 from leakscan.functions.text import allow_fingerprint, let, ws_collapse, ws_trim
-from leakscan.operators.policy import THRESHOLDS, Policy, allow_key, purge_expired
+from leakscan.operators.allow import suppressed
+from leakscan.operators.policy import SITES, THRESHOLDS, Policy, allow_key
 from leakscan.operators.rules import CLOSE, OPEN, Rule, screens
-from leakscan.sources.shared import stored
 
 # Fixed values.
 SEVERITY_WEIGHT = {"critical": 2000, "high": 1000, "medium": 100}
@@ -58,15 +58,18 @@ def scan(
     strictness: str | None = None,
     ignore_allow: bool = False,
     as_of: datetime | None = None,
+    at: str | Column | None = None,
 ) -> DataFrame:
     """Add ``findings``, the resolved findings of each row, in text order.
 
     ``origin`` says where the texts come from, for all rows or as a column.
+    Exact allow rules are those live ``as_of`` one time; with ``at``, each row's
+    own time, those created by then and not yet expired.
     """
     policy = policy or Policy()
     scanned = with_raw_findings(
         df, policy, text_col=text_col, host_col=host_col,
-        ignore_allow=ignore_allow, as_of=as_of,
+        ignore_allow=ignore_allow, as_of=as_of, at=at,
         # Default profiles all have the default strictness.
         by_host=strictness is None and policy.profiles is not None,
     )
@@ -88,7 +91,7 @@ def scan(
 
 def scan_by_user(
     df: DataFrame, tables, by: tuple[str, ...], *, text_col: str = "text", host_col: str = "hostname",
-    origin: str | Column = "composer", as_of: datetime | None = None,
+    origin: str | Column = "composer", as_of: datetime | None = None, at: str | Column | None = None,
 ) -> DataFrame:
     """Scan every row under the settings of its user; rows that are switched off are left out.
 
@@ -109,10 +112,12 @@ def scan_by_user(
     on = df.join(toggles.join(profiles, list(by)), [*by, host_col])
     policy = Policy()
     rules = policy.rules(df.sparkSession)
-    scored = with_raw_findings(on.withColumnRenamed("__threshold", "__least"), policy, text_col=text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = {name: F.col(name) for name in by} | {"hostname": F.col(host_col)}
-    raw = _without_allowed(scored, purge_expired(tables.exact_allow, as_of), rules, text, keys)
+    where = {name: F.col(name) for name in by} | {"hostname": F.col(host_col)}
+    raw = suppressed(
+        on.withColumnRenamed("__threshold", "__least"),
+        lambda texts: with_raw_findings(texts, policy, text_col=text_col),
+        tables.exact_allow, _allow_key(rules), where, at, as_of,
+    )
     wanted = F.filter(
         "__raw",
         lambda f: (f.confidence >= F.col("__least")) & F.when(f.secret, F.col("__secrets")).otherwise(F.col("__pii")),
@@ -135,13 +140,33 @@ def raw_findings(
 def with_raw_findings(
     df: DataFrame, policy: Policy, *, text_col: str = "text", host_col: str | None = None,
     ignore_allow: bool = False, as_of: datetime | None = None, rules: list[Rule] | None = None,
-    by_host: bool = False,
+    by_host: bool = False, at: str | Column | None = None,
 ) -> DataFrame:
     """Add ``__raw``, the scored matches no allow rule covers, and the host's ``__threshold``."""
     spark = df.sparkSession
     rules = policy.rules(spark) if rules is None else rules
+
+    def score(texts: DataFrame) -> DataFrame:
+        return _scored(texts, policy, rules, text_col, host_col, ignore_allow, by_host)
+
+    if not host_col or policy.exact_allow is None or ignore_allow:
+        return score(df)
+    # Allow rules of sites that no policy knows hold nowhere.
+    allow = policy.exact_allow.filter(F.col("hostname").isin(list(SITES)))
+    return suppressed(df, score, allow, _allow_key(rules), {"hostname": F.col(host_col)}, at, as_of, few_places=True)
+
+
+def _allow_key(rules: list[Rule]):
+    """What a finding and an exact allow rule have to agree on, as a function of the finding."""
+    ids = rows_literal([{"id": rule.id} for rule in rules], "id:string")
+    return lambda f: let(F.get(ids, f.ord).id, lambda rule_id: allow_key(rule_id, allow_fingerprint(rule_id, f.match)))
+
+
+def _scored(
+    df: DataFrame, policy: Policy, rules: list[Rule], text_col: str, host_col: str | None, ignore_allow: bool, by_host: bool
+) -> DataFrame:
+    spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    exact_allow = bool(host_col) and policy.exact_allow is not None and not ignore_allow
     if host_col and by_host:
         # One row per supported host: a handful, whatever the corpus size.
         hosts = policy.host_table(spark).select(
@@ -164,10 +189,7 @@ def with_raw_findings(
         df, lambda: _score(F.col("__cut"), F.col("__lines"), rules, allowed_lines), "scores", tuple(rules), tuple(allowed_lines)
     )
     raw = F.when(F.col("__lines").isNull(), F.array().cast(f"array<{_FINDING}>")).otherwise(scores)
-    scored = _bind(df, raw, "__raw").drop("__low", "__cut", "__lines", *names.values())
-    if not exact_allow:
-        return scored
-    return _without_allowed(scored, purge_expired(policy.exact_allow, as_of), rules, text, {"hostname": F.col(host_col)})
+    return _bind(df, raw, "__raw").drop("__low", "__cut", "__lines", *names.values())
 
 
 def _bind(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -360,48 +382,6 @@ def confidence_label(confidence: Column) -> Column:
     )
 
 
-# --- suppression -------------------------------------------------------------
-
-
-def _without_allowed(
-    df: DataFrame, live: DataFrame, rules: list[Rule], text: Column, where: dict[str, Column]
-) -> DataFrame:
-    """Take out the raw findings that an exact allow rule covers.
-
-    ``where`` names the columns of ``live`` that say where a rule holds (its
-    host, and its user where there are many), with their values in ``df``.
-
-    Allow rules may be as many as findings.  The keys of the findings, without
-    their texts, meet the rules in a join; what is allowed in a text comes back
-    to it by a 128-bit hash of place and text, since equal texts in a place
-    have equal findings.  That table is stored, so that Spark knows its size:
-    it is broadcast only if it is small.
-    """
-    ids = rows_literal([{"id": rule.id} for rule in rules], "id:string")
-
-    def key(f: Column) -> Column:
-        return let(F.get(ids, f.ord).id, lambda rule_id: allow_key(rule_id, allow_fingerprint(rule_id, f.match)))
-
-    places = [value.alias(f"__{name}") for name, value in where.items()]
-    names = [f"__{name}" for name in where]
-    identity = [*where.values(), text]
-    named = df.withColumns({"__a": F.xxhash64(*identity), "__b": F.xxhash64(F.lit(1), *identity)})
-    found = named.filter(F.size("__raw") > 0).select(
-        "__a", "__b", *places, F.explode(F.array_distinct(F.transform("__raw", key))).alias("__key")
-    )
-    wanted = live.select(
-        *(F.col(name).alias(f"__{name}") for name in where),
-        allow_key(F.col("rule_id"), F.col("match_fingerprint")).alias("__key"),
-    )
-    met = found.distinct().join(wanted.distinct(), [*names, "__key"])
-    allowed = stored(met.groupBy("__a", "__b").agg(F.collect_list("__key").alias("__allow")), "allowed")
-    kept = F.when(F.col("__allow").isNull(), F.col("__raw")).otherwise(
-        F.filter("__raw", lambda f: ~F.array_contains(F.col("__allow"), key(f)))
-    )
-    rows = named.join(allowed, ["__a", "__b"], "left").withColumn("__raw", kept)
-    return rows.drop("__a", "__b", "__allow")
-
-
 # --- overlaps ----------------------------------------------------------------
 
 

@@ -320,6 +320,22 @@ def allow_both_suppressed(spark, sf):
     return rows(detect.scan(texts, policy, host_col="hostname", as_of=st.NOW), "doc_id")
 
 
+@query(
+    "allow_at_scan_time",
+    f"""WITH allowed AS (
+          SELECT hostname, rule_id, match_fingerprint, CAST(created_at AS TIMESTAMP) AS since,
+            CAST(expires_at AS TIMESTAMP) AS until FROM ({for_duckdb('timed_allow')}) a),
+        {o.resolved(for_duckdb('arriving'), 'doc_id', joins='JOIN src USING (doc_id)', keep='conf >= 58 AND ' + _NOT_EXACT[:-1]
+         + " AND a.since <= src.ts AND coalesce(a.until > src.ts, true))")}
+        SELECT {o.finding_columns('doc_id')}, epoch_us(ts) AS ts FROM f JOIN src USING (doc_id)""",
+)
+def allow_at_scan_time(spark, sf):
+    """Every text under the rules that were in force when it was sent."""
+    policy = Policy(exact_allow=st.allow_rules(spark, sf, "timed_allow"))
+    scanned = detect.scan(for_spark(spark, sf, "arriving"), policy, host_col="hostname", at="ts")
+    return rows(scanned.withColumn("ts", F.unix_micros("ts")), "doc_id", "ts")
+
+
 @query("scan_ignore_allow", resolved_sql("seeded"))
 def scan_ignore_allow(spark, sf):
     policy = allow_policy(spark, sf, "seeded_allow")

@@ -264,6 +264,14 @@ INPUTS: dict[str, str] = {
             24: ("email", "substr(h, 1, 8) || '@example.com'"),
         },
     ),
+    # Allow rules with times of their own: one or two for a value, some that overlap, some without an end.
+    "timed_allow": (
+        "SELECT pos, id, label, hostname, rule_id, match_fingerprint, '2024-01-' || CASE pos % 3 WHEN 0 THEN '05' "
+        "WHEN 1 THEN '09' ELSE '15' END || ' 00:00:00' AS created_at, CASE pos % 3 WHEN 0 THEN '2024-01-12 00:00:00' "
+        "WHEN 1 THEN '2024-01-16 12:00:00' ELSE NULL END AS expires_at FROM {seeded_allow} a "
+        "UNION ALL SELECT pos + 1000000, id || 'b', label, hostname, rule_id, match_fingerprint, '2024-01-' || "
+        "CASE pos % 4 WHEN 0 THEN '10' ELSE '20' END || ' 00:00:00', '2024-01-24 00:00:00' FROM {seeded_allow} a WHERE pos % 4 < 2"
+    ),
     # The same for the overlapping matches: the stronger one is allowed.
     "overlap_allow": _allow_rules(
         7,
@@ -331,6 +339,9 @@ INPUTS: dict[str, str] = {
     ),
 }
 
+# Built from another input.
+INPUTS["timed_allow"] = INPUTS["timed_allow"].replace("{seeded_allow}", f"({INPUTS['seeded_allow']})")
+
 
 def for_duckdb(name: str) -> str:
     sql = INPUTS[name]

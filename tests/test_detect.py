@@ -9,6 +9,7 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
+from leakscan.operators import allow as allow_rules
 from leakscan.operators import detect
 from leakscan.operators import policy as pol
 from leakscan.operators.policy import Policy
@@ -269,6 +270,53 @@ def test_any_number_of_exact_rules_is_used(spark, scan_all):
     assert [[f.match for f in row] for row in found] == [["u900@b.co"], ["u899@b.co"], [], [], ["u900@b.co"]]
 
 
+@pytest.mark.parametrize("carried", [allow_rules.MOST_CARRIED, 3, 0])
+def test_rules_hold_at_the_time_of_each_text(spark, monkeypatch, carried):
+    """Against a plain loop, with the rules in the row, joined, and some of each."""
+    monkeypatch.setattr(allow_rules, "MOST_CARRIED", carried)
+    draw = random.Random(8)
+    day = lambda n: datetime(2024, 1, 1 + n, tzinfo=timezone.utc)
+    rules = []
+    for n in range(40):
+        start, end = draw.randint(0, 27), draw.choice([None, draw.randint(0, 27)])
+        host = draw.choice(["claude.ai", "claude.ai", "chatgpt.com", "elsewhere.example"])
+        rules.append((host, f"u{draw.randint(0, 5)}@b.co", start, end))
+    schema = (
+        "id string, label string, hostname string, rule_id string, match_fingerprint string, created_at timestamp, "
+        "expires_at timestamp, pos int"
+    )
+    rows = [(f"a{n}", "x", h, "email", f"email:{v}", day(a), None if b is None else day(b), n) for n, (h, v, a, b) in enumerate(rules)]
+    rows.append(("p", "x", "gemini.google.com", "email", "email:u1@b.co", None, None, 99))
+    policy = Policy(exact_allow=spark.createDataFrame(rows, schema))
+    texts = [
+        (k, " ".join(f"u{n}@b.co" for n in range(7)), draw.choice(["claude.ai", "chatgpt.com", "gemini.google.com", "elsewhere.example", None]),
+         day(draw.randint(0, 27)))
+        for k in range(60)
+    ]
+    df = spark.createDataFrame(texts, "doc_id int, text string, hostname string, ts timestamp").repartition(3)
+    found = {r.doc_id: [f.match for f in r.findings] for r in detect.scan(df, policy, host_col="hostname", at="ts").collect()}
+
+    def covered(host, value, now):
+        if host == "gemini.google.com" and value == "u1@b.co":
+            return True
+        own = [r for r in rules if r[:2] == (host, value) and host != "elsewhere.example"]
+        return any(day(a) <= now and (b is None or now < day(b)) for _, _, a, b in own)
+
+    assert found == {k: [v for v in text.split() if not covered(host, v, ts)] for k, text, host, ts in texts}
+
+
+def test_times_that_touch_are_one(spark):
+    schema = "hostname string, rule_id string, match_fingerprint string, created_at timestamp, expires_at timestamp"
+    at = lambda n: datetime(2024, 1, n)
+    rows = [("h", "r", "a", at(1), at(3)), ("h", "r", "a", at(3), at(4)), ("h", "r", "a", at(2), at(3)), ("h", "r", "a", at(6), None),
+            ("h", "r", "a", at(7), at(8)), ("h", "r", "b", None, at(2)), ("h", "r", "c", at(5), at(5))]
+    found = allow_rules.intervals(spark.createDataFrame(rows, schema), ["hostname"], timed=True)
+    found = found.select("key", F.col("since").cast("string"), F.col("until").cast("string")).collect()
+    assert sorted(map(tuple, found)) == [
+        ("r\na", str(at(1)), str(at(4))), ("r\na", str(at(6)), allow_rules.NEVER), ("r\nb", allow_rules.EVER, str(at(2))),
+    ]
+
+
 # --- overlaps ----------------------------------------------------------------
 
 

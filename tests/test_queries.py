@@ -83,10 +83,15 @@ def test_a_filter_on_findings_does_not_repeat_the_scan(spark):
     assert once == again
 
 
-def test_exact_allow_rules_are_joined_whole(spark):
+def test_exact_allow_rules_ride_along_with_their_host(spark):
     policy = Policy(profiles=st.profiles(spark), exact_allow=st.allow_rules(spark, str(FOLDER), "seeded_allow"))
-    scanned = detect.scan(for_spark(spark, str(FOLDER), "seeded"), policy, host_col="hostname", as_of=st.NOW)
+    texts = for_spark(spark, str(FOLDER), "seeded")
+    scanned = detect.scan(texts, policy, host_col="hostname", as_of=st.NOW)
     text = scanned._jdf.queryExecution().optimizedPlan().toString()
-    # Only the table of hosts, one row for each supported host, is broadcast by a hint.
-    assert text.count("strategy=broadcast") == 1 and "Limit" not in text
+    # The hosts, and the rules of each, are broadcast by a hint: a row for each supported host, of bounded size.
+    assert text.count("strategy=broadcast") == 2 and "Limit" not in text
     assert "CartesianProduct" not in plan(scanned) and "BroadcastNestedLoopJoin" not in plan(scanned)
+    # The rules of the scan are there once, and texts are not hashed.
+    without = detect.scan(texts, Policy(profiles=st.profiles(spark)), host_col="hostname")
+    assert plan(scanned).count("split(regexp_replace(") == plan(without).count("split(regexp_replace(")
+    assert "xxhash64" not in plan(scanned)
