@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.functions.arrays import fold_emit, rows_literal
-from leakscan.functions.text import allow_fingerprint, let, ws_collapse, ws_trim
+from leakscan.functions.text import allow_fingerprint, is_blank, let, ws_collapse, ws_trim
+from leakscan.operators import patterns as own_patterns
 from leakscan.operators.allow import suppressed
+from leakscan.operators.patterns import LINES, OWN
 from leakscan.operators.policy import SITES, THRESHOLDS, Policy, allow_key
 from leakscan.operators.rules import CLOSE, OPEN, Rule, screens
 
@@ -98,32 +100,40 @@ def scan_by_user(
     ``tables`` are the normalised settings of all users, as
     ``sources.settings.settings_tables(raw, by)`` gives them, and ``by`` names
     the columns that identify a user in them and in ``df``.  Toggles, site
-    profiles, thresholds and exact allow rules apply; a user without settings
-    is unknown, and off, like a site without a profile.  Patterns of a user's
-    own become expressions of a plan and need a scan under that user's policy.
+    profiles, thresholds, exact allow rules, and the user's own patterns and
+    workspace patterns apply; a user without settings is unknown, and off, like
+    a site without a profile.  Own patterns are found whatever the toggles.
+    ``operators/patterns.py`` says which patterns of a table are run.
     """
     thresholds = F.create_map(*(F.lit(x) for pair in THRESHOLDS.items() for x in pair))
     profiles = tables.profiles.filter("enabled").select(
-        *by, F.col("hostname").alias(host_col), thresholds[F.col("strictness")].alias("__threshold")
+        *by, F.col("hostname").alias(host_col), thresholds[F.col("strictness")].alias("__least")
     )
     toggles = tables.toggles.filter("enabled").select(
         *by, F.col("detect_secrets").alias("__secrets"), F.col("detect_pii").alias("__pii")
     )
-    on = df.join(toggles.join(profiles, list(by)), [*by, host_col])
+    own, busy = own_patterns.by_user(tables.custom_patterns, by, every=df.isStreaming)
+    lines = own_patterns.lines_by_user(tables.workspace_allow, by)
+    # All that is known of a user meets before it meets the texts, which are joined once.
+    users = toggles.join(own, list(by), "left").join(lines, list(by), "left")
+    on = df.join(users.join(profiles, list(by)), [*by, host_col])
+    if busy is not None:
+        on = own_patterns.looked_up(on, busy, by, text_col)
     policy = Policy()
     rules = policy.rules(df.sparkSession)
     where = {name: F.col(name) for name in by} | {"hostname": F.col(host_col)}
-    raw = suppressed(
-        on.withColumnRenamed("__threshold", "__least"),
-        lambda texts: with_raw_findings(texts, policy, text_col=text_col),
-        tables.exact_allow, _allow_key(rules), where, at, as_of,
-    )
+
+    def score(texts: DataFrame) -> DataFrame:
+        return _scored(texts, policy, rules, text_col, None, False, False, own=True)
+
+    raw = suppressed(on, score, tables.exact_allow, _allow_key(rules, own=True), where, at, as_of)
     wanted = F.filter(
         "__raw",
-        lambda f: (f.confidence >= F.col("__least")) & F.when(f.secret, F.col("__secrets")).otherwise(F.col("__pii")),
+        lambda f: (f.confidence >= F.col("__least"))
+        & ((f.ord >= len(rules)) | F.when(f.secret, F.col("__secrets")).otherwise(F.col("__pii"))),
     )
-    found = _bind(raw, describe(resolve_overlaps(wanted), rules, origin), "findings")
-    return found.drop("__raw", "__threshold", "__least", "__secrets", "__pii")
+    found = _bind(raw, describe(resolve_overlaps(wanted), rules, origin, own=True), "findings")
+    return found.drop("__raw", "__threshold", "__least", "__secrets", "__pii", OWN, LINES)
 
 
 def raw_findings(
@@ -156,15 +166,22 @@ def with_raw_findings(
     return suppressed(df, score, allow, _allow_key(rules), {"hostname": F.col(host_col)}, at, as_of, few_places=True)
 
 
-def _allow_key(rules: list[Rule]):
+def _allow_key(rules: list[Rule], own: bool = False):
     """What a finding and an exact allow rule have to agree on, as a function of the finding."""
     ids = rows_literal([{"id": rule.id} for rule in rules], "id:string")
-    return lambda f: let(F.get(ids, f.ord).id, lambda rule_id: allow_key(rule_id, allow_fingerprint(rule_id, f.match)))
+
+    def id_of(n: Column) -> Column:
+        built = F.get(ids, n).id
+        return F.coalesce(built, F.get(F.col(OWN), n - len(rules)).id) if own else built
+
+    return lambda f: let(id_of(f.ord), lambda rule_id: allow_key(rule_id, allow_fingerprint(rule_id, f.match)))
 
 
 def _scored(
-    df: DataFrame, policy: Policy, rules: list[Rule], text_col: str, host_col: str | None, ignore_allow: bool, by_host: bool
+    df: DataFrame, policy: Policy, rules: list[Rule], text_col: str, host_col: str | None, ignore_allow: bool, by_host: bool,
+    own: bool = False,
 ) -> DataFrame:
+    """Add ``__raw`` and ``__threshold``; with ``own``, the patterns that each row carries count as further rules."""
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     if host_col and by_host:
@@ -180,13 +197,17 @@ def _scored(
     tests = screens(text, rules)
     names = {screen: f"__screen{n}" for n, screen in enumerate(tests)}
     df = df.withColumns({names[screen]: test for screen, test in tests.items()})
-    df = df.withColumn("__low", F.when(_lowered_needed(rules, names), F.lower(text)))
-    cut = _once(df, lambda: _cut(text, F.col("__low"), rules, names), "cut", text_col, tuple(rules))
+    needed = _lowered_needed(rules, names)
+    if own:
+        needed = needed | F.coalesce(F.exists(OWN, lambda p: p.fold), F.lit(False))
+    df = df.withColumn("__low", F.when(needed, F.lower(text)))
+    cut = _once(df, lambda: _cut(text, F.col("__low"), rules, names, own), "cut", text_col, tuple(rules), own)
     df = df.withColumn("__cut", cut)
     df = df.withColumn("__lines", F.when(F.size("__cut") > 0, F.split(text, "\n", -1)))
     allowed_lines = [] if ignore_allow else policy.workspace_columns(spark)
     scores = _once(
-        df, lambda: _score(F.col("__cut"), F.col("__lines"), rules, allowed_lines), "scores", tuple(rules), tuple(allowed_lines)
+        df, lambda: _score(F.col("__cut"), F.col("__lines"), rules, allowed_lines, own),
+        "scores", tuple(rules), tuple(allowed_lines), own,
     )
     raw = F.when(F.col("__lines").isNull(), F.array().cast(f"array<{_FINDING}>")).otherwise(scores)
     return _bind(df, raw, "__raw").drop("__low", "__cut", "__lines", *names.values())
@@ -204,7 +225,7 @@ def _bind(df: DataFrame, value: Column, name: str) -> DataFrame:
 # --- matches -----------------------------------------------------------------
 
 
-def _cut(text: Column, lowered: Column, rules: list[Rule], names: dict[str, str]) -> Column:
+def _cut(text: Column, lowered: Column, rules: list[Rule], names: dict[str, str], own: bool = False) -> Column:
     """For each rule with a match, the text cut at its matches."""
     safe = F.when(
         text.contains(OPEN) | text.contains(CLOSE),
@@ -217,6 +238,18 @@ def _cut(text: Column, lowered: Column, rules: list[Rule], names: dict[str, str]
     # which would grow too large for the JIT to compile.
     pieces = F.array(*(rule.pieces(text, lowered, safe, screened(rule)) for rule in rules))
     numbered = F.transform(pieces, lambda p, n: F.struct(n.alias("ord"), p.alias("pieces")))
+    if own:
+        def chance(p: Column) -> Column:
+            seen = F.when(p.fold, lowered.contains(p.literal)).otherwise(text.contains(p.literal))
+            return F.when(p.literal == "", ~is_blank(text)).otherwise(seen)
+
+        def cut_by(p: Column) -> Column:
+            return F.split(F.regexp_replace(safe, p.java, F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
+
+        more = F.transform(
+            OWN, lambda p, n: F.struct((n + len(rules)).alias("ord"), F.when(chance(p), cut_by(p)).alias("pieces"))
+        )
+        numbered = F.concat(numbered, F.coalesce(more, F.array().cast("array<struct<ord:int,pieces:array<string>>>")))
     return F.filter(numbered, lambda cut: F.size(cut.pieces) > 1)
 
 
@@ -252,7 +285,7 @@ def lines_at(lines: Column, first: Column, last: Column) -> Column:
     return ws_trim(F.array_join(F.slice(lines, first + 1, last - first + 1), "\n"))
 
 
-def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[str]) -> Column:
+def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[str], own: bool = False) -> Column:
     """All matches as scored findings, without those on an allowed line.
 
     One pass per rule over its gaps and matches keeps the offset and the line
@@ -260,6 +293,7 @@ def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[st
     different line than the one before: on a page that is one long line that is
     once, not once per match.
     """
+    facts_type = "base:int,secret:boolean,capture_bonus:int,keywords:array<string>,phone:boolean"
     facts = rows_literal(
         [
             {
@@ -271,8 +305,20 @@ def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[st
             }
             for rule in rules
         ],
-        "base:int,secret:boolean,capture_bonus:int,keywords:array<string>,phone:boolean",
+        facts_type,
     )
+
+    def facts_of(n: Column) -> Column:
+        if not own:
+            return F.get(facts, n)
+        p = F.get(F.col(OWN), n - len(rules))
+        none = F.array().cast("array<string>")
+        user = F.struct(p.base, p.category == "secret", F.lit(0), none, F.lit(False)).cast(f"struct<{facts_type}>")
+        return F.when(n < len(rules), F.get(facts, n)).otherwise(user)
+
+    def allowed(value: Column) -> Column:
+        test = _matches_any(value, allowed_lines)
+        return test | F.coalesce(F.exists(LINES, lambda p: F.rlike(value, p)), F.lit(False)) if own else test
     start = F.struct(
         F.lit(0).alias("at"),
         F.lit(0).alias("line"),
@@ -282,7 +328,7 @@ def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[st
 
     def of_rule(pieces: Column, n: Column) -> Column:
         return let(
-            F.get(facts, n),
+            facts_of(n),
             lambda rule: fold_emit(pieces, start, lambda st, piece: step(st, piece, rule, n), _FINDING).out,
         )
 
@@ -296,7 +342,7 @@ def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[st
             seen = (
                 F.when(~to.hit, st.seen)
                 .when((to.first == st.seen.first) & (to.line == st.seen.last), st.seen)
-                .otherwise(_line_facts(lines, to.first, to.line, rule, allowed_lines))
+                .otherwise(_line_facts(lines, to.first, to.line, rule, allowed))
             )
             return let(seen, lambda at_line: result(to, at_line))
 
@@ -305,7 +351,7 @@ def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[st
                 F.struct(
                     to.at.alias("at"), to.line.alias("line"), (~st.inside).alias("inside"), at_line.alias("seen")
                 ).alias("state"),
-                F.when(to.hit & ~at_line.allowed & ~_matches_any(piece, allowed_lines), finding(to, at_line)).alias(
+                F.when(to.hit & ~at_line.allowed & ~allowed(piece), finding(to, at_line)).alias(
                     "emit"
                 ),
             )
@@ -332,7 +378,7 @@ def _score(cut: Column, lines: Column, rules: list[Rule], allowed_lines: list[st
     return F.flatten(F.transform(cut, lambda c: of_rule(c.pieces, c.ord)))
 
 
-def _line_facts(lines: Column, first: Column, last: Column, rule: Column, allowed_lines: list[str]) -> Column:
+def _line_facts(lines: Column, first: Column, last: Column, rule: Column, allowed) -> Column:
     """What a rule needs to know about the line of a match."""
     def facts(line: Column, hits: Column) -> Column:
         assigned = (line.contains("=") | line.contains(":")) & line.rlike(CREDENTIAL_WORDS)
@@ -341,7 +387,7 @@ def _line_facts(lines: Column, first: Column, last: Column, rule: Column, allowe
             last.alias("last"),
             (F.size(hits) * 6 + F.when(assigned, F.lit(8)).otherwise(F.lit(0))).alias("bonus"),
             F.get(hits, F.lit(0)).alias("keyword"),
-            _matches_any(line, allowed_lines).alias("allowed"),
+            allowed(line).alias("allowed"),
         )
 
     return let(
@@ -430,7 +476,7 @@ def resolve_overlaps(raw: Column) -> Column:
 # --- presentation ------------------------------------------------------------
 
 
-def describe(raw: Column, rules: list[Rule], origin: str | Column) -> Column:
+def describe(raw: Column, rules: list[Rule], origin: str | Column, own: bool = False) -> Column:
     """Spell out the fields of each finding."""
     origin = F.lit(origin) if isinstance(origin, str) else origin
     fields = ("id", "label", "category", "source", "placeholder", "explanation")
@@ -439,9 +485,18 @@ def describe(raw: Column, rules: list[Rule], origin: str | Column) -> Column:
         ",".join(f"{name}:string" for name in fields),
     )
 
+    def facts_of(n: Column) -> Column:
+        if not own:
+            return F.get(facts, n)
+        p = F.get(F.col(OWN), n - len(rules))
+        user = F.struct(p.id, p.label, p.category, F.lit("custom"), p.placeholder, p.explanation)
+        return F.when(n < len(rules), F.get(facts, n)).otherwise(
+            user.cast(f"struct<{','.join(f'{name}:string' for name in fields)}>")
+        )
+
     def spelled_out(f: Column) -> Column:
         return let(
-            F.get(facts, f.ord),
+            facts_of(f.ord),
             lambda rule: F.struct(
                 f.ord.alias("rule_ord"),
                 rule.id.alias("rule_id"),

@@ -9,11 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leakscan.functions import ecmascript, regex, text as tx
+from leakscan.functions import regex, text as tx
 from leakscan.operators import rules as catalogue
 
 # --- Fixed values ------------------------------------------------------------
@@ -252,20 +251,11 @@ def normalize_custom(given: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.coalesce("enabled", F.lit(True)).alias("enabled"),
         tx.ws_trim(F.col("explanation")).alias("explanation"),
         tx.ws_trim(F.col("placeholder")).alias("placeholder"),
+        # The stored order, where it is known.
+        *(["pos"] if "pos" in given.columns else []),
     )
 
 
-def rejected(patterns: DataFrame) -> DataFrame:
-    """The patterns that no scan uses, with ``reason``; other columns stay.
-
-    ``patterns`` has pattern and flags, like the custom and workspace tables.
-    """
-    for module in (ecmascript, regex):
-        cloudpickle.register_pickle_by_value(module)  # executors need not have this package
-    reason = F.udf(lambda pattern, flags: ecmascript.reason(pattern, regex.sanitize_flags(flags or "g")), "string")
-    return patterns.withColumn("reason", reason("pattern", "flags")).filter("reason is not null")
-
-
 def normalize_exact_allow(given: DataFrame, as_of: datetime | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Valid allow rules; an expiry that does not parse makes a rule permanent."""
     kept = given.filter(

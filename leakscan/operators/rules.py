@@ -446,8 +446,13 @@ def usable(spark: SparkSession, pattern: str, flags: str) -> str | None:
     return java if compiles(spark, java) else None
 
 
+def refusal(pattern: str, flags: str | None = None) -> str | None:
+    """Why a pattern of one policy is not used, or None; ``operators.patterns.refused`` says it for a table."""
+    return ecmascript.reason(pattern, regex.sanitize_flags(flags or "g"))
+
+
 def custom_rules(spark: SparkSession, patterns: Iterable[Mapping]) -> list[Rule]:
-    """Rules for the enabled user patterns; refused ones are left out (``policy.rejected`` says why)."""
+    """Rules for the enabled user patterns; refused ones are left out (:func:`refusal` says why)."""
     rules = []
     for p in patterns:
         flags = regex.sanitize_flags(p["flags"] or "g")

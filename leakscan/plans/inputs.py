@@ -299,6 +299,17 @@ INPUTS: dict[str, str] = {
         "|| '@example.com, u' || CAST(doc_id % 7 AS STRING) || '@example.com' AS text "
         f"FROM ({_with_snippet(SNIPPETS)}) s"
     ),
+    # A pattern of some user for each document, made from a word of it; a third of them are one user's.
+    "user_patterns": (
+        "SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 0 THEN 7 ELSE 1 + doc_id * 7 % 60 END AS user_key, "
+        "'p' || CAST(doc_id AS STRING) AS id, ' Word ' || CAST(doc_id AS STRING) AS label, CASE doc_id % 7 "
+        "WHEN 0 THEN chr(92) || 'b' || word || chr(92) || 'b' WHEN 1 THEN word || '[a-z]{{1,3}}' WHEN 2 THEN '(?:' || word || '|@e)x' "
+        "WHEN 3 THEN '(' || word || ')' || chr(92) || '1' WHEN 4 THEN word || '(' WHEN 5 THEN 'u[0-9]+@' "
+        "ELSE '[' || word || ']{{5,}}$' END AS pattern, CASE WHEN doc_id % 2 = 0 THEN 'gi' ELSE 'gm' END AS flags, "
+        "CASE WHEN doc_id % 4 = 0 THEN 'secret' ELSE 'pii' END AS category, doc_id % 11 <> 5 AS enabled, "
+        "CAST(NULL AS STRING) AS explanation, CAST(NULL AS STRING) AS placeholder "
+        "FROM (SELECT doc_id, coalesce(nullif(regexp_extract(text, '[a-z]{{4,}}', 0), ''), 'none') AS word FROM {documents}) d"
+    ),
     # Texts sent and files attached, by the event they belong to.
     "sent": f"SELECT doc_id * 10 AS event_id, text FROM ({_with_snippet(SNIPPETS)}) s",
     "event_files": (

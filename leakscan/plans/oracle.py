@@ -75,6 +75,31 @@ class Rules:
         return "\nUNION ALL\n".join(branches)
 
 
+class TableRules(Rules):
+    """The built-in rules and, for each text, those of its user from a table.
+
+    ``own`` yields ord, user_key, id, label, category and re2, with ``ord`` from ``len(rows)`` on.
+    """
+
+    def __init__(self, own: str):
+        super().__init__()
+        self.own = own
+
+    def table(self) -> str:
+        base = super().table().replace("AS (VALUES", "AS (SELECT * FROM (VALUES", 1)
+        return f"""own AS MATERIALIZED ({self.own}),
+{base[:-1]}) UNION ALL SELECT ord, id, label, category, 'custom', CASE category WHEN 'secret' THEN 82 ELSE 72 END, false,
+  '', '', CAST([] AS VARCHAR[]) FROM own)"""
+
+    def cuts(self, keys: str) -> str:
+        columns = ", ".join(f"src.{k}" for k in keys.split(", "))
+        return super().cuts(keys) + rf"""
+UNION ALL
+SELECT {columns}, own.ord, string_split_regex(regexp_replace(text, re2, chr(57344) || '\0' || chr(57345), 'g'),
+  '[' || chr(57344) || chr(57345) || ']') AS p
+FROM src JOIN own ON own.user_key = src.user_key WHERE regexp_matches(text, re2)"""
+
+
 def scored(src: str, keys: str, rules: Rules | None = None) -> str:
     """CTEs up to ``scored``: one row per match, before any filter.
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from leakscan.operators import detect
 from leakscan.operators import policy as pol
 from leakscan.operators import rulepacks as packs
+from leakscan.operators.patterns import refused
 from leakscan.operators.policy import Policy
+from leakscan.operators.rules import BUILTIN_RULES
 from leakscan.plans import oracle as o
 from leakscan.plans import settings as st
 from leakscan.plans.detection import _FLAGS_SQL
@@ -127,7 +131,7 @@ _CUSTOM_SQL = f"""custom AS (
 
 
 def normalized_custom(spark, sf):
-    return pol.normalize_custom(for_spark(spark, sf, "given_patterns"), ("user_key",))
+    return pol.normalize_custom(for_spark(spark, sf, "given_patterns"), ("user_key",)).drop("pos")
 
 
 @query("custom_normalized", f"WITH {_CUSTOM_SQL} SELECT * FROM custom")
@@ -145,7 +149,7 @@ def custom_normalized(spark, sf):
         FROM ({for_duckdb('odd_patterns')}) WHERE pos % 10 IN (0, 1, 2, 5, 7, 8) OR pos % 20 = 3""",
 )
 def custom_rejected(spark, sf):
-    return st.bigints(pol.rejected(for_spark(spark, sf, "odd_patterns")).select("pos", "pattern", "reason"))
+    return st.bigints(refused(for_spark(spark, sf, "odd_patterns")).select("pos", "pattern", "reason"))
 
 
 _ALLOW_SQL = f"""allow AS (
@@ -350,29 +354,64 @@ _USER_PROFILE = f"""users AS (
     coalesce(j ->> '$.enabled' <> 'false', true)
       AND coalesce(json_extract(j, '$.siteProfiles."' || hostname || '"') ->> '$.enabled' <> 'false', true) AS enabled,
     coalesce(json_extract(j, '$.siteProfiles."' || hostname || '"') ->> '$.strictness', 'balanced') AS strictness,
-    j ->> '$.exactAllowRules[2].matchFingerprint' AS allowed FROM s CROSS JOIN hosts)"""
+    j ->> '$.exactAllowRules[2].matchFingerprint' AS allowed,
+    json_type(j, '$.customPatterns[0].label') = 'VARCHAR' AS own FROM s CROSS JOIN hosts)"""
 _BY_USER = (
     f"SELECT t.* FROM ({for_duckdb('by_user')}) t JOIN users USING (user_key, hostname) WHERE users.enabled"
 )
 _BY_USER_KEEP = (
-    "conf >= " + o.STRICTNESS_SQL.format(c="users.strictness") + " AND (users.pii OR category = 'secret') "
+    "conf >= " + o.STRICTNESS_SQL.format(c="users.strictness") + " AND (users.pii OR category = 'secret' OR source = 'custom') "
+    "AND (rule_id <> 'c' OR users.own) "
     "AND NOT (src.hostname = 'claude.ai' AND scored.fingerprint = users.allowed AND scored.rule_id = 'email')"
 )
 
 
+def _by_user_sql(rules: o.Rules) -> str:
+    joins = "JOIN src USING (doc_id) JOIN users ON users.user_key = src.user_key AND users.hostname = src.hostname"
+    found = o.resolved(_BY_USER, "doc_id", rules, keep=_BY_USER_KEEP, joins=joins)
+    return f"""WITH {_STORED_SQL}, {HOSTS_SQL}, {_USER_PROFILE}, {found}
+        SELECT doc_id, rule_id, m AS match, CAST(conf AS BIGINT) AS confidence FROM f"""
+
+
 @query(
     "scan_by_user",
-    f"""WITH {_STORED_SQL}, {HOSTS_SQL}, {_USER_PROFILE}, {o.resolved(
-        _BY_USER, 'doc_id', keep=_BY_USER_KEEP,
-        joins='JOIN src USING (doc_id) JOIN users ON users.user_key = src.user_key AND users.hostname = src.hostname')}
-        SELECT doc_id, rule_id, m AS match, CAST(conf AS BIGINT) AS confidence FROM f""",
+    _by_user_sql(o.Rules(None, [
+        {"id": "c", "label": "", "category": "pii", "placeholder": "", "explanation": "", "re2": "x+"},
+    ])),
 )
 def scan_by_user(spark, sf):
-    scanned = detect.scan_by_user(for_spark(spark, sf, "by_user"), stored(spark, sf), ("user_key",), as_of=st.NOW)
+    return found_by_user(spark, sf, stored(spark, sf))
+
+
+def found_by_user(spark, sf, tables):
+    scanned = detect.scan_by_user(for_spark(spark, sf, "by_user"), tables, ("user_key",), as_of=st.NOW)
     found = scanned.select("doc_id", F.inline("findings"))
     return st.bigints(found.select("doc_id", "rule_id", "match", "confidence"))
 
 
+@query(
+    "scan_by_user_patterns",
+    _by_user_sql(o.TableRules(
+        f"""SELECT {len(BUILTIN_RULES)} + pos AS ord, user_key, id, trim(label) AS label, category,
+              CASE WHEN contains(flags, 'i') THEN '(?i)' ELSE '(?m)' END || pattern AS re2
+            FROM ({for_duckdb('user_patterns')}) WHERE enabled AND pos % 7 NOT IN (3, 4)"""
+    )),
+)
+def scan_by_user_patterns(spark, sf):
+    """A pattern for each document, each run on the texts of its user."""
+    own = pol.normalize_custom(for_spark(spark, sf, "user_patterns"), ("user_key",))
+    return found_by_user(spark, sf, replace(stored(spark, sf), custom_patterns=own))
+
+
+@query(
+    "user_patterns_refused",
+    f"""SELECT pos, user_key, CASE pos % 7 WHEN 3 THEN 'refers to a group that may not have taken part'
+          ELSE 'unterminated group' END AS reason FROM ({for_duckdb('user_patterns')}) WHERE pos % 7 IN (3, 4)""",
+)
+def user_patterns_refused(spark, sf):
+    return st.bigints(refused(for_spark(spark, sf, "user_patterns")).select("pos", "user_key", "reason"))
+
+
 # --- changing allow rules ----------------------------------------------------
 
 _TEMPORARY_SQL = f"""requests AS (
