@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.operators import attachments as att
-from leakscan.operators import detect
+from leakscan.operators import chunks, detect
 from leakscan.operators import incidents as inc
 from leakscan.operators import policy as pol
 from leakscan.plans import oracle as o
@@ -139,6 +139,38 @@ def scan_file_source(spark, sf):
     return st.bigints(found.select("folder", "rule_id", "match_preview", "confidence"))
 
 
+_BY_64 = (
+    "SELECT doc_id // 64 AS folder, string_agg(text, chr(10) ORDER BY doc_id) AS text "
+    f"FROM ({for_duckdb('seeded')}) GROUP BY doc_id // 64"
+)
+_LONG_SQL = f"""WITH {o.resolved(_BY_64, 'folder')} SELECT folder, rule_id, s AS start_pos, e AS end_pos, m AS match,
+  CAST(conf AS BIGINT) AS confidence FROM f"""
+_LONG = ("folder", "rule_id", "start_pos", "end_pos", "match", "confidence")
+
+
+@query("scan_long_texts", _LONG_SQL)
+def scan_long_texts(spark, sf):
+    """Texts of 64 documents each, scanned in chunks of 8,000 characters."""
+    lines = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    texts = for_spark(spark, sf, "seeded").groupBy(F.expr("doc_id div 64").alias("folder")).agg(
+        F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text")
+    )
+    scanned = chunks.scan_long(texts, ("folder",), size=8000)
+    return st.bigints(scanned.select("folder", F.inline("findings")).select(*_LONG))
+
+
+@query("scan_long_files", _LONG_SQL)
+def scan_long_files(spark, sf):
+    """The same texts as files, read and scanned in chunks."""
+    folder = shared_folder(spark, "long-files")
+    texts = for_spark(spark, sf, "seeded").select(F.expr("doc_id div 64").alias("folder"), "doc_id", "text")
+    dealt = texts.repartition("folder").sortWithinPartitions("folder", "doc_id").drop("doc_id")
+    dealt.write.partitionBy("folder").text(folder)
+    scanned = chunks.scan_chunks(files_source.read_chunks(spark, folder, size=30_000), ("path",))
+    name = F.regexp_extract("path", r"folder=(\d+)/", 1).cast("bigint").alias("folder")
+    return st.bigints(scanned.select(name, F.inline("findings")).select(*_LONG))
+
+
 @query(
     "attachment_pending",
     f"""WITH {_FILES_SQL} SELECT file_key, file_name, count(*) AS pending,
