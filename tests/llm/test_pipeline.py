@@ -53,15 +53,12 @@ def test_stages_take_odd_and_empty_tables(spark, docs):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_match_their_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "labels", "benchmark"):
         duck.sql(f"CREATE VIEW {table} AS FROM '{SMALL}/{table}.parquet'")
     got, expected = queries.QUERIES[name](spark, SMALL), duck.sql(queries.SQL[name])
     assert got.columns == expected.columns
-    assert sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected.fetchall(), key=str)
 
 
 def test_names_of_queries():
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(
-        dict.fromkeys(sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])))
-    )
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
