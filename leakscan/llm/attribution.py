@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm.bpe import Tokenizer
-from leakscan.llm.words import sliced
+from leakscan.llm.words import hand_back
 
 RULES = ("first", "last", "most")
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
@@ -101,7 +101,7 @@ def token_counts(
         size_of = np.zeros(max(encoder.vocabulary.bytes_of) + 1, np.int64)
         for token, data in encoder.vocabulary.bytes_of.items():
             size_of[token] = len(data)
-        for batch in sliced(batches):
+        for batch in tokenizer.sliced(batches):
             out: list[list[np.ndarray]] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = zip(texts, batch.column("sections").to_pylist(), encoder.encode_all(texts))
@@ -131,6 +131,7 @@ def token_counts(
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
         encoder.forget()
+        hand_back()
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), listed.alias("sections")

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.llm.code import sent
-from leakscan.llm.words import sliced
+from leakscan.llm.words import hand_back, kept, sliced
 
+SLICE_BYTES = 2 << 20
 CACHED_CHUNKS = 100_000  # of each of two generations
 KNOWN_PAIRS = 200_000
 SHORT_PIECE = 64  # bytes of a piece of many, and characters of a chunk that is cached
@@ -347,8 +348,6 @@ class Encoder:
 class Tokenizer:
     """What tasks need to build an encoder: ranks of at most ``most`` tokens, broadcast, and the pattern."""
 
-    _built: dict[str, Encoder] = {}
-
     def __init__(self, spark: SparkSession, path: str, pattern: str, most: int = 500_000):
         with open(path, "rb") as file:
             data = file.read()
@@ -359,11 +358,15 @@ class Tokenizer:
         self.pattern = pattern
 
     def encoder(self) -> Encoder:
-        """Built once in each worker process."""
-        if self.key not in self._built:
-            rows = (line.split() for line in self.ranks.value.splitlines() if line)
-            self._built[self.key] = Encoder({base64.b64decode(t): int(r) for t, r in rows}, self.pattern)
-        return self._built[self.key]
+        """Built once in each worker process, and kept until a task of another kind comes."""
+        return kept(self.key, self._build)
+
+    def _build(self) -> Encoder:
+        rows = (line.split() for line in self.ranks.value.splitlines() if line)
+        return Encoder({base64.b64decode(t): int(r) for t, r in rows}, self.pattern)
+
+    def sliced(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return sliced(batches, most=SLICE_BYTES, using=self.key)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -375,10 +378,11 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer.encoder()
-        for batch in sliced(batches):
+        for batch in tokenizer.sliced(batches):
             ids = pa.array(list(encoder.encode_all(batch.column("text").to_pylist())), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
         encoder.forget()
+        hand_back()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -408,7 +412,7 @@ def round_trip(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer.encoder()
-        for batch in sliced(batches):
+        for batch in tokenizer.sliced(batches):
             sizes, hashes, decoded, kept = [], [], [], []
             for ids in encoder.encode_all(batch.column("text").to_pylist()):
                 sizes.append(len(ids))
@@ -420,6 +424,7 @@ def round_trip(
             columns += [pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []
             yield pa.RecordBatch.from_arrays(columns, names)
         encoder.forget()
+        hand_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return _rows(docs, id_col, text_col).mapInArrow(run, schema)

@@ -28,14 +28,13 @@ from pyspark.sql import functions as F
 from leakscan.llm.code import sent
 from leakscan.llm.ranks import numbered
 from leakscan.llm.store import stored
-from leakscan.llm.words import Words, lowered, sliced, utf8, words
+from leakscan.llm.words import NARROW_BYTES, Words, lowered, sliced, utf8, words
 
 BUCKETS = 10_000
 MOST_BUCKETS = 1 << 20  # the gains are broadcast
 LEAST_WORDS = 20
 PERCENT = 10
 SEED = "2024"
-SLICE_BYTES = 1 << 20
 SHORT = 64  # bytes of a feature that is hashed with others
 
 # Words are runs of ASCII letters and digits and of all bytes beyond ASCII.
@@ -129,7 +128,7 @@ def feature_counts(docs: DataFrame, longest: int = 1, buckets: int = BUCKETS, te
 
     def in_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(buckets, np.int64)
-        for batch in sliced(batches, "line", SLICE_BYTES):
+        for batch in sliced(batches, "line", NARROW_BYTES):
             found = _words(batch.column("line"))
             times = batch.column("times").to_numpy()
             line = found.text_of()
@@ -139,7 +138,7 @@ def feature_counts(docs: DataFrame, longest: int = 1, buckets: int = BUCKETS, te
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(buckets, np.int64)
-        for batch in sliced(batches, "text", SLICE_BYTES):
+        for batch in sliced(batches, "text", NARROW_BYTES):
             found = _words(batch.column("text"))
             line = _line_of(found)
             for bucket, first, last in features(found, found.text_of(), longest, buckets):
@@ -185,7 +184,7 @@ def weighed(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = shared.value
-        for batch in sliced(batches, most=SLICE_BYTES):
+        for batch in sliced(batches, most=NARROW_BYTES):
             texts = batch.column("text")
             n_lines, distinct, line_at = _lines(texts)
             text_at = np.repeat(np.arange(len(texts)), n_lines)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from leakscan.llm import segments
 from leakscan.llm.code import sent
 from leakscan.llm.store import dropped, stored
-from leakscan.llm.words import Words, mixed, sliced, utf8, whole_windows, windows, words
+from leakscan.llm.words import NARROW_BYTES, Words, mixed, sliced, utf8, whole_windows, windows, words
 
 WINDOW = 13
 FILTER_BYTES = 256 << 20  # at most; smaller ones for smaller inputs
@@ -52,7 +52,7 @@ def _representatives(hashes: np.ndarray, window: int) -> np.ndarray:
 
 def _first_texts(batches: Iterable[pa.RecordBatch], firsts) -> Iterator[pa.RecordBatch]:
     """Slices of the batches without most of the rows that repeat an earlier text."""
-    for batch in sliced(batches):
+    for batch in sliced(batches, most=NARROW_BYTES):
         yield batch.filter(pa.array(segments.maybe(firsts.value, batch.column("key"))))
 
 
@@ -312,7 +312,7 @@ def _answered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In place of each text the number of its words."""
-    for batch in sliced(batches):
+    for batch in sliced(batches, most=NARROW_BYTES):
         counts = pa.array(words(*utf8(batch.column("text"))).counts.astype(np.int64))
         rest = [batch.column(c) for c in ("doc_id", "a", "b", "n")]
         yield pa.RecordBatch.from_arrays([*rest, counts], ["doc_id", "a", "b", "n", "words"])
@@ -416,17 +416,17 @@ def applied(docs: DataFrame, found: DataFrame, schema: str, emit, window: int =
         return segments.maybe(known.value, batch.column("key"))
 
     def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=NARROW_BYTES):
             yield batch.filter(pa.array(split(batch)))
 
     def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=NARROW_BYTES):
             rest = batch.filter(pa.array(~split(batch)))
             got = words(*utf8(rest.column("text")))
             yield emit(rest, got, np.ones(len(got.start), bool))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=NARROW_BYTES):
             got = words(*utf8(batch.column("text")))
             yield emit(batch, got, _kept(got, batch, window))
 

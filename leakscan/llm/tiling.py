@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm.code import sent
-from leakscan.llm.words import sliced, utf8, whole_windows, windows, words
+from leakscan.llm.words import NARROW_BYTES, sliced, utf8, whole_windows, windows, words
 
 MIN_WORDS = 5
 THRESHOLD = 0.6  # untouched and reordered passages cover nearly all of an item, chance ones a third at most
@@ -168,7 +168,7 @@ def contaminated(
 def _matcher(block, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = block.value
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=NARROW_BYTES):
             found = list(items.matches(batch, threshold))
             row, item, covered, longest = (np.array([f[k] for f in found], np.int32) for k in range(4))
             total = np.array([len(items.items[k]) for k in item.tolist()], np.int32)

@@ -7,14 +7,17 @@ longest text, whichever is larger.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+NARROW_BYTES = 1 << 20  # where many numbers are made of each byte
 SPACES = (0x20, *range(0x09, 0x0E))
 
 _IS_WORD = np.ones(256, bool)
@@ -46,8 +49,35 @@ def _powers_up_to(n: int) -> np.ndarray:
     return _powers
 
 
-def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each piece hold ``most`` bytes, or one text."""
+_kept: dict[str, Any] = {}
+
+
+def kept(key: str, build: Callable[[], Any]) -> Any:
+    """What tasks of one kind need again and again, built once in a worker process; one thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def hand_back() -> None:
+    """Give free memory back to the system: workers stay for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def sliced(
+    batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, using: str | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of each piece hold ``most`` bytes, or one text.
+
+    What the worker keeps goes first, unless the task is ``using`` it.
+    """
+    if using not in _kept:
+        _kept.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,8 +89,7 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, stop - at)
             at = stop
-    # Workers stay for other tasks: what this one no longer needs goes back.
-    pa.default_memory_pool().release_unused()
+    hand_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
