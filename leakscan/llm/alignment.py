@@ -27,7 +27,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cached_property
-from itertools import chain
+from itertools import accumulate, chain
 from operator import attrgetter
 from typing import NamedTuple
 
@@ -42,10 +42,9 @@ from sentencepiece import sentencepiece_model_pb2
 from leakscan.llm.bpe import WHITE
 from leakscan.llm.code import sent
 from leakscan.llm.store import stored
-from leakscan.llm.words import sliced
+from leakscan.llm.words import NARROW_BYTES, hand_back, kept, sliced
 
-SLICE_BYTES = 1 << 20
-CACHED_PIECES = 100_000  # of each of two generations
+CACHED_PIECES = 250_000  # of each of two generations
 TOGETHER = 4096  # pieces that are encoded in one go
 LONG_PIECE = 128  # characters; longer pieces are not cached
 HEAD = 1 << 20  # pairs whose counts are broadcast
@@ -54,7 +53,7 @@ MOST_BYTES = 64 << 20  # of a tokenizer's file, which is broadcast
 SPACE = "▁"  # a space in the pieces of B
 # From a space that follows a visible character to the next such space; white space at the end stays with the last piece.
 PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+(?:(?! )[{WHITE}]+[^{WHITE}]+)*(?:[{WHITE}]+\\Z)?|[{WHITE}]+")
-ENDS_WHITE = re.compile(f"[{WHITE}]\\Z")
+ENDS = frozenset(chr(c) for c in range(0x3001) if re.fullmatch(f"[{WHITE}]", chr(c)))
 WHOLE = re.compile(r"(?s).+")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
@@ -85,8 +84,8 @@ def refined(coarse: np.ndarray, clean: np.ndarray, sizes: np.ndarray) -> np.ndar
     return np.concatenate([[0], coarse])[last] + decoded - np.concatenate([[0], decoded])[last]
 
 
-def _flat(pairs: list[tuple[int, int]]) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(pairs), np.int64, 2 * len(pairs)).reshape(-1, 2)
+def _flat(pairs: Iterable[tuple[int, int]], n: int) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(pairs), np.int64, 2 * n).reshape(n, 2)
 
 
 def _in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -137,11 +136,11 @@ class Aligner:
         """Ids of A, ids of B, and where each token ends, in bytes; nothing if the tokens decode to something else."""
         one = self.a.encode(text, add_special_tokens=False)
         # A space stands before what B encodes.
-        found = list(map(self._read, self.b.encode(text[1:], return_type="proto").pieces))
-        b, b_spans = _flat(found).T
+        pieces = self.b.encode(text[1:], return_type="proto").pieces
+        b, b_spans = _flat(map(self._read, pieces), len(pieces)).T
         if b"".join(map(self.a_bytes.__getitem__, one.ids)) != data or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
             return None
-        a, spans = np.array(one.ids, np.int64), _flat(one.offsets)
+        a, spans = np.array(one.ids, np.int64), _flat(one.offsets, len(one.ids))
         # Bytes before each character, for offsets in characters.
         characters = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
         before = np.append(characters, len(data))
@@ -185,7 +184,7 @@ class Aligner:
     def _learn(self, texts: list[str]) -> dict[str, Piece]:
         """Encode and align pieces, each of which starts with a space."""
         # White space at the end would run on into the next piece.
-        alone = [t for t in texts if self.pattern is WHOLE or ENDS_WHITE.search(t) or SPACE in t]
+        alone = [t for t in texts if self.pattern is WHOLE or t[-1] in ENDS or SPACE in t]
         out = {t: self._lay([t])[0] for t in alone}
         rest = [t for t in texts if t not in out]
         for k in range(0, len(rest), TOGETHER):
@@ -207,8 +206,10 @@ class Aligner:
     def _pieces(self, texts: list[str | None]) -> list[list[Piece]]:
         split = [self.pattern.findall(f" {text}") if text else [] for text in texts]
         cache, older = self._cache, self._older
-        out = [list(map(cache.get, found)) for found in split]
-        missed = {p for pieces, found in zip(out, split) if None in pieces for p, got in zip(found, pieces) if got is None}
+        flat = list(chain.from_iterable(split))
+        got = list(map(cache.get, flat))
+        # Few texts are without a new piece, and most pieces are not new.
+        missed = {piece for piece, known in zip(flat, got) if known is None}
         new = []
         for piece in missed:
             if piece in older:
@@ -218,7 +219,9 @@ class Aligner:
         if new:
             cache.update(self._learn(new))
         if missed:
-            out = [list(map(cache.__getitem__, found)) if None in pieces else pieces for pieces, found in zip(out, split)]
+            got = list(map(cache.__getitem__, flat))
+        to = list(accumulate(map(len, split)))
+        out = [got[i:j] for i, j in zip([0, *to], to)]
         for piece in new:
             if len(piece) > LONG_PIECE:
                 del cache[piece]
@@ -238,8 +241,6 @@ class Aligner:
 class Pair:
     """What tasks need to build an aligner: the files of both tokenizers, broadcast."""
 
-    _built: dict[str, Aligner] = {}
-
     def __init__(self, spark: SparkSession, json_path: str, model_path: str):
         files = []
         for path in (json_path, model_path):
@@ -251,11 +252,11 @@ class Pair:
         self.files = sent(spark).sparkContext.broadcast(tuple(files))
 
     def aligner(self) -> Aligner:
-        """One at a time in each worker process, for as long as a task needs it."""
-        if self.key not in self._built:
-            self._built.clear()
-            self._built[self.key] = Aligner(*self.files.value)
-        return self._built[self.key]
+        """Built once in each worker process, and kept until a task of another kind comes."""
+        return kept(self.key, lambda: Aligner(*self.files.value))
+
+    def sliced(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return sliced(batches, most=NARROW_BYTES, using=self.key)
 
     @cached_property
     def ids_of_b(self) -> int:
@@ -287,10 +288,11 @@ def aligned(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = pair.aligner()
-        for batch in sliced(batches, most=SLICE_BYTES):
+        for batch in pair.sliced(batches):
             found = [list(groups(pieces, aligner.a_sizes)) for pieces in aligner.pieces(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(GROUP))], ["doc_id", "groups"])
         aligner.forget()
+        hand_back()
 
     schema = "doc_id long, groups array<struct<start: long, stop: long, a: array<int>, b: array<int>>>"
     return _rows(docs, id_col, text_col).mapInArrow(run, schema)
@@ -319,10 +321,12 @@ def linked(docs: DataFrame, pair: Pair) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = pair.aligner()
-        for batch in sliced(batches, most=SLICE_BYTES):
+        for batch in pair.sliced(batches):
             counts, digests, pairs, times, sizes = [], [], [], [], [0]
             for pieces in aligner.pieces(batch.column("text").to_pylist()):
-                codes, n = np.unique(np.frombuffer(b"".join([p.links for p in pieces]), np.int64), return_counts=True)
+                codes = np.sort(np.frombuffer(b"".join([p.links for p in pieces]), np.int64))
+                first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+                codes, n = codes[first], np.diff(first, append=len(codes))
                 text = ";".join([p.groups for p in pieces])
                 n_groups, n_a = text.count("|"), sum([p.n_a for p in pieces])
                 counts.append((n_a, 2 * n_groups + text.count(",") - n_a, n_groups, int(n.sum())))
@@ -338,6 +342,7 @@ def linked(docs: DataFrame, pair: Pair) -> DataFrame:
                 ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
             )
         aligner.forget()
+        hand_back()
 
     return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema), "linked")
 
