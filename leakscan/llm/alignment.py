@@ -42,7 +42,7 @@ from sentencepiece import sentencepiece_model_pb2
 from leakscan.llm.bpe import WHITE
 from leakscan.llm.code import sent
 from leakscan.llm.store import stored
-from leakscan.llm.words import NARROW_BYTES, hand_back, kept, sliced
+from leakscan.llm.words import NARROW_BYTES, hand_back, kept, sliced, utf8
 
 CACHED_PIECES = 250_000  # of each of two generations
 TOGETHER = 4096  # pieces that are encoded in one go
@@ -312,33 +312,31 @@ def linked(docs: DataFrame, pair: Pair) -> DataFrame:
     """Of rows (doc_id, text) the numbers of tokens, groups and links, a digest of the groups, and the linked pairs.
 
     A table in the shared folder: texts are encoded once.  ``row`` tells rows
-    apart, ``pairs`` has each pair of a row once and ``times`` how often.
+    apart, ``pairs`` has each pair of a row once, of eight bytes each, and
+    ``times`` how often, of four.
     """
     schema = (
         "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-        "pairs array<long>, times array<int>"
+        "pairs binary, times binary"
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = pair.aligner()
         for batch in pair.sliced(batches):
-            counts, digests, pairs, times, sizes = [], [], [], [], [0]
+            counts, digests, pairs, times = [], [], [], []
             for pieces in aligner.pieces(batch.column("text").to_pylist()):
                 codes = np.sort(np.frombuffer(b"".join([p.links for p in pieces]), np.int64))
                 first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
-                codes, n = codes[first], np.diff(first, append=len(codes))
+                n = np.diff(first, append=len(codes))
                 text = ";".join([p.groups for p in pieces])
                 n_groups, n_a = text.count("|"), sum([p.n_a for p in pieces])
-                counts.append((n_a, 2 * n_groups + text.count(",") - n_a, n_groups, int(n.sum())))
+                counts.append((n_a, 2 * n_groups + text.count(",") - n_a, n_groups, len(codes)))
                 digests.append(hashlib.sha256(text.encode()).hexdigest() if pieces else "")
-                pairs.append(codes)
-                times.append(n.astype(np.int32))
-                sizes.append(sizes[-1] + len(codes))
-            at = pa.array(sizes, pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (pairs, times)]
+                pairs.append(codes[first].tobytes())
+                times.append(n.astype(np.int32).tobytes())
             columns = [pa.array(c, pa.int64()) for c in zip(*counts)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), *columns, pa.array(digests), *lists],
+                [batch.column("row"), batch.column("doc_id"), *columns, pa.array(digests), pa.array(pairs), pa.array(times)],
                 ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
             )
         aligner.forget()
@@ -348,10 +346,9 @@ def linked(docs: DataFrame, pair: Pair) -> DataFrame:
 
 
 def _pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs and times of all rows of a batch, and how many each row has."""
-    pairs, times = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("pairs", "times"))
-    sizes = np.diff(batch.column("pairs").offsets.to_numpy())
-    return pairs, times.astype(np.int64), sizes
+    """Pairs and times of all rows of a batch, and where each row's begin (one more at the end)."""
+    (pairs, at), (times, _) = utf8(batch.column("pairs")), utf8(batch.column("times"))
+    return pairs.view(np.int64), times.view(np.int32).astype(np.int64), at // 8
 
 
 def pair_counts(found: DataFrame, ids_of_b: int) -> DataFrame:
@@ -404,17 +401,19 @@ def scored(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = known.value
         for batch in batches:
-            pairs, times, sizes = _pairs_of(batch)
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            at = np.minimum(np.searchsorted(keys, pairs), max(0, len(keys) - 1))
-            hit = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
-            n_best, count_sum = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            np.add.at(n_best, row[hit], times[hit] * best[at[hit]])
-            np.add.at(count_sum, row[hit], times[hit] * n[at[hit]])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row[~hit], minlength=batch.num_rows))]).astype(np.int32)
+            pairs, times, at = _pairs_of(batch)
+            place = np.minimum(np.searchsorted(keys, pairs), max(0, len(keys) - 1))
+            hit = keys[place] == pairs if len(keys) else np.zeros(len(pairs), bool)
+            if not hit.all():
+                place = np.where(hit, place, 0)
+            sums = []
+            for value in (best, n):
+                of_pair = times * value[place] * hit if len(keys) else np.zeros(len(pairs), np.int64)
+                sums.append(np.diff(np.concatenate([[0], np.cumsum(of_pair)])[at]))
+            ends = np.concatenate([[0], np.cumsum(~hit)])[at].astype(np.int32)
             rare = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[~hit])) for x in (pairs, times)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(n_best), pa.array(count_sum), *rare],
+                [*(batch.column(c) for c in kept), *(pa.array(x) for x in sums), *rare],
                 [*kept, "head_best", "head_sum", "pairs", "times"],
             )
 
