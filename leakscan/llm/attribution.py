@@ -39,6 +39,18 @@ def lines(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ends - sizes, ends
 
 
+def disjoint(listed: list[tuple[int | None, int | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in the list, start and end of the sections that hold something, in order and cut where they overlap."""
+    found, reached = [], None
+    for start, end, place in sorted((a, b, k) for k, (a, b) in enumerate(listed) if a is not None and b is not None):
+        start = start if reached is None else max(start, reached)
+        if start < end:
+            found.append((place, start, end))
+            reached = end
+    place, start, end = np.array(found, np.int64).reshape(-1, 3).T
+    return place, start, end
+
+
 def attributed(
     begin: np.ndarray, end: np.ndarray, start: np.ndarray, stop: np.ndarray, rule: str
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -82,13 +94,17 @@ def token_counts(
     """Rows (doc_id, section, start, end, n_tokens, n_crossing), in characters.
 
     Sections are the lines of a text, each with its line feed, or those that
-    ``sections_col`` lists as array<struct<start, end>>, sorted and free of
-    overlaps; empty spans and null lists hold nothing.  ``section`` numbers
-    them from 0; tokens outside all sections are counted in a row of section
-    -1 with null ends, present only if there are any.  n_crossing counts the
-    section's tokens that reach over a border.  Null and empty texts have a row
-    for each listed section, with no tokens, and no row without such a list.
-    Each row of ``docs`` is attributed by itself, whatever its id.
+    ``sections_col`` lists as array<struct<start, end>>.  ``section`` is the
+    place in the list, from 0, and every listed section has a row, with its ends
+    as they are listed.  They may come in any order; of characters that several
+    sections have, the one that starts first holds them, of equal ones the one
+    listed first.  Sections that are null, lack an end, or end before they start
+    hold nothing, and a null list has none.  Tokens outside all sections are
+    counted in a row of section -1 with null ends, present only if there are any.
+    n_crossing counts the section's tokens that reach over a border.  Null and
+    empty texts have a row for each listed section, with no tokens, and no row
+    without such a list.  Each row of ``docs`` is attributed by itself, whatever
+    its id.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
@@ -107,27 +123,30 @@ def token_counts(
             rows = zip(texts, batch.column("sections").to_pylist(), encoder.encode_all(texts))
             for row, (text, own, found) in enumerate(rows):
                 if sections_col:
-                    pairs = [(s["start"], s["end"]) for s in own or () if s and s["start"] < s["end"]]
-                    start, stop = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+                    listed = [(s["start"], s["end"]) if s else (None, None) for s in own or ()]
+                    place, start, stop = disjoint(listed)
                 else:
                     start, stop = lines(text) if text else (np.zeros(0, np.int64),) * 2
+                    listed, place = list(zip(start.tolist(), stop.tolist())), np.arange(len(start))
                 ids = np.array(found, np.int64)
                 begin, end = spans(text, size_of[ids]) if len(ids) else (ids, ids)
                 section, crossing = attributed(begin, end, start, stop, rule)
-                counts = np.bincount(section + 1, minlength=len(start) + 1)
-                crossed = np.bincount(section + 1, weights=crossing, minlength=len(start) + 1).astype(np.int64)
-                keep = np.arange(0 if counts[0] else 1, len(start) + 1)
-                at = [np.concatenate([[-1], x])[keep] for x in (start, stop)]
+                # From the order of the text to the places in the list.
+                section = np.append(place, -1)[section]
+                counts = np.bincount(section + 1, minlength=len(listed) + 1)
+                crossed = np.bincount(section + 1, weights=crossing, minlength=len(listed) + 1).astype(np.int64)
+                keep = np.arange(0 if counts[0] else 1, len(listed) + 1)
+                ends = [pa.array([None, *side], pa.int64()) for side in zip(*listed)] or [pa.nulls(1, pa.int64())] * 2
+                at = [side.take(pa.array(keep)) for side in ends]
                 out.append([np.full(len(keep), row), keep - 1, *at, counts[keep], crossed[keep]])
-            row, section, start, stop, n, crossed = (np.concatenate(x) for x in zip(*out))
-            outside = section < 0
+            row, section, start, stop, n, crossed = zip(*out)
             columns = [
-                batch.column("doc_id").take(pa.array(row)),
-                pa.array(section.astype(np.int32)),
-                pa.array(start.astype(np.int64), mask=outside),
-                pa.array(stop.astype(np.int64), mask=outside),
-                pa.array(n.astype(np.int64)),
-                pa.array(crossed),
+                batch.column("doc_id").take(pa.array(np.concatenate(row))),
+                pa.array(np.concatenate(section).astype(np.int32)),
+                pa.concat_arrays(start),
+                pa.concat_arrays(stop),
+                pa.array(np.concatenate(n).astype(np.int64)),
+                pa.array(np.concatenate(crossed)),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
         encoder.forget()

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, FloatType, ShortType
 
 from leakscan.llm.code import sent
 from leakscan.llm.graph import components, forest
@@ -30,6 +31,7 @@ BEAM = 16
 WIDEST = 256
 WIDER = 4
 BLOCK = 1024
+TILE = 4096  # rows of the shard that a block is compared with at a time
 AUDITED = 256
 RECALL = 0.99
 SLACK = 1e-3  # below the threshold, for single-precision cosines
@@ -42,43 +44,101 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(wide, lambda v: v != 0), F.lit(False))
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """The rows at length one; those whose squares would overflow or vanish are scaled first."""
+    largest = np.abs(vectors).max(axis=1, initial=0.0)
+    odd = (largest > 1e150) | (largest < 1e-140)
+    if odd.any():
+        vectors = vectors.copy()
+        # Powers of two, which change no digit.
+        vectors[odd] = np.ldexp(vectors[odd], -np.frexp(largest[odd])[1][:, None])
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def spanning(linked: np.ndarray) -> np.ndarray:
+    """Pairs (row, column), at most one for each of both, that connect what all true cells connect."""
+    rows, columns = linked.shape
+    group = np.arange(rows + columns)
+    out: list[tuple[int, int]] = []
+    while True:
+        # Each row and column that has a cell between two groups gives one; groups that meet become one.
+        apart = linked & (group[:rows, None] != group[None, rows:])
+        i, j = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+        if not len(i):
+            return np.array(out, np.int64).reshape(-1, 2)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        for a, b in [*zip(i.tolist(), apart[i].argmax(axis=1).tolist()), *zip(apart[:, j].argmax(axis=0).tolist(), j.tolist())]:
+            x, y = find(int(group[a])), find(int(group[rows + b]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((a, b))
+        names, back = np.unique(group, return_inverse=True)
+        group = np.array([find(x) for x in names.tolist()])[back]
+
+
 class Shard:
     """The vectors of one shard, their graph, and a beam that has passed the audit."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, vectors: np.ndarray):
         self.ids, self.sizes = ids, sizes
-        self.wide = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.wide = unit(vectors)
         self.x = self.wide.astype(np.float32)
         self.graph = Graph(self.x)
         self.beam = 0
 
     def links(self, ids: np.ndarray, vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places (of the queries, of the shard) that link, other than a vector with itself."""
-        wide = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        """For each query how many rows of the table it links with here, and pairs (of ids) that connect what links."""
+        wide = unit(vectors)
         queries = wide.astype(np.float32)
         if not self.beam:
             self.beam = self._audited(queries[:AUDITED], threshold)
-        rest, beam, found = np.arange(len(ids)), self.beam, []
+        counts, pairs = np.zeros(len(ids), np.int64), []
+        rest, beam = np.arange(len(ids)), self.beam
         while len(rest):
             if beam > WIDEST or beam >= len(self.ids):
-                i, j = np.nonzero(queries[rest] @ self.x.T >= threshold - SLACK)
-                found.append((rest[i], j))
+                pairs += self._whole(rest, ids, queries, wide, threshold, counts)
                 break
             node, near = self.graph.search(queries[rest], beam)
             close = (node >= 0) & (near >= threshold - SLACK)
             open_ = close.all(axis=1)
             i, j = np.nonzero(close & ~open_[:, None])
-            found.append((rest[i], node[i, j]))
+            i, j = rest[i], node[i, j]
+            keep = ids[i] != self.ids[j]
+            keep[keep] = self._verified(wide, i[keep], j[keep], threshold)
+            i, j = i[keep], j[keep]
+            np.add.at(counts, i, self.sizes[j])
+            pairs.append(np.stack([ids[i], self.ids[j]], axis=1))
             rest, beam = rest[open_], beam * WIDER
-        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        keep = ids[i] != self.ids[j]
-        i, j = i[keep], j[keep]
+        return counts, np.concatenate(pairs)
+
+    def _verified(self, wide: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether query i and row j link, in double precision."""
         parts = [np.zeros(0, bool)]
         for k in range(0, len(i), 1 << 16):
             a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
             parts.append(np.einsum("nd,nd->n", wide[a], self.wide[b]) >= threshold)
-        keep = np.concatenate(parts)
-        return i[keep], j[keep]
+        return np.concatenate(parts)
+
+    def _whole(self, rest, ids, queries, wide, threshold: float, counts: np.ndarray) -> list[np.ndarray]:
+        """Compare queries with the whole shard, a tile at a time: counts are added up, and few of the links kept."""
+        pairs = [np.zeros((0, 2), ids.dtype)]
+        for start in range(0, len(self.ids), TILE):
+            here = slice(start, start + TILE)
+            near = queries[rest] @ self.x[here].T
+            linked = near >= threshold + SLACK
+            i, j = np.nonzero((near >= threshold - SLACK) & ~linked)
+            linked[i, j] = self._verified(wide, rest[i], j + start, threshold)
+            linked &= ids[rest][:, None] != self.ids[here][None, :]
+            counts[rest] += np.where(linked, self.sizes[here], 0).sum(axis=1)
+            few = spanning(linked)
+            pairs.append(np.stack([ids[rest[few[:, 0]]], self.ids[here][few[:, 1]]], axis=1))
+        return pairs
 
     def _audited(self, queries: np.ndarray, threshold: float) -> int:
         """The first beam, doubling, that finds nearly all links of an audited row, on average over the rows.
@@ -115,9 +175,8 @@ def _searched(threshold: float):
     """Of each shard's rows (sorted: its own first, then all queries) counts of links and a forest."""
 
     def answer(shard: Shard, ids: np.ndarray, vectors: np.ndarray) -> list[pa.RecordBatch]:
-        i, j = shard.links(ids, vectors, threshold)
-        n = np.bincount(i, shard.sizes[j], len(ids)).astype(np.int64)
-        pairs = np.array(forest(np.stack([ids[i], shard.ids[j]], axis=1)), np.int64).reshape(-1, 2)
+        n, links = shard.links(ids, vectors, threshold)
+        pairs = np.array(forest(links), np.int64).reshape(-1, 2)
         some = np.flatnonzero(n)
         counted = pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[some]), pa.array(n[some])], NAMES)
         joined = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())]
@@ -168,7 +227,10 @@ def near_duplicates(
     read.
     """
     sent(table.sparkSession)
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    # Components keep their width: floats are shuffled as such, and cosines are in double precision either way.
+    element = table.schema[vector_col].dataType.elementType
+    kind = "float" if isinstance(element, (ByteType, ShortType, FloatType)) else "double"
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     good = F.col("vec_id").isNotNull() & usable(F.col("vector"))
     rows = stored(rows.withColumn("good", good), "vectors")
     distinct = rows.filter("good").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))

@@ -106,8 +106,17 @@ def _twice(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return mixed(left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def _checks(hashes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """A second hash, of 32 bits, of the windows that start at the given words."""
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(window):
+            out = (out + mixed(hashes[at + k])) * np.uint64(0x9FB21C651E98DF25)
+    return (mixed(out) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _candidates(window: int, known, firsts):
-    """Rows (doc_id, t, pos, h) of the windows whose representative may repeat."""
+    """Rows (doc_id, t, pos, h, g) of the windows whose representative may repeat; h and g are independent hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _first_texts(batches, firsts):
@@ -127,8 +136,9 @@ def _candidates(window: int, known, firsts):
                 batch.column("t").take(take),
                 pa.array((at - found.first[row]).astype(np.int32)),
                 pa.array(h.view(np.int64)),
+                pa.array(_checks(hashes, at, window)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "pos", "h"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "pos", "h", "g"])
 
     return run
 
@@ -147,7 +157,7 @@ def first_texts(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, firsts: DataFrame, window: int = WINDOW, most: int | None = None) -> DataFrame:
-    """Windows that may repeat, of rows (doc_id, text) without null ids: (doc_id, t, pos, h).
+    """Windows that may repeat, of rows (doc_id, text) without null ids: (doc_id, t, pos, h, g).
 
     Every window whose word sequence is in two documents of ``firsts`` is
     there; ``t`` tells the texts of a document apart.
@@ -160,7 +170,7 @@ def repeated_windows(docs: DataFrame, firsts: DataFrame, window: int = WINDOW, m
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"), F.hash("text").alias("t"))
     short = rows.mapInArrow(_short_windows(window, count, first), segments.PACKED)
     known = segments.broadcast_filter(short, count, size, _repeated)
-    schema = "doc_id long, t int, pos int, h long"
+    schema = "doc_id long, t int, pos int, h long, g int"
     found = stored(rows.mapInArrow(_candidates(window, known, first), schema), "windows")
     for used in (known, first):
         used.destroy()
@@ -168,8 +178,8 @@ def repeated_windows(docs: DataFrame, firsts: DataFrame, window: int = WINDOW, m
 
 
 def _in_two(rows: DataFrame) -> DataFrame:
-    ids = rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    return stored(ids.filter("least < most").select("h", "least"), "repeated")
+    ids = rows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    return stored(ids.filter("least < most").select("h", "g", "least"), "repeated")
 
 
 SHARED = np.uint32(2**32 - 1)  # in place of its document, for a key that several of a blob have
@@ -351,7 +361,7 @@ def removals(docs: DataFrame, window: int = WINDOW, follow: bool = False) -> tup
     firsts = first_texts(docs)
     found = repeated_windows(docs, firsts, window)
     first = _in_two(found)
-    met = found.join(first, "h")
+    met = found.join(first, ["h", "g"])
     longest = None
     if follow:
         later = (F.col("doc_id") > F.col("least")).cast("long")

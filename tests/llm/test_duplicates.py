@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -151,6 +153,52 @@ def test_rows_of_a_hot_group_do_not_pass_a_beam_that_misses_cold_links():
     assert shard._audited(shard.x[:: len(x) // 256][:256], 0.95) == 64
 
 
+def test_few_pairs_connect_what_a_dense_block_links():
+    random = np.random.default_rng(7)
+    for density in (0.0, 0.02, 0.1, 0.6, 1.0):
+        linked = random.random((40, 60)) < density
+        few = embeddings.spanning(linked)
+        assert len(few) < 100 and all(linked[i, j] for i, j in few)
+        every = np.argwhere(linked)
+        assert len(graph.forest(np.stack([every[:, 0], every[:, 1] + 40], axis=1))) == len(few)
+
+
+def test_a_group_of_unequal_near_copies_is_never_listed_in_pairs():
+    """Twenty thousand vectors that all link: 400 million pairs, in bounded memory."""
+    random = np.random.default_rng(8)
+    x = random.normal(size=32) + 0.01 * random.normal(size=(20_000, 32))
+    shard = embeddings.Shard.__new__(embeddings.Shard)
+    shard.ids, shard.sizes, shard.wide = np.arange(len(x)), np.full(len(x), 2), embeddings.unit(x)
+    shard.x, shard.beam = shard.wide.astype(np.float32), embeddings.WIDEST + 1
+    tracemalloc.start()
+    counts, pairs = shard.links(shard.ids[5000:6024], x[5000:6024], 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.tolist() == [2 * (len(x) - 1)] * 1024 and len(graph.forest(pairs)) == len(x) - 1
+    assert len(pairs) < 30_000 and peak < 500 << 20
+
+
+def test_doubles_beyond_the_range_of_floats_link(spark):
+    rows = [(1, [1e300, 2e300]), (2, [1e300, 2.1e300]), (3, [1e-60, 2e-60]), (4, [1.0, 2.0]), (5, [5e-324, 1e-323]), (6, [-1e300, 1.0])]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least_shards=2)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found.collect()) == [(k, 4, 1) for k in range(1, 6)] + [(6, 0, 6)]
+
+
+def test_links_of_sampled_queries_are_recalled(spark):
+    """Ids divisible by 100 against all rows, as the operator finds them, with shards that the graph has to search."""
+    random = np.random.default_rng(9)
+    own = np.repeat(random.normal(size=(1000, 32)), 5, axis=0) + 0.2 * random.normal(size=(5000, 32))
+    ids = random.permutation(5000)
+    table = spark.createDataFrame([(int(i), [float(v) for v in x]) for i, x in zip(ids, own)], "vec_id long, embedding array<double>")
+    x = own / np.linalg.norm(own, axis=1, keepdims=True)
+    found = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, least_shards=3).filter("vec_id % 100 = 0").collect()}
+    asked = np.flatnonzero(ids % 100 == 0)
+    wanted = (x[asked] @ x.T >= 0.95).sum(axis=1) - 1
+    got = np.array([found[i] for i in ids[asked].tolist()])
+    assert (got <= wanted).all() and wanted.sum() > 50
+    assert got.sum() / wanted.sum() >= 0.99
+
+
 def test_embeddings_without_direction_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     lone = [None, [], [0.0, 0.0], [nan, 1.0], [inf, 1.0], [1.0, None]]

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -106,10 +107,18 @@ def test_tokens_go_to_lines(spark, reference, rule):
 
 def test_token_counts_of_listed_sections_and_odd_rows(spark, odd, none, reference):
     tokenizer = queries.tokenizer(spark)
-    rows = [(1, "one two three", [(4, 7), (7, 7), None]), (2, "one two", None), (3, None, [(0, 5)]), (4, "", [])]
+    rows = [
+        (1, "one two three", [(4, 7), (7, 7), None]), (2, "one two", None), (3, None, [(0, 5)]), (4, "", []),
+        (5, "one two three", [(None, 3), (8, 13), (0, 10), (3, None), (9, 2)]),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<start:int,end:int>>")
     found = {(r.doc_id, r.section): (r.start, r.end, r.n_tokens, r.n_crossing) for r in attribution.token_counts(docs, tokenizer, sections_col="parts").collect()}
-    assert found == {(1, -1): (None, None, 3, 1), (1, 0): (4, 7, 0, 0), (2, -1): (None, None, 2, 0), (3, 0): (0, 5, 0, 0)}
+    # Of "one", " two" and " three" (from 7) the last starts in the third section, which holds the characters up to 10.
+    assert found == {
+        (1, -1): (None, None, 3, 1), (1, 0): (4, 7, 0, 0), (1, 1): (7, 7, 0, 0), (1, 2): (None, None, 0, 0),
+        (2, -1): (None, None, 2, 0), (3, 0): (0, 5, 0, 0),
+        (5, 0): (None, 3, 0, 0), (5, 1): (8, 13, 0, 0), (5, 2): (0, 10, 3, 1), (5, 3): (3, None, 0, 0), (5, 4): (9, 2, 0, 0),
+    }
     total = sum(len(reference.encode_ordinary(r.text or "")) for r in odd.collect())
     assert sum(r.n_tokens for r in attribution.token_counts(odd, tokenizer).collect()) == total
     assert attribution.token_counts(none, tokenizer).count() == 0
@@ -236,9 +245,35 @@ def test_tiles_match_the_plain_loop():
         doc = [draw.choice("abcd") for _ in range(draw.randint(0, 40))]
         item = [draw.choice("abcd") for _ in range(draw.randint(0, 15))]
         x, y = (np.array([ord(c) for c in s], np.uint64) for s in (doc, item))
-        seeds = [(i, j) for i in range(len(doc) - 2) for j in range(len(item) - 2) if doc[i : i + 3] == item[j : j + 3]]
-        i, j = (np.array([s[k] for s in seeds], np.int64) for k in (0, 1))
-        assert sum(t[2] for t in tiling.tiles(x, y, i, j, 3)) == brute.tiled(doc, item, 3)
+        assert sum(t[2] for t in tiling.tiles(x, y, 3)) == brute.tiled(doc, item, 3)
+        # A pair that the words themselves deny is no tile.
+        assert tiling.tiles(x, y, 3, lambda i, j, size: False) == []
+
+
+def test_decontamination_matches_brute_force(spark, texts):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    word = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    grams = {k: {tuple(w[n : n + 5]) for n in range(len(w) - 4)} for k, w in ((k, word(t)) for k, t in items.items())}
+    expected = set()
+    for i, text in texts.items():
+        words = word(text)
+        own = {tuple(words[n : n + 5]) for n in range(len(words) - 4)}
+        for k in items:
+            if own & grams[k]:
+                covered = brute.tiled(words, word(items[k]), 5)
+                if covered >= 0.6 * len(word(items[k])):
+                    expected.add((i, k, covered))
+    found = {(r.doc_id, r.item_id, r.covered) for r in queries.op3_decontamination(spark, SMALL).collect()}
+    assert found == expected and found
+
+
+def test_short_items_and_repetitive_texts(spark):
+    rows = [(1, "say Hello, brave new world today"), (2, "hello brave new"), (3, "word " * 40_000), (4, "word " * 700), (5, "yes"), (6, "a yes b")]
+    items = [(1, "Hello brave new"), (2, "brave world"), (3, "word " * 1000), (4, "YES!"), (5, "..."), (6, "new world today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.covered) for r in tiling.contaminated(docs, benchmark).collect()}
+    assert found == {(1, 1, 3), (2, 1, 3), (1, 6, 3), (3, 3, 1000), (4, 3, 700), (5, 4, 1), (6, 4, 1)}
 
 
 def test_planted_and_reordered_items_are_found(spark, texts):
@@ -258,7 +293,7 @@ def test_tiling_of_odd_rows(spark, odd, none):
         "item_id long, text string",
     )
     found = [(r.doc_id, r.item_id, r.coverage) for r in tiling.contaminated(odd, items).collect()]
-    assert sorted(found) == [(1, 1, 1.0), (2, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0), (9, 3, 1.0)]
+    assert sorted(found) == [(1, 1, 1.0), (2, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0), (9, 1, 1.0), (9, 3, 1.0)]
     assert tiling.contaminated(none, items).count() == 0
     assert tiling.contaminated(odd, items.limit(0)).count() == 0
 
