@@ -57,14 +57,15 @@ def scan(
     text_col: str = "text",
     host_col: str | None = None,
     origin: str | Column = "composer",
-    strictness: str | None = None,
+    strictness: str | Column | None = None,
     ignore_allow: bool = False,
     as_of: datetime | None = None,
     at: str | Column | None = None,
 ) -> DataFrame:
     """Add ``findings``, the resolved findings of each row, in text order.
 
-    ``origin`` says where the texts come from, for all rows or as a column.
+    ``origin`` says where the texts come from, for all rows or as a column;
+    ``strictness`` takes the place of that of the host, in the same two ways.
     Exact allow rules are those live ``as_of`` one time; with ``at``, each row's
     own time, those created by then and not yet expired.
     """
@@ -75,7 +76,10 @@ def scan(
         # Default profiles all have the default strictness.
         by_host=strictness is None and policy.profiles is not None,
     )
-    if strictness:
+    if isinstance(strictness, Column):
+        thresholds = F.create_map(*(F.lit(x) for pair in THRESHOLDS.items() for x in pair))
+        threshold = F.coalesce(thresholds[strictness], F.lit(THRESHOLDS["balanced"]))
+    elif strictness:
         threshold = F.lit(THRESHOLDS[strictness])
     else:
         threshold = F.coalesce(F.col("__threshold"), F.lit(THRESHOLDS["balanced"]))
@@ -84,7 +88,7 @@ def scan(
     def found() -> Column:
         return describe(resolve_overlaps(F.filter("__raw", lambda f: f.confidence >= threshold)), rules, origin)
 
-    if isinstance(origin, str):
+    if isinstance(origin, str) and not isinstance(strictness, Column):
         findings = _once(df, found, "findings", tuple(rules), strictness, origin)
     else:
         findings = found()

@@ -115,20 +115,41 @@ def count_last_days(log: DataFrame, days: int, as_of: datetime | None = None) ->
     return log.filter(F.col("ts") >= cutoff).agg(F.count(F.lit(1)).alias("incidents"))
 
 
-def top_rule(log: DataFrame) -> DataFrame:
-    """The label in most entries; on a tie, the one met first, newest entry first.
+def label_sums(log: DataFrame) -> DataFrame:
+    """Per day and label of a log with ``day``: entries, and which of them is met first, newest entry first.
 
-    Counts and newest times are numbers, which aggregate by hash.  Ids and
-    places are compared only among the labels that still tie.
+    Sums of parts of a log add up to those of the whole, see :func:`top_label`.
     """
-    labels = log.select((-F.unix_micros("ts")).alias("age"), "id", F.posexplode("rule_labels").alias("pos", "label"))
-    counted = labels.groupBy("label").agg(F.count(F.lit(1)).alias("entries"), F.min("age").alias("age"))
-    best = counted.orderBy(F.desc("entries"), "age").limit(1).select("entries", "age")
-    tied = counted.join(best, ["entries", "age"]).select("label", "age")
-    first = labels.join(tied, ["label", "age"]).orderBy("id", "pos").limit(1)
+    labels = valid_entries(log).select("day", (-F.unix_micros("ts")).alias("age"), "id", F.posexplode("rule_labels").alias("pos", "label"))
+    # Counts and newest times are numbers, which aggregate by hash; ids and places are compared only where these tie.
+    counted = labels.groupBy("day", "label").agg(F.count(F.lit(1)).alias("entries"), F.min("age").alias("age"))
+    tied = labels.join(counted, ["day", "label", "age"])
+    ids = tied.groupBy("day", "label", "entries", "age").agg(F.min(F.struct("id", "pos")).alias("first"))
+    return ids.select("label", "entries", "age", "first.id", "first.pos", "day")
+
+
+def day_sums(log: DataFrame) -> DataFrame:
+    """Per day of a log with ``day``: entries, secrets and personal data."""
+    sums = valid_entries(log).groupBy("day").agg(
+        F.count(F.lit(1)).alias("incidents"), F.sum("secrets").alias("secrets"), F.sum("pii").alias("pii")
+    )
+    return sums.select("incidents", "secrets", "pii", "day")
+
+
+def top_label(sums: DataFrame) -> DataFrame:
+    """The label in most entries; on a tie, the one met first, newest entry first.  ``sums`` are those of any days."""
+    counted = sums.groupBy("label").agg(F.sum("entries").alias("total"), F.min("age").alias("age"))
+    best = counted.orderBy(F.desc("total"), "age").limit(1).select("total", "age")
+    tied = counted.join(best, ["total", "age"]).select("label", "age")
+    first = sums.join(tied, ["label", "age"]).orderBy("id", "pos").limit(1)
     return first.agg(F.coalesce(F.max("label"), F.lit(NONE_YET)).alias("top_rule"))
 
 
+def top_rule(log: DataFrame) -> DataFrame:
+    """The label in most entries of a log; see :func:`top_label`."""
+    return top_label(label_sums(log.withColumn("day", F.to_date("ts"))))
+
+
 def top_category(log: DataFrame) -> DataFrame:
     sums = log.agg(
         F.coalesce(F.sum("secrets"), F.lit(0)).alias("secrets"), F.coalesce(F.sum("pii"), F.lit(0)).alias("pii")

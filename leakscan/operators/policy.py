@@ -219,6 +219,46 @@ def guarded(
     return df.join(F.broadcast(hosts), condition, "left_semi")
 
 
+def profile_versions(written: DataFrame) -> DataFrame:
+    """Profiles with the time from which each holds, ``since``, up to the next one of its host, ``until``.
+
+    ``written`` has the columns of profiles and ``since``; a host that was
+    written twice for one time has the later of its rows by their fields.
+    """
+    fields = [c for c in written.columns if c not in ("hostname", "since")]
+    once = written.groupBy("hostname", "since").agg(F.max(F.struct(*fields)).alias("p")).select("hostname", "since", "p.*")
+    following = F.lead("since").over(Window.partitionBy("hostname").orderBy("since"))
+    return once.withColumn("until", following)
+
+
+def guarded_as_of(
+    df: DataFrame, policy: Policy, versions: DataFrame, *, at: str = "ts", host_col: str = "hostname",
+    origin_col: str | None = None,
+) -> DataFrame:
+    """Rows on hosts where scanning was on at the row's own time, with the ``profile`` that held then.
+
+    ``versions`` are those of :func:`profile_versions`.  The versions of a host,
+    one array for each supported host, ride along with its texts, so the lookup
+    works on a stream as well.  Rows from before the first version are off.
+    """
+    kept = [c for c in versions.columns if c != "hostname"]
+    hosts = versions.filter(F.col("hostname").isin(list(SITES))).groupBy(F.col("hostname").alias("__host")).agg(
+        F.collect_list(F.struct(*kept)).alias("__versions")
+    )
+    joined = df.join(F.broadcast(hosts), F.col(host_col) == F.col("__host"))
+    held = F.filter("__versions", lambda v: (v.since <= F.col(at)) & (v.until.isNull() | (v.until > F.col(at))))
+    profile = F.col("profile")
+    on = F.lit(policy.enabled) & profile.enabled
+    if origin_col:
+        origin = F.col(origin_col)
+        on = on & (
+            F.when(origin == "paste", F.lit(policy.scan_on_paste) & profile.scan_on_paste)
+            .when(origin == "attachment", F.lit(policy.scan_attachments) & profile.scan_attachments)
+            .otherwise(F.lit(True))
+        )
+    return joined.withColumn("profile", F.get(held, F.lit(0))).drop("__host", "__versions").filter(on)
+
+
 def with_mode(df: DataFrame, policy: Policy, *, host_col: str = "hostname") -> DataFrame:
     """Add ``mode``: the host's redaction mode, or the default."""
     hosts = policy.host_table(df.sparkSession).select(

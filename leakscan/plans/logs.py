@@ -16,7 +16,7 @@ from leakscan.plans.policies import ACTION_SQL, HOSTS_SQL, NOW_SQL
 from leakscan.plans.registry import query
 from leakscan.sources import files as files_source
 from leakscan.sources import logs
-from leakscan.sources.shared import shared_folder, stored
+from leakscan.sources.shared import shared_folder, stored, versioned_folder
 from leakscan.sources.tables import composer_texts
 
 # --- sources -----------------------------------------------------------------
@@ -250,25 +250,59 @@ def incident_log(spark, sf):
     ).withColumnRenamed("trigger", "trigger_name")
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_LOG_INPUTS = ("sent", "event_files", "decisions")
+
+
+def log_path(spark: SparkSession, sf: str) -> str:
+    """Where the incident log of these tables is, appended once as a batch.
+
+    The folder is named after the tables' files, so tables that were written
+    again have a log of their own.  The reports read it; no text is scanned for
+    them again.
+    """
+    path = versioned_folder(spark, "incident-log", [for_spark(spark, sf, name) for name in _LOG_INPUTS])
+    if not logs.has_batch(spark, path, "all"):
+        logs.append_log(incidents(spark, sf), path, "all")
+    return path
 
 
 def stored_log(spark: SparkSession, sf: str) -> DataFrame:
-    """The incident log as stored by day.  Its reports read it; no text is scanned for them again."""
-    name = spark.sparkContext.applicationId, sf
-    if name not in _STORED:
-        path = shared_folder(spark, "incident-log")
-        logs.append_log(incidents(spark, sf), path)
-        _STORED[name] = path
-    return logs.read_log(spark, _STORED[name])
+    return logs.read_log(spark, log_path(spark, sf))
 
 
-@query("log_clear", "SELECT CAST(0 AS BIGINT) AS entries")
+@query("log_clear", f"WITH {_LOG_SQL} SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM log")
 def log_clear(spark, sf):
     path = shared_folder(spark, "cleared-log")
     logs.append_log(stored_log(spark, sf).drop("day"), path)
+    before = logs.read_log(spark, path).count()
     logs.clear_log(spark, path)
-    return logs.read_log(spark, path).agg(F.count(F.lit(1)).alias("entries"))
+    return logs.read_log(spark, path).agg(F.lit(before).cast("bigint").alias("before"), F.count(F.lit(1)).alias("after"))
+
+
+@query("log_appended_twice", f"WITH {_LOG_SQL} SELECT id, epoch_us(ts) AS ts, total_findings FROM log")
+def log_appended_twice(spark, sf):
+    """A batch, the same batch again, and the same entries under another name: the log has each once."""
+    path = shared_folder(spark, "twice-log")
+    entries = stored_log(spark, sf).drop("day")
+    for batch in ("first", "first", "second"):
+        logs.append_log(entries, path, batch)
+    return logs.read_log(spark, path).select("id", F.unix_micros("ts").alias("ts"), "total_findings")
+
+
+@query(
+    "log_rollup",
+    f"""WITH {_LOG_SQL}, split AS (SELECT CAST(ts AS DATE) AS day, unnest(string_split(rule_labels, '|')) AS label FROM log)
+        SELECT CAST(day AS VARCHAR) AS day, label, count(*) AS entries FROM split GROUP BY ALL""",
+)
+def log_rollup(spark, sf):
+    """Sums by day and label, kept up over three batches that share entries."""
+    path = shared_folder(spark, "rollup-log")
+    entries = stored_log(spark, sf).drop("day")
+    part = F.crc32(F.col("id").cast("binary")) % 4
+    for batch, wanted in (("a", part < 2), ("b", part > 0), ("a", part < 2), ("c", part == 3)):
+        logs.append_log(entries.filter(wanted), path, batch)
+    sums = logs.read_rollup(spark, path, logs.LABEL_FILES).groupBy("day", "label").agg(F.sum("entries").alias("entries"))
+    return sums.select(F.col("day").cast("string").alias("day"), "label", "entries")
 
 
 def raw_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,6 +343,17 @@ def log_retention(spark, sf):
     return kept.select("id", F.unix_micros("ts").alias("ts"))
 
 
+@query("log_retention_stored", f"WITH {_VALID_SQL} SELECT id, epoch_us(ts) AS ts, labels FROM valid ORDER BY valid.ts DESC, id LIMIT 150")
+def log_retention_stored(spark, sf):
+    """The same on disk: days beyond the newest 150 entries are dropped unread."""
+    path = shared_folder(spark, "retained-log")
+    whole = raw_log(spark, sf).withColumns({"mode": F.lit("none"), "note": F.lit(None).cast("string")})
+    logs.append_log(inc.valid_entries(whole), path)
+    logs.retain_log(spark, path)
+    kept = logs.read_log(spark, path)
+    return kept.select("id", F.unix_micros("ts").alias("ts"), F.array_join("rule_labels", ",").alias("labels"))
+
+
 @query(
     "log_last_7_days",
     f"WITH {_LOG_SQL} SELECT count(*) AS incidents FROM log WHERE ts >= {NOW_SQL} - INTERVAL 7 DAY",
@@ -326,7 +371,7 @@ def log_last_7_days(spark, sf):
         SELECT coalesce((SELECT label FROM ranked ORDER BY n DESC, first LIMIT 1), 'None yet') AS top_rule""",
 )
 def log_top_rule(spark, sf):
-    return inc.top_rule(stored_log(spark, sf))
+    return inc.top_label(logs.read_rollup(spark, log_path(spark, sf), logs.LABEL_FILES))
 
 
 @query(
@@ -335,7 +380,7 @@ def log_top_rule(spark, sf):
         WHEN sum(secrets) >= sum(pii) THEN 'Secrets' ELSE 'PII' END AS top_category FROM log""",
 )
 def log_top_category(spark, sf):
-    return inc.top_category(stored_log(spark, sf))
+    return inc.top_category(logs.read_rollup(spark, log_path(spark, sf), logs.DAY_FILES))
 
 
 @query(

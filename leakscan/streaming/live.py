@@ -8,6 +8,7 @@ come from a function (``policy_source``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from leakscan.functions.text import mask_snippet
 from leakscan.operators.attachments import is_text_like, latest_selection
 from leakscan.operators.detect import scan
-from leakscan.operators.policy import Policy, guarded
+from leakscan.operators.policy import Policy, guarded, guarded_as_of
 from leakscan.sources.shared import shared_folder
 
 
@@ -28,16 +29,24 @@ def read_stream(spark: SparkSession, folder: str, file_glob: str, schema, max_fi
     return reader.parquet(folder)
 
 
-def scan_stream(texts: DataFrame, policy: Policy, **scan_options) -> DataFrame:
+def scan_stream(texts: DataFrame, policy: Policy, versions: DataFrame | None = None, **scan_options) -> DataFrame:
     """Scan arriving texts on guarded hosts, each by the switches of its origin.
 
+    With ``versions`` (:func:`policy.profile_versions`) the profile of a host is
+    the one that held at the text's own ``ts``.  Exact allow rules are joined
+    within the stream, as a static table.
+
     A pasted text counts as composer text in its findings.  The content of a
     file stays marked as such, so that nothing rewrites it, and its findings
     keep a masked preview in place of the match, as those of ``scan_files`` do;
     where texts have a ``file_name`` and a ``file_type``, only files that look
     like text are scanned.
     """
-    on = guarded(texts, policy, origin_col="origin")
+    if versions is None:
+        on = guarded(texts, policy, origin_col="origin")
+    else:
+        on = guarded_as_of(texts, policy, versions, origin_col="origin")
+        scan_options["strictness"] = F.col("profile.strictness")
     attached = F.col("origin") == "attachment"
     if {"file_name", "file_type"} <= set(texts.columns):
         on = on.filter(~attached | is_text_like(F.col("file_name"), F.col("file_type")))
@@ -137,7 +146,110 @@ def record_selections(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+SNAPSHOT = "snapshot"
+
+
+def _parts(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of the complete folders ``prefix<number>`` in a folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(root)]
+    done = [n for n in names if n.startswith(prefix) and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix(prefix)) for n in done)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _selections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Selections and flagged files as the newest snapshot and the later batches have them, and the numbers of both."""
+    snapshots = _parts(spark, f"{path}/{SNAPSHOT}/selections", "upto=")
+    upto = snapshots[-1] if snapshots else -1
+    batches = [n for n in _parts(spark, f"{path}/files", "batch=") if n > upto]
+    found = []
+    for name in ("selections", "files"):
+        places = [f"{path}/{name}/batch={n}" for n in batches]
+        if snapshots:
+            places.insert(0, f"{path}/{SNAPSHOT}/{name}/upto={upto}")
+        found.append(spark.read.parquet(*places))
+    return *found, upto, batches[-1] if batches else upto
+
+
 def pending_selections(spark: SparkSession, path: str) -> DataFrame:
     """The flagged files of each input's last selection; a selection of no file leaves none."""
-    selections, files = (spark.read.parquet(f"{path}/{name}").drop("batch") for name in ("selections", "files"))
+    selections, files, _, _ = _selections(spark, path)
     return latest_selection(files, selections)
+
+
+def compact_selections(spark: SparkSession, path: str, forget_after: timedelta | None = None) -> int:
+    """Fold the change log into a snapshot, one generation on; returns the last batch that it covers.
+
+    The snapshot has each input's last selection and that selection's files.  An
+    input whose last selection is empty leaves only the time of it, so that an
+    older one that comes late does not bring files back, and nothing once that
+    time is ``forget_after`` before the newest.  Batches that the snapshot covers
+    and older snapshots are deleted after it is complete: a compaction that is
+    cut short changes nothing, and runs again.
+    """
+    selections, files, upto, last = _selections(spark, path)
+    if last == upto:
+        return upto
+    newest = selections.groupBy("input_id").agg(F.max("batch_ts").alias("batch_ts"))
+    kept = latest_selection(files, selections)
+    if forget_after is not None:
+        # One row: the newest time of all.
+        horizon = newest.agg(F.max("batch_ts")).first()[0] - forget_after
+        live = kept.select("input_id").distinct().withColumn("live", F.lit(True))
+        newest = newest.join(live, "input_id", "left").filter((F.col("batch_ts") >= F.lit(horizon)) | F.col("live")).drop("live")
+    kept.write.mode("overwrite").parquet(f"{path}/{SNAPSHOT}/files/upto={last}")
+    newest.write.mode("overwrite").parquet(f"{path}/{SNAPSHOT}/selections/upto={last}")
+    for name in ("selections", "files"):
+        for n in _parts(spark, f"{path}/{name}", "batch="):
+            if n <= last:
+                _drop(spark, f"{path}/{name}/batch={n}")
+        for n in _parts(spark, f"{path}/{SNAPSHOT}/{name}", "upto="):
+            if n < last:
+                _drop(spark, f"{path}/{SNAPSHOT}/{name}/upto={n}")
+    return last
+
+
+def merge_by_key(path: str, key: str, newer) -> Callable[[DataFrame, int], None]:
+    """A writer for a stream in update mode: the rows of each micro-batch replace those of their key in a table.
+
+    ``newer`` orders the rows of a key, so that one that comes late does not take
+    the place of a newer one.  Each micro-batch makes a folder of its own, complete
+    or not there; a batch that runs again finds its own.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done = _parts(spark, path, "upto=")
+        if number in done:
+            return
+        rows = batch if not done else batch.unionByName(spark.read.parquet(f"{path}/upto={done[-1]}"))
+        others = [c for c in batch.columns if c != key]
+        best = rows.groupBy(key).agg(F.max_by(F.struct(*others), newer).alias("row")).select(key, "row.*")
+        best.write.mode("overwrite").parquet(f"{path}/upto={number}")
+        for n in done:
+            _drop(spark, f"{path}/upto={n}")
+
+    return write
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """The table as the last complete micro-batch left it."""
+    return spark.read.parquet(f"{path}/upto={_parts(spark, path, 'upto=')[-1]}")
+
+
+def last_scans(scans: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a table of the newest scan of each host, from a stream of (hostname, scan_type, total, ts, scan_id)."""
+    last = F.max_by(F.struct("scan_type", "total", "ts", "scan_id"), F.struct("ts", "scan_id")).alias("last")
+    rows = scans.groupBy("hostname").agg(last).select("hostname", "last.*")
+    write = merge_by_key(path, "hostname", F.struct("ts", "scan_id"))
+    return (
+        rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )

@@ -1,6 +1,7 @@
 """Sources, rule packs, attachments, incident log."""
 
 import json
+import random
 from datetime import datetime, timedelta, timezone
 from hashlib import md5
 
@@ -245,6 +246,78 @@ def test_log_on_disk(spark, tmp_path):
     assert logs.read_log(spark, path).count() == 0
 
 
+def stored_ids(spark, path):
+    return sorted((r.id, str(r.day)) for r in logs.read_log(spark, path).collect())
+
+
+def sums(spark, path):
+    found = logs.read_rollup(spark, path, logs.LABEL_FILES).groupBy("day", "label").agg(F.sum("entries").alias("n"))
+    return sorted((str(r.day), r.label, r.n) for r in found.collect())
+
+
+def test_a_batch_is_stored_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    entries = log(spark, *[(at(days=-(n % 3)), n % 2, 1, ["A", "B"][: 1 + n % 2]) for n in range(12)])
+    logs.append_log(entries.unionByName(entries), path, "one")
+    once, counted = stored_ids(spark, path), sums(spark, path)
+    assert len(once) == 12
+    logs.append_log(entries, path, "one")
+    logs.append_log(entries, path, "another name")
+    logs.append_log(entries.limit(5), path)
+    assert (stored_ids(spark, path), sums(spark, path)) == (once, counted)
+    # Cut short after some entries were stored, and before the sums were.
+    more = entries.withColumn("id", F.concat(F.lit("x"), "id"))
+    logs.append_log(more.filter("id < 'xid3'"), path, "two")
+    logs._delete(spark, logs._commit(path, "two"))
+    logs._delete(spark, f"{path}/{logs.LABEL_FILES}/{logs.hashlib.sha256(b'two').hexdigest()}")
+    logs.append_log(more, path, "two")
+    assert len(stored_ids(spark, path)) == 24
+    assert sums(spark, path) == [(day, label, 2 * n) for day, label, n in counted]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sums_of_batches_are_those_of_the_log(spark, tmp_path, seed):
+    draw = random.Random(seed)
+    path = str(tmp_path / "log")
+    rows = [(at(days=-draw.randint(0, 4), hours=-draw.randint(0, 2)), draw.randint(0, 2), draw.randint(0, 2), draw.sample("ABCDE", draw.randint(0, 3))) for _ in range(40)]
+    entries = log(spark, *rows)
+    for n in range(4):
+        logs.append_log(entries.filter(F.crc32(F.col("id").cast("binary")) % 4 <= n), path, f"b{n}")
+    whole = logs.read_log(spark, path)
+    assert whole.count() == 40
+    for since in ("2024-01-01", "2024-01-12", "2024-01-14", "2024-02-01"):
+        some = whole.filter(F.col("day") >= since)
+        rolled, days = (logs.read_rollup(spark, path, name).filter(F.col("day") >= since) for name in (logs.LABEL_FILES, logs.DAY_FILES))
+        assert inc.top_label(rolled).first() == inc.top_rule(some).first()
+        assert inc.top_category(days).first() == inc.top_category(some).first()
+        assert days.agg(F.coalesce(F.sum("incidents"), F.lit(0))).first()[0] == some.count()
+    logs.clear_log(spark, path)
+    assert logs.read_rollup(spark, path, logs.DAY_FILES).count() == logs.read_log(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 7, 20, 21, 60, 100])
+def test_retention_drops_whole_days(spark, tmp_path, n):
+    path = str(tmp_path / "log")
+    entries = log(spark, *[(at(days=-(k % 6), minutes=k), k % 2, 1, ["A"]) for k in range(60)])
+    logs.append_log(entries, path, "all")
+    expected = sorted(r.id for r in inc.retain(entries, n).collect())
+    assert sorted(r.id for r in logs.retain_log(spark, path, n).collect()) == expected
+    assert [i for i, _ in stored_ids(spark, path)] == expected
+    days = [f.name for f in (tmp_path / "log" / logs.ENTRY_FILES).iterdir() if f.name.startswith("day=")]
+    assert len(days) == min(6, -(-n // 10))
+    assert sum(k for _, _, k in sums(spark, path)) == len(expected)
+    logs.append_log(entries.withColumn("id", F.concat(F.lit("y"), "id")), path, "later")
+    assert len(stored_ids(spark, path)) == len(expected) + 60
+
+
+def test_retention_reads_the_days_it_needs(spark, tmp_path):
+    path = str(tmp_path / "log")
+    logs.append_log(log(spark, *[(at(days=-k), 1, 0, ["A"]) for k in range(9)]), path)
+    recent = logs.read_log(spark, path).filter(F.col("day") >= F.lit("2024-01-14").cast("date"))
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
 def test_log_from_json_drops_ill_typed_entries(spark, tmp_path):
     good = dict(
         id="1", timestamp="2024-01-01T00:00:00Z", hostname="h", siteLabel="s", action="masked", totalFindings=1, secrets=1,

@@ -1,5 +1,7 @@
 """The live path gives what the batch gives."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,80 @@ def test_policy_is_loaded_once_per_version(spark):
     now[0] = "v2"
     source(spark)
     assert loads == ["v1", "v2"]
+
+
+def test_allow_rules_are_joined_in_the_stream(spark, folder):
+    schema = "id string, label string, hostname string, rule_id string, match_fingerprint string, created_at timestamp, expires_at timestamp, pos int"
+    rows = [(f"a{n}", "x", "claude.ai", "email", f"email:user{n}@b.co", None, None, n) for n in range(2000)]
+    policy = Policy(exact_allow=spark.createDataFrame(rows, schema))
+    scanned = live.scan_stream(live.read_stream(spark, folder, "*.parquet", SCHEMA), policy)
+    assert scanned.isStreaming
+    out = live.run_to_table(spark, scanned.select("doc_id", "hostname", F.inline("findings")).select("doc_id", "hostname", "rule_id"), "allow")
+    mails = {r.hostname for r in out.filter("rule_id = 'email'").collect()}
+    assert mails == set(pol.SITES) - {"claude.ai"}
+
+
+def test_versions_hold_from_their_time_to_the_next(spark):
+    def row(host, on, strictness, day):
+        return (host, "x", on, strictness, True, False, "placeholder", datetime(2024, 1, day))
+
+    written = spark.createDataFrame(
+        [row("claude.ai", True, "strict", 2), row("claude.ai", False, "strict", 4), row("claude.ai", True, "relaxed", 6), row("chatgpt.com", True, "balanced", 3)],
+        pol.PROFILE_SCHEMA + ", since timestamp",
+    )
+    versions = pol.profile_versions(written)
+    texts = [(d, h, o, "pwd=abc", datetime(2024, 1, d)) for d in range(1, 8) for h in ("claude.ai", "chatgpt.com", "x.example") for o in ("composer", "attachment")]
+    df = spark.createDataFrame(texts, SCHEMA + ", ts timestamp")
+    found = {(r.doc_id, r.hostname, r.origin, r.profile.strictness, len(r.findings)) for r in live.scan_stream(df, Policy(), versions).collect()}
+    expected = {(d, "claude.ai", "composer", "strict", 1) for d in (2, 3)} | {(d, "claude.ai", "composer", "relaxed", 0) for d in (6, 7)}
+    assert found == expected | {(d, "chatgpt.com", "composer", "balanced", 1) for d in range(3, 8)}
+    assert live.scan_stream(df, Policy(enabled=False), versions).count() == 0
+
+
+def test_compaction_keeps_what_is_pending_and_nothing_else(spark, tmp_path):
+    path = str(tmp_path)
+    schema = "input_id string, batch_ts timestamp, file_name string, text string"
+    day = lambda n: datetime(2024, 1, n)
+
+    def select(number, *rows):
+        live.record_selections(path)(detect.scan(spark.createDataFrame(rows, schema)).drop("text"), number)
+
+    def pending():
+        return sorted((r.input_id, r.file_name) for r in live.pending_selections(spark, path).collect())
+
+    def held(name):
+        return sorted(r.input_id for r in spark.read.parquet(f"{path}/{live.SNAPSHOT}/{name}/upto={live._parts(spark, f'{path}/{live.SNAPSHOT}/{name}', 'upto=')[-1]}").collect())
+
+    month = timedelta(days=9)
+    select(0, *[(f"i{n}", day(1), "x.txt", "a@b.co") for n in range(5)], ("gone", day(1), None, None))
+    assert live.compact_selections(spark, path, month) == live.compact_selections(spark, path, month) == 0
+    assert pending() == [(f"i{n}", "x.txt") for n in range(5)] and held("selections") == ["gone", *[f"i{n}" for n in range(5)]]
+    # A selection of no file, one of other files, and one that comes late.
+    select(1, ("i0", day(3), None, None), ("i1", day(3), "y.txt", "a@b.co"), ("i2", day(3), "z.txt", "clean"))
+    before = pending()
+    assert before == [("i1", "y.txt"), ("i3", "x.txt"), ("i4", "x.txt")]
+    # Cut short: the new snapshot has its files but is not complete.
+    detect.scan(spark.createDataFrame([("i9", day(9), "q.txt", "a@b.co")], schema)).drop("text").write.parquet(f"{path}/{live.SNAPSHOT}/files/upto=1")
+    assert pending() == before
+    assert live.compact_selections(spark, path, month) == 1 and pending() == before
+    assert live._parts(spark, f"{path}/files", "batch=") == [] and live._parts(spark, f"{path}/{live.SNAPSHOT}/files", "upto=") == [1]
+    select(2, ("i0", day(2), "late.txt", "a@b.co"), ("new", day(20), "n.txt", "a@b.co"))
+    assert pending() == sorted([*before, ("new", "n.txt")])
+    live.compact_selections(spark, path, month)
+    assert pending() == sorted([*before, ("new", "n.txt")])
+    # Emptied inputs are forgotten; those with pending files are not, however old.
+    assert held("selections") == ["i1", "i3", "i4", "new"] and held("files") == ["i1", "i3", "i4", "new"]
+
+
+def test_keyed_table_takes_the_newest_row(spark, tmp_path):
+    path = str(tmp_path / "table")
+    write = live.merge_by_key(path, "hostname", F.struct("ts", "scan_id"))
+
+    def send(number, *rows):
+        write(spark.createDataFrame(rows, "hostname string, total int, ts int, scan_id int"), number)
+        return sorted(tuple(r) for r in live.read_merged(spark, path).collect())
+
+    assert send(0, ("a", 1, 5, 1), ("b", 1, 5, 1)) == [("a", 1, 5, 1), ("b", 1, 5, 1)]
+    assert send(1, ("a", 2, 4, 9), ("b", 2, 5, 2)) == [("a", 1, 5, 1), ("b", 2, 5, 2)]
+    assert send(1, ("a", 3, 9, 9)) == [("a", 1, 5, 1), ("b", 2, 5, 2)]
+    assert send(2, ("c", 3, 1, 1)) == [("a", 1, 5, 1), ("b", 2, 5, 2), ("c", 3, 1, 1)]
