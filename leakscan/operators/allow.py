@@ -17,7 +17,7 @@ from leakscan.functions.text import let
 from leakscan.operators.policy import allow_key, is_live, moment
 from leakscan.sources.shared import stored
 
-MOST_CARRIED = 1000
+MOST_CARRIED = 4000
 EVER, NEVER = "0001-01-01 00:00:00", "9999-12-31 00:00:00"  # a rule without a start, and one without an end
 
 
