@@ -127,17 +127,21 @@ def token_counts(
                     place, start, stop = disjoint(listed)
                 else:
                     start, stop = lines(text) if text else (np.zeros(0, np.int64),) * 2
-                    listed, place = list(zip(start.tolist(), stop.tolist())), np.arange(len(start))
                 ids = np.array(found, np.int64)
                 begin, end = spans(text, size_of[ids]) if len(ids) else (ids, ids)
                 section, crossing = attributed(begin, end, start, stop, rule)
-                # From the order of the text to the places in the list.
-                section = np.append(place, -1)[section]
-                counts = np.bincount(section + 1, minlength=len(listed) + 1)
-                crossed = np.bincount(section + 1, weights=crossing, minlength=len(listed) + 1).astype(np.int64)
-                keep = np.arange(0 if counts[0] else 1, len(listed) + 1)
-                ends = [pa.array([None, *side], pa.int64()) for side in zip(*listed)] or [pa.nulls(1, pa.int64())] * 2
-                at = [side.take(pa.array(keep)) for side in ends]
+                if sections_col:
+                    # From the order of the text to the places in the list.
+                    section = np.append(place, -1)[section]
+                n = len(listed) if sections_col else len(start)
+                counts = np.bincount(section + 1, minlength=n + 1)
+                crossed = np.bincount(section + 1, weights=crossing, minlength=n + 1).astype(np.int64)
+                keep = np.arange(0 if counts[0] else 1, n + 1)
+                if sections_col:
+                    ends = [pa.array([None, *side], pa.int64()) for side in zip(*listed)] or [pa.nulls(1, pa.int64())] * 2
+                    at = [side.take(pa.array(keep)) for side in ends]
+                else:
+                    at = [pa.array(np.concatenate([[0], x])[keep], mask=keep == 0) for x in (start, stop)]
                 out.append([np.full(len(keep), row), keep - 1, *at, counts[keep], crossed[keep]])
             row, section, start, stop, n, crossed = zip(*out)
             columns = [
