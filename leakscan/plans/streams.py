@@ -25,7 +25,7 @@ from leakscan.streaming import live
 
 def arriving(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "documents").schema
-    documents = live.read_stream(spark, sf, "documents.parquet", schema)
+    documents = live.read_table_stream(spark, sf, "documents", schema)
     return spark.sql(INPUTS["arriving"], documents=documents)
 
 
@@ -155,7 +155,7 @@ def stream_pending(spark, sf):
     """What the last selection of each input still holds; a selection of no file empties it."""
     folder = shared_folder(spark, "stream-pending")
     schema = table(spark, sf, "documents").schema
-    documents = live.read_stream(spark, sf, "documents.parquet", schema)
+    documents = live.read_table_stream(spark, sf, "documents", schema)
     write = live.record_selections(f"{folder}/log")
 
     def each(batch, number):

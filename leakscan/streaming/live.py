@@ -29,6 +29,16 @@ def read_stream(spark: SparkSession, folder: str, file_glob: str, schema, max_fi
     return reader.parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """The texts of one table among others in a folder, as they appear: in its one file, or in a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(where) and system.getFileStatus(where).isDirectory():
+        return read_stream(spark, path, "*", schema)
+    return read_stream(spark, folder, f"{name}.parquet", schema)
+
+
 def scan_stream(texts: DataFrame, policy: Policy, versions: DataFrame | None = None, **scan_options) -> DataFrame:
     """Scan arriving texts on guarded hosts, each by the switches of its origin.
 

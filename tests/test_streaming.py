@@ -3,8 +3,10 @@
 from datetime import datetime, timedelta
 
 import pytest
+from given import TESTDATA
 from pyspark.sql import functions as F
 
+from leakscan import plans
 from leakscan.operators import detect
 from leakscan.operators import policy as pol
 from leakscan.operators import redact as red
@@ -12,6 +14,7 @@ from leakscan.operators.policy import Policy
 from leakscan.plans import settings as st
 from leakscan.streaming import live
 
+QUERIES = plans.queries()
 SCHEMA = "doc_id int, hostname string, origin string, text string"
 ROWS = [
     (n, host, origin, f"mail user{n}@b.co\npassword=abc{n}")
@@ -209,3 +212,11 @@ def test_keyed_table_takes_the_newest_row(spark, tmp_path):
     assert send(1, ("a", 2, 4, 9), ("b", 2, 5, 2)) == [("a", 1, 5, 1), ("b", 2, 5, 2)]
     assert send(1, ("a", 3, 9, 9)) == [("a", 1, 5, 1), ("b", 2, 5, 2)]
     assert send(2, ("c", 3, 1, 1)) == [("a", 1, 5, 1), ("b", 2, 5, 2), ("c", 3, 1, 1)]
+
+
+@pytest.mark.parametrize("name", ["stream_pending", "stream_scan", "stream_allow", "stream_log"])
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path, name):
+    one, many = f"{TESTDATA}/sf0.001", str(tmp_path)
+    spark.read.parquet(f"{one}/documents.parquet").repartition(3).write.parquet(f"{many}/documents.parquet")
+    expected = QUERIES[name](spark, one).collect()
+    assert sorted(map(str, QUERIES[name](spark, many).collect())) == sorted(map(str, expected)) and expected
