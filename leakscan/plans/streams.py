@@ -95,12 +95,12 @@ _AS_OF_SQL = f"""WITH {_VERSIONS_SQL}, {o.resolved(
 
 
 def in_steps(spark: SparkSession, sf: str, folder: str):
-    """The arriving texts put into a folder in order of time, a file for each version of the profiles; yields the days."""
+    """The arriving texts put into a folder in order of time, version by version of the profiles; yields the days."""
     texts = for_spark(spark, sf, "arriving")
     days = [*_VERSIONS, "2025-01-01"]
     for day, following in zip(days, days[1:]):
         some = texts.filter((F.col("ts") >= F.lit(day).cast("timestamp")) & (F.col("ts") < F.lit(following).cast("timestamp")))
-        some.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        some.write.mode("append").parquet(f"{folder}/in")
         yield day
 
 
