@@ -94,6 +94,16 @@ _AS_OF_SQL = f"""WITH {_VERSIONS_SQL}, {o.resolved(
     SELECT {_COLUMNS} FROM f JOIN src USING (doc_id)"""
 
 
+def in_halves(rows: DataFrame, folder: str) -> int:
+    """Add rows to a folder that a stream watches, in as many files as they are read in; returns half their number.
+
+    A file may be read by one task only, so the work of a micro-batch is dealt as that of the table is.
+    """
+    before = live.count_files(rows.sparkSession, folder)
+    rows.write.mode("append").parquet(folder)
+    return max(1, (live.count_files(rows.sparkSession, folder) - before + 1) // 2)
+
+
 def in_steps(spark: SparkSession, sf: str, folder: str):
     """The arriving texts put into a folder in order of time, version by version of the profiles; yields the days."""
     texts = for_spark(spark, sf, "arriving")
@@ -181,8 +191,8 @@ def stream_pending_compacted(spark, sf):
     given = for_spark(spark, sf, "selected")
     write = live.record_selections(f"{folder}/log")
     for part in range(3):
-        given.filter(F.col("doc_id") % 3 == part).coalesce(2).write.mode("append").parquet(f"{folder}/in")
-        texts = live.read_stream(spark, f"{folder}/in", "*.parquet", given.schema, max_files=1)
+        half = in_halves(given.filter(F.col("doc_id") % 3 == part), f"{folder}/in")
+        texts = live.read_stream(spark, f"{folder}/in", "*.parquet", given.schema, max_files=half)
         run = texts.writeStream.foreachBatch(lambda batch, number: write(detect.scan(batch).drop("text"), number))
         run.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         live.compact_selections(spark, f"{folder}/log", timedelta(days=30))
@@ -196,8 +206,8 @@ def stream_last_scan(spark, sf):
     folder = shared_folder(spark, "stream-last")
     given = for_spark(spark, sf, "arriving")
     for part in range(2):
-        given.filter(F.col("doc_id") % 2 == part).coalesce(2).write.mode("append").parquet(f"{folder}/in")
-        texts = live.read_stream(spark, f"{folder}/in", "*.parquet", given.schema, max_files=1)
+        half = in_halves(given.filter(F.col("doc_id") % 2 == part), f"{folder}/in")
+        texts = live.read_stream(spark, f"{folder}/in", "*.parquet", given.schema, max_files=half)
         scanned = detect.scan(texts).filter(F.size("findings") > 0)
         kind = F.when(F.col("origin") == "composer", "send").otherwise(F.col("origin"))
         scans = scanned.select(

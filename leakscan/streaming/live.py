@@ -148,10 +148,15 @@ def record_selections(path: str) -> Callable[[DataFrame, int], None]:
     its own part.
     """
     def write(batch: DataFrame, number: int) -> None:
-        made = batch.select("input_id", "batch_ts").distinct()
+        # Both parts come from the rows as stored: a batch is scanned once.
+        spark, scanned = batch.sparkSession, f"{path}/scanned/batch={number}"
+        batch.write.mode("overwrite").parquet(scanned)
+        rows = spark.read.schema(batch.schema).parquet(scanned)
+        made = rows.select("input_id", "batch_ts").distinct()
         made.write.mode("overwrite").parquet(f"{path}/selections/batch={number}")
-        files = batch.filter(F.col("file_name").isNotNull() & (F.size("findings") > 0))
+        files = rows.filter(F.col("file_name").isNotNull() & (F.size("findings") > 0))
         files.write.mode("overwrite").parquet(f"{path}/files/batch={number}")
+        _drop(spark, scanned)
 
     return write
 
@@ -170,6 +175,14 @@ def _parts(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return sorted(int(n.removeprefix(prefix)) for n in done)
 
 
+def count_files(spark: SparkSession, path: str) -> int:
+    """How many files of rows a folder holds; none if it does not exist."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in system.listStatus(root)] if system.exists(root) else []
+    return sum(not name.startswith(("_", ".")) for name in names)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

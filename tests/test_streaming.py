@@ -12,6 +12,7 @@ from leakscan.operators import policy as pol
 from leakscan.operators import redact as red
 from leakscan.operators.policy import Policy
 from leakscan.plans import settings as st
+from leakscan.plans import streams
 from leakscan.streaming import live
 
 QUERIES = plans.queries()
@@ -220,3 +221,30 @@ def test_a_table_may_be_a_folder_of_files(spark, tmp_path, name):
     spark.read.parquet(f"{one}/documents.parquet").repartition(3).write.parquet(f"{many}/documents.parquet")
     expected = QUERIES[name](spark, one).collect()
     assert sorted(map(str, QUERIES[name](spark, many).collect())) == sorted(map(str, expected)) and expected
+
+
+@pytest.fixture()
+def dealt(spark, tmp_path):
+    """The smallest tables, the texts in four files."""
+    spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_arriving_texts_are_dealt_to_as_many_files_as_they_are_read_in(spark, dealt):
+    for n, _ in enumerate(streams.in_steps(spark, dealt, f"{dealt}/steps")):
+        assert live.count_files(spark, f"{dealt}/steps/in") == 4 * (n + 1)
+    given = streams.for_spark(spark, dealt, "arriving")
+    assert [streams.in_halves(given, f"{dealt}/halves") for _ in range(2)] == [2, 2]
+
+
+def test_a_batch_of_selections_is_scanned_once(spark, tmp_path):
+    scanned = spark.sparkContext.accumulator(0)
+
+    def found(n):
+        scanned.add(1)
+        return [n]
+
+    rows = spark.range(10).selectExpr("id", "'a' AS input_id", "timestamp'2024-01-01' AS batch_ts", "'f' || id AS file_name")
+    batch = detect._bind(rows, F.udf(found, "array<bigint>")("id"), "findings")
+    live.record_selections(f"{tmp_path}/log")(batch, 0)
+    assert live.pending_selections(spark, f"{tmp_path}/log").count() == 10 and scanned.value == 10
