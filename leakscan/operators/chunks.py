@@ -91,6 +91,11 @@ def _words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+def _first_words(text: Column) -> Column:
+    """The words that a match which begins before the text may reach, and two more."""
+    return F.regexp_extract(text, rf"\A\s*+(?:\S++\s*+){{0,{MOST_RUNS + 2}}}", 0)
+
+
 def stitched(rows: DataFrame, keys: tuple[str, ...], rules: list[Rule]) -> DataFrame:
     """Rows (keys, part, offset, line, text): the chunks of each text, put together where a seam is not quiet.
 
@@ -103,42 +108,35 @@ def stitched(rows: DataFrame, keys: tuple[str, ...], rules: list[Rule]) -> DataF
         raise ValueError(f"patterns that may reach across lines need whole texts: {', '.join(open_ended)}")
     rows = stored(rows.select(*keys, "block", "chunk", "text"), "chunks")
     text = F.coalesce("text", F.lit(""))
-    marks = F.regexp_extract_all(text, F.lit(f"({OPENS})|({CLOSES})"), F.lit(0))
+    marks = F.when(text.contains("-----"), F.regexp_extract_all(text, F.lit(f"({OPENS})|({CLOSES})"), F.lit(0)))
+    head, tail = _first_words(F.left(text, F.lit(HALO))), _first_words(F.reverse(F.right(text, F.lit(HALO))))
     facts = rows.select(
-        *keys, "block", "chunk", F.length(text).alias("n"), F.regexp_count(text, F.lit("\n")).alias("feeds"),
+        *keys, "block", "chunk", F.length(text).alias("n"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("feeds"),
         F.get(marks, F.size(marks) - 1).contains("BEGIN").alias("opens"),
         F.coalesce(F.exists(marks, lambda m: m.contains("END")), F.lit(False)).alias("closes"),
+        # Of a chunk only these words travel.
+        head.alias("head"), F.reverse(tail).alias("tail"),
+        (_words(head) <= MOST_RUNS).alias("few_first"), (_words(tail) <= MOST_RUNS).alias("few_last"),
     )
     order = Window.partitionBy(*keys).orderBy("block", "chunk")
     before, after = (order.rowsBetween(*r) for r in ((Window.unboundedPreceding, -1), (0, Window.unboundedFollowing)))
-    placed = stored(
-        facts.select(
-            *keys, "block", "chunk", F.row_number().over(order).alias("at"),
-            F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).alias("offset"),
-            F.coalesce(F.sum(F.col("feeds") + 1).over(before), F.lit(0)).alias("line"),
-            # Whether the last mark before this chunk opens a block, and one from here on closes it.
-            (F.coalesce(F.last("opens", ignorenulls=True).over(before), F.lit(False)) & F.max("closes").over(after)).alias("inside"),
-        ),
-        "chunk-places",
-    )
-    edges = rows.join(placed.select(*keys, "block", "chunk", "at"), [*keys, "block", "chunk"])
-    edges = edges.select(*keys, "at", F.left(text, F.lit(HALO)).alias("head"), F.right(text, F.lit(HALO)).alias("tail"))
-    sides = edges.select(*keys, F.col("at"), "head").join(
-        edges.select(*keys, (F.col("at") + 1).alias("at"), "tail"), [*keys, "at"]
-    )
-    loud = (
-        (_words(F.col("tail")) <= MOST_RUNS) | (_words(F.col("head")) <= MOST_RUNS)
-        | _crosses(F.col("tail"), F.col("head"), rules)
+    placed = facts.select(
+        *keys, "block", "chunk", "head", "few_first", F.row_number().over(order).alias("at"),
+        F.lag("tail").over(order).alias("tail"), F.lag("few_last").over(order).alias("few_last"),
+        F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).alias("offset"),
+        F.coalesce(F.sum(F.col("feeds") + 1).over(before), F.lit(0)).alias("line"),
+        # Whether the last mark before this chunk opens a block, and one from here on closes it.
+        (F.coalesce(F.last("opens", ignorenulls=True).over(before), F.lit(False)) & F.max("closes").over(after)).alias("inside"),
     )
-    seams = stored(sides.select(*keys, "at", loud.alias("loud")), "seams")
-    begins = ~(F.coalesce("loud", F.lit(False)) | F.col("inside"))
-    runs = placed.join(seams, [*keys, "at"], "left").withColumn("begins", (begins | (F.col("at") == 1)).cast("long"))
+    # The costly test comes last, and only where there is a seam that the others leave open.
+    joined = F.col("few_last") | F.col("few_first") | F.col("inside")
+    begins = F.when(F.col("at") == 1, F.lit(True)).when(joined, F.lit(False)).otherwise(~_crosses(F.col("tail"), F.col("head"), rules))
+    runs = placed.select(*keys, "block", "chunk", "at", "offset", "line", begins.cast("long").alias("begins"))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    parts = stored(runs.select("*", F.sum("begins").over(so_far).alias("part")).drop("inside", "loud", "begins"), "parts")
+    numbered = runs.withColumn("part", F.sum("begins").over(so_far)).drop("begins")
+    parts = stored(numbered.withColumn("chunks", F.count(F.lit(1)).over(Window.partitionBy(*keys, "part"))), "parts")
     met = rows.join(parts, [*keys, "block", "chunk"])
-    sizes = parts.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("chunks"))
-    alone = met.join(sizes.filter("chunks = 1").drop("chunks"), [*keys, "part"], "left_semi")
-    several = met.join(sizes.filter("chunks > 1").drop("chunks"), [*keys, "part"], "left_semi")
+    alone, several = met.filter("chunks = 1"), met.filter("chunks > 1")
     together = several.groupBy(*keys, "part").agg(
         F.min("offset").alias("offset"), F.min("line").alias("line"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda c: c["text"]), "\n").alias("text"),
