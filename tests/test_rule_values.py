@@ -1,6 +1,11 @@
 """The rule table against rows written out here, since the SQL of the queries takes its values from the table."""
 
+from given import TESTDATA
+from pyspark.sql import functions as F
+
+from leakscan.operators import detect, rules
 from leakscan.operators.rules import BUILTIN_RULES
+from leakscan.plans import inputs
 
 # Id, label, category, base confidence, placeholder, number of keywords, flags, whether a group is reported.
 ROWS = [
@@ -37,3 +42,18 @@ def test_rules_have_their_values_in_their_order():
     assert [
         (r.id, r.label, r.category, r.base, r.placeholder, len(r.keywords), r.flags, r.captures) for r in BUILTIN_RULES
     ] == ROWS
+
+
+def test_first_characters_rule_out_no_match(spark, monkeypatch):
+    """Every match begins with what is looked for first, in any case that the pattern allows."""
+    df = inputs.for_spark(spark, f"{TESTDATA}/sf0.001", "seeded").unionByName(inputs.for_spark(spark, f"{TESTDATA}/sf0.001", "overlaps"))
+    df = df.select("doc_id", F.explode(F.array("text", F.upper("text"), F.concat(F.lit("9"), "text", F.lit(" pwd=x")))).alias("text"))
+
+    def found():
+        monkeypatch.setattr(detect, "_built", {})
+        rows = detect.raw_findings(df).select("doc_id", F.inline("findings")).select("doc_id", "rule_id", "start_pos", "end_pos", "match")
+        return sorted(map(tuple, rows.collect()))
+
+    led = found()
+    monkeypatch.setattr(rules, "FIRST", {})
+    assert led == found() and {r[1] for r in led} == {rule.id for rule in rules.BUILTIN_RULES}
