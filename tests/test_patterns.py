@@ -126,3 +126,17 @@ def test_own_patterns_are_found_as_under_a_policy_of_each_user(spark, monkeypatc
     assert set(found) == set(expected)
     assert {k: plain(v) for k, v in found.items()} == {k: plain(v) for k, v in expected.items()}
     assert sum(f.source == "custom" for v in found.values() for f in v) > 50
+
+
+def test_busy_users_patterns_are_looked_up_by_more_than_a_few_letters(spark):
+    """Patterns that find the same are one, unless an allow rule names them; a literal is looked up by its first eight letters."""
+    rows = [(1, f"p{n}", "L", p, "g", "pii", True, None, None, n) for n, p in enumerate(["password", "passive-one", "passive-two", "password", "[0-9]{9,}", "password"])]
+    schema = "user int, id string, label string, pattern string, flags string, category string, enabled boolean, explanation string, placeholder string, pos int"
+    own = pol.normalize_custom(spark.createDataFrame(rows, schema), ("user",))
+    allow = spark.createDataFrame([(1, "p5")], "user int, rule_id string")
+    busy = patterns.once_each(patterns.as_rules(own, ("user",)), ["user"], allow)
+    assert sorted(r.rule.id for r in busy.collect()) == ["p0", "p1", "p2", "p4", "p5"]
+    texts = spark.createDataFrame([(1, "The PASSWORDS and xpassword"), (1, "passi"), (1, "x passive-o"), (1, None)], "user int, text string")
+    found = patterns.looked_up(texts.withColumn(patterns.OWN, F.lit(None)), busy, ("user",)).collect()
+    kept = {r.text: [p.id for p in r[patterns.OWN]] for r in found}
+    assert kept == {"The PASSWORDS and xpassword": ["p0", "p4", "p5"], "passi": ["p4"], "x passive-o": ["p1", "p2", "p4"], None: ["p4"]}
