@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.functions import typed
+from leakscan.functions.arrays import bind
 from leakscan.functions.text import sanitize_flags, ws_trim
 from leakscan.operators.policy import moment
 from leakscan.operators.rules import STARTER_PACK
@@ -32,14 +33,13 @@ def parse_packs(df: DataFrame, json_col: str) -> DataFrame:
     Fields of the wrong type read as missing.
     """
     others = [c for c in df.columns if c != json_col]
-    packs = df.select(*others, typed.parsed(F.col(json_col)).alias("pack")).filter(typed.is_object(F.col("pack")))
+    # A table of packs is small for the work it makes: it may come as one split.
+    texts = typed.spread(df).withColumnRenamed(json_col, "__json")
+    packs = bind(texts, typed.parsed(F.col("__json")), "pack").filter(typed.is_object(F.col("pack")))
     pack = F.col("pack")
-    return packs.select(
-        *others,
-        typed.text(pack, "name").alias("name"),
-        typed.text(pack, "description").alias("description"),
-        F.transform(typed.items(pack, "patterns"), _pattern).alias("patterns"),
-    )
+    patterns = F.transform(typed.items(pack, "patterns"), _pattern)
+    read = packs.select(*others, typed.text(pack, "name").alias("name"), typed.text(pack, "description").alias("description"), "pack")
+    return bind(read, patterns, "patterns").drop("pack")
 
 
 def _pattern(entry: Column) -> Column:

@@ -8,6 +8,7 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
+from leakscan.functions import typed
 from leakscan.operators import attachments as att
 from leakscan.operators import detect
 from leakscan.operators import incidents as inc
@@ -103,6 +104,25 @@ def test_export_reads_back(spark):
     assert len(json.loads(packs.export_packs(many).first().pack_json)["patterns"]) == 2100
 
 
+def test_packs_are_taken_apart_once_by_many_tasks(spark):
+    df = spark.createDataFrame([(n, json.dumps(PACK)) for n in range(40)], "k int, pack string").coalesce(1)
+    patterns = packs.imported_patterns(packs.parse_packs(df, "pack"), ("k",))
+    assert patterns.count() == 80
+    text = patterns._jdf.queryExecution().executedPlan().toString()
+    assert text.count("parseJson") == 1 and text.index("parseJson") < text.index("Exchange hashpartitioning(k#")
+
+
+def test_json_of_every_kind(spark):
+    rows = ["[1, {}]", "[]", '{"a": [2]}', "{}", "null", "5", '"[1]"', '"{}"', "true", "not json", None]
+    df = spark.createDataFrame([(r,) for r in rows], "j string").select(typed.parsed(F.col("j")).alias("v"))
+    got = df.select(
+        typed.items(F.col("v")).isNotNull().alias("array"), typed.items(F.col("v"), "a").isNotNull().alias("of_a"),
+        typed.is_object(F.col("v")).alias("object"),
+    ).collect()
+    places = {name: [n for n, r in enumerate(got) if r[name]] for name in ("array", "of_a", "object")}
+    assert places == {"array": [0, 1], "of_a": [2], "object": [2, 3]}
+
+
 def test_starter_pack_finds_its_tokens(spark, scan_all):
     h = md5(b"1").hexdigest()
     policy = Policy(custom_patterns=pol.normalize_custom(packs.imported_patterns(packs.starter_pack(spark))))
