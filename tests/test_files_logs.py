@@ -396,6 +396,17 @@ def test_settings_defaults(spark):
     assert tables.exact_allow.count() == tables.packs.count() == 0
 
 
+def test_settings_of_many_users_are_taken_apart_once(spark):
+    given = {"detectPII": False, "siteProfiles": {"claude.ai": {"strictness": "strict"}}, "workspaceAllowlist": [{"label": "W", "pattern": "w"}, 3]}
+    df = spark.createDataFrame([(n, json.dumps(given)) for n in range(9)] + [(9, "not json"), (10, "[]")], "k int, j string").coalesce(1)
+    tables = settings.settings_tables(settings.parse_settings(df, "j"), ("k",), NOW)
+    for table in (tables.toggles, tables.profiles, tables.custom_patterns, tables.exact_allow, tables.workspace_allow, tables.packs):
+        assert "parseJson" not in table._jdf.queryExecution().executedPlan().toString()
+    assert [r.k for r in tables.toggles.filter("detect_pii").orderBy("k").collect()] == [9, 10]
+    assert tables.toggles.count() == 11 and tables.profiles.count() == 44 and tables.profiles.filter("strictness = 'strict'").count() == 9
+    assert tables.workspace_allow.count() == 9 and tables.exact_allow.count() == tables.packs.count() == 0
+
+
 def test_allow_requests_from_findings(spark):
     df = spark.createDataFrame([(1, "a@b.co", "claude.ai", NOW)], "doc_id int, text string, hostname string, ts timestamp")
     found = detect.explode_findings(detect.scan(df), "doc_id", "hostname", "ts")
