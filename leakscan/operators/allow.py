@@ -120,6 +120,9 @@ def suppressed(
     parts, when = list(where), time_of(at, as_of)
     keys = [place(name) for name in parts]
     rules = intervals(allow, parts, as_of, timed=at is not None)
+    if not df.isStreaming:
+        # Read several times below: for the count of each place, and for its rules.
+        rules = stored(rules, "allow-rules")
     few, many = by_place(rules, parts)
     placed = df.withColumns({place(name): value for name, value in where.items()})
     crowded = None
@@ -127,9 +130,12 @@ def suppressed(
         # A stream has no second look at its texts: every place's rules ride along, however many.
         few = _carried(rules, keys)
     else:
-        crowded = many.select(*keys).distinct()
-        # This looks at rules alone, never at texts.
+        # This looks at rules alone, never at texts.  There are few crowded places for the rules there are, and it is
+        # known how few: texts are not shuffled to tell them apart, which would leave all of a host to one task.
+        crowded = stored(many.select(*keys).distinct(), "crowded")
         crowded = None if crowded.isEmpty() else crowded
+        if crowded is not None and few_places:
+            crowded = F.broadcast(crowded)
     calm = placed if crowded is None else placed.join(crowded, keys, "left_anti")
     side = F.broadcast(few) if few_places else few
     out = without_carried(score(calm.join(side, keys, "left")), key_of, when)

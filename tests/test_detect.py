@@ -305,6 +305,33 @@ def test_rules_hold_at_the_time_of_each_text(spark, monkeypatch, carried):
     assert found == {k: [v for v in text.split() if not covered(host, v, ts)] for k, text, host, ts in texts}
 
 
+def test_texts_of_crowded_hosts_are_not_shuffled(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    stored = allow_rules.stored
+    monkeypatch.setattr(allow_rules, "stored", noted)
+    monkeypatch.setattr(allow_rules, "MOST_CARRIED", 2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rules = [(f"a{n}", "x", "claude.ai", "email", f"email:u{n}@b.co", None, None, n) for n in range(5)]
+        schema = (
+            "id string, label string, hostname string, rule_id string, match_fingerprint string, created_at timestamp, "
+            "expires_at timestamp, pos int"
+        )
+        texts = [(n, f"u{n}@b.co", "claude.ai" if n < 7 else "chatgpt.com") for n in range(9)]
+        df = spark.createDataFrame(texts, "doc_id int, text string, hostname string")
+        found = detect.scan(df, Policy(exact_allow=spark.createDataFrame(rules, schema)), host_col="hostname")
+        assert {r.doc_id: len(r.findings) for r in found.collect()} == {n: int(n > 4) for n in range(9)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plans["scored"] and "SortMergeJoin" not in plans["scored"]
+
+
 def test_times_that_touch_are_one(spark):
     schema = "hostname string, rule_id string, match_fingerprint string, created_at timestamp, expires_at timestamp"
     at = lambda n: datetime(2024, 1, n)
