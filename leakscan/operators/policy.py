@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions import regex, text as tx
 from leakscan.operators import rules as catalogue
+from leakscan.sources.shared import stored
 
 # --- Fixed values ------------------------------------------------------------
 SITES = {
@@ -418,26 +419,27 @@ def upsert_allow(
     requests of one key and ``seq`` are expected to be equal.
     """
     key = [*by, "hostname", "rule_id", "match_fingerprint"]
-    first = F.col("seq") == F.col("first_seq")
-    last = F.col("seq") == F.col("last_seq")
-    ends = requests.groupBy(*key).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    asked = requests.join(ends, key)
-    latest = asked.filter(last).select(*key, "last_seq", "label", "expires_at").distinct()
-    earliest = asked.filter(first).select(*key, F.col("id").alias("new_id"), F.col("created_at").alias("new_created")).distinct()
+    # Requests may come from a scan: they are made once, cut to a row for each key, and stored.
+    asked = stored(
+        requests.dropna(subset=[*key, "seq"]).groupBy(*key).agg(
+            F.min(F.struct("seq", "id", "created_at")).alias("first"), F.max(F.struct("seq", "label", "expires_at")).alias("last")
+        ),
+        "asked",
+    )
     live = existing.filter(is_live(F.col("expires_at"), as_of))
     places = live.groupBy(*key).agg(F.min("pos").alias("pos"))
-    stored = live.join(places, [*key, "pos"]).select(
+    held = live.join(places, [*key, "pos"]).select(
         *key, F.col("id").alias("stored_id"), F.col("created_at").alias("stored_created"), F.col("pos").alias("replaced")
     )
-    front = latest.join(earliest, key).join(stored, key, "left").select(
+    front = asked.join(held, key, "left").select(
         *key,
-        F.coalesce("stored_id", "new_id").alias("id"),
-        "label",
-        F.coalesce("stored_created", "new_created").alias("created_at"),
-        "expires_at",
-        (-1 - F.col("last_seq")).cast("long").alias("pos"),
+        F.coalesce("stored_id", "first.id").alias("id"),
+        F.col("last.label").alias("label"),
+        F.coalesce("stored_created", "first.created_at").alias("created_at"),
+        F.col("last.expires_at").alias("expires_at"),
+        (-1 - F.col("last.seq")).cast("long").alias("pos"),
     )
-    replaced = stored.join(ends, key, "left_semi").select(*by, F.col("replaced").alias("pos"))
+    replaced = held.join(asked, key, "left_semi").select(*by, F.col("replaced").alias("pos"))
     rest = existing.join(replaced, [*by, "pos"], "left_anti").withColumn("pos", F.col("pos").cast("long"))
     merged = front.unionByName(rest.select(*front.columns))
     return merged.filter(is_live(F.col("expires_at"), as_of))

@@ -126,6 +126,23 @@ def test_upsert(spark):
     assert got[0].created_at == at(days=-9) and got[1].created_at == at()
 
 
+def test_upsert_makes_requests_once(spark):
+    fields = (
+        "seq int, id string, label string, hostname string, rule_id string, match_fingerprint string, "
+        "created_at timestamp, expires_at timestamp"
+    )
+    rows = [
+        (n, f"r{n}", f"L{n}", "claude.ai" if n != 7 else None, "email", f"k{n % 3}", at(hours=n), None if n % 2 else at(days=9))
+        for n in range(12)
+    ]
+    costly = spark.createDataFrame(rows, fields).withColumn("label", F.reverse(F.upper("label")))
+    got = pol.upsert_allow(allow(spark).limit(0), costly, NOW)
+    assert "upper(" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.pos, r.id, r.label, r.created_at, r.expires_at) for r in got.collect()) == [
+        (-12, "r2", "11L", at(hours=2), None), (-11, "r1", "01L", at(hours=1), at(days=9)), (-10, "r0", "9L", at(hours=0), None),
+    ]
+
+
 @pytest.mark.parametrize("asked, minutes", [(0.5, 1), (15.9, 15), (99999.0, 43200), (-3.0, 1), (1e300, 43200), (None, 1), (float("nan"), 1)])
 def test_temporary(spark, asked, minutes):
     df = spark.createDataFrame([("L", asked)], "label string, minutes double")
