@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leakscan.operators.attachments import totals
 from leakscan.operators.detect import summarize
 from leakscan.operators.policy import moment, site_label
+from leakscan.sources.shared import stored
 
 # Fixed values.
 MAX_LOG_ENTRIES = 150
@@ -122,7 +123,10 @@ def label_sums(log: DataFrame) -> DataFrame:
     """
     labels = valid_entries(log).select("day", (-F.unix_micros("ts")).alias("age"), "id", F.posexplode("rule_labels").alias("pos", "label"))
     # Counts and newest times are numbers, which aggregate by hash; ids and places are compared only where these tie.
-    counted = labels.groupBy("day", "label").agg(F.count(F.lit(1)).alias("entries"), F.min("age").alias("age"))
+    # Stored, their size is known: the log itself is shuffled only if there are very many days and labels.
+    counted = stored(
+        labels.groupBy("day", "label").agg(F.count(F.lit(1)).alias("entries"), F.min("age").alias("age")), "label-counts"
+    )
     tied = labels.join(counted, ["day", "label", "age"])
     ids = tied.groupBy("day", "label", "entries", "age").agg(F.min(F.struct("id", "pos")).alias("first"))
     return ids.select("label", "entries", "age", "first.id", "first.pos", "day")

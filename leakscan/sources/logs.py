@@ -62,7 +62,8 @@ def append_log(entries: DataFrame, path: str, batch: str | None = None) -> None:
     for name, sums in ((LABEL_FILES, label_sums(own)), (DAY_FILES, day_sums(own))):
         # A folder for each batch: a batch that runs again replaces its own.
         part = f"{path}/{name}/{hashlib.sha256(batch.encode()).hexdigest()}"
-        sums.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("overwrite").parquet(part)
+        # Few files, but not by one task: it would have to read all that the sums are made from.
+        sums.withColumn("batch", F.lit(batch)).hint("rebalance", F.col("day")).write.mode("overwrite").parquet(part)
     spark.range(1).select(F.lit(batch).alias("batch")).coalesce(1).write.mode("overwrite").parquet(_commit(path, batch))
 
 

@@ -295,6 +295,16 @@ def test_a_batch_is_stored_once(spark, tmp_path):
     assert sums(spark, path) == [(day, label, 2 * n) for day, label, n in counted]
 
 
+def test_sums_by_label_leave_the_log_where_it_is(spark):
+    entries = log(spark, *[(at(days=-(n % 3)), n % 2, 1, ["A", "B"]) for n in range(12)]).withColumn("day", F.to_date("ts"))
+    found = inc.label_sums(entries)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert sorted((r.label, r.entries, r.id, r.pos) for r in found.collect()) == [
+        (label, 4, f"id{n}", pos) for pos, label in enumerate("AB") for n in (0, 1, 11)
+    ]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_sums_of_batches_are_those_of_the_log(spark, tmp_path, seed):
     draw = random.Random(seed)
