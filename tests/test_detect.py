@@ -305,6 +305,18 @@ def test_rules_hold_at_the_time_of_each_text(spark, monkeypatch, carried):
     assert found == {k: [v for v in text.split() if not covered(host, v, ts)] for k, text, host, ts in texts}
 
 
+def test_what_a_match_begins_with_loses_none(spark):
+    """The pattern of a structured secret, with and without the look at its first characters."""
+    draw = random.Random(3)
+    parts = ["password", "PWD", "client_secret", "Secret", "token", "=", " = ", ";", " ", "\n", "\r", "\u2028", "\u00a0", "x", "é", "\u017f", "😀", "p", "se"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 12))) for _ in range(3000)]
+    rule = next(r for r in BUILTIN_RULES if r.id == "kv-secret-value")
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = replace(rule, source="checked")
+    assert df.filter(rule.marked(F.col("text")) != plain.marked(F.col("text"))).count() == 0
+    assert df.filter(rule.marked(F.col("text")) != F.col("text")).count() > 50
+
+
 def test_texts_of_crowded_hosts_are_not_shuffled(spark, monkeypatch):
     plans = {}
 
