@@ -42,7 +42,7 @@ from sentencepiece import sentencepiece_model_pb2
 from leakscan.llm.bpe import WHITE
 from leakscan.llm.code import sent
 from leakscan.llm.store import stored
-from leakscan.llm.words import NARROW_BYTES, hand_back, kept, sliced, utf8
+from leakscan.llm.words import NARROW_BYTES, kept, let_go, sliced, utf8
 
 CACHED_PIECES = 250_000  # of each of two generations
 TOGETHER = 4096  # pieces that are encoded in one go
@@ -138,9 +138,10 @@ class Aligner:
         # A space stands before what B encodes.
         pieces = self.b.encode(text[1:], return_type="proto").pieces
         b, b_spans = _flat(map(self._read, pieces), len(pieces)).T
-        if b"".join(map(self.a_bytes.__getitem__, one.ids)) != data or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
+        ids = one.ids  # a list made anew each time
+        if b"".join(map(self.a_bytes.__getitem__, ids)) != data or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
             return None
-        a, spans = np.array(one.ids, np.int64), _flat(one.offsets, len(one.ids))
+        a, spans = np.array(ids, np.int64), _flat(one.offsets, len(ids))
         # Bytes before each character, for offsets in characters.
         characters = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
         before = np.append(characters, len(data))
@@ -209,17 +210,17 @@ class Aligner:
         flat = list(chain.from_iterable(split))
         got = list(map(cache.get, flat))
         # Few texts are without a new piece, and most pieces are not new.
-        missed = {piece for piece, known in zip(flat, got) if known is None}
+        missed = [at for at, known in enumerate(got) if known is None]
         new = []
-        for piece in missed:
+        for piece in {flat[at] for at in missed}:
             if piece in older:
                 cache[piece] = older[piece]
             else:
                 new.append(piece)
         if new:
             cache.update(self._learn(new))
-        if missed:
-            got = list(map(cache.__getitem__, flat))
+        for at in missed:
+            got[at] = cache[flat[at]]
         to = list(accumulate(map(len, split)))
         out = [got[i:j] for i, j in zip([0, *to], to)]
         for piece in new:
@@ -232,11 +233,6 @@ class Aligner:
             return out
         return [found if all(p.whole for p in found) else [] for found in out]
 
-    def forget(self) -> None:
-        """Empty the caches, so that a worker that has other work holds none."""
-        self._cache = {}
-        self._older = self._cache
-
 
 class Pair:
     """What tasks need to build an aligner: the files of both tokenizers, broadcast."""
@@ -252,7 +248,10 @@ class Pair:
         self.files = sent(spark).sparkContext.broadcast(tuple(files))
 
     def aligner(self) -> Aligner:
-        """Built once in each worker process, and kept until a task of another kind comes."""
+        """Built once in each worker process, and kept with its cache until a task of another kind comes.
+
+        A cache of each task's own would meet the frequent pieces anew in every task.
+        """
         return kept(self.key, lambda: Aligner(*self.files.value))
 
     def sliced(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +290,6 @@ def aligned(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str =
         for batch in pair.sliced(batches):
             found = [list(groups(pieces, aligner.a_sizes)) for pieces in aligner.pieces(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(GROUP))], ["doc_id", "groups"])
-        aligner.forget()
-        hand_back()
 
     schema = "doc_id long, groups array<struct<start: long, stop: long, a: array<int>, b: array<int>>>"
     return _rows(docs, id_col, text_col).mapInArrow(run, schema)
@@ -308,17 +305,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
-def linked(docs: DataFrame, pair: Pair) -> DataFrame:
-    """Of rows (doc_id, text) the numbers of tokens, groups and links, a digest of the groups, and the linked pairs.
-
-    A table in the shared folder: texts are encoded once.  ``row`` tells rows
-    apart, ``pairs`` has each pair of a row once, of eight bytes each, and
-    ``times`` how often, of four.
-    """
-    schema = (
-        "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-        "pairs binary, times binary"
-    )
+def _link(pair: Pair):
+    """The rows of :func:`linked`, of batches with row, doc_id and text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = pair.aligner()
@@ -339,10 +327,22 @@ def linked(docs: DataFrame, pair: Pair) -> DataFrame:
                 [batch.column("row"), batch.column("doc_id"), *columns, pa.array(digests), pa.array(pairs), pa.array(times)],
                 ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
             )
-        aligner.forget()
-        hand_back()
 
-    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema), "linked")
+    return run
+
+
+def linked(docs: DataFrame, pair: Pair) -> DataFrame:
+    """Of rows (doc_id, text) the numbers of tokens, groups and links, a digest of the groups, and the linked pairs.
+
+    A table in the shared folder: texts are encoded once.  ``row`` tells rows
+    apart, ``pairs`` has each pair of a row once, of eight bytes each, and
+    ``times`` how often, of four.
+    """
+    schema = (
+        "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+        "pairs binary, times binary"
+    )
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_link(pair), schema), "linked")
 
 
 def _pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -355,6 +355,7 @@ def pair_counts(found: DataFrame, ids_of_b: int) -> DataFrame:
     """Rows (pair, n, best) of :func:`linked`: links of each pair, and whether no other pair of its id of B has more."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
@@ -399,6 +400,7 @@ def scored(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str =
     kept = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         keys, n, best = known.value
         for batch in batches:
             pairs, times, at = _pairs_of(batch)

@@ -60,6 +60,13 @@ def kept(key: str, build: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+def let_go(using: str | None = None) -> None:
+    """Drop what tasks of other kinds kept in this worker process."""
+    if _kept and using not in _kept:
+        _kept.clear()
+        hand_back()
+
+
 def hand_back() -> None:
     """Give free memory back to the system: workers stay for other tasks."""
     pa.default_memory_pool().release_unused()
@@ -76,8 +83,7 @@ def sliced(
 
     What the worker keeps goes first, unless the task is ``using`` it.
     """
-    if using not in _kept:
-        _kept.clear()
+    let_go(using)
     for batch in batches:
         if not batch.num_rows:
             continue

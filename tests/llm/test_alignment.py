@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -8,7 +9,7 @@ import tokenizers
 
 import brute
 from llm_given import SMALL
-from leakscan.llm import alignment, queries
+from leakscan.llm import alignment, queries, words
 
 JSON, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -145,3 +146,15 @@ def test_spans_of_groups_and_empty_tables(spark, odd, none, plain):
                   alignment.aligned(odd.withColumn("doc_id", odd.score), pair).join(odd.select("text", "score"), odd.score == alignment.F.col("doc_id")).collect())
     assert rows == sorted((r.text or "", plain(r.text)[1] if plain(r.text) else []) for r in odd.collect())
     assert alignment.scored(none, pair).count() == 0 and alignment.aligned(none, pair).count() == 0
+
+
+def test_what_a_task_learns_serves_the_next_one(spark, monkeypatch):
+    pair, learned, learn = alignment.Pair(spark, JSON, MODEL), [], alignment.Aligner._learn
+    monkeypatch.setattr(alignment.Aligner, "_learn", lambda self, texts: learned.extend(texts) or learn(self, texts))
+    batch = pa.RecordBatch.from_pylist([{"row": 0, "doc_id": 1, "text": "one two, one\x00 three"}])
+    words.let_go()
+    first = [b.to_pylist() for b in alignment._link(pair)(iter([batch]))]
+    assert sorted(learned) == [" one", " one\x00", " three", " two,"]
+    assert [b.to_pylist() for b in alignment._link(pair)(iter([batch]))] == first and len(learned) == 4
+    # A task of another kind holds none of it.
+    assert list(words.sliced(iter([batch]))) == [batch] and not words._kept
