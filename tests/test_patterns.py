@@ -1,6 +1,7 @@
 """User patterns held in tables: which are accepted, what they match, and the scan of many users."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,46 @@ def test_busy_users_patterns_are_looked_up_by_more_than_a_few_letters(spark):
     found = patterns.looked_up(texts.withColumn(patterns.OWN, F.lit(None)), busy, ("user",)).collect()
     kept = {r.text: [p.id for p in r[patterns.OWN]] for r in found}
     assert kept == {"The PASSWORDS and xpassword": ["p0", "p4", "p5"], "passi": ["p4"], "x passive-o": ["p1", "p2", "p4"], None: ["p4"]}
+
+
+def test_literals_are_found_anywhere_in_words_of_any_length(spark):
+    long = "".join(random.Random(3).choices("abcdefghij0123456789_", k=1000))
+    texts = [long + " Été-Passive-one x", "ab", "", "abc"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(patterns.grams(F.col("t"))).collect()
+    for text, (found,) in zip(texts, got):
+        low = text.lower()
+        runs = [w for w in re.split("[^A-Za-z0-9_@:/=-]+", low) if w]
+        assert {w[i:i + k] for w in runs for k in patterns.GRAMS for i in range(len(w) - k + 1)} <= set(found)
+        assert all(x in low for x in found)
+
+
+def test_what_matches_start_with_and_whether_they_stay_on_a_line(spark):
+    rows = [
+        ("abc[0-9]", "", ["abc"], True), ("(?:one|@e)x", "", ["onex", "@ex"], True), ("(one|two)", "i", ["one", "two"], True),
+        ("(?:One|two)-x*", "gi", ["one-", "two-"], True), ("(?:one|two)?x", "", [], True), ("(?:one|two)|x", "", [], True),
+        ("(?:one|t)", "", [], True), ("(?:one|t.)", "", [], True), ("(?:one|t.)", "s", [], False), ("abc$", "", ["abc"], False),
+        ("abc$", "m", ["abc"], True), ("abc[^d]", "", ["abc"], False), (r"abc\s", "", ["abc"], False), (r"abc\W", "", ["abc"], False),
+        (r"abc[\s\d]", "", ["abc"], False), (r"abc[\d.-]+\b", "", ["abc"], True), ("abc(?=d)", "", ["abc"], False), ("abc\n", "", ["abc"], False),
+        ("abc.", "s", ["abc"], False), ("abc.", "y", ["abc"], False), (r"abc\x0a", "", ["abc"], False), ("abc[\t-z]", "", ["abc"], False),
+    ]
+    given = spark.createDataFrame([r[:2] for r in rows], "p string, f string")
+    got = given.select("p", "f", written.starts(F.col("p"), F.col("f")), written.on_a_line(F.col("p"), F.col("f"))).collect()
+    assert [tuple(r) for r in got] == rows
+
+
+def test_rules_that_find_what_an_earlier_one_finds_are_left_out_of_a_text(spark):
+    """What goes on with a text of a busy user is what it finds there, not every pattern that might."""
+    given = [("(?:alpha|@e)x", "pii"), ("(?:beta|@e)x", "pii"), ("(?:gamma|@e)x", "secret"), ("[xyz]{5,}", "pii"), ("(?:beta|@e)x", "pii"),
+             ("[0-9]{3}$", "pii"), ("[0-9]{3}", "pii"), ("delta", "pii"), ("(?:del|@e)", "pii")]
+    rows = [(1, f"p{n}", "L", p, "gm", kind, True, None, None, n) for n, (p, kind) in enumerate(given)]
+    schema = "user int, id string, label string, pattern string, flags string, category string, enabled boolean, explanation string, placeholder string, pos int"
+    own = pol.normalize_custom(spark.createDataFrame(rows, schema), ("user",))
+    allow = spark.createDataFrame([(1, "p4")], "user int, rule_id string")
+    busy = patterns.once_each(patterns.as_rules(own, ("user",)), ["user"], allow)
+    texts = spark.createDataFrame([(1, "a@ex\n123 4"), (1, "betax a@ex\n123"), (1, "delta @f"), (1, None)], "user int, text string")
+    found = patterns.looked_up(texts.withColumn(patterns.OWN, F.lit(None)), busy, ("user",), tried=True).collect()
+    kept = {r.text: [p.id for p in r[patterns.OWN]] for r in found}
+    assert kept == {
+        "a@ex\n123 4": ["p0", "p2", "p4", "p6", "p8"], "betax a@ex\n123": ["p0", "p1", "p2", "p4", "p5", "p8"],
+        "delta @f": ["p7", "p8"], None: [],
+    }
