@@ -60,6 +60,12 @@ def by_place(rules: DataFrame, parts: list[str]) -> tuple[DataFrame, DataFrame]:
     return _carried(few, keys), many
 
 
+def any_crowded(allow: DataFrame, parts: list[str], as_of: datetime | None = None, timed: bool = False) -> bool:
+    """Whether some place has more rules than ride along with its texts.  This looks at rules alone."""
+    counts = intervals(allow, parts, as_of, timed).groupBy(*(place(name) for name in parts)).agg(F.count(F.lit(1)).alias("n"))
+    return not counts.filter(F.col("n") > MOST_CARRIED).isEmpty()
+
+
 def _carried(rules: DataFrame, keys: list[str]) -> DataFrame:
     return rules.groupBy(*keys).agg(F.collect_list(F.struct("key", "since", "until")).alias("__allow"))
 
@@ -127,7 +133,8 @@ def suppressed(
     placed = df.withColumns({place(name): value for name, value in where.items()})
     crowded = None
     if df.isStreaming:
-        # A stream has no second look at its texts: every place's rules ride along, however many.
+        # A stream has no second look at its texts: every place's rules ride along.  Where they are many, its micro-batches
+        # are scanned as tables (``streaming/live.py``).
         few = _carried(rules, keys)
     else:
         # This looks at rules alone, never at texts.  There are few crowded places for the rules there are, and it is

@@ -60,11 +60,13 @@ def stream_scan(spark, sf):
     f"WITH {allowed_sql('seeded_allow')}, {_stream_sql(' AND ' + _NOT_EXACT)} SELECT {_COLUMNS} FROM f JOIN src USING (doc_id)",
 )
 def stream_allow(spark, sf):
-    """Allow rules joined within the stream."""
+    """Allow rules joined within the stream: in its plan, or with its micro-batches where a host has many."""
     policy = Policy(profiles=st.profiles(spark), exact_allow=st.allow_rules(spark, sf, "seeded_allow"))
-    scanned = live.scan_stream(arriving(spark, sf), policy, as_of=st.NOW)
-    rows = scanned.select("doc_id", F.inline("findings")).select("doc_id", *FIELDS)
-    return live.run_to_table(spark, st.bigints(rows), "stream-allow")
+
+    def rows(scanned: DataFrame) -> DataFrame:
+        return st.bigints(scanned.select("doc_id", F.inline("findings")).select("doc_id", *FIELDS))
+
+    return live.scan_to_table(spark, arriving(spark, sf), policy, rows, "stream-allow", as_of=st.NOW)
 
 
 # Profiles as they were written over time: the days from which each holds.

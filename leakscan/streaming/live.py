@@ -8,6 +8,7 @@ come from a function (``policy_source``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leakscan.functions.text import mask_snippet
+from leakscan.operators.allow import any_crowded
 from leakscan.operators.attachments import is_text_like, latest_selection
 from leakscan.operators.detect import scan
-from leakscan.operators.policy import Policy, guarded, guarded_as_of
-from leakscan.sources.shared import shared_folder
+from leakscan.operators.policy import SITES, Policy, guarded, guarded_as_of
+from leakscan.sources.shared import shared_folder, stored
 
 
 def read_stream(spark: SparkSession, folder: str, file_glob: str, schema, max_files: int | None = None) -> DataFrame:
@@ -44,7 +46,8 @@ def scan_stream(texts: DataFrame, policy: Policy, versions: DataFrame | None = N
 
     With ``versions`` (:func:`policy.profile_versions`) the profile of a host is
     the one that held at the text's own ``ts``.  Exact allow rules are joined
-    within the stream, as a static table.
+    within the stream, as a static table, of which each text carries those of its
+    host: ``scan_to_table`` is for any number of them.
 
     A pasted text counts as composer text in its findings.  The content of a
     file stays marked as such, so that nothing rewrites it, and its findings
@@ -116,6 +119,33 @@ def scan_with_reload(
     )
 
 
+def scan_to_table(
+    spark: SparkSession, texts: DataFrame, policy: Policy, rows: Callable[[DataFrame], DataFrame], name: str, **scan_options
+) -> DataFrame:
+    """Scan what has arrived on a stream and read back the table of ``rows`` of the scanned texts.
+
+    Exact allow rules are joined within the stream's plan while they are few
+    enough to ride along.  Beyond that each micro-batch is scanned as a table and
+    its findings are joined with the rules by what they have to agree on; a batch
+    that runs again replaces its part.
+    """
+    scanned = rows(scan_stream(texts, policy, **scan_options))
+    allow, timed = policy.exact_allow, scan_options.get("at") is not None
+    if allow is None or not any_crowded(allow.filter(F.col("hostname").isin(list(SITES))), ["hostname"], scan_options.get("as_of"), timed):
+        return run_to_table(spark, scanned, name)
+    # Read in every micro-batch.
+    policy = replace(policy, exact_allow=stored(allow, f"{name}-rules"))
+    folder = shared_folder(spark, name)
+    write = write_numbered(f"{folder}/table")
+    query = scan_with_reload(
+        texts, lambda _: policy, lambda batch, number: write(rows(batch), number), f"{folder}/checkpoint", **scan_options
+    )
+    query.awaitTermination()
+    if not count_files(spark, f"{folder}/table"):
+        return spark.createDataFrame([], scanned.schema)
+    return spark.read.schema(scanned.schema).parquet(f"{folder}/table").select(*scanned.columns)
+
+
 def write_numbered(path: str) -> Callable[[DataFrame, int], None]:
     """A writer for ``scan_with_reload``: one folder per micro-batch, replaced on a rerun."""
     def write(batch: DataFrame, number: int) -> None:

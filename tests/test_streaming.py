@@ -7,7 +7,7 @@ from given import TESTDATA
 from pyspark.sql import functions as F
 
 from leakscan import plans
-from leakscan.operators import detect
+from leakscan.operators import allow, detect
 from leakscan.operators import policy as pol
 from leakscan.operators import redact as red
 from leakscan.operators.policy import Policy
@@ -149,6 +149,32 @@ def test_allow_rules_are_joined_in_the_stream(spark, folder):
     assert mails == set(pol.SITES) - {"claude.ai"}
 
 
+@pytest.mark.parametrize("carried", [4000, 1])
+def test_rules_beyond_those_that_ride_along_are_joined_with_micro_batches(spark, tmp_path, monkeypatch, carried):
+    """The scan of a host's texts does not carry all of its rules, however many there are; rows are the same."""
+    monkeypatch.setattr(allow, "MOST_CARRIED", carried)
+    most = []
+    ride = allow._carried
+    monkeypatch.setattr(allow, "_carried", lambda rules, keys: most.append(rules.groupBy(*keys).count().agg(F.max("count")).first()[0]) or ride(rules, keys))
+    found = QUERIES["stream_allow"](spark, f"{TESTDATA}/sf0.001").collect()
+    monkeypatch.undo()
+    expected = QUERIES["stream_allow"](spark, f"{TESTDATA}/sf0.001").collect()
+    assert sorted(map(str, found)) == sorted(map(str, expected)) and found
+    # A plan that carries all is made for its columns, and not run.
+    assert (most[-1] or 0) <= carried
+
+
+def test_a_stream_of_no_texts_makes_an_empty_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(allow, "MOST_CARRIED", 0)
+    schema = "doc_id int, hostname string, origin string, text string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    rules = [("claude.ai", "email", "email:a@b.co", None, None)]
+    rules = spark.createDataFrame(rules, "hostname string, rule_id string, match_fingerprint string, created_at timestamp, expires_at timestamp")
+    texts = live.read_stream(spark, f"{tmp_path}/in", "*.parquet", spark.createDataFrame([], schema).schema)
+    out = live.scan_to_table(spark, texts, Policy(exact_allow=rules), lambda df: df.select("doc_id", F.inline("findings")), "none")
+    assert out.count() == 0 and "rule_id" in out.columns
+
+
 def test_versions_hold_from_their_time_to_the_next(spark):
     def row(host, on, strictness, day):
         return (host, "x", on, strictness, True, False, "placeholder", datetime(2024, 1, day))
